@@ -7,25 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# All Unicode white space, NBSP included, plus the four ASCII separators \x1c-\x1f.
-WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
-BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-SENTENCE_BREAK = r"(?U)(?<=[.!?])[\s\x1c-\x1f]+"
+# The white space characters of Unicode (NBSP among them) and the four ASCII
+# separators, as the inside of a character class.
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# A run that is more than one plain blank; single blanks, the usual case, need no replacement.
+UNTIDY = rf"(?:[{SPACE}&&[^ ]]| (?=[{SPACE}]))[{SPACE}]*"
+ENDS = rf"^[{SPACE}]+|[{SPACE}]+$"
+WORD = rf"[^{SPACE}]+"
+SENTENCE_BREAK = rf"(?<=[.!?])[{SPACE}]+"
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, ENDS, "")
 
 
 def clean_text(text: Column) -> Column:
     """White space runs become one blank, ends trimmed; null becomes empty."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WHITESPACE, " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), UNTIDY, " "))
 
 
 def is_all_caps(text: Column) -> Column:
     """More than three ASCII letters, none of them lower case."""
-    letters = F.regexp_replace(text, "[^A-Za-z]", "")
-    return (F.length(letters) > 3) & (letters == F.upper(letters))
+    return ~text.rlike("[a-z]") & text.rlike("(?:[A-Z][^A-Z]*){4}")
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, WHITESPACE), lambda w: w != ""))
+    return F.regexp_count(text, F.lit(WORD))
 
 
 def heading_level(style: Column) -> Column:
@@ -36,8 +43,7 @@ def heading_level(style: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences as an array: cut after ``.``, ``!`` or ``?`` followed by white space."""
-    parts = F.transform(F.split(text, SENTENCE_BREAK), lambda s: F.trim(s, F.lit(BLANKS)))
-    return F.filter(parts, lambda s: s != "")
+    return F.filter(F.split(strip(text), SENTENCE_BREAK), lambda s: s != "")
 
 
 def snippet(text: Column, max_chars: int) -> Column:

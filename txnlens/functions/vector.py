@@ -16,15 +16,16 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def norm(vector: Column) -> Column:
-    return F.sqrt(dot(vector, vector))
+    return F.aggregate(_doubles(vector), F.lit(0.0), lambda acc, x: acc + x * x, F.sqrt)
 
 
 def l2_normalize(vector: Column) -> Column:
     """Unit vector; null for a zero vector."""
-    length = norm(vector)
-    return F.when(
-        length > 0, F.transform(_doubles(vector), lambda x: F.try_divide(x, length)).cast("array<float>")
+    # The length is bound as a lambda variable, else it would be computed anew for every value.
+    unit = F.transform(
+        F.array(norm(vector)), lambda n: F.when(n > 0, F.transform(vector, lambda x: (x / n).cast("float")))
     )
+    return F.element_at(unit, 1)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -21,15 +21,17 @@ GRAINS = {
 }
 
 
-def agg_fraud(star: Star, grain: str) -> DataFrame:
+def agg_fraud(star: Star, grain: str, key: str | None = None) -> DataFrame:
     """The metric block per group.
 
+    ``key`` is the column that fact and dimension share, by default the dimension's id.
+
     The fact is reduced to one row per foreign key before the join, so only the partial sums are
     shuffled and a hot key costs no more than any other; the join and the final roll-up work on
     dimension-sized input. Facts without a dimension row drop out, as in the join they stand for.
     """
     name, groups = GRAINS[grain]
-    key = f"{name}_id"
+    key = key or f"{name}_id"
     sums = star.fact.groupBy(key).agg(*additive_measures(F.col("is_fraud"), F.col("amt")))
     dim = star.dim(name).select(key, *[c for c in groups if c != key])
     return with_ratios(sums.join(dim, key).groupBy(*groups).agg(*rolled_up()), groups)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.functions.scoring import base_score, final_score
-from txnlens.functions.text import contains_any, snippet
+from txnlens.functions.text import contains_any, snippet, strip
 
 ROUTES = ("data", "document", "none")
 
@@ -40,7 +40,7 @@ def route(question: Column, label: Column | None = None) -> Column:
     )
     if label is None:
         return by_words
-    given = F.lower(F.regexp_replace(label, r"(?U)^\s+|\s+$", ""))
+    given = F.lower(strip(label))
     return F.when(given.isin(*ROUTES), given).otherwise(by_words)
 
 

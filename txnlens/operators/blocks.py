@@ -6,7 +6,9 @@ sets the subsection, and the text of any other heading becomes part of the block
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.functions.text import clean_text, heading_level, is_all_caps, word_count
@@ -16,22 +18,82 @@ MAX_CAPS_WORDS = 6
 SLICE = 4096
 
 
+def level_of(style: Column, text: Column) -> Column:
+    """Heading level of a cleaned paragraph by its style, or by short text in capitals; else null."""
+    styled = F.coalesce(style.startswith("Heading"), F.lit(False))
+    caps = is_all_caps(text) & (word_count(text) <= MAX_CAPS_WORDS)
+    return F.when(styled, heading_level(style)).when(caps, 2)
+
+
 def elements(paragraphs: DataFrame) -> DataFrame:
     """``(doc_id, pos, type, level, text)``: cleaned paragraphs, blank ones dropped."""
     cleaned = paragraphs.withColumn("text", clean_text(F.col("text"))).filter(F.col("text") != "")
-    styled = F.coalesce(F.col("style_name").startswith("Heading"), F.lit(False))
-    caps = is_all_caps(F.col("text")) & (word_count(F.col("text")) <= MAX_CAPS_WORDS)
-    return cleaned.select(
-        "doc_id",
-        "pos",
-        F.when(styled | caps, "heading").otherwise("paragraph").alias("type"),
-        F.when(styled, heading_level(F.col("style_name"))).when(caps, 2).alias("level"),
-        "text",
+    levelled = cleaned.withColumn("level", level_of(F.col("style_name"), F.col("text")))
+    kind = F.when(F.col("level").isNotNull(), "heading").otherwise("paragraph")
+    return levelled.select("doc_id", "pos", kind.alias("type"), "level", "text")
+
+
+def document_blocks(
+    documents: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    style: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """``(doc_id, block_index, section, subsection, text)`` of documents that are one row each.
+
+    The lines are the paragraphs; ``style`` maps a line number to a style name. A row has its whole
+    document, so everything happens inside the row: no shuffle, and later steps stay in the same
+    stage. For documents stored as paragraph rows use ``blocks``.
+    """
+
+    def element(line: Column, pos: Column) -> Column:
+        text = clean_text(line)
+        name = F.lit("") if style is None else style(pos)
+        return F.struct(text.alias("text"), level_of(name, text).alias("level"))
+
+    lines = F.filter(F.transform(F.split(text_col, "\n"), element), lambda e: e["text"] != "")
+    none = F.lit(None).cast("string")
+    no_block = F.array().cast("array<struct<section:string,subsection:string,a:int,b:int>>")
+    start = F.struct(
+        F.lit(0).alias("i"), none.alias("section"), none.alias("subsection"), F.lit(-1).alias("first"),
+        no_block.alias("done"),
+    )
+
+    def closed(acc: Column) -> Column:
+        block = F.struct(
+            acc["section"].alias("section"), acc["subsection"].alias("subsection"),
+            acc["first"].alias("a"), (acc["i"] - 1).alias("b"),
+        )
+        return F.when(acc["first"] >= 0, F.concat(acc["done"], F.array(block))).otherwise(acc["done"])
+
+    def step(acc: Column, e: Column) -> Column:
+        level, text = e["level"], e["text"]
+        heading = level.isNotNull()
+        goes_on = F.when(acc["first"] >= 0, acc["first"]).otherwise(acc["i"])
+        return F.struct(
+            (acc["i"] + 1).alias("i"),
+            F.when(level == 1, text).otherwise(acc["section"]).alias("section"),
+            F.when(level == 1, none).when(level == 2, text).otherwise(acc["subsection"]).alias("subsection"),
+            F.when(level.isin(1, 2), -1).when(heading, acc["i"]).otherwise(goes_on).alias("first"),
+            F.when(heading, closed(acc)).otherwise(acc["done"]).alias("done"),
+        )
+
+    rows = documents.select(F.col(id_col).alias("doc_id"), lines.alias("_lines"))
+    rows = rows.withColumn("_ranges", F.aggregate("_lines", start, step, closed))
+    found = F.transform(
+        "_ranges",
+        lambda r: F.struct(
+            r["section"].alias("section"),
+            r["subsection"].alias("subsection"),
+            F.array_join(F.slice("_lines", r["a"] + 1, r["b"] - r["a"] + 1)["text"], " ").alias("text"),
+        ),
     )
+    out = rows.select("doc_id", F.posexplode(found).alias("block_index", "_block"))
+    return out.select("doc_id", "block_index", "_block.section", "_block.subsection", "_block.text")
 
 
 def blocks(elements: DataFrame, slice_rows: int = SLICE) -> DataFrame:
-    """``(doc_id, block_index, section, subsection, text)``.
+    """``(doc_id, block_index, section, subsection, text)`` of documents given as paragraph rows.
 
     Section, subsection and block number run along a document. They are computed per slice of a
     document and then carried over its slices (one row each), so that one huge document is spread

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,9 @@ DIM = 768
 BATCH_SIZE = 32
 ROLES = ("query", "passage")
 
+# The workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Built once per Python worker; maps a list of texts to a matrix with one row per text.
 Encoder = Callable[[list[str]], np.ndarray]
 

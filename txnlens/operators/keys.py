@@ -6,7 +6,7 @@ they must be unique together.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,18 +48,38 @@ def row_ids(df: DataFrame, ord: str | Sequence[str], id_name: str = "transaction
     )
 
 
-def surrogate_keys(df: DataFrame, key: str, ord: str, id_name: str) -> DataFrame:
-    """``(key, id_name, first_ord, n_rows)``: ids 1..n by first appearance, a null key gets 0.
+def key_tables(df: DataFrame, keys: Mapping[str, str], ord: str) -> dict[str, DataFrame]:
+    """Surrogate keys of several columns from one pass: ``{id_name: column}`` to
+    ``{id_name: (column, id_name, first_ord, n_rows)}``.
 
-    Rows are reduced to one per key before they move, so neither a hot key nor the number of rows
-    matters; the distinct keys are numbered in parallel as well.
+    Ids are 1..n by first appearance, a null key gets 0. Rows are reduced to one per key before
+    they move, so neither a hot key nor the number of rows matters; the distinct keys of all
+    columns are then numbered together, in parallel.
     """
-    keys = df.groupBy(key).agg(F.min(ord).alias("first_ord"), F.count(F.lit(1)).alias("n_rows"))
-    # The null key sorts last, so it takes no number from the others.
-    numbered = row_ids(keys.withColumn("_null", F.col(key).isNull()), ["_null", "first_ord"], id_name)
-    return numbered.select(
-        key, F.when(F.col("_null"), F.lit(0)).otherwise(F.col(id_name)).alias(id_name), "first_ord", "n_rows"
+    cols = list(keys.values())
+    found = df.groupingSets([[c] for c in cols], *cols).agg(
+        F.grouping_id().alias("_set"), F.min(ord).alias("first_ord"), F.count(F.lit(1)).alias("n_rows")
     )
+    no_key = F.lit(True)
+    for c in cols:
+        no_key = no_key & F.col(c).isNull()
+    # The null key sorts last in its set, so it takes no number from the others.
+    numbered = row_ids(found.withColumn("_null", no_key), ["_set", "_null", "first_ord"], "_id")
+    starts = numbered.groupBy("_set").agg(F.min("_id").alias("_start"))
+    # One row per column numbered.
+    numbered = numbered.join(F.broadcast(starts), "_set")
+    out = {}
+    for place, (id_name, c) in enumerate(keys.items()):
+        # grouping_id() has a bit for each column left out, the first one highest.
+        bits = (1 << len(cols)) - 1 - (1 << (len(cols) - 1 - place))
+        number = F.when(F.col("_null"), F.lit(0)).otherwise(F.col("_id") - F.col("_start") + 1)
+        out[id_name] = numbered.filter(F.col("_set") == bits).select(c, number.alias(id_name), "first_ord", "n_rows")
+    return out
+
+
+def surrogate_keys(df: DataFrame, key: str, ord: str, id_name: str) -> DataFrame:
+    """``(key, id_name, first_ord, n_rows)`` of one column, see ``key_tables``."""
+    return key_tables(df, {id_name: key}, ord)[id_name]
 
 
 def attach_key(df: DataFrame, keys: DataFrame, key: str, id_name: str, ord: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,10 +16,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from txnlens.functions.text import terms
 from txnlens.operators.embedding import embed
 
+# The workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Scores closer than single precision resolves are ties, which the smaller id wins.
 SCORE_DECIMALS = 7
 # Bytes of query vectors broadcast at a time; more queries take more passes over the collection.
 QUERY_BYTES = 32 << 20
+# Hits are four numbers or a short id each: at most some 10 MB.
+BROADCAST_HITS = 200_000
 
 
 def search(
@@ -145,9 +151,11 @@ def rerank(
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
-def with_payload(hits: DataFrame, collection: DataFrame, id: str = "id", payload: str = "payload") -> DataFrame:
-    """Fetch the payload of the hits; the hits are few, so the collection stays where it is."""
-    return hits.join(collection.select(id, payload), id)
+def with_payload(hits: DataFrame, points: DataFrame, max_hits: int | None = None, id: str = "id") -> DataFrame:
+    """Fetch the payload of the hits. If at most ``max_hits`` of them can exist and that is few, they
+    are sent to the points, whose payloads then need not move."""
+    few = max_hits is not None and max_hits <= BROADCAST_HITS
+    return points.select(id, "payload").join(F.broadcast(hits) if few else hits, id)
 
 
 def retrieve(
@@ -157,16 +165,20 @@ def retrieve(
     use_reranker: bool = True,
     fetch_k: int | None = None,
     scorer: Callable[[Column, Column], Column] | None = None,
+    payloads: DataFrame | None = None,
     query_id: str = "query_id",
     query_col: str = "query",
 ) -> DataFrame:
     """Dense search with payload, then rerank: ``(query_id, query, id, score, payload, rerank_score, rank)``.
 
     ``queries`` has the question and its ``vector``. By default the second stage only reorders the
-    ``k`` hits of the first; ``fetch_k`` lets it choose from more.
+    ``k`` hits of the first; ``fetch_k`` lets it choose from more. ``payloads`` holds the payloads
+    where they are stored apart from the vectors.
     """
-    hits = search(queries, collection, fetch_k or k, query_id)
-    hits = with_payload(hits, collection).join(queries.select(query_id, query_col), query_id)
+    fetch_k = fetch_k or k
+    hits = search(queries, collection, fetch_k, query_id)
+    hits = with_payload(hits, collection if payloads is None else payloads, queries.count() * fetch_k)
+    hits = hits.join(queries.select(query_id, query_col), query_id)
     if use_reranker:
         ranked = rerank(hits.withColumn("_text", F.col("payload.text")), query_col, "_text", scorer, k, query_id)
     else:

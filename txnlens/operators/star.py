@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from txnlens.functions.features import calendar_columns
 from txnlens.operators.joins import lookup_join
-from txnlens.operators.keys import attach_key, first_per_key, row_ids, surrogate_keys
+from txnlens.operators.keys import attach_key, first_per_key, key_tables, row_ids
 
 CUSTOMER_ATTRIBUTES = (
     "first", "last", "gender", "street", "city", "state", "zip", "lat", "long", "city_pop", "job", "dob",
@@ -61,19 +61,20 @@ def dim_date(keys: DataFrame) -> DataFrame:
     )
 
 
+NATURAL_KEYS = {"customer": "cc_num", "merchant": "merchant", "category": "category", "date": "trans_date"}
+
+
 def star_keys(txn: DataFrame, ord: str = "ord") -> dict[str, DataFrame]:
     """Surrogate key tables of the four dimensions."""
-    natural = {"customer": "cc_num", "merchant": "merchant", "category": "category", "date": "trans_date"}
-    return {name: surrogate_keys(txn, key, ord, f"{name}_id") for name, key in natural.items()}
+    tables = key_tables(txn, {f"{name}_id": key for name, key in NATURAL_KEYS.items()}, ord)
+    return {name: tables[f"{name}_id"] for name in NATURAL_KEYS}
 
 
 def fact_transactions(txn: DataFrame, keys: dict[str, DataFrame]) -> DataFrame:
     """The fact table from numbered transactions with features."""
     needed = set(FACT_COLUMNS) - {f"{d}_id" for d in DIMENSIONS}
-    fact = txn.select(*[c for c in FACT_COLUMNS if c in needed], "cc_num", "merchant", "category", "trans_date")
-    for name, natural in (
-        ("customer", "cc_num"), ("merchant", "merchant"), ("category", "category"), ("date", "trans_date"),
-    ):
+    fact = txn.select(*[c for c in FACT_COLUMNS if c in needed], *NATURAL_KEYS.values())
+    for name, natural in NATURAL_KEYS.items():
         fact = attach_key(fact, keys[name], natural, f"{name}_id", "transaction_id").drop(natural)
     return fact.select(*FACT_COLUMNS)
 

@@ -14,6 +14,7 @@ from txnlens.operators.answers import CONTEXT_HITS, route
 from txnlens.operators.keys import surrogate_keys
 from txnlens.operators.search import rerank
 from txnlens.operators.star import Star
+from txnlens.session import spread
 from txnlens.sources.documents import paragraphs
 
 
@@ -21,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` with their texts, spread for the text operators."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # --- events as raw transactions ----------------------------------------------------------------
 
 
@@ -79,13 +85,14 @@ def _day_id(ts: str) -> Column:
     return F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
 
 
-def line_fact(spark: SparkSession, sf_dir: str, customer: bool = False, category: bool = False) -> DataFrame:
-    """``lineitem`` as the fact table. Customer and category need a join, made only on request."""
+def line_fact(spark: SparkSession, sf_dir: str, customer: bool = False) -> DataFrame:
+    """``lineitem`` as the fact table. The customer needs a join, made only on request; the category
+    hangs on the part (``part_id``)."""
     lines = with_calendar(table(spark, sf_dir, "lineitem").withColumnRenamed("l_shipdate", "trans_ts"))
     fact = lines.select(
         "l_orderkey",
         "l_linenumber",
-        "l_partkey",
+        F.col("l_partkey").alias("part_id"),
         F.col("l_suppkey").alias("merchant_id"),
         _day_id("trans_ts").alias("date_id"),
         "trans_ts",
@@ -93,15 +100,12 @@ def line_fact(spark: SparkSession, sf_dir: str, customer: bool = False, category
         (F.col("l_returnflag") == "R").cast("smallint").alias("is_fraud"),
         "year", "month", "hour", "is_weekend",
     )
-    if customer:
-        orders = table(spark, sf_dir, "orders").select(
-            F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer_id")
-        )
-        fact = fact.join(orders, "l_orderkey")
-    if category:
-        parts = table(spark, sf_dir, "part").join(line_categories(spark, sf_dir), F.col("p_type") == F.col("category_name"))
-        fact = fact.join(parts.select(F.col("p_partkey").alias("l_partkey"), "category_id"), "l_partkey")
-    return fact.withColumn("transaction_id", F.xxhash64(*fact.columns))
+    if not customer:
+        return fact
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer_id")
+    )
+    return fact.join(orders, "l_orderkey")
 
 
 def line_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,10 +126,11 @@ def line_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part types, numbered by first appearance in ``part``."""
+    """The category of every part; part types are numbered by first appearance in ``part``."""
     parts = table(spark, sf_dir, "part")
-    return surrogate_keys(parts, "p_type", "p_partkey", "category_id").select(
-        "category_id", F.col("p_type").alias("category_name")
+    types = surrogate_keys(parts, "p_type", "p_partkey", "category_id").select("p_type", "category_id")
+    return parts.join(types, "p_type").select(
+        F.col("p_partkey").alias("part_id"), "category_id", F.col("p_type").alias("category_name")
     )
 
 
@@ -136,36 +141,43 @@ def line_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_star(spark: SparkSession, sf_dir: str, customer: bool = False, category: bool = False) -> Star:
-    """Star over line items; a dimension that is not asked for is left unused."""
+    """Star over line items; a dimension that is not asked for is left out."""
     return Star(
-        customer=line_customers(spark, sf_dir),
+        customer=line_customers(spark, sf_dir) if customer else None,
         merchant=line_merchants(spark, sf_dir),
         category=line_categories(spark, sf_dir) if category else None,
         date=line_dates(spark, sf_dir),
-        fact=line_fact(spark, sf_dir, customer, category),
+        fact=line_fact(spark, sf_dir, customer),
     )
 
 
 # --- documents ---------------------------------------------------------------------------------
 
 
+def line_style(pos: Column) -> Column:
+    """Every seventh line and some between are headings of levels 1 to 3."""
+    at = pos % 7
+    return F.when(at == 0, "Heading 1").when(at == 3, "Heading 2").when(at == 5, "Heading 3").otherwise("Normal")
+
+
 def document_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of ``documents``; every seventh line and some between are headings of levels 1 to 3."""
-    at = F.col("pos") % 7
-    style = F.when(at == 0, "Heading 1").when(at == 3, "Heading 2").when(at == 5, "Heading 3").otherwise("Normal")
-    return paragraphs(table(spark, sf_dir, "documents"), style=style)
+    return paragraphs(documents(spark, sf_dir), style=line_style(F.col("pos")))
 
 
 # --- vectors -----------------------------------------------------------------------------------
 
 
-def vector_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``embeddings`` as points; the payload is the document of the same number, where there is one."""
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document of the same number as payload; a vector without document has a null one."""
     docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.col("source").alias("section"), F.col("lang").alias("subsection"), "text"
+        F.col("doc_id").alias("id"),
+        F.struct(F.col("source").alias("section"), F.col("lang").alias("subsection"), "text").alias("payload"),
     )
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return vectors.join(docs, "id", "left").select("id", "vector", F.struct("section", "subsection", "text").alias("payload"))
+    return vectors(spark, sf_dir).select("id").join(docs, "id", "left")
 
 
 def label_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +215,7 @@ def turn_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     replies = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
     pieces = replies.select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.posexplode(sentences(F.col("text"))).alias("at", "text")
-    ).withColumn("text", F.col("text"))
+    )
     asked = questions(spark, sf_dir).select("conv_id", "turn", "question_id", F.col("question").alias("query"))
     pairs = pieces.join(asked, ["conv_id", "turn"]).select(
         "question_id",

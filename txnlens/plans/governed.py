@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.functions.text import BLANKS
+from txnlens.functions.text import strip
 
 # Statement words refused anywhere in a text, trailing blank included.
 DENIED = ("insert ", "update ", "delete ", "drop ", "create ", "alter ", "truncate ")
@@ -16,7 +16,7 @@ _READS = re.compile(r"^\s*(select|with)\b", re.IGNORECASE)
 
 def cleaned_sql(sql: Column) -> Column:
     """The statement without surrounding white space and without closing semicolons."""
-    return F.rtrim(F.trim(sql, F.lit(BLANKS)), F.lit(";"))
+    return F.rtrim(strip(sql), F.lit(";"))
 
 
 def sql_denied(sql: Column) -> Column:

@@ -392,6 +392,7 @@ ORACLE = {
         FROM l""",
     "doc_elements": f"WITH {ELEMENTS} SELECT doc_id, pos, type, level, text FROM el",
     "doc_blocks": f"WITH {BLOCKS} SELECT doc_id, block_index, section, subsection, text FROM bl",
+    "doc_blocks_inline": f"WITH {BLOCKS} SELECT doc_id, block_index, section, subsection, text FROM bl",
     "block_stats": f"WITH {BLOCKS} {stats('bl')}",
     "sentences": f"""SELECT doc_id, CAST(unnest(range(len(s))) AS INTEGER) AS pos, unnest(s) AS sentence
         FROM (SELECT doc_id, {sentence_list('text')} AS s FROM documents) d""",

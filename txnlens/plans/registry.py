@@ -153,7 +153,7 @@ def agg_merchant(spark, sf):
 
 @query
 def agg_category(spark, sf):
-    return rounded(aggregates.agg_fraud(B.line_star(spark, sf, category=True), "category"), **METRIC_DIGITS)
+    return rounded(aggregates.agg_fraud(B.line_star(spark, sf, category=True), "category", "part_id"), **METRIC_DIGITS)
 
 
 @query
@@ -181,19 +181,19 @@ def fq_top_merchants(spark, sf):
 @query
 def fq_top_categories(spark, sf):
     tables = B.line_star(spark, sf, category=True)
-    return rounded(reports.top_categories(aggregates.agg_fraud(tables, "category")), fraud_rate=6)
+    return rounded(reports.top_categories(aggregates.agg_fraud(tables, "category", "part_id")), fraud_rate=6)
 
 
 @query
 def fq_entity_ranking(spark, sf):
     tables = B.line_star(spark, sf, category=True)
-    ranked = reports.entity_ranking(aggregates.agg_fraud(tables, "merchant"), aggregates.agg_fraud(tables, "category"))
+    ranked = reports.entity_ranking(aggregates.agg_fraud(tables, "merchant"), aggregates.agg_fraud(tables, "category", "part_id"))
     return rounded(ranked, fraud_rate=6)
 
 
 @query
 def fq_last_fraud(spark, sf):
-    tie_break = ("l_orderkey", "l_linenumber", "l_partkey", "merchant_id", "amt")
+    tie_break = ("l_orderkey", "l_linenumber", "part_id", "merchant_id", "amt")
     return reports.last_fraud(B.line_star(spark, sf, customer=True), tie_break=tie_break)
 
 
@@ -304,7 +304,7 @@ def chk_vectors(spark, sf):
 
 @query
 def text_clean(spark, sf):
-    return B.table(spark, sf, "documents").select("doc_id", TX.clean_text(F.col("text")).alias("text"))
+    return B.documents(spark, sf).select("doc_id", TX.clean_text(F.col("text")).alias("text"))
 
 
 @query
@@ -318,12 +318,19 @@ def doc_elements(spark, sf):
     return blocks.elements(B.document_paragraphs(spark, sf))
 
 
-def _blocks(spark, sf):
+@query
+def doc_blocks(spark, sf):
+    """From paragraph rows."""
     return blocks.blocks(blocks.elements(B.document_paragraphs(spark, sf)))
 
 
+def _blocks(spark, sf):
+    return blocks.document_blocks(B.documents(spark, sf), style=B.line_style)
+
+
 @query
-def doc_blocks(spark, sf):
+def doc_blocks_inline(spark, sf):
+    """From whole documents, one row each."""
     return _blocks(spark, sf)
 
 
@@ -334,7 +341,7 @@ def block_stats(spark, sf):
 
 @query
 def sentences(spark, sf):
-    docs = B.table(spark, sf, "documents")
+    docs = B.documents(spark, sf)
     return docs.select("doc_id", F.posexplode(TX.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
@@ -356,7 +363,7 @@ def chunk_stats(spark, sf):
 @query
 def snippets(spark, sf):
     text = F.col("text")
-    return B.table(spark, sf, "documents").select(
+    return B.documents(spark, sf).select(
         "doc_id",
         TX.snippet(text, 500).alias("context_snippet"),
         TX.snippet(text, 300).alias("evidence_snippet"),
@@ -378,20 +385,20 @@ def vec_normalize(spark, sf):
 
 @query
 def embed_texts(spark, sf):
-    docs = B.table(spark, sf, "documents").select("doc_id", "text")
+    docs = B.documents(spark, sf)
     return embedding.embed(docs, dim=256).select("doc_id", "vector")
 
 
 @query
 def vec_topk(spark, sf):
-    hits = search.search(B.label_queries(spark, sf), B.vector_collection(spark, sf), k=20)
-    return rounded(hits, score=6)
+    return rounded(search.search(B.label_queries(spark, sf), B.vectors(spark, sf), k=20), score=6)
 
 
 @query
 def vec_rerank(spark, sf):
-    queries, collection = B.label_queries(spark, sf), B.vector_collection(spark, sf)
-    hits = search.with_payload(search.search(queries, collection, k=20), collection)
+    queries = B.label_queries(spark, sf)
+    hits = search.search(queries, B.vectors(spark, sf), k=20)
+    hits = search.with_payload(hits, B.payloads(spark, sf), queries.count() * 20)
     hits = hits.join(queries.select("query_id", "query"), "query_id").withColumn("text", F.col("payload.text"))
     ranked = search.rerank(hits)
     return rounded(ranked.select("query_id", "id", "dense_rank", "rerank_score", "rank"), rerank_score=6)
@@ -399,7 +406,7 @@ def vec_rerank(spark, sf):
 
 @query
 def retrieve(spark, sf):
-    hits = search.retrieve(B.label_queries(spark, sf), B.vector_collection(spark, sf), k=10)
+    hits = search.retrieve(B.label_queries(spark, sf), B.vectors(spark, sf), k=10, payloads=B.payloads(spark, sf))
     out = hits.select("query_id", "id", "score", "payload.section", "payload.subsection", "rerank_score", "rank")
     return rounded(out, score=6, rerank_score=6)
 

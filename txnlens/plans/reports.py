@@ -74,9 +74,8 @@ def last_fraud(star: Star, n: int = 10, tie_break: Sequence[str] = ("transaction
     shops = star.merchant.select("merchant_id", "merchant_name")
     named = people.join(F.broadcast(latest), "customer_id")
     named = shops.join(F.broadcast(named), "merchant_id")
-    return named.orderBy(F.col("trans_ts").desc_nulls_first(), *tie_break).select(
-        "trans_ts", "customer_first", "customer_last", "merchant_name", "amt", "is_fraud"
-    )
+    ordered = named.orderBy(F.col("trans_ts").desc_nulls_first(), *tie_break).limit(n)
+    return ordered.select("trans_ts", "customer_first", "customer_last", "merchant_name", "amt", "is_fraud")
 
 
 def hourly_fraud(fact: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from txnlens.operators.checks import check_vectors, require_empty
 from txnlens.schemas import COLLECTION
+from txnlens.session import materialize
 
 PAYLOAD_FIELDS = ("chunk_id", "section", "subsection", "block_index", "chunk_index", "text")
 
@@ -38,12 +39,12 @@ def upsert(old: DataFrame, new: DataFrame, seq: str, key: str = "id") -> DataFra
     """``old`` with the points of ``new`` put in or replaced; of points with one id, the last by ``seq`` counts.
 
     The latest ``seq`` per id is found from the two narrow columns, so vectors are never gathered
-    by id; ``seq`` must be unique within an id.
+    by id; ``seq`` must be unique within an id. The points that count are stored once: they are
+    part of the result and also tell which old ones go.
     """
     latest = new.groupBy(key).agg(F.max(seq).alias(seq))
-    winners = new.join(latest, [key, seq], "left_semi")
-    kept = old.join(latest.select(key), key, "left_anti")
-    return kept.unionByName(winners.select(*old.columns))
+    winners = materialize(new.join(latest, [key, seq], "left_semi").select(*old.columns), "points")
+    return old.join(winners.select(key), key, "left_anti").unionByName(winners)
 
 
 def collection_info(collection: DataFrame, vector: str = "vector") -> DataFrame:
