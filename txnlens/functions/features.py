@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_KM = 6371.0
-WEEKEND_DAYS = ("Saturday", "Sunday")
+DAY_NAMES = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
+WEEKEND = (1, 7)  # numbers of dayofweek()
 
 
 def calendar_columns(day: Column) -> dict[str, Column]:
     """Date parts that depend on the day alone (shared by the fact and the date dimension)."""
-    weekday = F.date_format(day, "EEEE")
+    number = F.dayofweek(day)
     return {
         "year": F.year(day),
         "month": F.month(day),
         "day": F.day(day),
-        "day_of_week": weekday,
-        "is_weekend": F.coalesce(weekday.isin(*WEEKEND_DAYS), F.lit(False)),
+        "day_of_week": F.element_at(F.array(*[F.lit(name) for name in DAY_NAMES]), number),
+        "is_weekend": F.coalesce(number.isin(*WEEKEND), F.lit(False)),
         "year_month": F.date_format(day, "yyyy-MM"),
     }
 

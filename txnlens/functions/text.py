@@ -8,17 +8,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The white space characters of Unicode (NBSP among them) and the four ASCII
-# separators, as the inside of a character class.
+# separators, as the inside of a character class and as a string.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# A run that is more than one plain blank; single blanks, the usual case, need no replacement.
-UNTIDY = rf"(?:[{SPACE}&&[^ ]]| (?=[{SPACE}]))[{SPACE}]*"
-ENDS = rf"^[{SPACE}]+|[{SPACE}]+$"
-WORD = rf"[^{SPACE}]+"
-SENTENCE_BREAK = rf"(?<=[.!?])[{SPACE}]+"
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# Looking ahead for common visible characters first spares most positions the long class.
+_MAYBE_SPACE = r"(?=[^!-~\u00a1-\u024f])"
+_MAYBE_ODD = r"(?=[^ -~\u00a1-\u024f])"
+# A run that is not just one plain blank; single blanks, the usual case, need no replacement.
+UNTIDY = rf" {_MAYBE_SPACE}[{SPACE}]+|{_MAYBE_ODD}[{SPACE}]+"
+SENTENCE_BREAK = rf"(?<=[.!?]){_MAYBE_SPACE}[{SPACE}]+"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, ENDS, "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def clean_text(text: Column) -> Column:
@@ -32,7 +37,7 @@ def is_all_caps(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD))
+    return F.size(F.array_remove(F.split(clean_text(text), " "), ""))
 
 
 def heading_level(style: Column) -> Column:

@@ -22,6 +22,8 @@ def lookup_join(
     how: str = "inner",
     spread: str = "transaction_id",
     weight: str | None = None,
+    dim_rows: int | None = None,
+    fact_rows: int | None = None,
     small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """``facts JOIN dim USING (on)`` (inner or left), safe when one key holds much of ``facts``.
@@ -30,19 +32,21 @@ def lookup_join(
     shuffle partition are looked up in a broadcast table, which holds at most as many keys as
     there are partitions; their rows then bypass the shuffle join spread by a hash of the
     ``spread`` column instead of piling up in one task. ``weight`` names a column of ``dim`` with
-    the number of fact rows per key, if known; it is not part of the result.
+    the number of fact rows per key; it is not part of the result. Row counts that are known need
+    not be counted here.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
     payload = [c for c in dim.columns if c not in (on, weight)]
-    if is_small(dim, small_rows):
+    small = is_small(dim, small_rows) if dim_rows is None else dim_rows <= small_rows
+    if small:
         return facts.join(dim.select(on, *payload), on, how)
 
     if weight is None:
         counts = facts.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_rows"))
         dim, weight = dim.join(counts, on), "_rows"
     parts = shuffle_partitions(facts.sparkSession)
-    total = dim.agg(F.sum(weight)).first()[0] or 0
+    total = dim.agg(F.sum(weight)).first()[0] or 0 if fact_rows is None else fact_rows
     value = F.struct(*payload)
     hot = dim.filter(F.col(weight) > total / parts).select(on, value.alias("_hot"))
     rest = dim.filter(F.col(weight) <= total / parts).select(

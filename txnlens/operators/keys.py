@@ -7,8 +7,10 @@ they must be unique together.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.operators.joins import lookup_join
@@ -21,9 +23,8 @@ _ROW_BITS = 33
 def row_ids(df: DataFrame, ord: str | Sequence[str], id_name: str = "transaction_id") -> DataFrame:
     """Number the rows 1..n in ``ord`` order.
 
-    The rows are range-partitioned and stored once with their place inside the partition; the
-    running sum of the partition sizes (one row per partition) then turns places into numbers. The
-    store matters: sampled range bounds may differ between two evaluations of the same plan.
+    The rows are range-partitioned and stored once with their place inside the partition; running
+    sums of the partition sizes then turn places into numbers. The store matters: sampled range bounds may differ between two evaluations of the same plan.
     """
     cols = [ord] if isinstance(ord, str) else list(ord)
     placed = (
@@ -37,20 +38,30 @@ def row_ids(df: DataFrame, ord: str | Sequence[str], id_name: str = "transaction
             "_row": F.col("_place").bitwiseAND((1 << _ROW_BITS) - 1),
         }
     )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    # As many rows as partitions, whatever the size of the data; counted once.
+    sizes = sorted(tuple(r) for r in stored.groupBy("_part").agg(F.count(F.lit(1))).collect())
+    before = accumulate([size for _, size in sizes], initial=0)
+    offsets = df.sparkSession.createDataFrame(
+        [(part, n) for (part, _), n in zip(sizes, before)], "_part bigint, _before bigint"
+    )
     return (
-        # As many rows as partitions, whatever the size of the data.
         stored.join(F.broadcast(offsets), "_part")
         .withColumn(id_name, F.col("_before") + F.col("_row") + 1)
         .select(id_name, *df.columns)
     )
 
 
-def key_tables(df: DataFrame, keys: Mapping[str, str], ord: str) -> dict[str, DataFrame]:
-    """Surrogate keys of several columns from one pass: ``{id_name: column}`` to
-    ``{id_name: (column, id_name, first_ord, n_rows)}``.
+@dataclass(frozen=True)
+class KeyTable:
+    """``keys`` is ``(column, id, first_ord, n_rows)``; the counts say how to join it."""
+
+    keys: DataFrame
+    n_keys: int
+    n_rows: int
+
+
+def key_tables(df: DataFrame, keys: Mapping[str, str], ord: str) -> dict[str, KeyTable]:
+    """Surrogate keys of several columns from one pass: ``{id_name: column}`` to ``{id_name: table}``.
 
     Ids are 1..n by first appearance, a null key gets 0. Rows are reduced to one per key before
     they move, so neither a hot key nor the number of rows matters; the distinct keys of all
@@ -65,35 +76,39 @@ def key_tables(df: DataFrame, keys: Mapping[str, str], ord: str) -> dict[str, Da
         no_key = no_key & F.col(c).isNull()
     # The null key sorts last in its set, so it takes no number from the others.
     numbered = row_ids(found.withColumn("_null", no_key), ["_set", "_null", "first_ord"], "_id")
-    starts = numbered.groupBy("_set").agg(F.min("_id").alias("_start"))
     # One row per column numbered.
-    numbered = numbered.join(F.broadcast(starts), "_set")
+    sizes = numbered.groupBy("_set").agg(F.min("_id"), F.count(F.lit(1)), F.sum("n_rows")).collect()
+    by_set = {row[0]: row[1:] for row in sizes}
     out = {}
     for place, (id_name, c) in enumerate(keys.items()):
         # grouping_id() has a bit for each column left out, the first one highest.
         bits = (1 << len(cols)) - 1 - (1 << (len(cols) - 1 - place))
-        number = F.when(F.col("_null"), F.lit(0)).otherwise(F.col("_id") - F.col("_start") + 1)
-        out[id_name] = numbered.filter(F.col("_set") == bits).select(c, number.alias(id_name), "first_ord", "n_rows")
+        start, n_keys, n_rows = by_set.get(bits, (1, 0, 0))
+        number = F.when(F.col("_null"), F.lit(0)).otherwise(F.col("_id") - start + 1)
+        table = numbered.filter(F.col("_set") == bits).select(c, number.alias(id_name), "first_ord", "n_rows")
+        out[id_name] = KeyTable(table, n_keys, n_rows)
     return out
 
 
-def surrogate_keys(df: DataFrame, key: str, ord: str, id_name: str) -> DataFrame:
-    """``(key, id_name, first_ord, n_rows)`` of one column, see ``key_tables``."""
+def surrogate_keys(df: DataFrame, key: str, ord: str, id_name: str) -> KeyTable:
+    """Surrogate key of one column, see ``key_tables``."""
     return key_tables(df, {id_name: key}, ord)[id_name]
 
 
-def attach_key(df: DataFrame, keys: DataFrame, key: str, id_name: str, ord: str) -> DataFrame:
+def attach_key(df: DataFrame, table: KeyTable, key: str, id_name: str, ord: str) -> DataFrame:
     """Add the surrogate key of each row's natural key; rows with a null key get 0."""
-    known = keys.filter(F.col(key).isNotNull()).select(key, id_name, "n_rows")
-    out = lookup_join(df, known, key, how="left", spread=ord, weight="n_rows")
+    known = table.keys.filter(F.col(key).isNotNull()).select(key, id_name, "n_rows")
+    out = lookup_join(
+        df, known, key, how="left", spread=ord, weight="n_rows", dim_rows=table.n_keys, fact_rows=table.n_rows
+    )
     return out.withColumn(id_name, F.coalesce(F.col(id_name), F.lit(0)))
 
 
-def first_per_key(df: DataFrame, keys: DataFrame, ord: str, cols: Sequence[str]) -> DataFrame:
+def first_per_key(df: DataFrame, table: KeyTable, ord: str, cols: Sequence[str]) -> DataFrame:
     """Attributes of the first row of every key.
 
-    ``keys`` already holds that row's ``ord``, so this is a join on a unique column: no group of
+    The key table already holds that row's ``ord``, so this is a join on a unique column: no group of
     rows is ever gathered, and small key tables leave the rows where they are.
     """
-    first = keys.drop("n_rows").withColumnRenamed("first_ord", ord)
+    first = table.keys.drop("n_rows").withColumnRenamed("first_ord", ord)
     return first.join(df.select(ord, *cols), ord).drop(ord)

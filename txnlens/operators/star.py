@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from txnlens.functions.features import calendar_columns
 from txnlens.operators.joins import lookup_join
-from txnlens.operators.keys import attach_key, first_per_key, key_tables, row_ids
+from txnlens.operators.keys import KeyTable, attach_key, first_per_key, key_tables, row_ids
+from txnlens.session import materialize
 
 CUSTOMER_ATTRIBUTES = (
     "first", "last", "gender", "street", "city", "state", "zip", "lat", "long", "city_pop", "job", "dob",
@@ -38,25 +39,25 @@ class Star:
         return getattr(self, name)
 
 
-def dim_customer(txn: DataFrame, keys: DataFrame, ord: str = "ord") -> DataFrame:
+def dim_customer(txn: DataFrame, keys: KeyTable, ord: str = "ord") -> DataFrame:
     """One row per card number, with the attributes of its first transaction."""
     return first_per_key(txn, keys, ord, CUSTOMER_ATTRIBUTES).select("customer_id", "cc_num", *CUSTOMER_ATTRIBUTES)
 
 
-def dim_merchant(txn: DataFrame, keys: DataFrame, ord: str = "ord") -> DataFrame:
+def dim_merchant(txn: DataFrame, keys: KeyTable, ord: str = "ord") -> DataFrame:
     """One row per merchant; its coordinates are those of its first transaction."""
     out = first_per_key(txn, keys, ord, ("merch_lat", "merch_long"))
     return out.select("merchant_id", F.col("merchant").alias("merchant_name"), "merch_lat", "merch_long")
 
 
-def dim_category(keys: DataFrame) -> DataFrame:
-    return keys.select("category_id", F.col("category").alias("category_name"))
+def dim_category(keys: KeyTable) -> DataFrame:
+    return keys.keys.select("category_id", F.col("category").alias("category_name"))
 
 
-def dim_date(keys: DataFrame) -> DataFrame:
+def dim_date(keys: KeyTable) -> DataFrame:
     """One row per day; all attributes follow from the day, so no transaction is read again."""
     names = ("year", "month", "day", "day_of_week", "is_weekend", "year_month")
-    return keys.select("date_id", "trans_date").withColumns(calendar_columns(F.col("trans_date"))).select(
+    return keys.keys.select("date_id", "trans_date").withColumns(calendar_columns(F.col("trans_date"))).select(
         "date_id", "trans_date", *names
     )
 
@@ -64,13 +65,13 @@ def dim_date(keys: DataFrame) -> DataFrame:
 NATURAL_KEYS = {"customer": "cc_num", "merchant": "merchant", "category": "category", "date": "trans_date"}
 
 
-def star_keys(txn: DataFrame, ord: str = "ord") -> dict[str, DataFrame]:
+def star_keys(txn: DataFrame, ord: str = "ord") -> dict[str, KeyTable]:
     """Surrogate key tables of the four dimensions."""
     tables = key_tables(txn, {f"{name}_id": key for name, key in NATURAL_KEYS.items()}, ord)
     return {name: tables[f"{name}_id"] for name in NATURAL_KEYS}
 
 
-def fact_transactions(txn: DataFrame, keys: dict[str, DataFrame]) -> DataFrame:
+def fact_transactions(txn: DataFrame, keys: dict[str, KeyTable]) -> DataFrame:
     """The fact table from numbered transactions with features."""
     needed = set(FACT_COLUMNS) - {f"{d}_id" for d in DIMENSIONS}
     fact = txn.select(*[c for c in FACT_COLUMNS if c in needed], *NATURAL_KEYS.values())
@@ -83,15 +84,16 @@ def build_star(txn: DataFrame, ord: str | Sequence[str] = "ord") -> Star:
     """Star schema of a transaction frame that has its features.
 
     The transactions are numbered and stored once; keys, dimensions and fact read that table with
-    only the columns they need, and use the dense number as their order.
+    only the columns they need, and use the dense number as their order. The dimensions, small
+    beside the fact, are stored as well, since every use of the star joins them.
     """
     numbered = row_ids(txn, ord, "transaction_id")
     keys = star_keys(numbered, "transaction_id")
     return Star(
-        customer=dim_customer(numbered, keys["customer"], "transaction_id"),
-        merchant=dim_merchant(numbered, keys["merchant"], "transaction_id"),
-        category=dim_category(keys["category"]),
-        date=dim_date(keys["date"]),
+        customer=materialize(dim_customer(numbered, keys["customer"], "transaction_id"), "dim_customer"),
+        merchant=materialize(dim_merchant(numbered, keys["merchant"], "transaction_id"), "dim_merchant"),
+        category=materialize(dim_category(keys["category"]), "dim_category"),
+        date=materialize(dim_date(keys["date"]), "dim_date"),
         fact=fact_transactions(numbered, keys),
     )
 

@@ -35,7 +35,7 @@ def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     user, event = F.col("user_id"), F.col("event_id")
     seconds = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("bigint") * 86400
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         event.alias("ord"),
         F.col("ts").alias("trans_ts"),
         user.cast("string").alias("cc_num"),
@@ -128,7 +128,7 @@ def line_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The category of every part; part types are numbered by first appearance in ``part``."""
     parts = table(spark, sf_dir, "part")
-    types = surrogate_keys(parts, "p_type", "p_partkey", "category_id").select("p_type", "category_id")
+    types = surrogate_keys(parts, "p_type", "p_partkey", "category_id").keys.select("p_type", "category_id")
     return parts.join(types, "p_type").select(
         F.col("p_partkey").alias("part_id"), "category_id", F.col("p_type").alias("category_name")
     )

@@ -17,6 +17,7 @@ from txnlens.operators import aggregates, answers, blocks, checks, chunks, embed
 from txnlens.plans import bindings as B
 from txnlens.plans import governed, reports
 from txnlens.sources import collections as points
+from txnlens.session import materialize
 from txnlens.sources import transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +81,7 @@ def txn_distance(spark, sf):
 
 @query
 def surrogate_keys(spark, sf):
-    out = keys.surrogate_keys(B.events_with_gaps(spark, sf), "merchant", "ord", "merchant_id")
+    out = keys.surrogate_keys(B.events_with_gaps(spark, sf), "merchant", "ord", "merchant_id").keys
     return out.select("merchant_id", "merchant", "first_ord", "n_rows")
 
 
@@ -419,7 +420,7 @@ def retrieve_texts(spark, sf):
         F.col("chunk_id").alias("id"), "vector", F.struct(*points.PAYLOAD_FIELDS).alias("payload")
     )
     asked = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    hits = search.embed_and_retrieve(asked, collection, 256, k=5)
+    hits = search.embed_and_retrieve(asked, materialize(collection, "points"), 256, k=5)
     return hits.select("query_id", "id", "score", "rerank_score", "rank")
 
 
