@@ -13,11 +13,13 @@ WEEKEND = (1, 7)  # numbers of dayofweek()
 def calendar_columns(day: Column) -> dict[str, Column]:
     """Date parts that depend on the day alone (shared by the fact and the date dimension)."""
     number = F.dayofweek(day)
+    name = F.element_at(F.array(*[F.lit(d) for d in DAY_NAMES]), number)
     return {
         "year": F.year(day),
         "month": F.month(day),
         "day": F.day(day),
-        "day_of_week": F.element_at(F.array(*[F.lit(name) for name in DAY_NAMES]), number),
+        # element_at() does not turn a null position into null.
+        "day_of_week": F.when(number.isNotNull(), name),
         "is_weekend": F.coalesce(number.isin(*WEEKEND), F.lit(False)),
         "year_month": F.date_format(day, "yyyy-MM"),
     }

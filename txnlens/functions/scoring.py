@@ -40,6 +40,6 @@ def final_score(base: Column, judge_text: Column) -> Column:
     """Mean of the base score and the judge's number in [0, 1]; the base alone if it is no number."""
     text = F.trim(judge_text)
     number = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    judged = F.least(F.lit(1.0), number)
-    judged = F.when(judged < 0, F.lit(0.0)).otherwise(judged)
+    # Not least() and greatest(): they skip nulls. NaN compares as greatest and so gives 1.
+    judged = F.when(number > 1, F.lit(1.0)).when(number < 0, F.lit(0.0)).otherwise(number)
     return (base + F.coalesce(judged, base)) / 2

@@ -50,16 +50,15 @@ def lookup_join(
     value = F.struct(*payload)
     hot = dim.filter(F.col(weight) > total / parts).select(on, value.alias("_hot"))
     rest = dim.filter(F.col(weight) <= total / parts).select(
-        F.col(on).alias("_key"), F.lit(0).alias("_salt"), value.alias("_cold")
+        F.col(on).alias("_key"), F.xxhash64(on).alias("_salt"), value.alias("_cold")
     )
     # Rows already served, and rows with a null key, match nothing below: their key is null.
     marked = facts.join(F.broadcast(hot), on, "left").withColumn(
         "_key", F.when(F.col("_hot").isNull(), F.col(on))
     )
-    marked = marked.withColumn(
-        "_salt",
-        F.when(F.col("_key").isNull(), F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")).otherwise(0),
-    )
+    # The salt is computed on both sides: a constant would be folded out of the join keys.
+    salt = F.when(F.col("_key").isNull(), F.xxhash64(spread)).otherwise(F.xxhash64("_key"))
+    marked = marked.withColumn("_salt", salt)
     joined = marked.join(rest, ["_key", "_salt"], "left").withColumn("_value", F.coalesce("_hot", "_cold"))
     if how == "inner":
         joined = joined.filter(F.col("_value").isNotNull())

@@ -282,8 +282,8 @@ based AS (
         LEFT JOIN (SELECT question_id, COUNT(*) AS n_hits, AVG(rerank_score) AS mean_rerank FROM hit GROUP BY question_id) USING (question_id)
 ),
 final AS (
-    SELECT *, (base_score + coalesce(greatest(0.0, least(1.0, TRY_CAST(trim(judge) AS DOUBLE))), base_score)) / 2 AS quality_score
-    FROM based
+    SELECT *, (base_score + coalesce(CASE WHEN j > 1 THEN 1.0 WHEN j < 0 THEN 0.0 ELSE j END, base_score)) / 2 AS quality_score
+    FROM (SELECT *, TRY_CAST(trim(judge) AS DOUBLE) AS j FROM based) b
 )"""
 
 
