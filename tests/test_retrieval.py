@@ -166,6 +166,14 @@ def test_route(spark):
     assert all(r["want"] == r["got"] for r in df.withColumn("got", answers.route(F.col("q"), F.col("l"))).collect())
 
 
+def test_branches(spark):
+    df = spark.createDataFrame([(1, "data"), (2, "document"), (3, None), (4, "other"), (5, "none")], "question_id long, route string")
+    parts = answers.by_route(df)
+    assert {name: [r[0] for r in rows(part)] for name, part in parts.items()} == {"data": [1], "document": [2], "none": [3, 4, 5]}
+    parts["data"] = parts["data"].withColumn("sql", F.lit("SELECT 1"))
+    assert rows(answers.recombine(parts), "question_id", "sql") == [(1, "SELECT 1"), (2, None), (3, None), (4, None), (5, None)]
+
+
 def test_chat_history(spark):
     turns = [
         (1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "user", "c"),

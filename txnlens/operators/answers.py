@@ -5,6 +5,9 @@ Texts written by models (route label, answer, judge's reply) come in as columns.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,17 @@ def route(question: Column, label: Column | None = None) -> Column:
     return F.when(given.isin(*ROUTES), given).otherwise(by_words)
 
 
+def by_route(routed: DataFrame, column: str = "route") -> dict[str, DataFrame]:
+    """The questions of each branch; a missing or unknown route counts as ``none``."""
+    kind = F.coalesce(F.when(F.col(column).isin(*ROUTES), F.col(column)), F.lit("none"))
+    return {name: routed.filter(kind == name) for name in ROUTES}
+
+
+def recombine(branches: Mapping[str, DataFrame]) -> DataFrame:
+    """Stack the branches after their own steps; a column that only some have is null in the others."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches.values())
+
+
 def chat_history(turns: DataFrame, exclude_last_user: bool = True) -> DataFrame:
     """``(conv_id, turn, role, content)``: the turns a question is sent with, in order of ``turn``.
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.operators.joins import lookup_join
-from txnlens.session import materialize, shuffle_partitions
+from txnlens.session import materialize
 
 # monotonically_increasing_id() keeps the partition above bit 33 and the row within it below.
 _ROW_BITS = 33
@@ -28,7 +28,7 @@ def row_ids(df: DataFrame, ord: str | Sequence[str], id_name: str = "transaction
     """
     cols = [ord] if isinstance(ord, str) else list(ord)
     placed = (
-        df.repartitionByRange(shuffle_partitions(df.sparkSession), *cols)
+        df.repartitionByRange(*cols)  # adaptive execution may merge neighbouring ranges
         .sortWithinPartitions(*cols)
         .withColumn("_place", F.monotonically_increasing_id())
     )

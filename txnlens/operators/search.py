@@ -23,6 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SCORE_DECIMALS = 7
 # Bytes of query vectors broadcast at a time; more queries take more passes over the collection.
 QUERY_BYTES = 32 << 20
+# Scores a task holds at a time.
+SCORE_CELLS = 4 << 20
 # Hits are four numbers or a short id each: at most some 10 MB.
 BROADCAST_HITS = 200_000
 
@@ -96,6 +98,21 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 def _scorer(block: Broadcast, k: int, schema: pa.Schema, id: str):
     """Partition function: best ``k`` points per query among the points of the partition."""
 
+    def take_in(points: np.ndarray, ids: np.ndarray, matrix: np.ndarray, top: list, floor: np.ndarray) -> None:
+        """Merge some points into the best so far; only scores not below the floor can change those."""
+        lengths = np.sqrt(np.sum(points * points, axis=1))
+        usable = lengths > 0
+        ids = ids[usable]
+        scores = (points[usable] / lengths[usable, None]) @ matrix.T
+        candidate = np.round(scores, SCORE_DECIMALS) >= floor
+        for q in np.flatnonzero(candidate.any(axis=0)):
+            new = candidate[:, q]
+            old_scores, old_ids = top[q]
+            all_ids = np.concatenate([old_ids, ids[new]]) if len(old_ids) else ids[new]
+            top[q] = _best(np.concatenate([old_scores, scores[new, q]]), all_ids, k)
+            if len(top[q][0]) == k:
+                floor[q] = np.round(top[q][0][-1], SCORE_DECIMALS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, matrix = block.value
         dim = matrix.shape[1]
@@ -105,19 +122,11 @@ def _scorer(block: Broadcast, k: int, schema: pa.Schema, id: str):
             vectors = batch.column(batch.schema.get_field_index("vector"))
             if np.any(np.diff(vectors.offsets.to_numpy()) != dim):
                 raise ValueError(f"a vector does not have the {dim} values of the queries")
-            points = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            lengths = np.sqrt(np.sum(points * points, axis=1))
-            usable = lengths > 0
-            ids = batch.column(batch.schema.get_field_index(id)).to_numpy(zero_copy_only=False)[usable]
-            scores = (points[usable] / lengths[usable, None]) @ matrix.T
-            candidate = np.round(scores, SCORE_DECIMALS) >= floor
-            for q in np.flatnonzero(candidate.any(axis=0)):
-                new = candidate[:, q]
-                old_scores, old_ids = top[q]
-                all_ids = np.concatenate([old_ids, ids[new]]) if len(old_ids) else ids[new]
-                top[q] = _best(np.concatenate([old_scores, scores[new, q]]), all_ids, k)
-                if len(top[q][0]) == k:
-                    floor[q] = np.round(top[q][0][-1], SCORE_DECIMALS)
+            points = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            ids = batch.column(batch.schema.get_field_index(id)).to_numpy(zero_copy_only=False)
+            step = max(1, SCORE_CELLS // max(dim, len(query_ids)))
+            for at in range(0, len(ids), step):
+                take_in(points[at : at + step].astype(np.float64), ids[at : at + step], matrix, top, floor)
         found = [(query_ids[q], i, s) for q, (best, found_ids) in enumerate(top) for i, s in zip(found_ids, best)]
         if found:
             yield pa.RecordBatch.from_arrays(

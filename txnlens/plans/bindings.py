@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.functions.features import with_calendar, with_features
+from txnlens.functions.features import calendar_columns, with_calendar, with_features
 from txnlens.functions.text import sentences
 from txnlens.operators.answers import CONTEXT_HITS, route
 from txnlens.operators.keys import surrogate_keys
@@ -135,9 +135,9 @@ def line_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = table(spark, sf_dir, "lineitem").select("l_shipdate").distinct()
-    names = ("trans_date", "year", "month", "day", "day_of_week", "is_weekend", "year_month")
-    return with_calendar(days, "l_shipdate").select(_day_id("l_shipdate").alias("date_id"), *names).distinct()
+    """One row per ship day; the parts are derived once per day, after the rows are reduced to days."""
+    days = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("trans_date")).distinct()
+    return days.withColumns(calendar_columns(F.col("trans_date"))).withColumn("date_id", _day_id("trans_date"))
 
 
 def line_star(spark: SparkSession, sf_dir: str, customer: bool = False, category: bool = False) -> Star:

@@ -97,14 +97,15 @@ def grouped(groups: str) -> str:
     return f"SELECT {groups}, {METRICS} FROM fact GROUP BY {groups}"
 
 
-ELEMENTS = rf"""
+STYLED = "CASE pos % 7 WHEN 0 THEN 1 WHEN 3 THEN 2 WHEN 5 THEN 3 END"
+_ELEMENTS = rf"""
 lines AS (
     SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS raw
     FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents) d
 ),
 clean AS (
     SELECT doc_id, CAST(pos AS INTEGER) AS pos, trim(regexp_replace(raw, '[{SPACE}]+', ' ', 'g')) AS text,
-        CASE pos % 7 WHEN 0 THEN 1 WHEN 3 THEN 2 WHEN 5 THEN 3 END AS styled
+        STYLED AS styled
     FROM lines
 ),
 tested AS (
@@ -119,8 +120,9 @@ el AS (
     ) t
 )"""
 
-BLOCKS = f"""
-{ELEMENTS},
+ELEMENTS = _ELEMENTS.replace("STYLED", STYLED)
+
+_BLOCKS = """
 seg AS (
     SELECT *, COUNT(level) OVER w AS seg, COUNT(CASE WHEN level = 1 THEN 1 END) OVER w AS secn,
         last_value(CASE WHEN level = 1 THEN text END IGNORE NULLS) OVER w AS section
@@ -140,18 +142,22 @@ bl AS (
 )"""
 
 
+BLOCKS = f"{ELEMENTS}, {_BLOCKS}"
+PLAIN_BLOCKS = f"{_ELEMENTS.replace('STYLED', 'CAST(NULL AS INTEGER)')}, {_BLOCKS}"
+
+
 def sentence_list(text: str) -> str:
     marked = rf"regexp_replace({text}, '([.!?])[{SPACE}]+', '\1' || chr(1), 'g')"
     return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: trim(s, {BLANKS})), lambda s: s <> '')"
 
 
-def chunked(mode: str) -> str:
+def chunked(mode: str, blocks: str = BLOCKS) -> str:
     """Chunks of the blocks, as a fold over (number of words, state) pairs."""
     restart = "greatest(acc.first, x.i - 1)" if mode == "greedy" else "x.i"
     words = "acc.last + x.n" if mode == "greedy" else "x.n"
     low, high = ("r.a", "r.b") if mode == "greedy" else ("greatest(0, r.a - 1)", "least(len(s) - 1, r.b + 1)")
     return f"""
-    {BLOCKS},
+    {blocks},
     cut AS (SELECT *, {sentence_list('text')} AS s FROM bl),
     state AS (
         SELECT *, list_reduce(
@@ -398,6 +404,8 @@ ORACLE = {
         FROM (SELECT doc_id, {sentence_list('text')} AS s FROM documents) d""",
     "chunks_greedy": f"WITH {chunked('greedy')} SELECT * FROM chunk",
     "chunks_window": f"WITH {chunked('window')} SELECT * FROM chunk",
+    "chunks_greedy_plain": f"WITH {chunked('greedy', PLAIN_BLOCKS)} SELECT * FROM chunk",
+    "chunks_window_plain": f"WITH {chunked('window', PLAIN_BLOCKS)} SELECT * FROM chunk",
     "chunk_stats": f"WITH {chunked('window')} {stats('chunk')}",
     "snippets": f"""SELECT doc_id, {oneline('text', 500)} AS context_snippet, {oneline('text', 300)} AS evidence_snippet,
             {oneline('text', 200)} AS preview_snippet FROM documents""",
@@ -421,6 +429,9 @@ ORACLE = {
     "collection_info": """SELECT COUNT(*) AS n_points, CAST(MIN(len(embedding)) AS INTEGER) AS min_dim,
             CAST(MAX(len(embedding)) AS INTEGER) AS max_dim FROM embeddings""",
     "qa_route": f"WITH {QUESTIONS} SELECT question_id, {routed('label')} AS route, {routed(None)} AS route_by_words FROM qs",
+    "qa_branches": f"""WITH {QUESTIONS}, r AS (SELECT *, {routed('label')} AS route FROM qs)
+        SELECT question_id, route, CASE WHEN route = 'data' THEN 'SELECT * FROM events WHERE user_id = ' || conv_id END AS sql,
+            CASE WHEN route = 'document' THEN CAST(len({word_set('question')}) AS INTEGER) END AS n_terms FROM r""",
     "chat_history": """
         SELECT conv_id, turn, role, text AS content
         FROM (SELECT *, MAX(turn) OVER (PARTITION BY conv_id) AS last_turn FROM conversations) c

@@ -356,6 +356,21 @@ def chunks_window(spark, sf):
     return chunks.chunks(_blocks(spark, sf), mode="window")
 
 
+def _plain_blocks(spark, sf):
+    """Without style names most documents are one long block."""
+    return blocks.document_blocks(B.documents(spark, sf))
+
+
+@query
+def chunks_greedy_plain(spark, sf):
+    return chunks.chunks(_plain_blocks(spark, sf), mode="greedy")
+
+
+@query
+def chunks_window_plain(spark, sf):
+    return chunks.chunks(_plain_blocks(spark, sf), mode="window")
+
+
 @query
 def chunk_stats(spark, sf):
     return rounded(profile.text_stats(chunks.chunks(_blocks(spark, sf))), chars_per_text=6, words_per_text=6)
@@ -460,6 +475,18 @@ def qa_route(spark, sf):
     )
 
 
+@query
+def qa_branches(spark, sf):
+    """Each branch adds what only it has: SQL for data, the length of the query text for documents."""
+    q = B.questions(spark, sf)
+    routed = q.select("question_id", "conv_id", "question", answers.route(F.col("question"), F.col("label")).alias("route"))
+    branches = answers.by_route(routed)
+    sql = F.concat(F.lit("SELECT * FROM events WHERE user_id = "), F.col("conv_id").cast("string"))
+    branches["data"] = branches["data"].withColumn("sql", sql)
+    branches["document"] = branches["document"].withColumn("n_terms", F.size(TX.terms(F.col("question"))))
+    return answers.recombine(branches).select("question_id", "route", "sql", "n_terms")
+
+
 @query
 def chat_history(spark, sf):
     return answers.chat_history(B.table(spark, sf, "conversations"))

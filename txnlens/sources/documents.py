@@ -24,8 +24,8 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
     Lines are split between tasks; an array is one value and one task reads each file of it.
     """
-    first = spark.read.option("wholetext", False).text(path).filter(F.trim("value") != "").take(1)
-    is_array = bool(first) and first[0][0].lstrip().startswith("[")
+    lines = spark.read.text(path).select(F.substring(F.ltrim("value"), 1, 1).alias("start"))
+    is_array = lines.filter("start <> ''").take(1) == [("[",)]
     return spark.read.schema(CHUNK).json(path, multiLine=is_array)
 
 
