@@ -132,7 +132,10 @@ def test_collection(spark, tmp_path):
     pts = collections.points(chunk, vec, 2)
     assert pts.schema.simpleString() == empty.schema.simpleString()
     full = collections.upsert(empty, pts.withColumn("seq", F.lit(1)), "seq")
-    assert full.count() == 2
+    collections.save_collection(full, str(tmp_path / "c2"))
+    assert rows(collections.collection_info(collections.read_collection(spark, str(tmp_path / "c2")))) == [(2, 2, 2)]
+    collections.save_vectors(vec, str(tmp_path / "v"))
+    assert rows(spark.read.parquet(str(tmp_path / "v"))) == rows(vec)
     with pytest.raises(ValueError, match="do not match"):
         collections.points(chunk, vec.limit(1), 2)
     with pytest.raises(ValueError, match="do not match"):

@@ -40,9 +40,7 @@ def files(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def built(spark, files):
-    from txnlens.functions.features import with_features
-
-    return star.build_star(with_features(transactions.read_transactions(spark, files)))
+    return star.build_star(transactions.read_transactions(spark, files))
 
 
 def test_read(spark, files):

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnlens.functions.features import calendar_columns
+from txnlens.functions.features import calendar_columns, with_features
 from txnlens.operators.joins import lookup_join
 from txnlens.operators.keys import KeyTable, attach_key, first_per_key, key_tables, row_ids
 from txnlens.session import materialize
@@ -81,13 +81,14 @@ def fact_transactions(txn: DataFrame, keys: dict[str, KeyTable]) -> DataFrame:
 
 
 def build_star(txn: DataFrame, ord: str | Sequence[str] = "ord") -> Star:
-    """Star schema of a transaction frame that has its features.
+    """Star schema of a typed transaction frame.
 
     The transactions are numbered and stored once; keys, dimensions and fact read that table with
-    only the columns they need, and use the dense number as their order. The dimensions, small
-    beside the fact, are stored as well, since every use of the star joins them.
+    only the columns they need, and use the dense number as their order. Features are derived from
+    it where they are needed, so range sampling and store do not pay for them. The dimensions,
+    small beside the fact, are stored as well, since every use of the star joins them.
     """
-    numbered = row_ids(txn, ord, "transaction_id")
+    numbered = with_features(row_ids(txn, ord, "transaction_id"))
     keys = star_keys(numbered, "transaction_id")
     return Star(
         customer=materialize(dim_customer(numbered, keys["customer"], "transaction_id"), "dim_customer"),

@@ -121,7 +121,7 @@ def dim_date(spark, sf):
 
 
 def _event_star(spark, sf):
-    return star.build_star(B.event_features(spark, sf))
+    return star.build_star(B.event_transactions(spark, sf))
 
 
 @query

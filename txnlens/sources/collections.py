@@ -22,6 +22,11 @@ def read_collection(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COLLECTION).parquet(path)
 
 
+def save_collection(collection: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store a collection. The result of an upsert goes to a new path: it still reads the old one."""
+    collection.select("id", "vector", "payload").write.mode(mode).parquet(path)
+
+
 def save_vectors(embedded: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Vectors keyed by ``chunk_id``, apart from the texts."""
     embedded.select("chunk_id", "vector").write.mode(mode).parquet(path)
