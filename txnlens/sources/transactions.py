@@ -12,6 +12,12 @@ from txnlens.schemas import RAW_TXN
 
 _STRAY_INDEX = ("Unnamed: 0", "_c0")
 
+# Texts that stand for a missing value in transaction files.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
 
 def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     """Transaction file(s) with a header, typed by column name without reading the data twice.
@@ -23,15 +29,17 @@ def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     missing = set(RAW_TXN) - set(header)
     if missing:
         raise ValueError(f"columns missing in {path}: {sorted(missing)}")
-    schema = T.StructType([T.StructField(c, RAW_TXN.get(c, T.StringType())) for c in header])
-    raw = reader.schema(schema).option("mode", "FAILFAST").csv(path)
+    as_text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    raw = reader.schema(as_text).option("escape", '"').option("mode", "FAILFAST").csv(path)
+    # A value that is neither missing nor of its type raises.
+    typed = {c: F.when(~F.col(c).isin(*MISSING), F.col(c)).cast(t) for c, t in RAW_TXN.items()}
     place = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         # Rises with the rows of a block, which one task reads from start to end.
         F.monotonically_increasing_id().alias("row"),
     )
-    return raw.withColumn("ord", place).drop(*_STRAY_INDEX)
+    return raw.withColumns({**typed, "ord": place}).drop(*_STRAY_INDEX)
 
 
 def normalize(raw: DataFrame, keep_raw_ids: bool = False) -> DataFrame:

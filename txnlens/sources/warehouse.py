@@ -26,14 +26,19 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in spark_schema.fields])
 
 
-def write_relation(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
-    """Write one relation. The fact is split by month; ``rebalance`` cuts a heavy month into
-    several tasks and keeps small ones in one file."""
+def write_relation(df: DataFrame, root: str, name: str, mode: str = "overwrite", rebalance: bool = True) -> None:
+    """Write one relation; the fact is split by month.
+
+    ``rebalance`` moves the rows of a month together, a heavy month still into several tasks, so
+    that few large files result. Rows that come in the order of time need no such shuffle.
+    """
     out = conform(df, name)
     if name != "fact_transactions":
         out.write.mode(mode).parquet(_path(root, name))
         return
-    out.hint("rebalance", *_PARTITIONS).write.mode(mode).partitionBy(*_PARTITIONS).parquet(_path(root, name))
+    if rebalance:
+        out = out.hint("rebalance", *_PARTITIONS)
+    out.write.mode(mode).partitionBy(*_PARTITIONS).parquet(_path(root, name))
 
 
 def read_relation(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -42,11 +47,11 @@ def read_relation(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(_path(root, name)).select(*schema.names)
 
 
-def save_star(star: Star, root: str, mode: str = "overwrite") -> None:
+def save_star(star: Star, root: str, mode: str = "overwrite", rebalance: bool = True) -> None:
     """Dimensions first, then the fact: replaced (``overwrite``) or extended (``append``)."""
     for name in DIMENSIONS:
         write_relation(star.dim(name), root, f"dim_{name}", mode)
-    write_relation(star.fact, root, "fact_transactions", mode)
+    write_relation(star.fact, root, "fact_transactions", mode, rebalance)
 
 
 def load_star(spark: SparkSession, root: str) -> Star:
