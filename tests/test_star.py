@@ -65,10 +65,19 @@ def test_order_over_many_files_and_tasks(spark, tmp_path):
     try:
         df = transactions.read_transactions(spark, {"all": str(tmp_path)})
         assert df.rdd.getNumPartitions() > 4
-        got = keys.row_ids(df.select("ord", "trans_num"), "ord").select("transaction_id", "trans_num").collect()
+        slim = df.select("ord", "trans_num")
+        assert slim.schema["ord"].dataType.simpleString() == keys.FILE_ORDER
+        by_range = keys.row_ids(slim, "ord").select("transaction_id", "trans_num").collect()
+        in_place = keys.numbered_rows(slim, "ord")
+        assert "hashpartitioning" not in in_place._jdf.queryExecution().executedPlan().toString()
+        in_place = in_place.select("transaction_id", "trans_num").collect()
+        # With rows taken out the numbers are still dense.
+        odd = keys.numbered_rows(slim.filter("substring(trans_num, 2) % 2 = 1"), "ord").select("transaction_id", "trans_num").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert sorted((r[0], r[1]) for r in got) == [(i + 1, f"t{i}") for i in range(400)]
+    for got in (by_range, in_place):
+        assert sorted((r[0], r[1]) for r in got) == [(i + 1, f"t{i}") for i in range(400)]
+    assert sorted((r[0], r[1]) for r in odd) == [(i + 1, f"t{2 * i + 1}") for i in range(200)]
 
 
 def test_bad_value_raises(spark, tmp_path):

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.operators.joins import lookup_join
@@ -51,6 +51,52 @@ def row_ids(df: DataFrame, ord: str | Sequence[str], id_name: str = "transaction
     )
 
 
+# Order of rows as ``transactions.union_splits`` gives it to rows read from files.
+FILE_ORDER = "struct<split_no:int,place:struct<file:string,block:bigint,row:bigint>>"
+# File blocks whose offsets may be broadcast: some 150 bytes each.
+BROADCAST_BLOCKS = 1_000_000
+
+
+def file_row_ids(df: DataFrame, ord: str, id_name: str = "transaction_id") -> DataFrame:
+    """``row_ids`` for rows that still come as read from files.
+
+    A task reads a file block from start to end, so the place in the block is known and only the
+    block sizes need adding up: the rows are stored once where they are, neither sampled, sorted
+    nor shuffled. If rows of a block are missing by now, the general way is taken.
+    """
+    stored = materialize(df, "rows")
+    placed = stored.withColumns(
+        {
+            "_split": F.col(f"{ord}.split_no"),
+            "_file": F.col(f"{ord}.place.file"),
+            "_block": F.col(f"{ord}.place.block"),
+            "_row": F.col(f"{ord}.place.row"),
+        }
+    )
+    block = ["_split", "_file", "_block"]
+    sizes = materialize(
+        placed.groupBy(*block).agg(
+            F.min("_row").alias("_first"), F.max("_row").alias("_last"), F.count(F.lit(1)).alias("_size")
+        ),
+        "blocks",
+    )
+    if sizes.filter(F.col("_last") - F.col("_first") + 1 != F.col("_size")).take(1):
+        return row_ids(stored, ord, id_name)
+    # One row per file block, so one task can order them.
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*block, "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    offsets = F.broadcast(offsets) if sizes.count() <= BROADCAST_BLOCKS else offsets
+    number = F.col("_before") + F.col("_row") - F.col("_first") + 1
+    return placed.join(offsets, block).withColumn(id_name, number).select(id_name, *df.columns)
+
+
+def numbered_rows(df: DataFrame, ord: str | Sequence[str], id_name: str = "transaction_id") -> DataFrame:
+    """Number the rows 1..n in ``ord`` order, the cheap way where the order is that of the files."""
+    if isinstance(ord, str) and df.schema[ord].dataType.simpleString() == FILE_ORDER:
+        return file_row_ids(df, ord, id_name)
+    return row_ids(df, ord, id_name)
+
+
 @dataclass(frozen=True)
 class KeyTable:
     """``keys`` is ``(column, id, first_ord, n_rows)``; the counts say how to join it."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from txnlens.functions.features import calendar_columns, with_features
 from txnlens.operators.joins import lookup_join
-from txnlens.operators.keys import KeyTable, attach_key, first_per_key, key_tables, row_ids
+from txnlens.operators.keys import KeyTable, attach_key, first_per_key, key_tables, numbered_rows
 from txnlens.session import materialize
 
 CUSTOMER_ATTRIBUTES = (
@@ -88,7 +88,7 @@ def build_star(txn: DataFrame, ord: str | Sequence[str] = "ord") -> Star:
     it where they are needed, so range sampling and store do not pay for them. The dimensions,
     small beside the fact, are stored as well, since every use of the star joins them.
     """
-    numbered = with_features(row_ids(txn, ord, "transaction_id"))
+    numbered = with_features(numbered_rows(txn, ord, "transaction_id"))
     keys = star_keys(numbered, "transaction_id")
     return Star(
         customer=materialize(dim_customer(numbered, keys["customer"], "transaction_id"), "dim_customer"),
