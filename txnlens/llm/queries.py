@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from txnlens.llm.ngram_join import join_similar
 from txnlens.llm.substring import remove_repeated_runs
+from txnlens.llm.tokens import count_tokens
+from txnlens.llm.toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_similar(_table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_runs(_table(spark, sf_dir, "documents"), window=13)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {"op5_substring_dedup": op5_substring_dedup}
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op3_ngram_join": op3_ngram_join,
+    "op4_toxicity": op4_toxicity,
+    "op5_substring_dedup": op5_substring_dedup,
+}

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from txnlens.llm.kernels import Texts, texts
 
 PARTS = "bucket int, chunk int, keys binary, extra binary, first binary"
-REPLIES = "chunk int, level int, keys binary, extra binary"
+REPLIES = "chunk int, level int, keys binary, extra binary, first binary"
 CHUNKS_PER_PARTITION = 4
 
 
@@ -48,7 +48,7 @@ def _pack(rows: list[dict], schema: pa.Schema) -> pa.Table:
 
 
 _PARTS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary()), ("first", pa.binary())])
-_REPLIES = pa.schema([("chunk", pa.int32()), ("level", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
+_REPLIES = pa.schema([("chunk", pa.int32()), ("level", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary()), ("first", pa.binary())])
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -96,7 +96,7 @@ def _seen_reply(level: int) -> Callable[[pa.Table], pa.Table]:
             hit = np.unique(mine[contains(repeated, mine)])
             if len(hit):
                 whole = hit.astype(np.uint64) | np.uint64(bucket << 32)
-                rows.append({"chunk": chunk, "level": level, "keys": whole.tobytes(), "extra": None})
+                rows.append({"chunk": chunk, "level": level, "keys": whole.tobytes(), "extra": None, "first": None})
         return _pack(rows, _REPLIES)
 
     return run
@@ -139,7 +139,7 @@ def first_parts(chunk: int, ids: np.ndarray, keys: np.ndarray, check: np.ndarray
     ]
 
 
-def _first_reply(level: int) -> Callable[[pa.Table], pa.Table]:
+def _first_reply(level: int, name_first: bool) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         lists = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
         keys = np.concatenate(lists)
@@ -150,6 +150,8 @@ def _first_reply(level: int) -> Callable[[pa.Table], pa.Table]:
         k, c, i = keys[order], check[order], ids[order]
         new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))
         least = i[np.flatnonzero(new)][np.cumsum(new) - 1]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         late = order[i > least]
         late = late[np.argsort(source[late], kind="stable")]
         cuts = np.searchsorted(source[late], np.arange(len(lists) + 1))
@@ -157,15 +159,16 @@ def _first_reply(level: int) -> Callable[[pa.Table], pa.Table]:
         for chunk, a, b in zip(table.column("chunk").to_pylist(), cuts, cuts[1:]):
             if b > a:
                 mine = late[a:b][np.argsort(keys[late[a:b]], kind="stable")]
-                rows.append({"chunk": chunk, "level": level, "keys": keys[mine].tobytes(), "extra": check[mine].tobytes()})
+                first = least[rank[mine]].tobytes() if name_first else None
+                rows.append({"chunk": chunk, "level": level, "keys": keys[mine].tobytes(), "extra": check[mine].tobytes(), "first": first})
         return _pack(rows, _REPLIES)
 
     return run
 
 
-def first_replies(parts: DataFrame, level: int) -> DataFrame:
-    """For each chunk the keys of which another chunk has a smaller document."""
-    return parts.groupBy("bucket").applyInArrow(_first_reply(level), REPLIES)
+def first_replies(parts: DataFrame, level: int, name_first: bool = False) -> DataFrame:
+    """For each chunk the keys of which another chunk has a smaller document, and on demand that document."""
+    return parts.groupBy("bucket").applyInArrow(_first_reply(level, name_first), REPLIES)
 
 
 def is_later(
@@ -249,7 +252,7 @@ def copy_replies(chunks: DataFrame) -> DataFrame:
     """Texts that occur whole in a document with a smaller id, for each chunk."""
     n = buckets(chunks)
     slim = chunks.select("chunk", "doc_id", "h1", "h2")
-    return first_replies(slim.groupBy("chunk").applyInArrow(_copy_parts(n), PARTS), COPIES)
+    return first_replies(slim.groupBy("chunk").applyInArrow(_copy_parts(n), PARTS), COPIES, name_first=True)
 
 
 def copies(chunk: Chunk, replies: dict) -> np.ndarray:
@@ -260,11 +263,27 @@ def copies(chunk: Chunk, replies: dict) -> np.ndarray:
     return out
 
 
+def originals(chunk: Chunk, table: pa.Table) -> np.ndarray:
+    """For every row the smallest id of a document with the same text, at most its own."""
+    known, firsts = {}, {}
+    for level, keys, checks, ids in zip(*(table.column(c).to_pylist() for c in ("level", "keys", "extra", "first"))):
+        if level == COPIES:
+            pairs = zip(np.frombuffer(keys, np.uint64).tolist(), np.frombuffer(checks, np.uint32).tolist())
+            known.update(zip(pairs, np.frombuffer(ids, np.int64).tolist()))
+    pairs = list(zip(chunk.text_key.tolist(), chunk.text_check.tolist()))
+    for pair, i, valid in zip(pairs, chunk.ids.tolist(), chunk.has_id.tolist()):
+        if valid:
+            firsts[pair] = min(i, firsts.get(pair, i))
+    return np.array([min(known.get(p, i), firsts.get(p, i)) if v else i for p, i, v in zip(pairs, chunk.ids.tolist(), chunk.has_id.tolist())], np.int64)
+
+
 def per_chunk(chunks: DataFrame, replies: DataFrame, run: Callable[[Chunk, dict], pa.Table], schema: str) -> DataFrame:
     """Apply ``run(chunk, replies)`` to every chunk and the replies it has got."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        return run(Chunk(left), read_replies(right))
+        replies = read_replies(right)
+        replies["table"] = right
+        return run(Chunk(left), replies)
 
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(both, schema)
 
