@@ -233,7 +233,7 @@ def _tiles(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
         F.sum("weight").alias("total"),
         F.map_from_entries(F.collect_list(F.struct("range", F.ceil(F.col("weight") / TILE_ENTRIES).cast("int")))).alias("tiles"),
     )
-    groups = R.CHUNKS_PER_PARTITION * R.buckets(sets)
+    groups = R.CHUNKS_PER_PARTITION * R.buckets(sets) * 2
     placed = slim.join(shape, "block")
     of = lambda shift: F.coalesce(F.try_element_at("tiles", F.col("range") + shift), F.lit(0))
     own = F.pmod(F.xxhash64("doc_id"), of(0)).cast("int")

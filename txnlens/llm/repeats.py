@@ -23,12 +23,12 @@ from txnlens.llm.kernels import Texts, texts
 
 PARTS = "bucket int, chunk int, keys binary, extra binary, first binary"
 REPLIES = "chunk int, level int, keys binary, extra binary, first binary"
-CHUNKS_PER_PARTITION = 4
+CHUNKS_PER_PARTITION = 2
 
 
 def in_chunks(docs: DataFrame) -> DataFrame:
     """``(chunk, doc_id, text, h1, h2)``: documents dealt by a hash of the row, and a 128-bit hash of the text."""
-    n = CHUNKS_PER_PARTITION * buckets(docs)
+    n = CHUNKS_PER_PARTITION * _partitions(docs)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk"),
@@ -39,10 +39,15 @@ def in_chunks(docs: DataFrame) -> DataFrame:
     )
 
 
-def buckets(df: DataFrame) -> int:
+def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(df: DataFrame) -> int:
+    """Fewer than partitions: every chunk has a row for every bucket."""
+    return (_partitions(df) + 1) // 2
+
+
 def _pack(rows: list[dict], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=schema)
 
