@@ -5,10 +5,24 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from txnlens.llm.lines import drop_template_lines
+from txnlens.llm.mixing import mix
 from txnlens.llm.ngram_join import join_similar
 from txnlens.llm.substring import remove_repeated_runs
 from txnlens.llm.tokens import count_tokens
 from txnlens.llm.toxicity import score_toxicity
+from txnlens.llm.urls import Rule, judge
+
+URL_RULES = (
+    Rule("net/", "block"),
+    Rule("example.net/en/", "allow"),
+    Rule("example.com/de/", "block"),
+    Rule("org/fr/", "allow"),
+)
+# Where no rule of the site list fits: host labels that sell rather than tell.
+URL_PATTERNS = tuple(Rule(f"^{word}^", "block", pattern=True) for word in ("casino", "cheap", "pills", "bets", "viagra", "porn"))
+# Exponent of the sizes of sources: between even shares (0) and the shares they have (1).
+MIX_ALPHA = 0.5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +33,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"), MIX_ALPHA, seed=1)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_similar(_table(spark, sf_dir, "documents"), size=3, percent=90)
 
@@ -32,9 +50,20 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_template_lines(_table(spark, sf_dir, "documents"), min_docs=3, depth=6)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "pages"), URL_RULES + URL_PATTERNS)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_mix_sources": op2_mix_sources,
     "op3_ngram_join": op3_ngram_join,
     "op4_toxicity": op4_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_url_filter": op8_url_filter,
 }

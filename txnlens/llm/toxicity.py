@@ -23,12 +23,14 @@ _WORD = re.compile(r"\w+")
 BUCKETS = 1 << 17
 DIM = 8
 NGRAMS = (3, 4, 5)
-SPAN = 8
+SPAN = 2
 # Rows of each class and bytes of text that a model is fitted on at most.
 SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 48 << 20
 # Scores of words that a task remembers; when full it starts anew.
-MEMO = 1 << 19
+MEMO = 1 << 18
+# Characters of text scored at a time.
+PIECE = 1 << 20
 
 
 def words(text: str) -> list[str]:
@@ -202,6 +204,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int =
     return train([text for _, _, text in found], y, min(max(prior, 0.01), 0.99))
 
 
+def pieces(batch: pd.Series) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of about ``PIECE`` characters each."""
+    first, size = 0, 0
+    for i, text in enumerate(batch):
+        size += len(text) if text else 0
+        if size >= PIECE:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(batch):
+        yield first, len(batch)
+
+
 def score(model: Model, text: Column, spark) -> Column:
     """Column with the toxicity of ``text``, 0 to 1; null counts as empty."""
     shared = spark.sparkContext.broadcast(model)
@@ -212,15 +226,15 @@ def score(model: Model, text: Column, spark) -> Column:
         memo: dict[str, float] = {}
         for batch in batches:
             out = np.empty(len(batch))
-            for i, value in enumerate(batch):
-                found = words(value) if value else []
-                new = [w for w in set(found) if w not in memo]
-                if new:
-                    if len(memo) + len(new) > MEMO:
-                        memo.clear()
-                        new = list(set(found))
-                    memo.update(zip(new, one.word_scores(new).tolist()))
-                out[i] = span_means(np.array([memo[w] for w in found])).max()
+            for first, last in pieces(batch):
+                found = [words(v) if v else [] for v in batch.iloc[first:last]]
+                seen = set().union(*found)
+                new = [w for w in seen if w not in memo]
+                if len(memo) + len(new) > MEMO:
+                    memo.clear()
+                    new = list(seen)
+                memo.update(zip(new, one.word_scores(new).tolist()))
+                out[first:last] = [span_means(np.array([memo[w] for w in f])).max() for f in found]
             yield pd.Series(one.probability(out + one.bias))
 
     return run(text)
