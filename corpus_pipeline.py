@@ -6,14 +6,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from txnlens.llm.decontaminate import drop_contaminated
+from txnlens.llm.lines import drop_template_lines
+from txnlens.llm.mixing import mix
+from txnlens.llm.ngram_join import keep_one_of_similar
+from txnlens.llm.queries import MIX_ALPHA
+from txnlens.llm.toxicity import drop_toxic
+from txnlens.session import materialize
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of templates that three documents share go from all but the first."""
+    return drop_template_lines(docs, min_docs=3, depth=6)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares four fifths of its five-word shingles stays."""
+    return keep_one_of_similar(docs, size=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, exact or edited, go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), share=0.08, recall=0.98)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources repeated to tempered weights, globally shuffled."""
+    return mix(docs, MIX_ALPHA, seed=1)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_join),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing),
+]
+# Scores and walks are not SQL; tests compare the stages with plain versions instead.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialize(docs, name.replace(" ", "-"))
     return docs

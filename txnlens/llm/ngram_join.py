@@ -277,3 +277,14 @@ def join_similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     joined = rows.join(component, "original", "left")
     own = F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("original")).otherwise(F.col("doc_id")))
     return joined.select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def keep_one_of_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of ``docs``, all columns, whose ``doc_id`` is the smallest of its component; rows with a null id stay.
+
+    See ``join_similar``. Rows with equal ids are one document, so they stay or go together.
+    """
+    found = join_similar(docs, size, percent).filter("component_id < doc_id")
+    later = materialize(found.select(F.col("doc_id").alias("later")).distinct(), "later")
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return packed.join(later, F.col("id") == F.col("later"), "left_anti").select("row.*")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from txnlens.llm.decontaminate import find_items
+from txnlens.llm.graph_dedup import dedup_vectors
 from txnlens.llm.lines import drop_template_lines
 from txnlens.llm.mixing import mix
 from txnlens.llm.ngram_join import join_similar
@@ -58,6 +60,14 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"), URL_RULES + URL_PATTERNS)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), share=0.08, recall=0.98)
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_mix_sources": op2_mix_sources,
@@ -66,4 +76,6 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_url_filter": op8_url_filter,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
