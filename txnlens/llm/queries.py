@@ -11,6 +11,7 @@ from txnlens.llm.lines import drop_template_lines
 from txnlens.llm.mixing import mix
 from txnlens.llm.ngram_join import join_similar
 from txnlens.llm.substring import remove_repeated_runs
+from txnlens.llm.suffix import remove_repeated_bytes
 from txnlens.llm.tokens import count_tokens
 from txnlens.llm.toxicity import score_toxicity
 from txnlens.llm.urls import Rule, judge
@@ -52,6 +53,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_bytes(_table(spark, sf_dir, "documents"), length=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_template_lines(_table(spark, sf_dir, "documents"), min_docs=3, depth=6)
 
@@ -74,6 +80,7 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op4_toxicity": op4_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_decontaminate": op9_decontaminate,
