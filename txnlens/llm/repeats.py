@@ -74,9 +74,11 @@ def _split(keys: np.ndarray, n: int):
 
 def seen_parts(chunk: int, row: np.ndarray, keys: np.ndarray, n: int) -> list[dict]:
     """Parts for keys held by rows of this chunk (pairs may repeat)."""
+    if not len(keys):
+        return []
     order = np.lexsort((row, keys))
     keys, row = keys[order], row[order]
-    new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+    new = np.append(True, keys[1:] != keys[:-1])
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(keys)) - 1
     keys, twice = keys[starts], row[starts] != row[ends]
