@@ -46,7 +46,7 @@ def test_held_out_accuracy(spark):
     assert sum(p == y for p, y in held) >= 0.97 * len(held)
     # Misspelled words share n-grams; a toxic word counts in a long text as well; texts without words score alike.
     assert by_id[5002]["predicted"] == by_id[5003]["predicted"] == by_id[None]["predicted"] == 1
-    assert by_id[5000]["score"] == by_id[5001]["score"] < 0.3
+    assert by_id[5000]["score"] == by_id[5001]["score"] == 0
 
 
 def test_held_out_labels_are_not_learned(spark):
@@ -129,14 +129,14 @@ def test_items_are_found(spark):
         planted.append((k, i))
     rows += [(1000 + k, prose(rng, 200)) for k in range(60)]  # clean
     rows += [(2000, None), (2001, ""), (None, items[0][1]), (2002, items[1][1]), (2002, items[1][1]), (2003, prose(rng, 30000) + " " + items[2][1])]
-    bench = spark.createDataFrame([*items, (500, None), (501, ""), (502, "short"), (503, items[3][1]), (3, items[3][1])], "item_id long, text string")
+    bench = spark.createDataFrame([*items, (500, None), (501, ""), (502, "short"), (503, items[4][1]), (4, items[4][1])], "item_id long, text string")
     docs = frame(spark, rows)
     found = {(r["doc_id"], r["item_id"]): r["distance"] for r in find_items(docs, bench).collect()}
     exact = [p for k, p in enumerate(planted) if k % 4 < 2]
     assert all(found.get(p) == 0 for p in exact)
     assert sum(p in found for p in planted) >= 0.95 * len(planted)
-    assert found[2002, 1] == found[None, 0] == found[2003, 2] == found[3, 503] == 0
-    texts, by_item = {i: normal(t) for i, t in rows}, dict(items) | {503: items[3][1]}
+    assert found[2002, 1] == found[None, 0] == found[2003, 2] == found[4, 503] == 0
+    texts, by_item = {i: normal(t) for i, t in rows}, dict(items) | {503: items[4][1]}
     for (i, item), d in found.items():  # nothing is reported that is not within the distance
         want = normal(by_item[item])
         assert d <= int(0.08 * len(want))
@@ -256,4 +256,5 @@ def test_graph_is_searched_to_its_ends():
     true = np.argwhere(np.triu(x @ x.T >= 0.93, 1))
     found = set(zip(a.tolist(), b.tolist()))
     assert sum((i, j) in found for i, j in true) >= 0.97 * len(true)
-    assert (near >= 0).sum(axis=1).mean() < graph_dedup.DEGREE  # pruning left some edges out
+    angle = np.linspace(0, 3, 300)  # on an arc a near neighbour makes the farther ones needless
+    assert (graph_dedup.pruned_graph(np.stack([np.cos(angle), np.sin(angle)], axis=1)) >= 0).sum(axis=1).mean() < graph_dedup.DEGREE / 2

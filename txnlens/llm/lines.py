@@ -50,8 +50,11 @@ def drop_template_lines(docs: DataFrame, min_docs: int = 3, depth: int = 6) -> D
 
     joined = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id")).join(gone, F.col("id") == F.col("gone_id"), "left")
     old = F.col("row.text").cast("string")
-    kept = F.filter(F.split(old, "\n"), lambda line, i: ~F.array_contains("gone", i))
-    new = {"text": F.when(F.col("gone").isNull(), old).otherwise(F.array_join(kept, "\n"))}
+    kept = F.filter(F.split(old, "\n"), lambda line, i: ~F.array_contains(F.col("gone"), i))
+    whole = F.col("gone").isNull()
+    rebuilt = joined.select("row", whole.alias("whole"), F.when(whole, old).otherwise(F.array_join(kept, "\n")).alias("left_over"))
+    new = {"text": F.col("left_over")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length(new["text"]).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+        length = F.length("left_over").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("whole"), F.col("row.n_chars")).otherwise(length)
+    return rebuilt.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -80,7 +80,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | float, total: float | No
     written is that of a hash of id, copy and seed.
     """
     table = rates(docs, weights, total).filter("rate > 0")
-    parts = F.ceil(F.col("rate") / PART_MEAN).cast("int")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_MEAN).cast("int"))
     table = table.select("source", parts.alias("parts"), (F.col("rate") / parts).alias("mean"))
     table = table.select("source", "parts", cumulative(F.col("mean")).alias("sums"))
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))

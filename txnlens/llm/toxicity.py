@@ -82,13 +82,17 @@ class Model:
         return np.bincount(word, self.weight[bucket], len(vocabulary)) / np.maximum(n, 1)
 
     def probability(self, logit: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * logit + self.shift, -60, 60)))
+        """0 for a logit of minus infinity."""
+        found = np.isfinite(logit)
+        out = np.zeros(len(logit))
+        out[found] = 1 / (1 + np.exp(-np.clip(self.slope * logit[found] + self.shift, -60, 60)))
+        return out
 
 
 def span_means(scores: np.ndarray) -> np.ndarray:
-    """Means of all spans of a text; a shorter text is one span, an empty one has mean 0."""
+    """Means of all spans of a text that has words; a shorter text is one span."""
     if len(scores) <= SPAN:
-        return np.array([scores.mean() if len(scores) else 0.0])
+        return np.array([scores.mean()])
     sums = np.cumsum(np.append(0.0, scores))
     return (sums[SPAN:] - sums[:-SPAN]) / SPAN
 
@@ -98,8 +102,9 @@ def train(texts: list[str], labels: np.ndarray, prior: float, epochs: int = 24,
     rng = np.random.default_rng(seed)
     known: dict[str, int] = {}
     docs = [np.array([known.setdefault(w, len(known)) for w in words(t)], dtype=np.int64) for t in texts]
+    labels = labels[[i for i, d in enumerate(docs) if len(d)]]
+    docs = [d for d in docs if len(d)]  # without words there is nothing to learn
     word, bucket = subwords(list(known))
-    cuts = np.searchsorted(word, np.arange(len(known) + 1)) if len(word) else np.zeros(1, np.int64)
     order = np.argsort(word, kind="stable")
     bucket, word = bucket[order], word[order]
     cuts = np.searchsorted(word, np.arange(len(known) + 1))
@@ -107,7 +112,6 @@ def train(texts: list[str], labels: np.ndarray, prior: float, epochs: int = 24,
     soft = rng.normal(0, 0.5, (DIM, 2))
     bias = np.zeros(2)
     table_sq, soft_sq, bias_sq = np.full(BUCKETS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
-    used = [i for i, d in enumerate(docs) if len(d)]
 
     def best() -> tuple[np.ndarray, np.ndarray]:
         """Start of the highest span of each text, and its logit."""
@@ -118,11 +122,10 @@ def train(texts: list[str], labels: np.ndarray, prior: float, epochs: int = 24,
         return at, np.array([m[k] for m, k in zip(means, at)]) + (bias[1] - bias[0])
 
     balance = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
-    for epoch in range(epochs if used else 0):
+    for epoch in range(epochs if docs else 0):
         top, _ = best()
         spans = []
-        for i in used:
-            d = docs[i]
+        for i, d in enumerate(docs):
             last = max(1, len(d) - SPAN + 1)
             starts = list(rng.integers(0, last, 6)) if epoch < 2 else [top[i], *rng.integers(0, last, 0 if labels[i] else 3)]
             spans += [(i, int(s)) for s in starts]
@@ -234,7 +237,7 @@ def score(model: Model, text: Column, spark) -> Column:
                     memo.clear()
                     new = list(seen)
                 memo.update(zip(new, one.word_scores(new).tolist()))
-                out[first:last] = [span_means(np.array([memo[w] for w in f])).max() for f in found]
+                out[first:last] = [span_means(np.array([memo[w] for w in f])).max() if f else -np.inf for f in found]
             yield pd.Series(one.probability(out + one.bias))
 
     return run(text)
@@ -249,8 +252,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     """``(doc_id, held_out, score, predicted)`` for each row, over the whole text.
 
     Learns from the labels of the rows that are not held out. Labels, languages, sources and ids are
-    no input of a score. Null and empty texts score as a text without words. Rows keep their
-    ``doc_id``, null or repeated; other columns are not looked at.
+    no input of a score. Texts without words, such as null ones, have nothing toxic and score 0.
+    Rows keep their ``doc_id``, null or repeated; other columns are not looked at.
     """
     model = fit(docs, labels.filter(~held_out(F.col("doc_id"))))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
