@@ -175,4 +175,6 @@ def test_chunk_files(spark, tmp_path):
     assert "naïve — 漢字" in "".join(p.read_text("utf-8") for p in (tmp_path / "lines").glob("*.json"))
     array = tmp_path / "array.json"
     array.write_text(json.dumps([r.asDict() for r in df.collect()], ensure_ascii=False, indent=2), "utf-8")
-    assert rows(documents.read_chunks(spark, str(array))) == rows(df)
+    assert rows(documents.read_chunks(spark, str(array), arrays=True)) == rows(df)
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|FAILED"):
+        documents.read_chunks(spark, str(array)).collect()

@@ -252,8 +252,33 @@ def test_shared_dir_is_required_on_a_cluster(spark):
         def get(self, key, default=None):
             return dict.get(self, key, default)
 
-    class Remote:
-        conf = Conf({"spark.master": "yarn"})
+    class Other:
+        def __init__(self, **conf):
+            self.conf = Conf({k.replace("__", "."): v for k, v in conf.items()})
+            self.conf.set = self.conf.__setitem__
 
-    with pytest.raises(ValueError, match="checkpoint.dir"):
-        session.shared_dir(Remote)
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", ""):
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            session.shared_dir(Other(spark__master=master))
+    assert session.shared_dir(Other(spark__master="yarn", spark__checkpoint__dir="hdfs:///shared/")) == "hdfs:///shared"
+    alone = Other(spark__master="local[2]", spark__sql__warehouse__dir="file:/w")
+    assert session.shared_dir(alone) == session.shared_dir(alone) == "file:/w/txnlens-stored"
+
+
+def test_stored_tables_are_released(spark):
+    from pathlib import Path
+
+    from txnlens import session
+
+    session.release(spark)
+    kept = session.materialize(spark.range(10), "mine")
+    folder = Path(session.shared_dir(spark).removeprefix("file:")) / "txnlens"
+    assert kept.count() == 10 and list(folder.glob("mine-*"))
+    assert session.release(spark) == 1 and not list(folder.iterdir()) and session.release(spark) == 0
+
+
+def test_question_ids_survive_long_conversations(spark):
+    from txnlens.plans.bindings import turn_id
+
+    turns = spark.createDataFrame([(1, 1000), (2, 0), (1, 11), (11, 1)], "conv_id long, turn long")
+    assert turns.select(turn_id().alias("id")).distinct().count() == 4

@@ -180,22 +180,27 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).select("id").join(docs, "id", "left")
 
 
+LABELS = 10
+
+
 def label_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query per label: the mean of its vectors; the text is a benchmark passage."""
+    """One query per benchmark passage; its vector is the mean vector of a label, taken in turn."""
     spread = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("at", "x"))
     means = spread.groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda v: v["x"])
     # As many values per label as the vectors have dimensions.
     vectors = means.groupBy("label").agg(ordered.alias("vector"))
     texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return vectors.select(F.col("label").cast("bigint").alias("query_id"), "vector").join(texts, "query_id", "left")
+    # Labels are 0 to 9; passages of one label have one vector and differ by their words.
+    return texts.withColumn("label", F.pmod("query_id", F.lit(LABELS))).join(vectors, "label").drop("label")
 
 
 # --- questions and answers ---------------------------------------------------------------------
 
 
 def turn_id(conv_id: str = "conv_id", turn: str = "turn") -> Column:
-    return F.col(conv_id) * 1000 + F.col(turn)
+    """The two numbers as one text, which no other pair shares."""
+    return F.concat_ws("-", F.col(conv_id).cast("string"), F.col(turn).cast("string"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +255,7 @@ def turn_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = route(F.col("question"), F.col("label"))
     return questions(spark, sf_dir).select(
         "question_id",
-        F.substring("question", 1, 40).alias("answer"),
+        F.col("question").alias("answer"),
         kind.alias("answer_type"),
         F.when(kind == "data", F.concat(F.lit("SELECT * FROM events WHERE user_id = "), F.col("conv_id").cast("string"))).alias("sql"),
         (length % 9 == 0).alias("failed"),

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from txnlens.operators.answers import DATA_WORDS, DOCUMENT_WORDS
-from txnlens.plans.governed import DENIED
+# Fixed values, written out here so that a wrong one in the engine shows.
+DATA_WORDS = (
+    "rate", "trend", "daily", "monthly", "time series", "merchant", "category", "transaction", "amount", "volume",
+    "count", "share", "proportion", "distribution",
+)
+DOCUMENT_WORDS = (
+    "application fraud", "lost/stolen", "lost or stolen", "counterfeit", "skimming", "merchant collusion",
+    "triangulation", "internet", "site cloning", "neural network", "fraud detection system", "total cost of fraud",
+    "prevention", "white paper",
+)
+DENIED = ("insert ", "update ", "delete ", "drop ", "create ", "alter ", "truncate ")
 
 SPACE = r"\s\x{0B}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -206,7 +215,8 @@ mean AS (
     SELECT label, nr, AVG(CAST(x AS DOUBLE)) AS x
     FROM (SELECT label, unnest(range(len(embedding))) AS nr, unnest(embedding) AS x FROM embeddings) t GROUP BY label, nr
 ),
-q AS (SELECT CAST(label AS BIGINT) AS query_id, list(x ORDER BY nr) AS v FROM mean GROUP BY label),
+lv AS (SELECT label, list(x ORDER BY nr) AS v FROM mean GROUP BY label),
+q AS (SELECT item_id AS query_id, v FROM benchmark JOIN lv ON label = item_id % 10),
 s AS (
     SELECT query_id, vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS score
     FROM q, embeddings
@@ -247,7 +257,7 @@ def routed(label: str | None) -> str:
 
 QUESTIONS = """
 qs AS (
-    SELECT conv_id, turn, conv_id * 1000 + turn AS question_id, text AS question,
+    SELECT conv_id, turn, conv_id || '-' || turn AS question_id, text AS question,
         CASE length(text) % 5 WHEN 0 THEN 'data' WHEN 1 THEN ' Document' || chr(10) WHEN 2 THEN 'none' WHEN 3 THEN 'other' END AS label
     FROM conversations WHERE role = 'user'
 )"""
@@ -341,7 +351,7 @@ ORACLE = {
     "fq_last_fraud": f"""WITH {LINES}
         SELECT trans_ts, string_split(c_name, '#')[1] AS customer_first, string_split(c_name, '#')[2] AS customer_last,
             merchant_name, amt, is_fraud
-        FROM fact JOIN customer ON c_custkey = customer_id WHERE is_fraud = 1
+        FROM fact JOIN customer ON c_custkey = customer_id WHERE is_fraud = 1 AND c_custkey % 7 <> 0
         ORDER BY trans_ts DESC, l_orderkey, l_linenumber, l_partkey, merchant_id, amt LIMIT 10""",
     "fq_hourly_fraud": f"""WITH {EVENTS} SELECT hour, ROUND(AVG(amt), 6) AS avg_fraud_amount, COUNT(*) AS fraud_tx
         FROM ev WHERE is_fraud = 1 GROUP BY hour""",
@@ -447,7 +457,7 @@ ORACLE = {
     "qa_final_score": f"WITH {ANSWERS} SELECT question_id, ROUND(quality_score, 6) AS quality_score FROM final",
     "qa_answers": f"""WITH {ANSWERS},
         src AS (SELECT * FROM hit JOIN (SELECT question_id FROM ans WHERE answer_type = 'document') USING (question_id) WHERE rank <= 5)
-        SELECT question_id, substr(question, 1, 40) AS answer, answer_type, ROUND(quality_score, 6) AS quality_score,
+        SELECT question_id, question AS answer, answer_type, ROUND(quality_score, 6) AS quality_score,
             CASE WHEN answer_type = 'data' THEN 'SELECT * FROM events WHERE user_id = ' || conv_id END AS sql,
             CASE answer_type WHEN 'data' THEN 'sql_result' WHEN 'document' THEN 'document_chunks' END AS source_type,
             CASE WHEN answer_type = 'data' THEN n_rows END AS n_rows,

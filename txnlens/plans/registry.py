@@ -7,6 +7,7 @@ addition; the operators themselves do not round.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -194,8 +195,11 @@ def fq_entity_ranking(spark, sf):
 
 @query
 def fq_last_fraud(spark, sf):
+    """Every seventh customer has no dimension row here, so its cases must not take up places."""
     tie_break = ("l_orderkey", "l_linenumber", "part_id", "merchant_id", "amt")
-    return reports.last_fraud(B.line_star(spark, sf, customer=True), tie_break=tie_break)
+    tables = B.line_star(spark, sf, customer=True)
+    tables = replace(tables, customer=tables.customer.filter("customer_id % 7 <> 0"))
+    return reports.last_fraud(tables, tie_break=tie_break)
 
 
 @query

@@ -54,20 +54,20 @@ def entity_ranking(merchant: DataFrame, category: DataFrame, n: int = 10) -> Dat
 
 
 def last_fraud(star: Star, n: int = 10, tie_break: Sequence[str] = ("transaction_id",)) -> DataFrame:
-    """The latest fraud cases with customer and merchant names.
+    """The latest fraud cases that have a customer and a merchant, with their names.
 
-    A case without customer or merchant id drops out, as in an inner join; ids that are set have a
-    dimension row (``check_fk``). So the limit comes first and names are looked up for ``n`` rows.
+    A case whose customer or merchant has no dimension row drops out before the limit counts, so
+    ``n`` cases come back if there are as many. Names are looked up for those alone, and each task
+    passes on at most ``n`` rows.
     """
     extra = [c for c in tie_break if c not in ("customer_id", "merchant_id", "amt")]
-    latest = (
-        star.fact.filter(
-            (F.col("is_fraud") == 1) & F.col("customer_id").isNotNull() & F.col("merchant_id").isNotNull()
-        )
+    known = (
+        star.fact.filter(F.col("is_fraud") == 1)
         .select("trans_ts", "amt", "is_fraud", "customer_id", "merchant_id", *extra)
-        .orderBy(F.col("trans_ts").desc_nulls_first(), *tie_break)
-        .limit(n)
+        .join(star.customer.select("customer_id"), "customer_id", "left_semi")
+        .join(star.merchant.select("merchant_id"), "merchant_id", "left_semi")
     )
+    latest = known.orderBy(F.col("trans_ts").desc_nulls_first(), *tie_break).limit(n)
     people = star.customer.select(
         "customer_id", F.col("first").alias("customer_first"), F.col("last").alias("customer_last")
     )

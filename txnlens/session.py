@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,18 +23,23 @@ def build_session(app: str = "txnlens", master: str | None = None, **conf: objec
     return builder.getOrCreate()
 
 
+# Folders written by ``materialize`` in this process, oldest first.
+_stored: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, which all executors must share.
 
-    Only a local session may fall back to a temporary folder: on a cluster it would not be shared
-    by the executors, so there the setting is required.
+    The setting is the cluster's word and taken as it is. Where it is unset, a session on one
+    machine stores beside its warehouse; any other is refused.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[.*\])?", master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    path = tempfile.mkdtemp(prefix="txnlens-")
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/txnlens-stored"
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 
@@ -46,14 +51,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and go on from the stored table.
 
-    Cuts the lineage like ``checkpoint()``, and later passes read only the columns they need.
+    Cuts the lineage like ``checkpoint()``, and later passes read only the columns they need. The
+    tables stay until ``release`` or the cluster's own clean-up.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/txnlens/{label}-{uuid.uuid4().hex}"
+    _stored.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete every table that ``materialize`` stored in this process; frames built on them end with it.
+
+    Returns how many were deleted.
+    """
+    conf, deleted = spark._jsc.hadoopConfiguration(), 0
+    while _stored:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        deleted += bool(path.getFileSystem(conf).delete(path, True))
+    return deleted
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a small input that was read in few pieces to all cores, ahead of costly work per row.
 

@@ -19,14 +19,13 @@ def paragraphs(
     return lines.select("doc_id", "pos", (F.lit("") if style is None else style).alias("style_name"), "text")
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunk records from a JSON array or JSON Lines, told apart by the first character.
+def read_chunks(spark: SparkSession, path: str, arrays: bool = False) -> DataFrame:
+    """Chunk records from JSON Lines, or from files that each hold one JSON array if ``arrays`` is set.
 
-    Lines are split between tasks; an array is one value and one task reads each file of it.
+    Lines are split between tasks; an array is one value and one task reads each file of it. Every
+    file of a folder has the format that is asked for: one that has not raises when it is read.
     """
-    lines = spark.read.text(path).select(F.substring(F.ltrim("value"), 1, 1).alias("start"))
-    is_array = lines.filter("start <> ''").take(1) == [("[",)]
-    return spark.read.schema(CHUNK).json(path, multiLine=is_array)
+    return spark.read.schema(CHUNK).json(path, multiLine=arrays, mode="FAILFAST")
 
 
 def write_chunks(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
