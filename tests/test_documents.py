@@ -158,7 +158,36 @@ def test_long_document(spark):
 def test_text_pipeline_does_not_shuffle(spark):
     df = spark.createDataFrame([(1, "a.\nb.")], "doc_id long, text string")
     plan = chunks.chunks(blocks.document_blocks(df))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan
+    # Arrow batches of numbers pass through Python, rows do not.
+    assert "Exchange" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" in plan
+
+
+def test_cuts_are_linear():
+    """Ten times the lines and sentences take about ten times as long, not a hundred times."""
+    import time
+
+    import numpy as np
+
+    from txnlens.operators.ranges import cut_blocks, cut_chunks
+
+    def seconds(run):
+        best = []
+        for _ in range(3):
+            begin = time.perf_counter()
+            run()
+            best.append(time.perf_counter() - begin)
+        return min(best)
+
+    for cut in (lambda n: cut_chunks(np.full(n, 7), 20, 1), lambda n: cut_blocks(np.arange(n) % 4)):
+        assert seconds(lambda: cut(300_000)) < 25 * seconds(lambda: cut(30_000))
+
+
+def test_blocks_of_many_lines(spark):
+    """A document of 200,000 lines, every fourth a heading."""
+    text = "\n".join(f"line {i}" for i in range(200_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = blocks.document_blocks(df, style=lambda pos: F.when(pos % 4 == 0, "Heading 1").otherwise(""))
+    assert found.agg(F.count(F.lit(1)), F.sum(F.size(F.split("text", "line")) - 1)).first() == (50_000, 150_000)
 
 
 def test_stats(spark):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.functions.text import clean_text, heading_level, is_all_caps, word_count
+from txnlens.operators.ranges import block_ranges_of
 
 MAX_CAPS_WORDS = 6
 # Paragraphs of a document that one window frame runs over; longer documents are cut and carried.
@@ -33,6 +34,10 @@ def elements(paragraphs: DataFrame) -> DataFrame:
     return levelled.select("doc_id", "pos", kind.alias("type"), "level", "text")
 
 
+def _line(at: Column) -> Column:
+    return F.when(at.isNotNull(), F.get(F.col("_lines"), at)["text"])
+
+
 def document_blocks(
     documents: DataFrame,
     id_col: str = "doc_id",
@@ -42,8 +47,9 @@ def document_blocks(
     """``(doc_id, block_index, section, subsection, text)`` of documents that are one row each.
 
     The lines are the paragraphs; ``style`` maps a line number to a style name. A row has its whole
-    document, so everything happens inside the row: no shuffle, and later steps stay in the same
-    stage. For documents stored as paragraph rows use ``blocks``.
+    document, so everything happens inside the row: no shuffle, in time linear in its lines, and
+    later steps stay in the same stage. A value is limited to 2 GB, so a document is as well; for
+    documents stored as paragraph rows use ``blocks``, where only one block has to fit.
     """
 
     def element(line: Column, pos: Column) -> Column:
@@ -52,39 +58,13 @@ def document_blocks(
         return F.struct(text.alias("text"), level_of(name, text).alias("level"))
 
     lines = F.filter(F.transform(F.split(text_col, "\n"), element), lambda e: e["text"] != "")
-    none = F.lit(None).cast("string")
-    no_block = F.array().cast("array<struct<section:string,subsection:string,a:int,b:int>>")
-    start = F.struct(
-        F.lit(0).alias("i"), none.alias("section"), none.alias("subsection"), F.lit(-1).alias("first"),
-        no_block.alias("done"),
-    )
-
-    def closed(acc: Column) -> Column:
-        block = F.struct(
-            acc["section"].alias("section"), acc["subsection"].alias("subsection"),
-            acc["first"].alias("a"), (acc["i"] - 1).alias("b"),
-        )
-        return F.when(acc["first"] >= 0, F.concat(acc["done"], F.array(block))).otherwise(acc["done"])
-
-    def step(acc: Column, e: Column) -> Column:
-        level, text = e["level"], e["text"]
-        heading = level.isNotNull()
-        goes_on = F.when(acc["first"] >= 0, acc["first"]).otherwise(acc["i"])
-        return F.struct(
-            (acc["i"] + 1).alias("i"),
-            F.when(level == 1, text).otherwise(acc["section"]).alias("section"),
-            F.when(level == 1, none).when(level == 2, text).otherwise(acc["subsection"]).alias("subsection"),
-            F.when(level.isin(1, 2), -1).when(heading, acc["i"]).otherwise(goes_on).alias("first"),
-            F.when(heading, closed(acc)).otherwise(acc["done"]).alias("done"),
-        )
-
     rows = documents.select(F.col(id_col).alias("doc_id"), lines.alias("_lines"))
-    rows = rows.withColumn("_ranges", F.aggregate("_lines", start, step, closed))
+    rows = rows.withColumn("_ranges", block_ranges_of(F.col("_lines.level")))
     found = F.transform(
         "_ranges",
         lambda r: F.struct(
-            r["section"].alias("section"),
-            r["subsection"].alias("subsection"),
+            _line(r["section"]).alias("section"),
+            _line(r["subsection"]).alias("subsection"),
             F.array_join(F.slice("_lines", r["a"] + 1, r["b"] - r["a"] + 1)["text"], " ").alias("text"),
         ),
     )

@@ -1,7 +1,7 @@
 """Blocks to sentence chunks.
 
-Both modes fold over the sentence lengths of one block inside a column expression: no shuffle, no
-Python, and the work of a row is linear in its text.
+Sentences are cut and joined by column functions; only the words per sentence pass through an Arrow
+kernel that finds where chunks end. Nothing is shuffled, and the work of a row is linear in its text.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.functions.text import chunk_id, sentences, word_count
+from txnlens.operators.ranges import chunk_ranges_of
 
 MAX_WORDS = 256
 OVERLAP = 1
@@ -27,32 +28,7 @@ def chunk_ranges(counts: Column, max_words: int, overlap: int, mode: str) -> Col
         raise ValueError(f"unknown mode: {mode}")
     if max_words < 1 or overlap < 0:
         raise ValueError("max_words must be positive and overlap not negative")
-    no_ranges = F.array().cast("array<struct<a:int,b:int>>")
-    start = F.struct(
-        F.lit(0).alias("i"), F.lit(0).alias("first"), F.lit(0).alias("words"), no_ranges.alias("done")
-    )
-
-    def step(acc: Column, n: Column) -> Column:
-        i = acc["i"]
-        full = (i > 0) & (acc["words"] + n > max_words)
-        closed = F.struct(acc["first"].alias("a"), (i - 1).alias("b"))
-        if mode == "greedy" and overlap:
-            restart = F.greatest(acc["first"], i - overlap)
-            repeated = F.aggregate(F.slice(counts, restart + 1, i - restart), F.lit(0), lambda s, x: s + x)
-        else:
-            restart, repeated = i, F.lit(0)
-        return F.struct(
-            (i + 1).alias("i"),
-            F.when(full, restart).otherwise(acc["first"]).alias("first"),
-            F.when(full, repeated + n).otherwise(acc["words"] + n).alias("words"),
-            F.when(full, F.concat(acc["done"], F.array(closed))).otherwise(acc["done"]).alias("done"),
-        )
-
-    def finish(acc: Column) -> Column:
-        last = F.struct(acc["first"].alias("a"), (acc["i"] - 1).alias("b"))
-        return F.when(acc["i"] > 0, F.concat(acc["done"], F.array(last))).otherwise(no_ranges)
-
-    ranges = F.aggregate(counts, start, step, finish)
+    ranges = chunk_ranges_of(counts, max_words, overlap if mode == "greedy" else 0)
     if mode == "greedy":
         return ranges
     return F.transform(
