@@ -35,8 +35,8 @@ def brute_force(queries, data, k):
 
 
 @pytest.mark.parametrize("ids", ["long", "string"])
-@pytest.mark.parametrize("query_bytes", [64, 200, 1 << 20])
-def test_search_is_exact(spark, ids, query_bytes):
+@pytest.mark.parametrize("block_bytes, broadcast_bytes", [(64, 1 << 20), (200, 0), (1 << 20, 1 << 20)])
+def test_search_is_exact(spark, ids, block_bytes, broadcast_bytes):
     """Many partitions, small batches, ties, a zero vector, and queries in one or many blocks."""
     data, df = points(spark, ids=ids)
     queries = [(q, data[q * 9][1]) for q in range(12) if q * 9 != 7]
@@ -44,7 +44,7 @@ def test_search_is_exact(spark, ids, query_bytes):
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
     try:
-        got = search.search(qdf, df.repartition(5), 6, query_bytes=query_bytes)
+        got = search.search(qdf, df.repartition(5), 6, block_bytes=block_bytes, broadcast_bytes=broadcast_bytes)
         assert {(r["query_id"], r["id"], r["dense_rank"]) for r in got.collect()} == brute_force(queries, data, 6)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
@@ -59,7 +59,7 @@ def test_search_edges(spark):
     one = spark.createDataFrame([(1, data[0][1])], "query_id long, vector array<float>")
     assert search.search(one, df, 100).count() == 19  # all but the zero vector
     assert search.search(one, df.limit(0), 3).count() == 0
-    with pytest.raises(Exception, match="8 values"):
+    with pytest.raises(Exception, match="queries 8"):
         search.search(one, spark.createDataFrame([(1, [1.0])], "id long, vector array<float>"), 3).collect()
     with pytest.raises(ValueError):
         search.search(one, df, 0)
@@ -69,8 +69,8 @@ def test_search_shuffles_only_candidates(spark):
     data, df = points(spark)
     qdf = spark.createDataFrame([(1, data[0][1])], "query_id long, vector array<float>")
     plan = search.search(qdf, df, 5)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1
-    assert plan.index("Exchange") < plan.index("MapInArrow") and "Cartesian" not in plan and "NestedLoop" not in plan
+    assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("Exchange hashpartitioning") < plan.index("MapInArrow") and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
 def test_vector_functions(spark):
@@ -125,7 +125,8 @@ def test_rerank_and_retrieve(spark):
 
 
 def test_collection(spark, tmp_path):
-    empty = collections.create_collection(spark, str(tmp_path / "c"))
+    empty = collections.create_collection(spark, str(tmp_path / "c"), 2)
+    assert collections.dimension(empty) == 2
     assert rows(collections.collection_info(empty)) == [(0, None, None)]
     chunk = spark.createDataFrame([("x", "S", None, 0, 0, "t1"), ("y", None, None, 0, 1, "t2")], "chunk_id string, section string, subsection string, block_index int, chunk_index int, text string")
     vec = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "chunk_id string, vector array<float>")
@@ -134,6 +135,12 @@ def test_collection(spark, tmp_path):
     full = collections.upsert(empty, pts.withColumn("seq", F.lit(1)), "seq")
     collections.save_collection(full, str(tmp_path / "c2"))
     assert rows(collections.collection_info(collections.read_collection(spark, str(tmp_path / "c2")))) == [(2, 2, 2)]
+    again = collections.read_collection(spark, str(tmp_path / "c2"))
+    assert collections.dimension(again) == 2
+    narrow = pts.select("id", F.array(F.lit(1.0).cast("float")).alias("vector"), "payload", F.lit(2).alias("seq"))
+    for old in (empty, again):
+        with pytest.raises(Exception, match="has not 2 values"):
+            collections.upsert(old, narrow, "seq")
     collections.save_vectors(vec, str(tmp_path / "v"))
     assert rows(spark.read.parquet(str(tmp_path / "v"))) == rows(vec)
     with pytest.raises(ValueError, match="do not match"):
@@ -237,11 +244,61 @@ def test_deny_list(spark, sql, denied):
         assert governed.checked_sql(sql) == row["c"]
 
 
+def test_search_plan_does_not_grow_with_the_queries(spark):
+    points = spark.range(200).select("id", F.array(*[F.sin(F.col("id") * (k + 1)) for k in range(8)]).alias("vector"))
+
+    def nodes(n):
+        asked = points.limit(n).select(F.col("id").alias("query_id"), "vector")
+        plan = search.search(asked, points, 3, block_bytes=640)._jdf.queryExecution().executedPlan().toString()
+        return [line.split("(")[0].split("[")[0].strip() for line in plan.splitlines()]
+
+    assert nodes(5) == nodes(200)
+
+
+def test_upsert_ties(spark):
+    """One point per id comes out, the same whatever the order of the rows."""
+    old = spark.createDataFrame([("a", [1.0])], "id string, vector array<float>")
+    tied = [("b", [3.0], 1), ("b", [5.0], 1), ("b", [5.0], 1), ("a", [7.0], 1)]
+    results = [rows(collections.upsert(old, spark.createDataFrame(t, "id string, vector array<float>, seq int"), "seq")) for t in (tied, tied[::-1])]
+    assert results[0] == results[1] and [r[0] for r in results[0]] == ["a", "b"]
+
+
+def test_strict_select_judges_the_parsed_statement(spark, tmp_path):
+    spark.range(3).createOrReplaceTempView("allowed_rows")
+    spark.range(3).createOrReplaceTempView("other_rows")
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    run = lambda sql: governed.run_select(spark, sql, strict=True, relations=["allowed_rows"])
+    good = [
+        "SELECT * FROM allowed_rows;", "WITH x AS (SELECT id FROM allowed_rows), y AS (SELECT * FROM x) SELECT id FROM y",
+        "SELECT id FROM Allowed_Rows WHERE id IN (SELECT max(id) FROM allowed_rows)", "SELECT id, COUNT(*) FROM allowed_rows GROUP BY GROUPING SETS ((id), ())",
+    ]
+    for sql in good:
+        run(sql).count()
+    bad = [
+        "WITH x AS (SELECT 1 AS id) INSERT\nINTO allowed_rows SELECT * FROM x", "SHOW TABLES", "SELECT * FROM other_rows", "SET spark.x=1", "DROP\nVIEW allowed_rows",
+        "SELECT * FROM allowed_rows WHERE id IN (SELECT id FROM other_rows)", f"SELECT * FROM parquet.`{tmp_path}/t`", "SELECT * FROM range(5)",
+        "SELECT java_method('java.lang.System', 'nanoTime')", "SELECT reflect('java.lang.System', 'nanoTime') FROM allowed_rows", "EXPLAIN SELECT * FROM allowed_rows", "CACHE TABLE allowed_rows",
+        "SELECT (SELECT max(id) FROM other_rows)", "CREATE\nTABLE t AS SELECT 1", "SELECT * FROM allowed_rows UNION SELECT * FROM other_rows",
+    ]
+    for sql in bad:
+        with pytest.raises(ValueError):
+            run(sql)
+
+
+def test_data_evidence(spark):
+    found = spark.createDataFrame([(1, 2.0, None), (1, 4.0, 5), (2, None, 1)], "question_id long, amt double, n int")
+    got = answers.data_evidence(found, ["amt", "n"])
+    assert rows(got) == [(1, "amt", 2, 2.0, 3.0, 4.0), (1, "n", 2, 5.0, 5.0, 5.0), (2, "amt", 1, None, None, None), (2, "n", 1, 1.0, 1.0, 1.0)]
+    text = {r[0]: r[1] for r in answers.data_evidence_text(got).collect()}
+    assert text[1] == "Rows: 2\namt: min=2.0000, mean=3.0000, max=4.0000\nn: min=5.0000, mean=5.0000, max=5.0000"
+    assert "amt: min=none" in text[2]
+
+
 def test_run_select(spark):
     spark.range(100).createOrReplaceTempView("numbers")
     assert governed.run_select(spark, "SELECT * FROM numbers;").count() == 100
     assert governed.run_select(spark, "SELECT * FROM numbers", limit=7).count() == 7
-    with pytest.raises(ValueError, match="SELECT or WITH"):
+    with pytest.raises(ValueError, match="only queries"):
         governed.run_select(spark, "SHOW TABLES", strict=True)
 
 

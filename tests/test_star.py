@@ -96,6 +96,24 @@ def test_missing_values_and_quotes(spark, tmp_path):
         transactions.scan_csv(spark, str(tmp_path / "bad.csv")).collect()
 
 
+def test_header_of_another_order_raises(spark, tmp_path):
+    names = HEADER.split(",")
+    a, b = names.index("first"), names.index("last")
+    names[a], names[b] = names[b], names[a]
+    (tmp_path / "a.csv").write_text("\n".join([HEADER, TRAIN[0]]) + "\n")
+    assert transactions.scan_csv(spark, str(tmp_path)).count() == 1
+    (tmp_path / "b.csv").write_text("\n".join([",".join(names), TRAIN[0]]) + "\n")
+    with pytest.raises(Exception, match="header|Header"):
+        transactions.scan_csv(spark, str(tmp_path)).collect()
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    odd = line(0, "2019-01-05 00:00:18", "4001", "Shop\nand more", "c", 1.0, "x", "76701", 0)
+    (tmp_path / "odd.csv").write_text("\n".join([HEADER, odd, TRAIN[0]]) + "\n")
+    got = transactions.scan_csv(spark, str(tmp_path / "odd.csv"), multi_line=True)
+    assert got.count() == 2 and "Shop\nand more" in [r["merchant"] for r in got.collect()]
+
+
 def test_missing_column_raises(spark, tmp_path):
     (tmp_path / "few.csv").write_text("cc_num,amt\n1,2\n")
     with pytest.raises(ValueError, match="columns missing"):
@@ -145,6 +163,16 @@ def test_reports(built):
     assert hours == [(10, 20.0, 1), (23, 30.0, 1)]
 
 
+def test_last_fraud_fills_its_places(built):
+    """A case without dimension row takes no place."""
+    from dataclasses import replace
+
+    cases = built.fact.filter("is_fraud = 1").orderBy(F.col("trans_ts").desc()).collect()
+    gone = replace(built, merchant=built.merchant.filter(F.col("merchant_id") != cases[0]["merchant_id"]))
+    left = [c for c in cases if c["merchant_id"] != cases[0]["merchant_id"]]
+    assert [r["trans_ts"] for r in reports.last_fraud(gone, 1).collect()] == [left[0]["trans_ts"]]
+
+
 def test_null_rate_ranks_first(spark):
     df = spark.createDataFrame([(1, "a", 2, 1, 0.5), (2, "b", 0, 0, None)], "merchant_id long, merchant_name string, total_tx long, fraud_tx long, fraud_rate double")
     assert [r["merchant_name"] for r in reports.top_merchants(df, 2).collect()] == ["b", "a"]

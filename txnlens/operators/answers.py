@@ -5,7 +5,7 @@ Texts written by models (route label, answer, judge's reply) come in as columns.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -99,6 +99,37 @@ def evidence(hits: DataFrame, n: int = EVIDENCE_HITS, max_chars: int = EVIDENCE_
     return _first_hits(hits, n, snippet(F.col("text"), max_chars), "\n\n", "evidence")
 
 
+def data_evidence(results: DataFrame, fields: Sequence[str], question_id: str = "question_id") -> DataFrame:
+    """``(question_id, field, n_rows, min, mean, max)``: what the rows behind each data answer say.
+
+    ``results`` are the result rows of many questions as rows, ``fields`` their numeric columns. Rows
+    are reduced where they are; nulls count as rows, not as values.
+    """
+    if not fields:
+        raise ValueError("no field given")
+    value = {c: F.col(c).cast("double") for c in fields}
+    measured = [f(value[c]).alias(f"{name}_{k}") for k, c in enumerate(fields) for name, f in (("min", F.min), ("mean", F.avg), ("max", F.max))]
+    wide = results.groupBy(question_id).agg(F.count(F.lit(1)).alias("n_rows"), *measured)
+    entry = [
+        F.struct(F.lit(c).alias("field"), F.col(f"min_{k}").alias("min"), F.col(f"mean_{k}").alias("mean"), F.col(f"max_{k}").alias("max"))
+        for k, c in enumerate(fields)
+    ]
+    return wide.select(question_id, "n_rows", F.explode(F.array(*entry)).alias("e")).select(
+        question_id, "e.field", "n_rows", "e.min", "e.mean", "e.max"
+    )
+
+
+def data_evidence_text(evidence: DataFrame, question_id: str = "question_id") -> DataFrame:
+    """``(question_id, evidence)``: the row count and one line per field, fields in order of their names."""
+    number = lambda c: F.coalesce(F.format_number(c, 4), F.lit("none"))
+    line = F.concat("field", F.lit(": min="), number("min"), F.lit(", mean="), number("mean"), F.lit(", max="), number("max"))
+    # One line per field, so as many as the schema has.
+    lines = F.array_sort(F.collect_list(F.struct("field", line.alias("line"))))
+    joined = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
+    out = evidence.groupBy(question_id).agg(F.max("n_rows").alias("n_rows"), joined.alias("lines"))
+    return out.select(question_id, F.concat(F.lit("Rows: "), F.col("n_rows").cast("string"), F.lit("\n"), F.col("lines")).alias("evidence"))
+
+
 def hit_summary(hits: DataFrame) -> DataFrame:
     """``(question_id, n_hits, mean_rerank)``; a hit without rerank score counts as 0."""
     return hits.groupBy("question_id").agg(

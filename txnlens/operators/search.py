@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, cloudpickle
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,16 +15,20 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from txnlens.functions.text import terms
 from txnlens.operators.embedding import embed
+from txnlens.session import materialize
 
 # The workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Scores closer than single precision resolves are ties, which the smaller id wins.
 SCORE_DECIMALS = 7
-# Bytes of query vectors broadcast at a time; more queries take more passes over the collection.
-QUERY_BYTES = 32 << 20
-# Scores a task holds at a time.
+# Bytes of vectors in a block of queries or points.
+BLOCK_BYTES = 4 << 20
+# Query blocks of up to this many bytes are broadcast; more are joined with the points by a shuffle.
+BROADCAST_BYTES = 64 << 20
+# Scores a task holds at a time, and candidates it keeps before it passes them on.
 SCORE_CELLS = 4 << 20
+KEPT = 1 << 20
 # Hits are four numbers or a short id each: at most some 10 MB.
 BROADCAST_HITS = 200_000
 
@@ -35,13 +39,16 @@ def search(
     k: int = 20,
     query_id: str = "query_id",
     id: str = "id",
-    query_bytes: int = QUERY_BYTES,
+    block_bytes: int = BLOCK_BYTES,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(query_id, id, score, dense_rank)``: the ``k`` nearest points of each query.
 
-    Both frames have a ``vector``. Tasks score a batch of points against all queries as one matrix
-    product and pass on at most ``k`` candidates per query and partition, so neither the pairs nor
-    the collection are ever shuffled. Every point is scored: the result is exact.
+    Both frames have a ``vector``. Queries and points are packed into blocks where they are, every
+    block of points meets every block of queries in a task, and a task scores two blocks as one
+    matrix product and passes on at most ``k`` candidates per query. No vector goes through the
+    driver and the plan does not depend on their number. Every point is scored: the result is
+    exact. Null and zero vectors have no cosine and drop out.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -52,36 +59,65 @@ def search(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    slim = collection.filter(F.col("vector").isNotNull()).select(id, "vector")
-    context = slim.sparkSession.sparkContext
-    found = None
-    for block in _query_blocks(queries, query_id, query_bytes):
-        part = slim.mapInArrow(_scorer(context.broadcast(block), k, to_arrow_schema(schema), id), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = slim.sparkSession.createDataFrame([], schema)
+    asked = queries.filter(F.col("vector").isNotNull()).select(F.col(query_id).alias("name"), "vector")
+    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    n_blocks = max(1, -(-n * 8 * (width or 1) // block_bytes))
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(n_blocks)).cast("int"))
+    packed = dealt.groupBy("block").applyInArrow(_pack_queries, _packed(schema[query_id], "asked", block=True))
+    packed = materialize(packed, "queries")
+    held = packed.agg(F.sum(F.length("asked"))).first()[0] or 0
+
+    names = to_arrow_schema(T.StructType([schema[id]]))[0].type
+    points = collection.filter(F.col("vector").isNotNull()).select(id, "vector")
+    blocks = points.mapInArrow(_pack_points(names, block_bytes), _packed(schema[id], "points"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    met = blocks.select("points_names", "points", every.alias("block")).join(
+        F.broadcast(packed) if held <= broadcast_bytes else packed, "block"
+    )
+    met = met.select("block", "asked_names", "asked", "points_names", "points")
+    found = met.mapInArrow(_scorer(k, to_arrow_schema(schema)), schema)
     order = Window.partitionBy(query_id).orderBy(F.round("score", SCORE_DECIMALS).desc(), F.col(id))
     return found.withColumn("dense_rank", F.row_number().over(order)).filter(F.col("dense_rank") <= k)
 
 
-def _query_blocks(queries: DataFrame, query_id: str, query_bytes: int) -> Iterator[tuple[list, np.ndarray]]:
-    """Unit query vectors in blocks of bounded size; zero vectors have no cosine and drop out."""
-    ids: list = []
-    rows: list[np.ndarray] = []
-    used = 0
-    for row in queries.filter(F.col("vector").isNotNull()).select(query_id, "vector").toLocalIterator(True):
-        vector = np.asarray(row["vector"], dtype=np.float64)
-        length = np.sqrt(np.sum(vector * vector))
-        if not length > 0:
-            continue
-        if rows and used + vector.nbytes > query_bytes:
-            yield ids, np.vstack(rows)
-            ids, rows, used = [], [], 0
-        ids.append(row[query_id])
-        rows.append(vector / length)
-        used += vector.nbytes
-    if rows:
-        yield ids, np.vstack(rows)
+def _packed(name: T.StructField, kind: str, block: bool = False) -> T.StructType:
+    fields = [T.StructField(f"{kind}_names", T.ArrayType(name.dataType)), T.StructField(kind, T.BinaryType())]
+    return T.StructType([T.StructField("block", T.IntegerType())] * block + fields)
+
+
+def _unit(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the vectors scaled to length 1, and which rows have a length; all must have one width."""
+    widths = np.unique(np.diff(column.offsets.to_numpy()))
+    if len(widths) > 1:
+        raise ValueError(f"vectors of different widths: {widths.tolist()}")
+    width = int(widths[0]) if len(widths) else 0
+    rows = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
+    lengths = np.sqrt(np.sum(rows * rows, axis=1))
+    usable = lengths > 0
+    return rows[usable] / lengths[usable, None], usable
+
+
+def _pack_queries(table: pa.Table) -> pa.Table:
+    rows, usable = _unit(table.column("vector").combine_chunks())
+    names = table.column("name").combine_chunks().filter(pa.array(usable))
+    listed = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
+    return pa.table({"block": table.column("block").slice(0, 1), "asked_names": listed, "asked": pa.array([rows.tobytes()])})
+
+
+def _pack_points(names: pa.DataType, block_bytes: int):
+    schema = pa.schema([("points_names", pa.list_(names)), ("points", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, usable = _unit(batch.column(1))
+            kept = batch.column(0).filter(pa.array(usable))
+            step = max(1, block_bytes // max(8, 8 * rows.shape[1]))
+            for at in range(0, len(rows), step):
+                part = kept.slice(at, step)
+                listed = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.concat_arrays([part]))
+                yield pa.RecordBatch.from_arrays([listed, pa.array([rows[at : at + step].tobytes()])], schema=schema)
+
+    return run
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,15 +131,12 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return scores[order], ids[order]
 
 
-def _scorer(block: Broadcast, k: int, schema: pa.Schema, id: str):
-    """Partition function: best ``k`` points per query among the points of the partition."""
+def _scorer(k: int, schema: pa.Schema):
+    """Partition function: best ``k`` points per query among the blocks of points of the partition."""
 
     def take_in(points: np.ndarray, ids: np.ndarray, matrix: np.ndarray, top: list, floor: np.ndarray) -> None:
         """Merge some points into the best so far; only scores not below the floor can change those."""
-        lengths = np.sqrt(np.sum(points * points, axis=1))
-        usable = lengths > 0
-        ids = ids[usable]
-        scores = (points[usable] / lengths[usable, None]) @ matrix.T
+        scores = points @ matrix.T
         candidate = np.round(scores, SCORE_DECIMALS) >= floor
         for q in np.flatnonzero(candidate.any(axis=0)):
             new = candidate[:, q]
@@ -113,25 +146,36 @@ def _scorer(block: Broadcast, k: int, schema: pa.Schema, id: str):
             if len(top[q][0]) == k:
                 floor[q] = np.round(top[q][0][-1], SCORE_DECIMALS)
 
+    def passed_on(best: dict) -> Iterator[pa.RecordBatch]:
+        for names, top, _ in best.values():
+            found = [(names[q], i, s) for q, (scores, ids) in enumerate(top) for i, s in zip(ids, scores)]
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values, type=field.type) for values, field in zip(zip(*found), schema)], schema=schema
+                )
+        best.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix = block.value
-        dim = matrix.shape[1]
-        top = [(np.empty(0), np.empty(0))] * len(query_ids)
-        floor = np.full(len(query_ids), -np.inf)  # rounded score of the k-th best so far
+        best: dict = {}  # block of queries: names, candidates, rounded score of the k-th best
         for batch in batches:
-            vectors = batch.column(batch.schema.get_field_index("vector"))
-            if np.any(np.diff(vectors.offsets.to_numpy()) != dim):
-                raise ValueError(f"a vector does not have the {dim} values of the queries")
-            points = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            ids = batch.column(batch.schema.get_field_index(id)).to_numpy(zero_copy_only=False)
-            step = max(1, SCORE_CELLS // max(dim, len(query_ids)))
-            for at in range(0, len(ids), step):
-                take_in(points[at : at + step].astype(np.float64), ids[at : at + step], matrix, top, floor)
-        found = [(query_ids[q], i, s) for q, (best, found_ids) in enumerate(top) for i, s in zip(found_ids, best)]
-        if found:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values, type=field.type) for values, field in zip(zip(*found), schema)], schema=schema
-            )
+            for row in range(batch.num_rows):
+                block, names = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                if not names:
+                    continue
+                matrix = np.frombuffer(batch.column(2)[row].as_buffer(), np.float64).reshape(len(names), -1)
+                ids = batch.column(3)[row].values.to_numpy(zero_copy_only=False)
+                points = np.frombuffer(batch.column(4)[row].as_buffer(), np.float64).reshape(len(ids), -1)
+                if points.shape[1] != matrix.shape[1]:
+                    raise ValueError(f"points have {points.shape[1]} values and queries {matrix.shape[1]}")
+                if block not in best:
+                    if sum(len(b[0]) for b in best.values()) * k > KEPT:
+                        yield from passed_on(best)
+                    best[block] = names, [(np.empty(0), np.empty(0))] * len(names), np.full(len(names), -np.inf)
+                _, top, floor = best[block]
+                step = max(1, SCORE_CELLS // len(names))
+                for at in range(0, len(ids), step):
+                    take_in(points[at : at + step], ids[at : at + step], matrix, top, floor)
+        yield from passed_on(best)
 
     return run
 

@@ -453,6 +453,11 @@ ORACLE = {
     "qa_evidence": f"""WITH {ANSWERS}
         SELECT question_id, string_agg({oneline('text', 300)}, chr(10) || chr(10) ORDER BY rank) AS evidence
         FROM hit WHERE rank <= 2 GROUP BY question_id""",
+    "qa_data_evidence": f"""WITH {ANSWERS},
+        found AS (SELECT question_id, value, hour(ts) AS hour FROM ans JOIN events ON user_id = conv_id WHERE answer_type = 'data')
+        SELECT question_id, 'value' AS field, COUNT(*) AS n_rows, ROUND(MIN(value), 6) AS min, ROUND(AVG(value), 6) AS mean, ROUND(MAX(value), 6) AS max
+        FROM found GROUP BY question_id UNION ALL
+        SELECT question_id, 'hour', COUNT(*), MIN(hour)::DOUBLE, ROUND(AVG(hour), 6), MAX(hour)::DOUBLE FROM found GROUP BY question_id""",
     "qa_base_score": f"""WITH {ANSWERS} SELECT question_id, answer_type, n_rows, n_hits, ROUND(base_score, 6) AS base_score FROM final""",
     "qa_final_score": f"WITH {ANSWERS} SELECT question_id, ROUND(quality_score, 6) AS quality_score FROM final",
     "qa_answers": f"""WITH {ANSWERS},

@@ -506,6 +506,15 @@ def qa_evidence(spark, sf):
     return answers.evidence(B.turn_hits(spark, sf))
 
 
+@query
+def qa_data_evidence(spark, sf):
+    """Data questions over the events of the user with the conversation's number, as result rows."""
+    asked = B.questions(spark, sf).filter(answers.route(F.col("question"), F.col("label")) == "data")
+    events = B.table(spark, sf, "events").select("user_id", "value", F.hour("ts").alias("hour"))
+    results = asked.select("question_id", F.col("conv_id").alias("user_id")).join(events, "user_id")
+    return rounded(answers.data_evidence(results, ["value", "hour"]), min=6, mean=6, max=6)
+
+
 def _scored(spark, sf):
     return answers.scored(B.turn_answers(spark, sf), B.turn_results(spark, sf), B.turn_hits(spark, sf))
 

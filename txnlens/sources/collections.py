@@ -12,14 +12,23 @@ from txnlens.session import materialize
 PAYLOAD_FIELDS = ("chunk_id", "section", "subsection", "block_index", "chunk_index", "text")
 
 
-def create_collection(spark: SparkSession, path: str) -> DataFrame:
-    """Replace whatever is at ``path`` by an empty collection."""
-    spark.createDataFrame([], COLLECTION).write.mode("overwrite").parquet(path)
+def create_collection(spark: SparkSession, path: str, dim: int) -> DataFrame:
+    """Replace whatever is at ``path`` by an empty collection of vectors of ``dim`` values."""
+    if dim < 1:
+        raise ValueError("the dimension must be positive")
+    empty = spark.createDataFrame([], COLLECTION)
+    empty.withMetadata("vector", {"dim": dim}).write.mode("overwrite").parquet(path)
     return read_collection(spark, path)
 
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(COLLECTION).parquet(path)
+    """A stored collection; its schema says the dimension it was created for."""
+    return spark.read.parquet(path)
+
+
+def dimension(collection: DataFrame) -> int | None:
+    """The dimension a collection was created for, if it was stored as one."""
+    return collection.schema["vector"].metadata.get("dim") if "vector" in collection.columns else None
 
 
 def save_collection(collection: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -43,13 +52,22 @@ def points(chunks: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, seq: str, key: str = "id") -> DataFrame:
     """``old`` with the points of ``new`` put in or replaced; of points with one id, the last by ``seq`` counts.
 
-    The latest ``seq`` per id is found from the two narrow columns, so vectors are never gathered
-    by id; ``seq`` must be unique within an id. The points that count are stored once: they are
-    part of the result and also tell which old ones go.
+    Of several points with one id and ``seq``, that with the greatest hash of all its values counts.
+    The one per id is found from narrow columns, so vectors are never gathered by id; equal rows
+    count once. A vector that has not the dimension of ``old`` raises. The points that count are
+    stored once: they are part of the result and also tell which old ones go.
     """
-    latest = new.groupBy(key).agg(F.max(seq).alias(seq))
-    winners = materialize(new.join(latest, [key, seq], "left_semi").select(*old.columns), "points")
-    return old.join(winners.select(key), key, "left_anti").unionByName(winners)
+    dim = dimension(old)
+    if dim is not None:
+        wrong = F.raise_error(F.concat(F.lit(f"a vector has not {dim} values: "), F.col(key).cast("string")))
+        fits = F.coalesce(F.size("vector") == dim, F.lit(False))
+        new = new.withColumn("vector", F.when(fits, F.col("vector")).otherwise(wrong))
+    marked = new.withColumn("_mark", F.struct(F.col(seq), F.xxhash64(*old.columns)))
+    latest = marked.groupBy(key).agg(F.max("_mark").alias("_mark"))
+    winners = marked.join(latest, [key, "_mark"], "left_semi").dropDuplicates([key]).select(*old.columns)
+    winners = materialize(winners, "points")
+    merged = old.join(winners.select(key), key, "left_anti").unionByName(winners)
+    return merged if dim is None else merged.withMetadata("vector", {"dim": dim})
 
 
 def collection_info(collection: DataFrame, vector: str = "vector") -> DataFrame:

@@ -19,18 +19,24 @@ MISSING = (
 )
 
 
-def scan_csv(spark: SparkSession, path: str) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Transaction file(s) with a header, typed by column name without reading the data twice.
 
     ``ord`` is the place of the row in the files. A leading index column without a name is dropped.
+    The header of one file sets the order of the columns; a file with another header raises when it
+    is read. Records may hold line breaks inside quotes if ``multi_line`` is set; each file is then
+    read by one task.
     """
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     header = reader.csv(path).columns
     missing = set(RAW_TXN) - set(header)
     if missing:
         raise ValueError(f"columns missing in {path}: {sorted(missing)}")
-    as_text = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = reader.schema(as_text).option("escape", '"').option("mode", "FAILFAST").csv(path)
+    # In the file the index column has no name, and names are compared with those in the file.
+    as_text = T.StructType([T.StructField("" if c in _STRAY_INDEX[1:] else c, T.StringType()) for c in header])
+    raw = reader.schema(as_text).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+    raw = raw.select("*", "_metadata")
+    raw = raw.toDF(*header, "_metadata")
     # A value that is neither missing nor of its type raises.
     typed = {c: F.when(~F.col(c).isin(*MISSING), F.col(c)).cast(t) for c, t in RAW_TXN.items()}
     place = F.struct(
@@ -39,7 +45,7 @@ def scan_csv(spark: SparkSession, path: str) -> DataFrame:
         # Rises with the rows of a block, which one task reads from start to end.
         F.monotonically_increasing_id().alias("row"),
     )
-    return raw.withColumns({**typed, "ord": place}).drop(*_STRAY_INDEX)
+    return raw.withColumns({**typed, "ord": place}).drop(*_STRAY_INDEX, "_metadata")
 
 
 def normalize(raw: DataFrame, keep_raw_ids: bool = False) -> DataFrame:
@@ -70,8 +76,10 @@ def union_splits(splits: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def read_transactions(spark: SparkSession, paths: Mapping[str, str], keep_raw_ids: bool = False) -> DataFrame:
+def read_transactions(
+    spark: SparkSession, paths: Mapping[str, str], keep_raw_ids: bool = False, multi_line: bool = False
+) -> DataFrame:
     """``{"train": path, "test": path}`` to one typed frame with ``split`` and ``ord``."""
     return union_splits(
-        {name: normalize(scan_csv(spark, path), keep_raw_ids) for name, path in paths.items()}
+        {name: normalize(scan_csv(spark, path, multi_line), keep_raw_ids) for name, path in paths.items()}
     )
