@@ -59,7 +59,8 @@ def components(edges: DataFrame) -> DataFrame:
     number of rounds that grows with the logarithm of the longest chain. Each round is written to
     the shared folder. Self loops and repeated edges do no harm; edges with a null end are no edges.
     """
-    valid = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
+    ends = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
+    valid = ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = materialize(valid.mapInArrow(_contract, EDGES), "edges")
     mark = _mark(now)
     while mark[0]:
