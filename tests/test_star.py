@@ -283,7 +283,7 @@ def test_lookup_join_spreads_hot_keys(spark, how, known):
     sizes = {k: sum(1 for _, key, _ in data if key == k) for k in some}
     dim = spark.createDataFrame([(k, v, f"n{v}", sizes[k]) for k, v in some.items()], "key string, id long, name string, w long")
     dim = dim if known else dim.drop("w")
-    out = joins.lookup_join(df, dim, "key", how, spread="ord", weight="w" if known else None, small_rows=10)
+    out = joins.lookup_join(df, dim, "key", how, spread="ord", weight="w" if known else None, broadcast_bytes=10)
     got = {(r["ord"], r["key"], r["id"], r["name"]) for r in out.collect()}
     full = {(o, k, some.get(k), f"n{some[k]}" if k in some else None) for o, k, _ in data}
     assert got == (full if how == "left" else {r for r in full if r[2] is not None})
@@ -298,7 +298,7 @@ def test_lookup_join_balances_tasks(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        out = joins.lookup_join(df, dim, "key", "left", spread="ord", small_rows=10)
+        out = joins.lookup_join(df, dim, "key", "left", spread="ord", broadcast_bytes=10)
         sizes = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -306,6 +306,31 @@ def test_lookup_join_balances_tasks(spark):
     assert sum(sizes) == len(data) and max(sizes) < len(data) / 3
 
 
+def test_star_view_counts_large_dimensions_once(spark, built, monkeypatch):
+    small = rows(star.star_view(built).select("trans_num", "first", "merchant_name", "category_name", "year_month"))
+    assert "Broadcast" in star.star_view(built)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(star, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    counted = []
+    monkeypatch.setattr(star, "key_counts", lambda facts, keys: counted.append(keys) or joins.key_counts(facts, keys))
+    large = star.star_view(built)
+    assert rows(large.select("trans_num", "first", "merchant_name", "category_name", "year_month")) == small
+    assert counted == [[f"{d}_id" for d in star.DIMENSIONS]]
+
+
+def test_fact_stays_where_it_is(spark):
+    """After numbering, keys are looked up in broadcast tables: the fact is not exchanged again."""
+    from txnlens.plans import bindings
+
+    txn = bindings.event_features(spark, "/root/testdata/sf0.001")
+    numbered = keys.numbered_rows(txn, "ord")
+    fact = star.fact_transactions(numbered, star.star_keys(numbered, "transaction_id"))
+    fact.collect()
+    plan = fact._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 4
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+
+
 # --- checks and profiles -----------------------------------------------------------------------
 
 

@@ -7,9 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +17,8 @@ from txnlens.functions.vector import l2_normalize
 
 DIM = 768
 BATCH_SIZE = 32
+# Counts a task works on at a time.
+HISTOGRAM_CELLS = 1 << 22
 ROLES = ("query", "passage")
 
 # The workers need not have this package installed.
@@ -44,17 +45,39 @@ def embed(
 ) -> DataFrame:
     """Add the unit-length ``vector`` of each text; null where the encoder gives a zero vector.
 
-    Without ``make_encoder`` the vector counts hashed words, computed in the JVM.
+    Without ``make_encoder`` the vector counts words by a part of their MD5.
     """
     text = with_role(F.col(text_col), role)
     if make_encoder is None:
-        hashed = HashingTF(inputCol="_terms", outputCol="_counts", numFeatures=dim).transform(
-            df.withColumn("_terms", all_terms(text))
-        )
-        out = hashed.withColumn("_raw", vector_to_array("_counts", "float32"))
+        raw = _histogram(F.transform(all_terms(text), lambda w: word_bucket(w, dim)), dim)
     else:
-        out = df.withColumn("_raw", _encoder_udf(make_encoder, batch_size)(text))
-    return out.withColumn("vector", l2_normalize(F.col("_raw"))).select(*df.columns, "vector")
+        raw = _encoder_udf(make_encoder, batch_size)(text)
+    return df.withColumn("_raw", raw).withColumn("vector", l2_normalize(F.col("_raw"))).select(*df.columns, "vector")
+
+
+def word_bucket(word: Column, dim: int) -> Column:
+    """Place of a word in the vector: the first 32 bits of its MD5, modulo ``dim``."""
+    return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
+
+
+def _histogram(buckets: Column, dim: int) -> Column:
+    """How often each of the numbers below ``dim`` occurs in a row's list."""
+
+    @F.arrow_udf("array<float>")
+    def run(lists: pa.Array) -> pa.Array:
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        out = []
+        step = max(1, HISTOGRAM_CELLS // dim)
+        values = lists.flatten().to_numpy()
+        cuts = np.searchsorted(row, np.arange(0, len(lists) + step, step))
+        for k, first in enumerate(range(0, len(lists), step)):
+            n = min(step, len(lists) - first)
+            mine = slice(cuts[k], cuts[k + 1])
+            out.append(np.bincount((row[mine] - first) * dim + values[mine], minlength=n * dim).astype(np.float32))
+        flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.float32))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * dim, pa.int32()), flat)
+
+    return run(buckets)
 
 
 def _encoder_udf(make_encoder: Callable[[], Encoder], batch_size: int):

@@ -5,14 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnlens.session import shuffle_partitions
+from txnlens.session import materialize, shuffle_partitions
 
-# Up to here Spark's own size check (autoBroadcastJoinThreshold) picks the join.
-SMALL_ROWS = 100_000
+# Lookup tables of up to so many bytes are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
-def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
+def table_bytes(df: DataFrame) -> int:
+    """About the bytes of a table as rows: texts by their length, nested values as JSON, others as 8 bytes."""
+    size = F.lit(16)
+    for field in df.schema.fields:
+        value = F.col(f"`{field.name}`")
+        kind = field.dataType.simpleString()
+        if kind in ("string", "binary"):
+            size = size + 16 + F.coalesce(F.octet_length(value), F.lit(0))
+        elif kind.startswith(("array", "struct", "map")):
+            size = size + 16 + F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0))
+        else:
+            size = size + 8
+    return df.agg(F.sum(size.cast("long"))).first()[0] or 0
+
+
+def key_counts(facts: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """``(key, _rows)`` for each of several columns, counted in one pass and stored."""
+    counted = facts.groupingSets([[k] for k in keys], *keys).agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("_rows"))
+    stored = materialize(counted, "counts")
+    bit = {k: (1 << len(keys)) - 1 - (1 << (len(keys) - 1 - i)) for i, k in enumerate(keys)}
+    return {k: stored.filter((F.col("_set") == bit[k]) & F.col(k).isNotNull()).select(k, "_rows") for k in keys}
 
 
 def lookup_join(
@@ -22,25 +41,25 @@ def lookup_join(
     how: str = "inner",
     spread: str = "transaction_id",
     weight: str | None = None,
-    dim_rows: int | None = None,
+    dim_bytes: int | None = None,
     fact_rows: int | None = None,
-    small_rows: int = SMALL_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``facts JOIN dim USING (on)`` (inner or left), safe when one key holds much of ``facts``.
 
-    A small ``dim`` is left to Spark. For a large one, keys with more rows than an even share of a
+    A ``dim`` of at most ``broadcast_bytes`` is broadcast and ``facts`` stay where they are. For a larger one, keys with more rows than an even share of a
     shuffle partition are looked up in a broadcast table, which holds at most as many keys as
     there are partitions; their rows then bypass the shuffle join spread by a hash of the
     ``spread`` column instead of piling up in one task. ``weight`` names a column of ``dim`` with
-    the number of fact rows per key; it is not part of the result. Row counts that are known need
-    not be counted here.
+    the number of fact rows per key; it is not part of the result. Sizes that are known need not be
+    found here.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
     payload = [c for c in dim.columns if c not in (on, weight)]
-    small = is_small(dim, small_rows) if dim_rows is None else dim_rows <= small_rows
-    if small:
-        return facts.join(dim.select(on, *payload), on, how)
+    known = table_bytes(dim.select(on, *payload)) if dim_bytes is None else dim_bytes
+    if known <= broadcast_bytes:
+        return facts.join(F.broadcast(dim.select(on, *payload)), on, how)
 
     if weight is None:
         counts = facts.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_rows"))

@@ -13,7 +13,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnlens.operators.joins import lookup_join
+from txnlens.operators.joins import BROADCAST_BYTES, lookup_join, table_bytes
 from txnlens.session import materialize
 
 # monotonically_increasing_id() keeps the partition above bit 33 and the row within it below.
@@ -53,8 +53,21 @@ def row_ids(df: DataFrame, ord: str | Sequence[str], id_name: str = "transaction
 
 # Order of rows as ``transactions.union_splits`` gives it to rows read from files.
 FILE_ORDER = "struct<split_no:int,place:struct<file:string,block:bigint,row:bigint>>"
-# File blocks whose offsets may be broadcast: some 150 bytes each.
-BROADCAST_BLOCKS = 1_000_000
+
+
+def _sums_before(df: DataFrame, order: Sequence[str], value: str) -> DataFrame:
+    """Add ``_before``: the sum of ``value`` over the rows before, in ``order``.
+
+    Ranges of rows are added up one by one, the sums inside a range by a window over it.
+    """
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    # As many rows as partitions.
+    sums = sorted(tuple(r) for r in ranged.groupBy("_range").agg(F.sum(value)).collect())
+    starts = accumulate([n for _, n in sums], initial=0)
+    offsets = df.sparkSession.createDataFrame([(part, n) for (part, _), n in zip(sums, starts)], "_range int, _start bigint")
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    added = F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return materialize(ranged.join(F.broadcast(offsets), "_range").withColumn("_before", added), "sums")
 
 
 def file_row_ids(df: DataFrame, ord: str, id_name: str = "transaction_id") -> DataFrame:
@@ -82,10 +95,8 @@ def file_row_ids(df: DataFrame, ord: str, id_name: str = "transaction_id") -> Da
     )
     if sizes.filter(F.col("_last") - F.col("_first") + 1 != F.col("_size")).take(1):
         return row_ids(stored, ord, id_name)
-    # One row per file block, so one task can order them.
-    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*block, "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    offsets = F.broadcast(offsets) if sizes.count() <= BROADCAST_BLOCKS else offsets
+    offsets = _sums_before(sizes, block, "_size").select(*block, "_first", "_before")
+    offsets = F.broadcast(offsets) if table_bytes(offsets) <= BROADCAST_BYTES else offsets
     number = F.col("_before") + F.col("_row") - F.col("_first") + 1
     return placed.join(offsets, block).withColumn(id_name, number).select(id_name, *df.columns)
 
@@ -99,11 +110,12 @@ def numbered_rows(df: DataFrame, ord: str | Sequence[str], id_name: str = "trans
 
 @dataclass(frozen=True)
 class KeyTable:
-    """``keys`` is ``(column, id, first_ord, n_rows)``; the counts say how to join it."""
+    """``keys`` is ``(column, id, first_ord, n_rows)``; the sizes say how to join it."""
 
     keys: DataFrame
     n_keys: int
     n_rows: int
+    n_bytes: int
 
 
 def key_tables(df: DataFrame, keys: Mapping[str, str], ord: str) -> dict[str, KeyTable]:
@@ -121,18 +133,21 @@ def key_tables(df: DataFrame, keys: Mapping[str, str], ord: str) -> dict[str, Ke
     for c in cols:
         no_key = no_key & F.col(c).isNull()
     # The null key sorts last in its set, so it takes no number from the others.
-    numbered = row_ids(found.withColumn("_null", no_key), ["_set", "_null", "first_ord"], "_id")
-    # One row per column numbered.
-    sizes = numbered.groupBy("_set").agg(F.min("_id"), F.count(F.lit(1)), F.sum("n_rows")).collect()
+    numbered = materialize(row_ids(found.withColumn("_null", no_key), ["_set", "_null", "first_ord"], "_id"), "keys")
+    # One row per column numbered. A key takes its text and two numbers.
+    width = F.lit(48)
+    for c in cols:
+        width = width + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    sizes = numbered.groupBy("_set").agg(F.min("_id"), F.count(F.lit(1)), F.sum("n_rows"), F.sum(width.cast("long"))).collect()
     by_set = {row[0]: row[1:] for row in sizes}
     out = {}
     for place, (id_name, c) in enumerate(keys.items()):
         # grouping_id() has a bit for each column left out, the first one highest.
         bits = (1 << len(cols)) - 1 - (1 << (len(cols) - 1 - place))
-        start, n_keys, n_rows = by_set.get(bits, (1, 0, 0))
+        start, n_keys, n_rows, n_bytes = by_set.get(bits, (1, 0, 0, 0))
         number = F.when(F.col("_null"), F.lit(0)).otherwise(F.col("_id") - start + 1)
         table = numbered.filter(F.col("_set") == bits).select(c, number.alias(id_name), "first_ord", "n_rows")
-        out[id_name] = KeyTable(table, n_keys, n_rows)
+        out[id_name] = KeyTable(table, n_keys, n_rows, n_bytes)
     return out
 
 
@@ -145,7 +160,7 @@ def attach_key(df: DataFrame, table: KeyTable, key: str, id_name: str, ord: str)
     """Add the surrogate key of each row's natural key; rows with a null key get 0."""
     known = table.keys.filter(F.col(key).isNotNull()).select(key, id_name, "n_rows")
     out = lookup_join(
-        df, known, key, how="left", spread=ord, weight="n_rows", dim_rows=table.n_keys, fact_rows=table.n_rows
+        df, known, key, how="left", spread=ord, weight="n_rows", dim_bytes=table.n_bytes, fact_rows=table.n_rows
     )
     return out.withColumn(id_name, F.coalesce(F.col(id_name), F.lit(0)))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.functions.features import calendar_columns, with_features
-from txnlens.operators.joins import lookup_join
+from txnlens.operators.joins import BROADCAST_BYTES, key_counts, lookup_join, table_bytes
 from txnlens.operators.keys import KeyTable, attach_key, first_per_key, key_tables, numbered_rows
 from txnlens.session import materialize
 
@@ -100,10 +100,21 @@ def build_star(txn: DataFrame, ord: str | Sequence[str] = "ord") -> Star:
 
 
 def star_view(star: Star, dims: Sequence[str] = DIMENSIONS) -> DataFrame:
-    """The fact joined with the given dimensions; the fact's own date parts win over the dimension's."""
-    out = star.fact
+    """The fact joined with the given dimensions; the fact's own date parts win over the dimension's.
+
+    Dimensions that are too large to broadcast have their keys counted in one pass over the fact.
+    """
+    taken, tables = set(star.fact.columns), {}
     for name in dims:
         dim = star.dim(name)
-        clash = [c for c in dim.columns if c in out.columns and c != f"{name}_id"]
-        out = lookup_join(out, dim.drop(*clash), f"{name}_id")
+        tables[name] = dim.drop(*[c for c in dim.columns if c in taken and c != f"{name}_id"])
+        taken |= set(tables[name].columns)
+    size = {name: table_bytes(dim) for name, dim in tables.items()}
+    large = [f"{name}_id" for name in dims if size[name] > BROADCAST_BYTES]
+    counts = key_counts(star.fact, large) if large else {}
+    out = star.fact
+    for name, dim in tables.items():
+        key = f"{name}_id"
+        weight = "_rows" if key in counts else None
+        out = lookup_join(out, dim.join(counts[key], key) if weight else dim, key, weight=weight, dim_bytes=size[name])
     return out

@@ -307,6 +307,23 @@ def oneline(text: str, n: int) -> str:
     return f"substr(replace({text}, chr(10), ' '), 1, {n})"
 
 
+def buckets(role: str, text: str) -> str:
+    """Numbers of the words of a text, the role before it, below 256."""
+    words = rf"list_filter(regexp_split_to_array(lower('{role}: ' || coalesce({text}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+    return f"list_transform({words}, lambda w: CAST(CAST('0x' || md5(w)[1:8] AS BIGINT) % 256 AS INTEGER))"
+
+
+def word_vectors(name: str, source: str, key: str, role: str, text: str) -> str:
+    """``name (key, pos, x)``: the components that are not zero, in single precision."""
+    return f"""
+    {name}_count AS (
+        SELECT {key}, pos, COUNT(*) AS n FROM (SELECT {key}, unnest({buckets(role, text)}) AS pos FROM {source}) t GROUP BY {key}, pos
+    ),
+    {name} AS (
+        SELECT {key}, pos, CAST(n / sqrt(SUM(n * n) OVER (PARTITION BY {key})) AS FLOAT)::DOUBLE AS x FROM {name}_count
+    )"""
+
+
 ORACLE = {
     "txn_typed": f"WITH {EVENTS} SELECT trans_num, trans_ts, cc_num, zip, dob FROM ev",
     "txn_union": f"""WITH {EVENTS} SELECT row_number() OVER (ORDER BY split = 'test', ord) AS transaction_id, trans_num, split FROM ev""",
@@ -438,6 +455,36 @@ ORACLE = {
         SELECT id, label, ROUND(list_inner_product(v::DOUBLE[], v::DOUBLE[]), 5) AS norm2, ROUND(v[1]::DOUBLE, 6) AS x0 FROM merged""",
     "collection_info": """SELECT COUNT(*) AS n_points, CAST(MIN(len(embedding)) AS INTEGER) AS min_dim,
             CAST(MAX(len(embedding)) AS INTEGER) AS max_dim FROM embeddings""",
+    "embed_texts": f"WITH {word_vectors('v', 'documents', 'doc_id', 'passage', 'text')} SELECT doc_id, pos, ROUND(x, 5) AS x FROM v",
+    "retrieve_texts": f"""WITH {chunked('window')},
+        {word_vectors('pv', 'chunk', 'chunk_id', 'passage', 'text')}, {word_vectors('qv', 'benchmark', 'item_id', 'query', 'text')},
+        pn AS (SELECT chunk_id, sqrt(SUM(x * x)) AS len FROM pv GROUP BY chunk_id),
+        qn AS (SELECT item_id, sqrt(SUM(x * x)) AS len FROM qv GROUP BY item_id),
+        dots AS (SELECT item_id, chunk_id, SUM(qv.x * pv.x) AS dot FROM qv JOIN pv USING (pos) GROUP BY item_id, chunk_id),
+        scored AS (SELECT item_id, chunk_id, dot / (qn.len * pn.len) AS score FROM dots JOIN pn USING (chunk_id) JOIN qn USING (item_id)),
+        hits AS (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ROUND(score, 7) DESC, chunk_id) AS dense_rank FROM scored
+        ),
+        rr AS (
+            SELECT h.*, {overlap('b.text', 'c.text')} AS rerank_score
+            FROM hits h JOIN benchmark b USING (item_id) JOIN chunk c USING (chunk_id) WHERE dense_rank <= 5
+        )
+        SELECT item_id AS query_id, chunk_id AS id, ROUND(score, 6) AS score, ROUND(rerank_score, 6) AS rerank_score,
+            CAST(row_number() OVER (PARTITION BY item_id ORDER BY rerank_score DESC, dense_rank) AS INTEGER) AS rank
+        FROM rr""",
+    "csv_transactions": f"""WITH {EVENTS}
+        SELECT trans_ts, cc_num, merchant, category, amt, first, last, gender, street, city, state, zip, lat, long, city_pop, job,
+            CAST(dob AS VARCHAR) AS dob, trans_num, unix_time, merch_lat, merch_long, is_fraud, split FROM ev""",
+    "chunk_files": f"WITH {chunked('window')} SELECT * FROM chunk",
+    "warehouse_fact": f"""WITH {EVENTS} SELECT trans_num, split, amt, year, month, 2 AS n_rows FROM gaps""",
+    "warehouse_daily": f"""WITH {EVENTS}, t AS (SELECT * FROM gaps) SELECT {DAILY}, {METRICS} FROM t GROUP BY {DAILY}""",
+    "snapshot_merchants": f"""WITH {EVENTS}, k AS ({ids('gaps', 'merchant', 'merchant_id')}),
+        t AS (SELECT gaps.*, merchant_id, gaps.merchant AS merchant_name FROM gaps JOIN k ON gaps.merchant IS NOT DISTINCT FROM k.merchant)
+        SELECT merchant_id, merchant_name, {METRICS} FROM t GROUP BY merchant_id, merchant_name""",
+    "collection_files": "SELECT CAST(vec_id AS VARCHAR) AS id, label, CAST(len(embedding) AS INTEGER) AS dim, ROUND(embedding[1]::DOUBLE, 6) AS x0 FROM embeddings",
+    "vector_files": "SELECT vec_id AS chunk_id, ROUND(embedding[64]::DOUBLE, 6) AS last FROM embeddings",
+    "select_capped": "SELECT c_custkey AS customer_id, c_mktsegment AS job FROM customer ORDER BY c_custkey DESC LIMIT 25",
+    "chk_smallint": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT BETWEEN -32768 AND 32767",
     "qa_route": f"WITH {QUESTIONS} SELECT question_id, {routed('label')} AS route, {routed(None)} AS route_by_words FROM qs",
     "qa_branches": f"""WITH {QUESTIONS}, r AS (SELECT *, {routed('label')} AS route FROM qs)
         SELECT question_id, route, CASE WHEN route = 'data' THEN 'SELECT * FROM events WHERE user_id = ' || conv_id END AS sql,

@@ -18,8 +18,9 @@ from txnlens.operators import aggregates, answers, blocks, checks, chunks, embed
 from txnlens.plans import bindings as B
 from txnlens.plans import governed, reports
 from txnlens.sources import collections as points
-from txnlens.session import materialize
-from txnlens.sources import transactions
+from txnlens.schemas import RAW_TXN
+from txnlens.session import materialize, new_place
+from txnlens.sources import documents, transactions, warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -405,8 +406,9 @@ def vec_normalize(spark, sf):
 
 @query
 def embed_texts(spark, sf):
-    docs = B.documents(spark, sf)
-    return embedding.embed(docs, dim=256).select("doc_id", "vector")
+    """The components that are not zero."""
+    docs = embedding.embed(B.documents(spark, sf), dim=256).select("doc_id", F.posexplode("vector").alias("pos", "x"))
+    return rounded(docs.filter("x <> 0").withColumn("x", F.col("x").cast("double")), x=5)
 
 
 @query
@@ -440,7 +442,7 @@ def retrieve_texts(spark, sf):
     )
     asked = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     hits = search.embed_and_retrieve(asked, materialize(collection, "points"), 256, k=5)
-    return hits.select("query_id", "id", "score", "rerank_score", "rank")
+    return rounded(hits.select("query_id", "id", "score", "rerank_score", "rank"), score=6, rerank_score=6)
 
 
 @query
@@ -466,6 +468,116 @@ def collection_info(spark, sf):
     return points.collection_info(B.table(spark, sf, "embeddings"), "embedding")
 
 
+# --- files -------------------------------------------------------------------------------------
+
+
+def _folder(spark, name):
+    """A new place in the shared folder, deleted with the stored tables."""
+    return new_place(spark, name)
+
+
+def _raw_files(spark, sf):
+    """Events as raw transaction files, one folder per split, with an index column without a name."""
+    raw = B.event_transactions(spark, sf).withColumn("trans_date_trans_time", F.date_format("trans_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    raw = raw.withColumn("", F.col("ord"))
+    paths = {}
+    for name in ("train", "test"):
+        paths[name] = _folder(spark, f"raw-{name}")
+        raw.filter(F.col("split") == name).select(F.col("``"), *RAW_TXN).write.option("header", True).option("escape", '"').csv(paths[name])
+    return paths
+
+
+@query
+def csv_transactions(spark, sf):
+    """Written as CSV and read back: types, missing values, ids without leading zeros, no index column."""
+    out = transactions.read_transactions(spark, _raw_files(spark, sf))
+    return out.drop("ord").withColumn("dob", F.col("dob").cast("string"))
+
+
+@query
+def chunk_files(spark, sf):
+    """Chunks written as JSON Lines and read back."""
+    path = _folder(spark, "chunks")
+    documents.write_chunks(chunks.chunks(_blocks(spark, sf)), path)
+    return documents.read_chunks(spark, path)
+
+
+def _small_star(spark, sf):
+    return star.build_star(B.events_with_gaps(spark, sf))
+
+
+def _stored(spark, sf):
+    root = _folder(spark, "warehouse")
+    warehouse.save_star(_small_star(spark, sf), root)
+    loaded = warehouse.load_star(spark, root)
+    warehouse.refresh_aggregates(loaded, root)
+    return root, loaded
+
+
+@query
+def warehouse_fact(spark, sf):
+    """The fact saved twice, the second time appended, and loaded."""
+    root = _folder(spark, "warehouse")
+    tables = _small_star(spark, sf)
+    warehouse.save_star(tables, root)
+    warehouse.save_star(tables, root, mode="append", rebalance=False)
+    loaded = warehouse.load_star(spark, root)
+    return loaded.fact.groupBy("trans_num", "split", "amt", "year", "month").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query
+def warehouse_daily(spark, sf):
+    """The daily aggregate, refreshed in the warehouse and loaded."""
+    root, _ = _stored(spark, sf)
+    return rounded(warehouse.load_aggregates(spark, root)["daily"], **METRIC_DIGITS)
+
+
+@query
+def snapshot_merchants(spark, sf):
+    """All relations exported, restored elsewhere, and read there."""
+    root, loaded = _stored(spark, sf)
+    path = _folder(spark, "snapshot")
+    warehouse.export_snapshot(warehouse.relations(loaded, warehouse.load_aggregates(spark, root)), path)
+    restored = warehouse.restore_snapshot(spark, path, _folder(spark, "restored"))
+    return rounded(restored["agg_merchant_fraud"], **METRIC_DIGITS)
+
+
+@query
+def collection_files(spark, sf):
+    """A collection created for its dimension, filled by an upsert, saved and read back."""
+    e = B.table(spark, sf, "embeddings")
+    payload = F.struct(
+        F.col("vec_id").cast("string").alias("chunk_id"), F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("subsection"),
+        F.lit(0).alias("block_index"), F.col("label").cast("int").alias("chunk_index"), F.lit("t").alias("text"),
+    )
+    new = e.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), payload.alias("payload"), F.lit(1).alias("seq"))
+    empty = points.create_collection(spark, _folder(spark, "collection"), 64)
+    path = _folder(spark, "collection")
+    points.save_collection(points.upsert(empty, new, "seq"), path)
+    out = points.read_collection(spark, path)
+    return rounded(out.select("id", F.col("payload.chunk_index").alias("label"), F.size("vector").alias("dim"), F.col("vector")[0].cast("double").alias("x0")), x0=6)
+
+
+@query
+def vector_files(spark, sf):
+    """Vectors stored apart from the texts."""
+    path = _folder(spark, "vectors")
+    points.save_vectors(B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), path)
+    return rounded(spark.read.parquet(path).select("chunk_id", F.col("vector")[63].cast("double").alias("last")), last=6)
+
+
+@query
+def select_capped(spark, sf):
+    """A row cap on request; the statement orders the rows."""
+    warehouse.register_views({"dim_customer": B.line_customers(spark, sf)})
+    return governed.run_select(spark, "SELECT customer_id, job FROM dim_customer ORDER BY customer_id DESC;", limit=25, strict=True)
+
+
+@query
+def chk_smallint(spark, sf):
+    return checks.check_smallint(B.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+
+
 # --- questions ---------------------------------------------------------------------------------
 
 

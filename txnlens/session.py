@@ -23,7 +23,7 @@ def build_session(app: str = "txnlens", master: str | None = None, **conf: objec
     return builder.getOrCreate()
 
 
-# Folders written by ``materialize`` in this process, oldest first.
+# Places given out in this process, oldest first.
 _stored: list[str] = []
 
 
@@ -48,6 +48,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def new_place(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted by ``release``."""
+    path = f"{shared_dir(spark)}/txnlens/{label}-{uuid.uuid4().hex}"
+    _stored.append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and go on from the stored table.
 
@@ -55,16 +62,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     tables stay until ``release`` or the cluster's own clean-up.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/txnlens/{label}-{uuid.uuid4().hex}"
-    _stored.append(path)
+    path = new_place(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete every table that ``materialize`` stored in this process; frames built on them end with it.
+    """Delete everything stored in this process; frames built on it end with it.
 
-    Returns how many were deleted.
+    Returns how many tables and folders were deleted.
     """
     conf, deleted = spark._jsc.hadoopConfiguration(), 0
     while _stored:
