@@ -2,17 +2,92 @@
 
 from __future__ import annotations
 
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_HOST = r"translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE = {
     "op5_substring_dedup": r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 s AS (SELECT doc_id, p, array_to_string(words[p:p + 12], ' ') AS win
       FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 11, 1))) AS p FROM w)),
 first AS (SELECT win, min(doc_id) AS doc_id FROM s GROUP BY win),
 gone AS (SELECT DISTINCT s.doc_id, unnest(range(s.p, s.p + 13)) AS p FROM s JOIN first USING (win) WHERE first.doc_id < s.doc_id),
 g AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
-k AS (SELECT doc_id, words, list_filter(list_zip(words, range(1, len(words) + 1)), x -> NOT list_contains(coalesce(ps, []), x[2])) AS left_over
+k AS (SELECT doc_id, words, list_filter(list_zip(words, range(1, len(words) + 1)), lambda x: NOT list_contains(coalesce(ps, []), x[2])) AS left_over
       FROM w LEFT JOIN g USING (doc_id))
 SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - len(left_over))::BIGINT AS n_removed,
-       sha256(coalesce(array_to_string(list_transform(left_over, x -> x[1]), ' '), '')) AS kept_sha256
+       sha256(coalesce(array_to_string(list_transform(left_over, lambda x: x[1]), ' '), '')) AS kept_sha256
 FROM k""",
+    "op2_mix_sources": """
+WITH RECURSIVE size AS (SELECT coalesce(source, '') AS source, COUNT(*) AS n FROM documents GROUP BY 1),
+whole AS (SELECT SUM(n)::DOUBLE AS rows, SUM(pow(n::DOUBLE, 0.5)) AS weight FROM size),
+rate AS (SELECT source, rows * pow(n::DOUBLE, 0.5) / weight / n AS rate FROM size, whole),
+part AS (SELECT source, greatest(1, CAST(ceil(rate / 16.0) AS INTEGER)) AS parts, rate / greatest(1, ceil(rate / 16.0)) AS mean FROM rate),
+term AS (
+    SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS sum FROM part
+    UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), sum + p * mean / (k + 1) FROM term WHERE k < 96
+),
+draw AS (
+    SELECT doc_id, source, CAST('0x' || md5('1:' || coalesce(doc_id::VARCHAR, '') || ':' || j)[1:13] AS BIGINT) / 4503599627370496.0 AS u
+    FROM (SELECT doc_id, source, unnest(range(1, parts + 1)) AS j FROM (SELECT doc_id, coalesce(source, '') AS source FROM documents) a JOIN part USING (source)) d
+),
+drawn AS (SELECT doc_id, CAST(COUNT(*) AS INTEGER) AS n FROM draw JOIN term USING (source) WHERE sum <= u GROUP BY doc_id)
+SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy FROM documents JOIN drawn USING (doc_id)""",
+    "op3_ngram_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
+s AS (
+    SELECT DISTINCT doc_id, array_to_string(words[p:p + 2], ' ') AS shingle
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS p FROM w WHERE len(words) > 0) t
+),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+both_ways AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS shared FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (
+    SELECT a, b FROM both_ways JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)
+),
+reach AS (SELECT a, a AS b FROM (SELECT DISTINCT a FROM link) t UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+low AS (SELECT a, MIN(b) AS b FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low.b, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = w.doc_id""",
+    "op6_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, p, h[2 * p - 1:2 * p + 98] AS str FROM (SELECT doc_id, h, unnest(range(1, greatest(len(h) // 2 - 48, 1))) AS p FROM d) t),
+first AS (SELECT str, MIN(doc_id) AS doc_id FROM s GROUP BY str),
+late AS (SELECT s.doc_id, p, TRUE AS late FROM s JOIN first USING (str) WHERE first.doc_id < s.doc_id),
+b AS (SELECT doc_id, unnest(range(1, len(h) // 2 + 1)) AS p, unnest(string_split_regex(regexp_replace(h, '(..)', '\\1 ', 'g'), ' ')[1:len(h) // 2]) AS byte FROM d),
+g AS (SELECT doc_id, p, byte, MAX(CASE WHEN late THEN p END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+      FROM b LEFT JOIN late USING (doc_id, p)),
+m AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), FALSE) AS opens FROM g),
+r AS (SELECT doc_id, COUNT(*) FILTER (gone) AS n_removed, COUNT(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (NOT gone) AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)""",
+    "op7_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+t AS (SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS tokens FROM l),
+leaf AS (SELECT doc_id, pos, line, len(tokens) AS n, list_transform(tokens[1:6], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS lead FROM t),
+often AS (SELECT n, lead, MIN(doc_id) AS first FROM leaf WHERE n > 0 GROUP BY n, lead HAVING COUNT(DISTINCT doc_id) >= 3),
+m AS (SELECT leaf.*, coalesce(leaf.doc_id > often.first, FALSE) AS gone FROM leaf LEFT JOIN often USING (n, lead)),
+r AS (SELECT doc_id, bool_or(gone) AS changed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM m GROUP BY doc_id)
+SELECT doc_id, CASE WHEN changed THEN r.text ELSE d.text END AS text, lang, source, CASE WHEN changed THEN length(r.text) ELSE n_chars END AS n_chars
+FROM documents d LEFT JOIN r USING (doc_id)""",
+    "op8_url_filter": f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, {_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN regexp_matches(host || path, '(?:[^A-Za-z0-9]|^)(?:casino|cheap|pills|bets|viagra|porn)(?:[^A-Za-z0-9]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
+    "op10_embedding_dedup": """
+WITH RECURSIVE link AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.93
+),
+n AS (SELECT a, COUNT(*) AS n FROM link GROUP BY a),
+reach AS (SELECT a, a AS b FROM n UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+low AS (SELECT a, MIN(b) AS b FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(low.b, vec_id) AS component_id, coalesce(low.b, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id""",
 }
