@@ -11,15 +11,11 @@ from pyspark.sql import functions as F
 from txnlens.functions.features import calendar_columns, with_features
 from txnlens.operators.joins import BROADCAST_BYTES, key_counts, lookup_join, table_bytes
 from txnlens.operators.keys import KeyTable, attach_key, first_per_key, key_tables, numbered_rows
+from txnlens.schemas import columns
 from txnlens.session import materialize
 
-CUSTOMER_ATTRIBUTES = (
-    "first", "last", "gender", "street", "city", "state", "zip", "lat", "long", "city_pop", "job", "dob",
-)
-FACT_COLUMNS = (
-    "transaction_id", "trans_num", "customer_id", "merchant_id", "category_id", "date_id", "trans_ts",
-    "unix_time", "amt", "is_fraud", "year", "month", "hour", "is_weekend", "cust_merch_distance_km", "split",
-)
+CUSTOMER_ATTRIBUTES = columns("dim_customer")[2:]
+FACT_COLUMNS = columns("fact_transactions")
 DIMENSIONS = ("customer", "merchant", "category", "date")
 
 

@@ -31,6 +31,7 @@ RAW_TXN = {
     "is_fraud": T.ShortType(),
 }
 
+# Columns of the relations, in the order in which they are stored.
 DIM_CUSTOMER = (
     "customer_id bigint, cc_num string, first string, last string, gender string, street string, city string, "
     "state string, zip string, lat double, long double, city_pop bigint, job string, dob date"
@@ -72,3 +73,8 @@ PAYLOAD = (
     "struct<chunk_id: string, section: string, subsection: string, block_index: int, chunk_index: int, text: string>"
 )
 COLLECTION = f"id string, vector array<float>, payload {PAYLOAD}"
+
+
+def columns(relation: str) -> tuple[str, ...]:
+    """Names of the columns of a relation, in order."""
+    return tuple(field.split()[0] for field in RELATIONS[relation].split(", "))
