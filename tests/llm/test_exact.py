@@ -115,16 +115,20 @@ def test_one_of_each_group_stays(spark):
     assert ordered(r[:2] for r in found.collect()) == ordered((i, t) for i, t in rows if i is None or low[i] == i)
 
 
-def test_size_classes_hold_all_pairs():
-    for percent in (60, 80, 90):
-        ends = ngram_join.size_classes(500, percent)
-        for a in range(1, 500):
-            for b in range(a, min(500, a * 100 // percent) + 1):
-                x, y = np.searchsorted(ends, [a, b])
-                assert y - x <= 1
-                # Pairs at the bound differ in fewer members than the family has classes.
-                need = -(-percent * (a + b) // (100 + percent))
-                assert a + b - 2 * need <= 2 * ends[y] * (100 - percent) // (100 + percent)
+def test_rarest_are_shared_by_linked_sets():
+    rng = np.random.default_rng(3)
+    for percent in (50, 60, 80, 90, 100):
+        for _ in range(200):
+            common = rng.integers(0, 40, 30)
+            a, b = (np.unique(np.append(rng.permutation(common)[: rng.integers(15, 31)], rng.integers(40 + 50 * k, 90 + 50 * k, rng.integers(0, 6)))) for k in (0, 1))
+            row = np.repeat([0, 1], [len(a), len(b)])
+            values = np.concatenate([a, b])
+            shared = np.isin(values, np.intersect1d(a, b))
+            # Some are shared with other documents only.
+            shared |= values % 7 == 0
+            hit = ngram_join.rarest(row, shared, np.array([len(a), len(b)]), percent)
+            if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                assert len(np.intersect1d(values[hit & (row == 0)], values[hit & (row == 1)]))
 
 
 def test_empty_tables(spark):

@@ -1,8 +1,9 @@
 """Documents whose sets of word n-grams overlap, by blocks of the document by n-gram matrix.
 
-Two sets that are linked differ in few n-grams, and how few follows from their sizes. The n-grams
-of a size range are dealt into one class more than that, so linked documents agree in a whole class.
-Documents that agree in one are put in one block of the incidence matrix; blocks of the matrix are
+Linked sets share so many n-grams that each has one of them among its few rarest; how few follows
+from its size. Rare here means: in no other document, and then in the order of a hash. Most documents
+have more n-grams of their own than that bound, so they can be linked with nothing and leave the
+matrix. The rest is put into blocks by the n-grams that are left of their bounds; blocks are
 multiplied with themselves, which counts the overlaps, and pairs below the bound that follows from
 their sizes are dropped. The counts decide alone, so the join is exact.
 """
@@ -21,7 +22,7 @@ from txnlens.session import materialize
 
 _FOUND = "kind int, bucket int, doc_id long, original long, n long, data binary, ids binary"
 _FOUND_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("original", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("ids", pa.binary())])
-SIGNATURES, SETS, DOCUMENTS = 0, 1, 2
+KEYS, SETS, DOCUMENTS = 0, 1, 2
 # A tile of the matrix has at most about this many entries; a document counts as LEAST_ENTRIES at least.
 TILE_ENTRIES = 1 << 20
 LEAST_ENTRIES = 512
@@ -54,53 +55,21 @@ def shingles(t: K.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(hashes)
 
 
-def size_classes(largest: int, percent: int) -> np.ndarray:
-    """Upper ends of size ranges; sets that may be linked are in the same or in neighbouring ranges."""
-    ends = [0]
-    while ends[-1] < largest:
-        ends.append(max(ends[-1] + 1, ends[-1] * 100 // percent))
-    ends.append(max(ends[-1] + 1, ends[-1] * 100 // percent))
-    ends.append(max(ends[-1] + 1, ends[-1] * 100 // percent))
-    return np.array(ends, np.int64)
+def rarest(row: np.ndarray, shared: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which n-grams (in order of row and hash) a linked set must have in common: those within the bound that are
+    ``shared`` at all. Of the n - ceil(n percent / 100) + 1 rarest, those of no other document come first."""
+    bound = n - -(-n * percent // 100) + 1
+    alone = np.bincount(row[~shared], minlength=len(n))
+    place = np.cumsum(shared)  # running number of shared n-grams, made to start anew in every row
+    before = np.append(0, place)[np.searchsorted(row, np.arange(len(n)))]
+    return shared & (place - before[row] <= (bound - alone)[row])
 
 
-def signatures(row: np.ndarray, hashes: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, signature)``: sets that may be linked share at least one.
-
-    Sets of sizes up to ``u`` with a Jaccard similarity of p per cent differ in at most
-    ``2u (100 - p) / (100 + p)`` members, and are dealt into one class more than that by the hash.
-    A set takes part for its own size range and for the one above.
-    """
-    used = np.flatnonzero(n > 0)
-    if not len(used):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    ends = size_classes(int(n.max()), percent)
-    own = np.searchsorted(ends, n)
-    out_row, out_key = [], []
-    for family in (own, own + 1):
-        classes = np.where(n > 0, 2 * ends[np.minimum(family, len(ends) - 1)] * (100 - percent) // (100 + percent) + 1, 0)
-        before = np.append(0, np.cumsum(classes))
-        salted = K.mix(hashes + K.mix(family[row].astype(np.uint64)))
-        place = ((salted >> np.uint64(32)) * classes[row].astype(np.uint64)) >> np.uint64(32)
-        cell = before[row] + place.astype(np.int64)
-        value = K.mix(salted + np.uint64(1))
-        total = int(before[-1])
-        low = np.bincount(cell, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), total).astype(np.uint64)
-        high = np.bincount(cell, (value >> np.uint64(32)).astype(np.float64), total).astype(np.uint64)
-        of = np.repeat(np.arange(len(n)), classes)
-        name = (family[of].astype(np.uint64) << np.uint64(40)) | (np.arange(total) - before[of]).astype(np.uint64)
-        out_row.append(of)
-        out_key.append(K.mix(K.mix(low) + K.mix(high ^ np.uint64(0x5851F42D4C957F2D)) + K.mix(name)))
-    return np.concatenate(out_row), np.concatenate(out_key)
-
-
-def _seek(size: int, percent: int, n_buckets: int):
+def _seek(size: int, n_buckets: int):
     def run(chunk: R.Chunk, replies: dict) -> pa.Table:
         rows = np.flatnonzero(chunk.has_id & ~R.copies(chunk, replies))
         row, hashes = shingles(chunk.take(rows), size)
-        n = np.bincount(row, minlength=len(rows))
-        of, key = signatures(row, hashes, n, percent)
-        return R.parts_table(R.seen_parts(chunk.number, of, key, n_buckets))
+        return R.parts_table(R.seen_parts(chunk.number, row, hashes, n_buckets))
 
     return run
 
@@ -118,12 +87,14 @@ def _collect(size: int, percent: int, n_buckets: int):
         active = chunk.has_id & ~copy
         mine = active[row]
         row, hashes = row[mine], hashes[mine]
-        of, key = signatures(row, hashes, np.where(active, n, 0), percent)
-        hit = R.is_seen(replies, 1, key, n_buckets)
-        of, key = of[hit], key[hit]
+        shared = R.is_seen(replies, 1, hashes, n_buckets)
+        hit = rarest(row, shared, n, percent)
+        of, key = row[hit], hashes[hit]
         order, groups = R._split(key, n_buckets)
         key, ids = key[order], chunk.ids[of[order]]
-        out += [{"kind": SIGNATURES, "bucket": k, "data": key[a:b].tobytes(), "ids": ids[a:b].tobytes()} for k, a, b in groups]
+        out += [{"kind": KEYS, "bucket": k, "data": key[a:b].tobytes(), "ids": ids[a:b].tobytes()} for k, a, b in groups]
+        # Only shared n-grams count in overlaps.
+        row, hashes = row[shared], hashes[shared]
         cuts = np.searchsorted(row, np.arange(len(chunk.ids) + 1))
         for i in np.unique(of):
             out.append({"kind": SETS, "doc_id": int(chunk.ids[i]), "n": int(n[i]), "data": hashes[cuts[i] : cuts[i + 1]].tobytes()})
@@ -133,7 +104,7 @@ def _collect(size: int, percent: int, n_buckets: int):
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Edges between documents that share a signature of this bucket."""
+    """Edges between documents that share one of their rarest n-grams in this bucket."""
     keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("data").to_pylist()])
     ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
     order = np.lexsort((ids, keys))
@@ -183,12 +154,15 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return out
 
 
-def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges of the documents linked in a tile; sides 0 and 1 are compared, or all with side 0 alone."""
-    n = np.array([len(x) for x in sets])
-    # A document can only be linked if enough of its n-grams occur in another one.
+def linked(ids: np.ndarray, n: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges of the documents linked in a tile; sides 0 and 1 are compared, or all with side 0 alone.
+
+    ``sets`` hold the n-grams that other documents have too, ``n`` the sizes of the whole sets.
+    """
+    # A document can only be linked if enough of its n-grams occur in another one of the tile.
+    size = np.array([len(x) for x in sets])
     values, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.add.reduceat((count[inverse] > 1).astype(np.int64), np.append(0, np.cumsum(n)[:-1]))
+    shared = np.add.reduceat((count[inverse] > 1).astype(np.int64), np.append(0, np.cumsum(size)[:-1]))
     alive = np.flatnonzero(100 * shared >= percent * n)
     sets, ids, side, n = [sets[i] for i in alive], ids[alive], side[alive], n[alive]
     two = bool(side.any())
@@ -205,15 +179,14 @@ def _multiply(percent: int):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block").to_numpy()
         ids, side = table.column("doc_id").to_numpy(), table.column("side").to_numpy()
-        data = table.column("data").to_pylist()
+        data, n = table.column("data").to_pylist(), table.column("n").to_numpy()
         order = np.argsort(block, kind="stable")
         cuts = np.flatnonzero(np.append(True, block[order][1:] != block[order][:-1]))
         found = []
         for a, b in zip(cuts, np.append(cuts[1:], len(order))):
             mine = order[a:b]
-            mine = mine[np.unique(ids[mine] * 2 + side[mine], return_index=True)[1]]
             if len(mine) > 1:
-                found.append(linked(ids[mine], [np.frombuffer(data[i], np.uint64) for i in mine], side[mine], percent))
+                found.append(linked(ids[mine], n[mine], [np.frombuffer(data[i], np.uint64) for i in mine], side[mine], percent))
         a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         return pa.table({"a": a, "b": b})
 
@@ -224,9 +197,9 @@ def _tiles(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     """Rows of ``sets`` with the tile pairs they take part in: small blocks are packed several to a group, large ones
     cut by size range and hash; only ranges that may hold links meet."""
     weight = F.greatest("n", F.lit(LEAST_ENTRIES))
-    # Ranges as in size_classes, found by logarithm: sizes within the ratio are in the same or neighbouring ranges.
+    # Ranges of sizes by logarithm: linked sets are in the same or in neighbouring ones.
     rank = F.floor(F.log(F.col("n").cast("double")) / (F.log(F.lit(100.0 / percent)) * (1 + 1e-9))).cast("int") if percent < 100 else F.col("n").cast("int")
-    slim = sets.select("doc_id", "n").join(blocks.select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "doc_id")
+    slim = sets.select("doc_id", "n").distinct().join(blocks.select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "doc_id")
     slim = slim.withColumns({"range": rank, "weight": weight})
     by_range = slim.groupBy("block", "range").agg(F.sum("weight").alias("weight"))
     shape = by_range.groupBy("block").agg(
@@ -246,9 +219,10 @@ def _tiles(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
         F.transform(span(F.col("above")), lambda t: pair(r, o, r + 1, t, F.lit(0))),
         F.transform(span(F.col("below")), lambda t: pair(r - 1, t, r, o, F.lit(1))),
     )
-    cut = large.select("doc_id", "block", F.explode(pairs).alias("p")).select("doc_id", "block", F.xxhash64("block", "p.r1", "p.t1", "p.r2", "p.t2").alias("tile"), "p.side")
-    packed = placed.filter(F.col("total") <= TILE_ENTRIES).select("doc_id", "block", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("tile"), F.lit(0).alias("side"))
-    return cut.unionByName(packed).join(sets.select("doc_id", "data"), "doc_id")
+    cut = large.select("doc_id", "n", "block", F.explode(pairs).alias("p")).select("doc_id", "n", "block", F.xxhash64("block", "p.r1", "p.t1", "p.r2", "p.t2").alias("tile"), "p.side")
+    packed = placed.filter(F.col("total") <= TILE_ENTRIES).select("doc_id", "n", "block", F.pmod(F.xxhash64("block"), F.lit(groups)).alias("tile"), F.lit(0).alias("side"))
+    # Several texts of one id are told apart by their sizes, or share their tiles.
+    return cut.unionByName(packed).join(sets.select("doc_id", "n", "data"), ["doc_id", "n"])
 
 
 def join_similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -265,10 +239,10 @@ def join_similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     n = R.buckets(docs)
     chunks = R.in_chunks(docs)
     replies = R.copy_replies(chunks)
-    parts = R.per_chunk(chunks, replies, _seek(size, percent, n), R.PARTS)
+    parts = R.per_chunk(chunks, replies, _seek(size, n), R.PARTS)
     replies = replies.unionByName(R.seen_replies(parts, 1))
     found = materialize(R.per_chunk(chunks, replies, _collect(size, percent, n), _FOUND), "shingles")
-    near = found.filter(F.col("kind") == SIGNATURES).select("bucket", "data", "ids").groupBy("bucket").applyInArrow(_meet, EDGES)
+    near = found.filter(F.col("kind") == KEYS).select("bucket", "data", "ids").groupBy("bucket").applyInArrow(_meet, EDGES)
     blocks = components(near)
     sets = found.filter(F.col("kind") == SETS).select("doc_id", "n", "data")
     links = _tiles(sets, blocks, percent).groupBy("tile").applyInArrow(_multiply(percent), EDGES)
