@@ -97,17 +97,25 @@ def span_means(scores: np.ndarray) -> np.ndarray:
     return (sums[SPAN:] - sums[:-SPAN]) / SPAN
 
 
+def _listed(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words, one word after the other, and where each begins; some words at a time."""
+    buckets, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for first in range(0, len(vocabulary), 1 << 14):
+        part = vocabulary[first : first + (1 << 14)]
+        word, bucket = subwords(part)
+        buckets.append(bucket[np.argsort(word, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(word, minlength=len(part)))
+    return np.concatenate(buckets), np.append(0, np.cumsum(np.concatenate(counts)))
+
+
 def train(texts: list[str], labels: np.ndarray, prior: float, epochs: int = 24, seed: int = 7) -> Model:
     """Fit table and softmax to labelled texts; ``prior`` is the share of label 1 the scores are set for."""
     rng = np.random.default_rng(seed)
     known: dict[str, int] = {}
-    docs = [np.array([known.setdefault(w, len(known)) for w in words(t)], dtype=np.int64) for t in texts]
+    docs = [np.array([known.setdefault(w, len(known)) for w in words(t)], dtype=np.int32) for t in texts]
     labels = labels[[i for i, d in enumerate(docs) if len(d)]]
     docs = [d for d in docs if len(d)]  # without words there is nothing to learn
-    word, bucket = subwords(list(known))
-    order = np.argsort(word, kind="stable")
-    bucket, word = bucket[order], word[order]
-    cuts = np.searchsorted(word, np.arange(len(known) + 1))
+    bucket, cuts = _listed(list(known))
     table = rng.normal(0, 0.1, (BUCKETS, DIM))
     soft = rng.normal(0, 0.5, (DIM, 2))
     bias = np.zeros(2)
@@ -116,7 +124,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, epochs: int = 24,
     def best() -> tuple[np.ndarray, np.ndarray]:
         """Start of the highest span of each text, and its logit."""
         weight = table @ (soft[:, 1] - soft[:, 0])
-        score = np.bincount(word, weight[bucket], len(known)) / np.maximum(np.diff(cuts), 1)
+        score = np.add.reduceat(weight[bucket], cuts[:-1]) / np.diff(cuts) if len(bucket) else np.zeros(0)
         means = [span_means(score[d]) for d in docs]
         at = np.array([int(m.argmax()) for m in means])
         return at, np.array([m[k] for m, k in zip(means, at)]) + (bias[1] - bias[0])
