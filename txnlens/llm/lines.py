@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WILDCARD = "<*>"
+# Tasks that the lines of one template are spread over.
+SALTS = 16
 # Tokens are runs of characters other than these.
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -45,7 +47,10 @@ def drop_template_lines(docs: DataFrame, min_docs: int = 3, depth: int = 6) -> D
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     lines = slim.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", _tokens(F.col("line")).alias("tokens"))
     placed = lines.filter(F.size("tokens") > 0).select("doc_id", "pos", _leaf(F.col("tokens"), depth).alias("leaf"))
-    dropped = placed.join(_recurring(placed, min_docs), "leaf").filter("doc_id > first")
+    # Lines of one template meet in several tasks: the templates, few beside the lines, are sent to each.
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    often = _recurring(placed, min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dropped = salted.join(often, ["leaf", "salt"]).filter("doc_id > first")
     gone = dropped.groupBy("doc_id").agg(F.collect_set("pos").alias("gone")).select(F.col("doc_id").alias("gone_id"), "gone")
 
     joined = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id")).join(gone, F.col("id") == F.col("gone_id"), "left")
