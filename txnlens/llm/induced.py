@@ -247,10 +247,10 @@ def _sorted_lms(text: np.ndarray, is_s: np.ndarray, runs: np.ndarray, lms: np.nd
     while length < cap and name.max() < len(lms) - 1:  # a piece has one symbol more than it adds, so two or more each
         after = np.append(name[length:] + 1, np.zeros(min(length, len(name)), np.int64))[: len(name)]
         key = name * (len(lms) + 2) + after
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         name[by] = np.append(0, np.cumsum(key[by][1:] != key[by][:-1]))
         length *= 2
-    return lms[np.argsort(name, kind="stable")]
+    return lms[np.argsort(name)]
 
 
 def sort_suffixes(data: np.ndarray, sizes: np.ndarray, cap: int, limit: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ from txnlens.llm import repeats as R
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
 # Bytes of text worked on at a time.
-BATCH = 2 << 20
+BATCH = 1 << 19
 # Levels shorter than this would name nearly every place.
 SHORTEST = 7
 

@@ -23,8 +23,10 @@ from txnlens.llm.induced import sort_suffixes
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 # Bytes of text worked on at a time, and bytes of pieces sorted together; queues go to disk beyond a part of that.
-BATCH = 1 << 20
-SORTED = 4 << 20
+BATCH = 1 << 17
+SORTED = 1 << 20
+# Pieces whose bits are set at a time.
+LOT = 1 << 12
 SEEN, STRINGS = 1, 2
 
 
@@ -124,6 +126,19 @@ def _spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return out[0], out[1]
 
 
+def _hashes(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of pieces that follow each other, worked out in lots."""
+    one, two, first = [], [], 0
+    while first < len(begins):
+        last = max(first + 1, int(np.searchsorted(begins, begins[first] + BATCH)))
+        stop = int(begins[last - 1] + sizes[last - 1])
+        h1, h2 = _spans(data[begins[first] : stop], begins[first:last] - begins[first], begins[first:last] + sizes[first:last] - begins[first])
+        one.append(h1)
+        two.append(h2)
+        first = last
+    return np.concatenate(one), np.concatenate(two)
+
+
 def _send(length: int, n: int):
     def run(chunk: R.Chunk, replies: dict) -> pa.Table:
         p = Pieces(chunk, replies, length, n)
@@ -165,20 +180,36 @@ def _sort(length: int):
         data = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("extra").to_pylist()])
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("first").to_pylist()])
         begins = np.cumsum(sizes) - sizes
+        # Pieces that many chunks have sent are sorted once, for their smallest document.
+        one, two = _hashes(data, begins, sizes)
+        order = np.lexsort((ids, sizes, two, one))
+        new = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]) | (sizes[order][1:] != sizes[order][:-1]))
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        sole = order[new]
         bits = np.zeros(len(data), bool)
         # Pieces with one anchor stay together; anchors are sorted in several lots.
-        _, place = np.unique(keys, return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        total = np.bincount(place, sizes).astype(np.int64)
-        many = np.bincount(place)
-        alone = many < 2
+        _, place = np.unique(keys[sole], return_inverse=True)
+        total = np.bincount(place, sizes[sole]).astype(np.int64)
+        alone = np.bincount(place) < 2
         lot = np.cumsum(np.where(alone, 0, total)) // SORTED
         lot[alone] = -1
-        of = lot[place[order]]
-        for k in np.unique(of[of >= 0]):
-            mine = order[of == k]
-            at = np.repeat(begins[mine], sizes[mine]) + _within(sizes[mine])
-            bits[at] = _later(data[at], sizes[mine], ids[mine], length)
+        of = lot[place]
+        by_lot = np.argsort(of, kind="stable")
+        cuts = np.flatnonzero(np.append(True, of[by_lot][1:] != of[by_lot][:-1]))
+        for first, last in zip(cuts, np.append(cuts[1:], len(by_lot))):
+            if of[by_lot[first]] >= 0:
+                mine = sole[by_lot[first:last]]
+                at = np.repeat(begins[mine], sizes[mine]) + _within(sizes[mine])
+                bits[at] = _later(data[at], sizes[mine], ids[mine], length)
+        # The others have the bits of the one that was sorted, or all if its document is smaller.
+        others = order[~new]
+        for first in range(0, len(others), LOT):
+            rest = others[first : first + LOT]
+            mine, size = sole[which[rest]], sizes[rest]
+            step = _within(size)
+            whole = np.repeat(ids[rest] > ids[mine], size) & (step <= np.repeat(size - length, size))
+            bits[np.repeat(begins[rest], size) + step] = bits[np.repeat(begins[mine], size) + step] | whole
         rows, a = [], 0
         for chunk, x in zip(table.column("chunk").to_pylist(), about):
             b = a + int(x[0].sum())
