@@ -1,5 +1,6 @@
 """Operators with a model or an approximate search: held-out accuracy, recall, and exactness of what is reported."""
 
+import math
 import random
 import zlib
 
@@ -258,3 +259,36 @@ def test_graph_is_searched_to_its_ends():
     assert sum((i, j) in found for i, j in true) >= 0.97 * len(true)
     angle = np.linspace(0, 3, 300)  # on an arc a near neighbour makes the farther ones needless
     assert (graph_dedup.pruned_graph(np.stack([np.cos(angle), np.sin(angle)], axis=1)) >= 0).sum(axis=1).mean() < graph_dedup.DEGREE / 2
+
+
+def grouped(rng, groups, size, noise, dim=64):
+    """Unit vectors in groups around random centres; the cosine in a group is about 1 / (1 + noise²)."""
+    centre = np.repeat(rng.normal(size=(groups, dim)) / math.sqrt(dim), size, axis=0)
+    return centre + rng.normal(size=centre.shape) * noise / math.sqrt(dim)
+
+
+def numbered(spark, x):
+    return spark.createDataFrame([(i, [float(z) for z in v], 1, i, "h") for i, v in enumerate(x)], SMALL)
+
+
+def true_links(x, least):
+    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return (x @ x.T >= least).sum(axis=1) - 1
+
+
+def test_groups_larger_than_the_pool(spark):
+    """All neighbours in a graph's lists are of the own group: no group is reached from another."""
+    x = grouped(np.random.default_rng(6), 12, 100, 0.15)
+    want = true_links(x, 0.93)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in dedup_vectors(numbered(spark, x)).collect()}
+    assert min(want) >= 90 and [found[i][0] for i in range(len(x))] == want.tolist()
+    assert [found[i][1] for i in range(len(x))] == [i // 100 * 100 for i in range(len(x))]
+
+
+def test_exact_where_overlap_is_not_enough(spark, monkeypatch):
+    monkeypatch.setattr(graph_dedup, "SHARD", 5)
+    monkeypatch.setattr(graph_dedup, "OVERLAPS", (1,))
+    monkeypatch.setattr(graph_dedup, "LARGEST", 200)
+    x = grouped(np.random.default_rng(8), 300, 2, 0.25)
+    found = {r["vec_id"]: r["n_links"] for r in dedup_vectors(numbered(spark, x)).collect()}
+    assert [found[i] for i in range(len(x))] == true_links(x, 0.93).tolist()

@@ -1,16 +1,18 @@
-"""Near-duplicate vectors by a flat proximity graph.
-
-Vectors are dealt into overlapping shards around sampled pivots. Each shard builds a graph whose
-adjacency lists are pruned robustly (an edge goes if a kept neighbour is much nearer to its end);
-the lists of all shards are united. A search walks greedily from the medoid towards each vector and,
-once in range, expands along the edges as long as it finds vectors in range. Every pair found is
-verified in double precision, and the recall is audited against brute force: if it is too low, the
-shards overlap more. Shards that are too large for a task, such as one dense cluster, are compared
-in tiles, exactly.
+"""Near-duplicate vectors by overlapping shards.
+
+Vectors are dealt into overlapping shards around sampled pivots, and each shard is compared in full,
+in tiles where it is too large for a task. The recall is audited against brute force: if it is too low, the shards overlap more, and in the end all
+vectors of a label are compared.
+
+``pruned_graph`` and ``search_in_range`` search a flat proximity graph whose adjacency lists are
+pruned robustly (an edge goes if a kept neighbour is much nearer to its end). Shards are not searched
+by it: building it compares all vectors of a shard already, and a search can miss whole groups.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +24,7 @@ from txnlens.session import materialize
 # Vectors per pivot, and bytes of pivots that are broadcast at most: beyond, shards grow instead.
 SHARD = 1024
 PIVOT_BYTES = 16 << 20
-# Vectors of a shard that one task searches; larger shards are cut into tiles of this size.
+# Vectors of a shard that one task compares; larger shards are cut into tiles of half this size.
 LARGEST = 4096
 DEGREE = 24
 POOL = 64
@@ -33,7 +35,6 @@ OVERLAPS = (3, 6, 12)
 AUDITED = 512
 RECALL = 0.97
 
-_ADJACENT = "rep long, near binary"
 _LINKS = "a long, b long, n_links long"
 
 
@@ -116,21 +117,19 @@ def search_in_range(x: np.ndarray, near: np.ndarray, least: float) -> tuple[np.n
     return a[a != b], b[a != b]
 
 
-def _links(reps: np.ndarray, copies: np.ndarray, homes: list, shard: int, a: np.ndarray, b: np.ndarray) -> pa.Table:
-    """Counts and star edges of verified pairs ``a, b`` (both ways); a pair counts in the first shard its ends share."""
-    n_links = np.zeros(len(reps), np.int64)
-    if len(a):
-        width = max(len(h) for h in homes)
-        home = np.array([list(h) + [-1 - i] * (width - len(h)) for i, h in enumerate(homes)], dtype=np.int64)
+def _links(reps: np.ndarray, copies: np.ndarray, homes: list, shard: int, pairs: Iterator) -> pa.Table:
+    """Counts and star edges of blocks of pairs ``a, b``, each named once a direction; a pair counts in the first
+    shard its ends share. All shards find all their pairs, so none is counted by a shard that misses it."""
+    n_links, x, y = np.zeros(len(reps), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    width = max(len(h) for h in homes)
+    home = np.array([list(h) + [-2 - i] * (width - len(h)) for i, h in enumerate(homes)], dtype=np.int64)
+    for a, b in pairs:
         mine = np.ones(len(a), bool)
         for i in range(width):
-            x = home[a, i]
-            shared = (x[:, None] == home[b]).any(axis=1) & (x >= 0)
-            mine &= ~(shared & (x < shard))
+            at = home[a, i]
+            mine &= ~((at[:, None] == home[b]).any(axis=1) & (at >= 0) & (at < shard))
         n_links += np.bincount(a[mine], copies[b[mine]], len(reps)).astype(np.int64)
-        x, y = stars(reps[a], reps[b])
-    else:
-        x = y = np.zeros(0, np.int64)
+        x, y = stars(np.concatenate([x, reps[a]]), np.concatenate([y, reps[b]]))
     some = np.flatnonzero(n_links)
     return pa.table(
         {
@@ -141,61 +140,34 @@ def _links(reps: np.ndarray, copies: np.ndarray, homes: list, shard: int, a: np.
     )
 
 
-def _build(table: pa.Table) -> pa.Table:
-    reps = table.column("rep").to_numpy()
-    order = np.argsort(reps)
-    reps = reps[order]
-    if len(reps) < 2:
-        return pa.table({"rep": pa.array([], pa.int64()), "near": pa.array([], pa.binary())})
-    near = pruned_graph(_unit(table.column("vector"))[order])
-    return pa.table({"rep": reps, "near": pa.array([reps[row[row >= 0]].tobytes() for row in near], pa.binary())})
-
-
-def _search(least: float):
-    def run(table: pa.Table) -> pa.Table:
-        reps = table.column("rep").to_numpy()
-        order = np.argsort(reps)
-        reps, x = reps[order], _unit(table.column("vector"))[order]
-        lists = table.column("near").to_pylist()
-        homes = table.column("homes").to_pylist()
-        united = []
-        for i in order:
-            known = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(z, np.int64) for z in lists[i] or [])]))
-            place = np.searchsorted(reps, known)
-            place[place == len(reps)] = 0
-            united.append(place[reps[place] == known])  # neighbours in this shard
-        near = np.full((len(reps), max(1, max(len(u) for u in united))), -1, np.int64)
-        for i, u in enumerate(united):
-            near[i, : len(u)] = u
-        a, b = search_in_range(x, near, least - 1e-9) if len(reps) > 1 else (np.zeros(0, np.int64),) * 2
-        good = np.einsum("ij,ij->i", x[a], x[b]) >= least
-        copies = table.column("n").to_numpy()[order]
-        return _links(reps, copies, [homes[i] for i in order], table.column("shard")[0].as_py(), a[good], b[good])
-
-    return run
-
-
 def _tile(least: float):
     def run(table: pa.Table) -> pa.Table:
         reps, x, side = table.column("rep").to_numpy(), _unit(table.column("vector")), table.column("side").to_numpy()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         right = right if len(right) or not table.column("own")[0].as_py() == 0 else left
-        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a in range(0, len(left), 512):
-            i, j = np.nonzero(x[left[a : a + 512]] @ x[right].T >= least)
-            i, j = left[a + i], right[j]
-            one.append(i[reps[i] != reps[j]])
-            two.append(j[reps[i] != reps[j]])
-        a, b = np.concatenate(one), np.concatenate(two)
-        if right is not left:
-            a, b = np.concatenate([a, b]), np.concatenate([b, a])
-        return _links(reps, table.column("n").to_numpy(), table.column("homes").to_pylist(), table.column("shard")[0].as_py(), a, b)
+
+        def pairs():
+            for a in range(0, len(left), 512):
+                near = x[left[a : a + 512]] @ x[right].T
+                i, j = np.nonzero(near >= least - 1e-9)
+                # Products of matrices round by their shape: at the bound each pair is summed by itself.
+                close = np.flatnonzero(near[i, j] < least + 1e-9)
+                i, j = left[a + i], right[j]
+                good = reps[i] != reps[j]
+                good[close] &= np.einsum("ij,ij->i", x[i[close]], x[j[close]]) >= least
+                i, j = i[good], j[good]
+                yield i, j
+                if right is not left:
+                    yield j, i
+
+        return _links(reps, table.column("n").to_numpy(), table.column("homes").to_pylist(), table.column("shard")[0].as_py(), pairs())
 
     return run
 
 
 def _shards(reps: DataFrame, overlap: int) -> DataFrame:
-    """``reps`` with ``homes``: numbers of the ``overlap`` nearest pivots of the same label and width."""
+    """``reps`` with ``homes``: numbers of the ``overlap`` nearest pivots of the same label and width, or one number
+    for all vectors of a label that has no more pivots than that."""
     spark = reps.sparkSession
     total, width = reps.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     largest = max(1, PIVOT_BYTES // (8 * (width or 1)))
@@ -232,9 +204,12 @@ def _shards(reps: DataFrame, overlap: int) -> DataFrame:
                         homes[i] = [-1]
                     continue
                 v, numbers = known
+                if len(numbers) <= overlap:
+                    for i in mine:
+                        homes[i] = [int(numbers.min())]
+                    continue
                 rows = x[mine] if x is not None else _unit(pa.chunked_array([batch.column(2).take(pa.array(mine))]))
-                k = min(overlap, len(numbers))
-                nearest = np.argpartition(-(rows @ v.T), k - 1, axis=1)[:, :k]
+                nearest = np.argpartition(-(rows @ v.T), overlap - 1, axis=1)[:, :overlap]
                 for i, close in zip(mine, nearest):
                     homes[i] = sorted(set(numbers[close].tolist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(homes, pa.list_(pa.int64()))], names=["rep", "homes"])
@@ -243,28 +218,24 @@ def _shards(reps: DataFrame, overlap: int) -> DataFrame:
     return reps.join(dealt, "rep")
 
 
-def _compare(reps: DataFrame, overlap: int, least: float) -> DataFrame:
-    """``(a, b, n_links)``: counts where ``a = b``, else star edges of the links."""
-    dealt = materialize(_shards(reps, overlap), "shards")
+def _compare(reps: DataFrame, overlap: int | None, least: float) -> DataFrame:
+    """``(a, b, n_links)``: counts where ``a = b``, else star edges of the links. Without ``overlap`` a label is one shard."""
+    if overlap is None:
+        dealt = reps.withColumn("homes", F.array(F.lit(-1).cast("long")))
+    else:
+        dealt = materialize(_shards(reps, overlap), "shards")
     # Shards of labels without pivot are told apart by the label.
     member = dealt.select("rep", "n", "vector", "homes", F.explode("homes").alias("shard"), F.when(F.col("homes")[0] < 0, F.col("part")).otherwise(F.lit(0)).alias("alone"))
     sizes = member.groupBy("shard", "alone").agg(F.count(F.lit(1)).alias("size"))
-    member = member.join(sizes, ["shard", "alone"])
-    small = member.filter(F.col("size") <= LARGEST)
-    edges = small.select("shard", "alone", "rep", "vector").groupBy("shard", "alone").applyInArrow(_build, _ADJACENT)
-    united = edges.groupBy("rep").agg(F.collect_list("near").alias("near"))
-    found = small.join(united, "rep", "left").groupBy("shard", "alone").applyInArrow(_search(least), _LINKS)
-
-    tiles = F.ceil(F.col("size") / (LARGEST / 2)).cast("int")
+    tiles = F.when(F.col("size") <= LARGEST, F.lit(1)).otherwise(F.ceil(F.col("size") / (LARGEST / 2))).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
-    cut = member.filter(F.col("size") > LARGEST).withColumn("tiles", tiles).withColumn("tile", own)
+    cut = member.join(sizes, ["shard", "alone"]).withColumn("tiles", tiles).withColumn("tile", own)
     pair = F.transform(
         F.sequence(F.lit(0), F.col("tiles") - 1),
         lambda t: F.struct(F.least("tile", t).alias("i"), F.greatest("tile", t).alias("j"), (F.col("tile") > t).cast("int").alias("side")),
     )
     spread = cut.select("*", F.explode(pair).alias("p")).select("shard", "alone", "rep", "n", "vector", "homes", "p.i", "p.j", "p.side", (F.col("p.j") - F.col("p.i")).alias("own"))
-    exact = spread.groupBy("shard", "alone", "i", "j").applyInArrow(_tile(least), _LINKS)
-    return materialize(found.unionByName(exact), "links")
+    return materialize(spread.groupBy("shard", "alone", "i", "j").applyInArrow(_tile(least), _LINKS), "links")
 
 
 def _audit(reps: DataFrame, links: DataFrame, least: float) -> float:
@@ -329,9 +300,9 @@ def dedup_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     firsts = keyed.dropDuplicates(["vec_id", "key"]).join(copies.withColumnRenamed("key", "rep_key"), (F.col("vec_id") == F.col("rep")) & (F.col("key") == F.col("rep_key")))
     # An id may name several vectors, so vectors are numbered by themselves.
     reps = materialize(firsts.select(F.xxhash64("key").alias("rep"), F.col("rep").alias("low"), "n", "part", "vector"), "vectors")
-    for overlap in OVERLAPS:
+    for overlap in (*OVERLAPS, None):
         links = _compare(reps, overlap, least)
-        if _audit(reps, links, least) >= RECALL:
+        if overlap is None or _audit(reps, links, least) >= RECALL:
             break
     counts = links.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("others"))
     low = reps.select("rep", "low")
