@@ -285,6 +285,21 @@ def test_groups_larger_than_the_pool(spark):
     assert [found[i][1] for i in range(len(x))] == [i // 100 * 100 for i in range(len(x))]
 
 
+def test_audit_counts_lost_pairs(spark):
+    """A fiftieth of the vectors is linked in pairs, half of them are lost, and a large group is whole."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(5000, 32)), grouped(rng, 1, 300, 0.2, 32)])
+    x[1:200:2] = x[0:200:2] + rng.normal(size=(100, 32)) * 0.05
+    reps = numbered(spark, x).selectExpr("vec_id as rep", "1L as part", "embedding as vector", "1L as n")
+    want = true_links(x, 0.93)
+    truth = graph_dedup._truth(reps, 0.93)
+    assert all(want[r["rep"]] == r["truth"] for r in truth.collect())
+    whole = [(i, i, int(n)) for i, n in enumerate(want) if n]
+    schema = "a long, b long, n_links long"
+    assert graph_dedup._audit(truth, spark.createDataFrame(whole, schema)) == 1.0
+    assert graph_dedup._audit(truth, spark.createDataFrame([r for r in whole if not r[0] < 100], schema)) < 0.7
+
+
 def test_exact_where_overlap_is_not_enough(spark, monkeypatch):
     monkeypatch.setattr(graph_dedup, "SHARD", 5)
     monkeypatch.setattr(graph_dedup, "OVERLAPS", (1,))

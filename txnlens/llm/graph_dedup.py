@@ -1,7 +1,8 @@
 """Near-duplicate vectors by overlapping shards.
 
 Vectors are dealt into overlapping shards around sampled pivots, and each shard is compared in full,
-in tiles where it is too large for a task. The recall is audited against brute force: if it is too low, the shards overlap more, and in the end all
+in tiles where it is too large for a task. The recall is audited against brute force on vectors drawn
+without regard to what was found: if it is too low, the shards overlap more, and in the end all
 vectors of a label are compared.
 
 ``pruned_graph`` and ``search_in_range`` search a flat proximity graph whose adjacency lists are
@@ -31,8 +32,12 @@ POOL = 64
 BEAM = 32
 ALPHA = 1.2
 OVERLAPS = (3, 6, 12)
-# Vectors compared with all others to measure the recall, and the recall that is asked for.
+# Vectors with links that are compared with all others to measure the recall, the most that are drawn for
+# that, the least a class of them is judged by alone, and the recall that is asked for.
 AUDITED = 512
+DRAWN = 16384
+DRAWN_BYTES = 16 << 20
+CLASS = 50
 RECALL = 0.97
 
 _LINKS = "a long, b long, n_links long"
@@ -238,40 +243,59 @@ def _compare(reps: DataFrame, overlap: int | None, least: float) -> DataFrame:
     return materialize(spread.groupBy("shard", "alone", "i", "j").applyInArrow(_tile(least), _LINKS), "links")
 
 
-def _audit(reps: DataFrame, links: DataFrame, least: float) -> float:
-    """Share of the true links of a bounded sample of vectors that were found."""
-    place = F.xxhash64("rep", F.lit("audit"))
-    linked = links.filter("a = b").select(F.col("a").alias("rep")).distinct()
-    # Half of the sample has links already, so that it measures something where links are rare.
-    picked = reps.join(linked, "rep", "left_semi").orderBy(place).limit(AUDITED // 2).unionByName(reps.orderBy(place).limit(AUDITED // 2)).dropDuplicates(["rep"])
-    rows = picked.select("rep", "part", "vector").collect()  # bounded by AUDITED
-    if not rows:
-        return 1.0
-    shared = reps.sparkSession.sparkContext.broadcast([(r["rep"], r["part"], r["vector"]) for r in rows])
+def _truth(reps: DataFrame, least: float) -> DataFrame:
+    """``(rep, truth)``: links by brute force of vectors drawn by a hash of the vector alone, those that have any.
 
-    def run(batches):
-        asked: dict = {}
-        for rep, part, vector in shared.value:
-            asked.setdefault(part, []).append((rep, vector))
-        asked = {p: (np.array([r for r, _ in v]), _unit(pa.chunked_array([pa.array([w for _, w in v])]))) for p, v in asked.items()}
-        total = dict.fromkeys((r for r, _, _ in shared.value), 0)
-        for batch in batches:
-            part = batch.column(1).to_numpy()
-            for p in np.unique(part):
-                if int(p) in asked:
-                    mine = pa.array(np.flatnonzero(part == p))
-                    x = _unit(pa.chunked_array([batch.column(2).take(mine)]))
-                    reps_here, n = batch.column(0).take(mine).to_numpy(), batch.column(3).take(mine).to_numpy()
-                    ids, q = asked[int(p)]
-                    hit = (q @ x.T >= least) & (ids[:, None] != reps_here[None, :])
-                    for i, k in zip(ids.tolist(), (hit * n).sum(axis=1).tolist()):
-                        total[i] += k
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["rep", "truth"])
-
-    truth = reps.select("rep", "part", "vector", "n").mapInArrow(run, "rep long, truth long").groupBy("rep").agg(F.sum("truth").alias("truth"))
+    More are drawn until ``AUDITED`` of them have links, or all are, or ``DRAWN`` or ``DRAWN_BYTES`` are reached.
+    """
+    spark = reps.sparkSession
+    total, width = reps.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    most = min(total, DRAWN, max(AUDITED, DRAWN_BYTES // (8 * (width or 1))))
+    place, size = F.xxhash64("rep", F.lit("audit")), min(4 * AUDITED, most)
+    while True:
+        by_part: dict = {}
+        for row in reps.select("rep", "part", "vector").orderBy(place, "rep").limit(size).collect():
+            by_part.setdefault(row["part"], []).append((row["rep"], row["vector"]))
+        shared = spark.sparkContext.broadcast({p: (np.array([r for r, _ in v]), _unit(pa.chunked_array([pa.array([w for _, w in v])]))) for p, v in by_part.items()})
+
+        def run(batches, shared=shared):
+            total = {p: np.zeros(len(ids), np.int64) for p, (ids, _) in shared.value.items()}
+            for batch in batches:
+                part = batch.column(1).to_numpy()
+                for p in np.unique(part):
+                    if int(p) not in total:
+                        continue
+                    ids, q = shared.value[int(p)]
+                    mine = np.flatnonzero(part == p)
+                    for a in range(0, len(mine), 512):
+                        some = batch.take(pa.array(mine[a : a + 512]))
+                        hit = (q @ _unit(pa.chunked_array([some.column(2)])).T >= least) & (ids[:, None] != some.column(0).to_numpy()[None, :])
+                        total[int(p)] += hit @ some.column(3).to_numpy()
+            for p, (ids, _) in shared.value.items():
+                some = np.flatnonzero(total[p])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(total[p][some])], names=["rep", "truth"])
+
+        links = reps.select("rep", "part", "vector", "n").mapInArrow(run, "rep long, truth long").groupBy("rep").agg(F.sum("truth").alias("truth"))
+        truth = materialize(links, "truth")
+        if size >= most or truth.count() >= AUDITED:
+            return truth
+        size = min(4 * size, most)
+
+
+def _audit(truth: DataFrame, links: DataFrame) -> float:
+    """Share of their true links that vectors of ``truth`` have, on average over the vectors of the worst class.
+
+    Classes are numbers of links between powers of two, so that many small groups count beside a large one;
+    those with fewer than ``CLASS`` vectors are taken together.
+    """
     mine = links.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("found"))
-    there, found = truth.join(mine, "rep", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("found", F.lit(0))))).first()
-    return found / there if there else 1.0
+    share = F.least(F.lit(1.0), F.coalesce("found", F.lit(0)) / F.col("truth"))
+    by = truth.join(mine, "rep", "left").groupBy(F.floor(F.log2("truth")).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.sum(share).alias("found")).collect()
+    few = [(n, found) for _, n, found in by if n < CLASS]
+    shares = [found / n for _, n, found in by if n >= CLASS]
+    if few:
+        shares.append(sum(found for _, found in few) / sum(n for n, _ in few))
+    return min(shares, default=1.0)
 
 
 def dedup_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
@@ -300,9 +324,10 @@ def dedup_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     firsts = keyed.dropDuplicates(["vec_id", "key"]).join(copies.withColumnRenamed("key", "rep_key"), (F.col("vec_id") == F.col("rep")) & (F.col("key") == F.col("rep_key")))
     # An id may name several vectors, so vectors are numbered by themselves.
     reps = materialize(firsts.select(F.xxhash64("key").alias("rep"), F.col("rep").alias("low"), "n", "part", "vector"), "vectors")
+    truth = _truth(reps, least)
     for overlap in (*OVERLAPS, None):
         links = _compare(reps, overlap, least)
-        if overlap is None or _audit(reps, links, least) >= RECALL:
+        if overlap is None or _audit(truth, links) >= RECALL:
             break
     counts = links.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("others"))
     low = reps.select("rep", "low")
