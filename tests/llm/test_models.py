@@ -158,6 +158,19 @@ def test_walks_reach_the_recall():
         assert sum((k, k) in got for k in range(60)) >= least * 60
 
 
+def test_items_are_found_where_no_word_begins():
+    rng = random.Random(12)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x6000)) for _ in range(n))
+    items = [normal(han(40)) for _ in range(20)] + [normal(prose(rng, 30)) for _ in range(20)]
+    texts = [normal(han(100)) + i + normal(han(100)) for i in items[:20]]
+    texts += [b"https://example.com/?q='(\"" + i + b'")' for i in items[20:]]
+    found = {(r, i): d for r, i, d in Block(list(range(40)), items, 0.08, 0.98).matches(texts)}
+    assert found == {(k, k): 0 for k in range(40)}
+    texts = [b"x" * 50 + edited(rng, i.decode("latin-1"), int(0.08 * len(i))).encode("latin-1") + b"x" * 50 for i in items]
+    found = {(r, i) for r, i, _ in Block(list(range(40)), items, 0.08, 0.98).matches(texts)}
+    assert found == {(k, k) for k in range(40)}  # edited up to the bound, too
+
+
 def test_long_benchmarks_are_cut_into_blocks(spark, monkeypatch):
     rng = random.Random(10)
     items = [(k, prose(rng, 30)) for k in range(30)]

@@ -1,18 +1,13 @@
-"""Benchmark items inside documents, also edited ones, by embedding edit distance into Hamming distance.
+"""Benchmark items inside documents, also edited ones, by the character runs they share.
 
-A random walk (CGK) copies a text step by step and moves on or stays by a coin that the step and the
-character decide. Texts a few edits apart fall into step again after each edit, so their walks agree
-at most steps. Tables that sample some steps of the walk bring windows and items of about the same
-size together, as many tables as the wanted recall needs. What they bring is verified by the exact
-edit distance.
-
-Windows start at words. A window that shares fewer character runs with the items than an edited copy
-must is not walked; that bound is exact.
+An edit breaks at most as many runs as a run is long, so an edited copy keeps a number of the item's
+runs within its length, at any place of a text. Windows of a text with so many runs of any items are
+looked at first; in those that are left the runs are told apart by item, and places with as many of
+one item are verified by the exact edit distance. Both bounds are exact: no copy is left out.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,19 +20,13 @@ from pyspark.sql import functions as F
 RUN = 9
 # Items of one length range share windows; lengths in a range differ by at most this factor.
 RANGE = 1.15
-# Steps a table samples, walks, and the share of steps at which an edited copy is expected to agree.
-SAMPLED = 5
-WALKS = 3
-AGREE = 0.58
-# Share of an item's length that the walk is sampled over, in steps; a step moves half a character.
-STEPS = 1.5
 # Bytes of items that are looked for together: more of them would make the run count useless.
 BLOCK = 1 << 17
 # Bytes of items broadcast at a time; a longer benchmark takes more passes over the documents.
 BROADCAST = 8 << 20
-# Bytes of documents and number of windows worked on at a time.
+# Bytes of documents and number of runs of items in them worked on at a time.
 PIECE = 1 << 20
-WINDOWS = 4096
+SHARED = 1 << 21
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32())])
@@ -82,147 +71,89 @@ def _runs(data: np.ndarray) -> np.ndarray:
     return (x * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(42)).astype(np.int64)
 
 
-def n_tables(recall: float) -> int:
-    """Tables of one walk for an edited copy to be found with probability ``recall``."""
-    one = AGREE**SAMPLED
-    return math.ceil(math.log(1 - recall) / math.log(1 - one) / WALKS)
-
-
-@dataclass
-class Lengths:
-    """Items of one length range."""
-
-    items: np.ndarray
-    shortest: int
-    longest: int
-    least: int  # runs an edited copy shares at least
-    span: int  # bytes it may take
-    steps: np.ndarray  # walk, table, sampled step
-    keys: list  # walk, table: keys in order and their items
-
-
 class Block:
-    """What the tasks need of some items."""
+    """What the tasks need of some items. All copies are found, whatever ``recall`` is asked for."""
 
-    def __init__(self, ids: list, items: list[bytes], share: float, recall: float, seed: int = 11):
+    def __init__(self, ids: list, items: list[bytes], share: float, recall: float = 1.0):
         self.ids, self.items, self.share = ids, items, share
-        rng = np.random.default_rng(seed)
-        longest = max(map(len, items))
-        self.n_steps = int(STEPS * longest) + 1
-        self.coins = rng.integers(0, 2, (WALKS, self.n_steps, 256)).astype(np.int64)
+        runs = [np.unique(_runs(np.frombuffer(item, np.uint8))) for item in items]
+        of = np.repeat(np.arange(len(items)), [len(r) for r in runs])
+        runs = np.concatenate(runs)
+        order = np.argsort(runs, kind="stable")
+        self.runs, self.of = runs[order], of[order]
         self.seen = np.zeros(1 << 22, bool)
-        self.runs = [np.unique(_runs(np.frombuffer(item, np.uint8))) for item in items]
-        for runs in self.runs:
-            self.seen[runs] = True
+        self.seen[runs] = True
         size = np.array([len(i) for i in items])
-        order, first = np.argsort(size, kind="stable"), 0
-        walks = self.walk(*self._joined(items))
-        self.ranges = []
+        # Runs an edited copy shares at least, and bytes it may take.
+        self.least = np.array([max(1, int(n) - RUN + 1 - RUN * self.edits(int(n))) for n in size])
+        self.span = np.array([int(n) + self.edits(int(n)) for n in size])
+        # Of items of about the same length: fewest runs and most bytes.
+        self.ranges, order, first = [], np.argsort(size, kind="stable"), 0
         while first < len(order):
             last = int(np.searchsorted(size[order], size[order[first]] * RANGE, side="right"))
-            mine = order[first:last]
-            short, long = int(size[mine].min()), int(size[mine].max())
-            least = min(int(n) - RUN + 1 - RUN * self.edits(int(n)) for n in size[mine])
-            steps = rng.integers(0, max(SAMPLED, int(STEPS * short)), (WALKS, n_tables(recall), SAMPLED))
-            keys = []
-            for w in range(WALKS):
-                for t in range(steps.shape[1]):
-                    key = self._key(walks[w][:, mine], steps[w, t])
-                    by = np.argsort(key, kind="stable")
-                    keys.append((key[by], mine[by]))
-            self.ranges.append(Lengths(mine, short, long, max(1, least), long + self.edits(long), steps, keys))
+            self.ranges.append((int(self.least[order[first:last]].min()), int(self.span[order[first:last]].max())))
             first = last
 
     def edits(self, length: int) -> int:
         return int(self.share * length)
 
-    @staticmethod
-    def _joined(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        room = [len(i) + 1 for i in items]
-        data = np.frombuffer(b"\0".join(items) + b"\0" * (2 * max(room) + 2), np.uint8)
-        return data, np.cumsum([0, *room[:-1]])
-
-    @staticmethod
-    def _key(walk: np.ndarray, steps: np.ndarray) -> np.ndarray:
-        key = np.zeros(walk.shape[1], np.int64)
-        for s in steps:
-            key = key << 8 | walk[s].astype(np.int64)
-        return key
-
-    def walk(self, data: np.ndarray, start: np.ndarray, n_steps: int | None = None) -> list[np.ndarray]:
-        """For each walk the copied bytes, step by start."""
-        out = []
-        for coins in self.coins:
-            at, copied = start.astype(np.int64).copy(), np.empty((n_steps or self.n_steps, len(start)), np.uint8)
-            for step in range(len(copied)):
-                copied[step] = data[at]
-                at += coins[step, copied[step]]
-            out.append(copied)
-        return out
-
-    def shares(self, item: int, runs: np.ndarray) -> bool:
-        """Do ``runs`` hold as many of the item's as an edited copy must?"""
-        known, size = self.runs[item], len(self.items[item])
-        place = np.searchsorted(known, runs)
-        place[place == len(known)] = 0
-        return int((known[place] == runs).sum()) >= size - RUN + 1 - RUN * self.edits(size)
-
-    def candidates(self, data: np.ndarray, runs: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(start, item)`` that some table brings together; ``data`` ends with room for a walk."""
-        sums = np.cumsum(np.append(0, self.seen[runs]).astype(np.int32))
-        found_start, found_item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        usable = []
-        for r in self.ranges:
-            end = np.minimum(start + max(1, r.span - RUN + 1), len(sums) - 1)
-            usable.append(sums[end] - sums[start] >= r.least)
-        some = np.flatnonzero(np.any(usable, axis=0)) if usable else np.zeros(0, np.int64)
-        for a in range(0, len(some), WINDOWS):
-            mine = some[a : a + WINDOWS]
-            need = max(int(r.steps.max()) + 1 for r, u in zip(self.ranges, usable) if u[mine].any())
-            walks = self.walk(data, start[mine], need)
-            for r, u in zip(self.ranges, usable):
-                here = np.flatnonzero(u[mine])
-                if not len(here):
-                    continue
-                for w in range(WALKS):
-                    walk = walks[w][:, here]
-                    for t in range(r.steps.shape[1]):
-                        key, (known, item) = self._key(walk, r.steps[w, t]), r.keys[w * r.steps.shape[1] + t]
-                        low, high = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
-                        n = high - low
-                        hit = np.flatnonzero(n)
-                        if len(hit):
-                            of = np.repeat(hit, n[hit])
-                            place = np.arange(len(of)) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit]) + np.repeat(low[hit], n[hit])
-                            found_start.append(start[mine[here[of]]])
-                            found_item.append(item[place])
-        s, i = np.concatenate(found_start), np.concatenate(found_item)
-        pairs = np.unique(np.stack([i, s]), axis=1)
+    def shared(self, runs: np.ndarray) -> np.ndarray:
+        """Places of items' runs in windows that hold enough of them for some range."""
+        known = self.seen[runs]
+        sums = np.cumsum(np.append(0, known).astype(np.int32), dtype=np.int32)
+        inside = np.zeros(len(runs) + 1, np.int32)
+        for least, span in self.ranges:
+            width = min(span - RUN + 1, len(runs))
+            start = np.flatnonzero(sums[width:] - sums[:-width] >= least)
+            # Windows that follow each other are one stretch.
+            first = np.flatnonzero(np.diff(start, prepend=-2) > 1)
+            last = np.append(first[1:], len(start))[: len(first)] - 1
+            inside[start[first]] += 1  # stretches do not begin or end at one place twice
+            inside[start[last] + width] -= 1
+        return np.flatnonzero(known & (np.cumsum(inside[:-1]) > 0))
+
+    def candidates(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(place, item)`` from where on an item's length holds as many of its runs as an edited copy must."""
+        places = self.shared(runs)
+        low, high = (np.searchsorted(self.runs, runs[places], side) for side in ("left", "right"))
+        n, reach = high - low, int(self.span.max())
+        upto = np.cumsum(n)
+        found, first = [np.zeros((2, 0), np.int64)], 0
+        while first < len(places):
+            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + SHARED, side="right")))
+            end = int(np.searchsorted(places, places[last - 1] + reach, side="right"))
+            k = n[first:end]
+            item = self.of[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(low[first:end], k)]
+            place = np.repeat(places[first:end], k)
+            by = np.argsort(item, kind="stable")
+            item, place = item[by], place[by]
+            then = np.arange(len(item)) + self.least[item] - 1
+            inside = then < len(item)
+            then[~inside] = 0
+            good = inside & (item[then] == item) & (place[then] - place <= self.span[item] - RUN)
+            found.append(np.stack([item[good], place[good]]))
+            first = last
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         return pairs[1], pairs[0]
 
     def matches(self, texts: list[bytes]) -> list[tuple[int, object, int]]:
         """``(text, item id, distance)``, the least distance of each pair."""
         offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        data = np.frombuffer(b"\n".join(texts) + b"\n" + bytes(self.n_steps + RUN), np.uint8)
-        body = data[: offsets[-1]]
-        blank = (body == 32) | (body == 10)
-        start = np.flatnonzero(~blank & np.append(True, blank[:-1]))
-        runs = _runs(data)
-        places, items = self.candidates(data, runs, start)
+        joined = b"\n".join(texts) + b"\n" + bytes(RUN)
+        places, items = self.candidates(_runs(np.frombuffer(joined, np.uint8)))
         rows = np.searchsorted(offsets, places, side="right") - 1
+        # Places of an item that are close to each other are verified together.
+        new = np.ones(len(places), bool)
+        new[1:] = (items[1:] != items[:-1]) | (rows[1:] != rows[:-1]) | (places[1:] - places[:-1] > self.span[items[1:]])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(places))[: len(first)] - 1
         best: dict[tuple[int, int], int] = {}
-        until: dict[tuple[int, int], int] = {}
-        for place, item, row in zip(places.tolist(), items.tolist(), rows.tolist()):
-            text = self.items[item]
-            most = self.edits(len(text))
-            if best.get((row, item)) == 0 or place < until.get((row, item), -1):
-                continue
-            # Starts close to each other are verified together.
-            first, last = max(int(offsets[row]), place - most), min(int(offsets[row + 1]) - 1, place + 2 * len(text) + 2 * most)
-            until[row, item] = place + len(text)
-            if not self.shares(item, runs[first : max(first, last - RUN + 1)]):
+        for row, item, low, high in zip(rows[first].tolist(), items[first].tolist(), places[first].tolist(), places[last].tolist()):
+            if best.get((row, item)) == 0:
                 continue
-            found = distance_within(text, data[first:last].tobytes(), most)
+            text, span = self.items[item], int(self.span[item])
+            low, high = max(int(offsets[row]), low - span), min(int(offsets[row + 1]) - 1, high + span)
+            found = distance_within(text, joined[low:high], self.edits(len(text)))
             if found is not None:
                 best[row, item] = min(found, best.get((row, item), found))
         return [(row, self.ids[item], d) for (row, item), d in best.items()]
@@ -249,9 +180,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = 0.08, recal
     """``(doc_id, item_id, distance)``: items that a document holds with edits of at most ``share`` of their length.
 
     Texts and items are compared with A-Z in lower case and white space as one blank, byte by byte.
-    Exact copies are always found, edited ones with about the probability ``recall`` or more; none
-    is reported that is not within the distance. Each pair is named once, with the least distance
-    found. Null and empty texts hold nothing; items shorter than nine bytes are not looked for.
+    Copies are found wherever they begin, exact ones always and edited ones if they must share a run
+    of nine bytes with the item, so any ``recall`` asked for is met for these; none is reported that
+    is not within the distance. Each pair is named once, with its least distance. Null and empty texts hold nothing; items shorter than nine bytes are not looked for.
     Rows with equal ids are looked at each; other columns are not looked at.
     """
     if not 0 <= share < 1 / RUN:
