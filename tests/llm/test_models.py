@@ -171,6 +171,21 @@ def test_items_are_found_where_no_word_begins():
     assert found == {(k, k) for k in range(40)}  # edited up to the bound, too
 
 
+def test_copies_at_the_bound_are_found(spark):
+    """Edits as even as can be, also in short items and with more than a ninth of the bytes edited."""
+    rng = random.Random(13)
+    items = [(k, normal(prose(rng, 60))[: (81, 13, 26, 200)[k % 4]].decode().strip() + "q") for k in range(24)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for share in (0.08, 0.09, 0.15):
+        rows = []
+        for k, text in items:
+            edits = int(share * len(text))
+            cut = [(i + 1) * len(text) // (edits + 1) for i in range(edits)]
+            rows.append((k, "yy" + "".join("#" if i in cut else c for i, c in enumerate(text)) + "zz"))
+        found = {(r["doc_id"], r["item_id"]) for r in find_items(frame(spark, rows), bench, share).collect()}
+        assert found >= {(k, k) for k, _ in items}
+
+
 def test_long_benchmarks_are_cut_into_blocks(spark, monkeypatch):
     rng = random.Random(10)
     items = [(k, prose(rng, 30)) for k in range(30)]

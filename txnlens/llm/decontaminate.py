@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Length of the character runs that are counted, in bytes; shorter items cannot be found.
+# Length of the character runs that are counted, in bytes; shorter items are not looked for. Runs are
+# shorter for items with so many edits that none of this length need be left.
 RUN = 9
+LEAST_RUN = 3
 # Items of one length range share windows; lengths in a range differ by at most this factor.
 RANGE = 1.15
 # Bytes of items that are looked for together: more of them would make the run count useless.
@@ -61,22 +63,31 @@ def distance_within(item: bytes, text: bytes, most: int) -> int | None:
     return best if best <= most else None
 
 
-def _runs(data: np.ndarray) -> np.ndarray:
-    """22-bit hash of every run of ``RUN`` bytes."""
-    x = data.astype(np.uint64)
+def _runs(data: np.ndarray, run: int = RUN) -> np.ndarray:
+    """22-bit hash of every run of ``run`` bytes, at most nine."""
+    x = np.append(data, np.zeros(max(0, RUN - 1 - run), np.uint8)).astype(np.uint64)
     for shift in (1, 2, 4):
         x = x[: len(x) - shift] | (x[shift:] << np.uint64(8 * shift))
-    x = x[: len(x) - 1] * np.uint64(0x9E3779B97F4A7C15) ^ data[8:].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    if run == RUN:
+        x = x[: len(x) - 1] * np.uint64(0x9E3779B97F4A7C15) ^ data[8:].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    else:
+        x = (x & np.uint64((1 << 8 * run) - 1)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     return (x * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(42)).astype(np.int64)
 
 
+def run_length(length: int, edits: int) -> int:
+    """Bytes of the runs an item is found by: one at least is left by so many edits."""
+    return min(RUN, length // (edits + 1))
+
+
 class Block:
     """What the tasks need of some items. All copies are found, whatever ``recall`` is asked for."""
 
     def __init__(self, ids: list, items: list[bytes], share: float, recall: float = 1.0):
         self.ids, self.items, self.share = ids, items, share
-        runs = [np.unique(_runs(np.frombuffer(item, np.uint8))) for item in items]
+        self.run = run = min(run_length(len(item), self.edits(len(item))) for item in items)
+        runs = [np.unique(_runs(np.frombuffer(item, np.uint8), run)) for item in items]
         of = np.repeat(np.arange(len(items)), [len(r) for r in runs])
         runs = np.concatenate(runs)
         order = np.argsort(runs, kind="stable")
@@ -85,7 +96,7 @@ class Block:
         self.seen[runs] = True
         size = np.array([len(i) for i in items])
         # Runs an edited copy shares at least, and bytes it may take.
-        self.least = np.array([max(1, int(n) - RUN + 1 - RUN * self.edits(int(n))) for n in size])
+        self.least = np.array([int(n) - run + 1 - run * self.edits(int(n)) for n in size])
         self.span = np.array([int(n) + self.edits(int(n)) for n in size])
         # Of items of about the same length: fewest runs and most bytes.
         self.ranges, order, first = [], np.argsort(size, kind="stable"), 0
@@ -103,7 +114,7 @@ class Block:
         sums = np.cumsum(np.append(0, known).astype(np.int32), dtype=np.int32)
         inside = np.zeros(len(runs) + 1, np.int32)
         for least, span in self.ranges:
-            width = min(span - RUN + 1, len(runs))
+            width = min(span - self.run + 1, len(runs))
             start = np.flatnonzero(sums[width:] - sums[:-width] >= least)
             # Windows that follow each other are one stretch.
             first = np.flatnonzero(np.diff(start, prepend=-2) > 1)
@@ -130,7 +141,7 @@ class Block:
             then = np.arange(len(item)) + self.least[item] - 1
             inside = then < len(item)
             then[~inside] = 0
-            good = inside & (item[then] == item) & (place[then] - place <= self.span[item] - RUN)
+            good = inside & (item[then] == item) & (place[then] - place <= self.span[item] - self.run)
             found.append(np.stack([item[good], place[good]]))
             first = last
         pairs = np.unique(np.concatenate(found, axis=1), axis=1)
@@ -140,7 +151,7 @@ class Block:
         """``(text, item id, distance)``, the least distance of each pair."""
         offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
         joined = b"\n".join(texts) + b"\n" + bytes(RUN)
-        places, items = self.candidates(_runs(np.frombuffer(joined, np.uint8)))
+        places, items = self.candidates(_runs(np.frombuffer(joined, np.uint8), self.run))
         rows = np.searchsorted(offsets, places, side="right") - 1
         # Places of an item that are close to each other are verified together.
         new = np.ones(len(places), bool)
@@ -180,13 +191,12 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = 0.08, recal
     """``(doc_id, item_id, distance)``: items that a document holds with edits of at most ``share`` of their length.
 
     Texts and items are compared with A-Z in lower case and white space as one blank, byte by byte.
-    Copies are found wherever they begin, exact ones always and edited ones if they must share a run
-    of nine bytes with the item, so any ``recall`` asked for is met for these; none is reported that
-    is not within the distance. Each pair is named once, with its least distance. Null and empty texts hold nothing; items shorter than nine bytes are not looked for.
+    All copies are found, exact and edited, wherever they begin, so any ``recall`` asked for is met;
+    none is reported that is not within the distance. Each pair is named once, with its least distance. Null and empty texts hold nothing; items shorter than nine bytes are not looked for.
     Rows with equal ids are looked at each; other columns are not looked at.
     """
-    if not 0 <= share < 1 / RUN:
-        raise ValueError("edits of a ninth of an item and more leave no run to find it by")
+    if not 0 <= share < 1 / LEAST_RUN:
+        raise ValueError("so many edits leave only runs that any text has")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int")
     for group in _groups(benchmark):
@@ -198,8 +208,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = 0.08, recal
 def _finder(shared, share: float, recall: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, block, size = [], [], 0
-        for one in sorted(shared.value, key=lambda x: len(x[1])):
-            if block and size + len(one[1]) > BLOCK:
+        length = lambda item: run_length(len(item), int(share * len(item)))
+        for one in sorted(shared.value, key=lambda x: (length(x[1]), len(x[1]))):
+            if block and (size + len(one[1]) > BLOCK or length(one[1]) != length(block[0][1])):
                 blocks.append(Block([i for i, _ in block], [t for _, t in block], share, recall))
                 block, size = [], 0
             block.append(one)
