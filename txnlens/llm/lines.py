@@ -38,8 +38,9 @@ def _recurring(slim: DataFrame, min_docs: int) -> DataFrame:
 def drop_template_lines(docs: DataFrame, min_docs: int = 3, depth: int = 6) -> DataFrame:
     """``docs`` with the lines gone whose template at least ``min_docs`` documents have.
 
-    The document with the smallest ``doc_id`` keeps its lines of a template, so no content is lost.
-    Lines end with a line feed; blank ones always stay. All rows and columns are kept, but ``text``
+    The document with the smallest ``doc_id`` keeps its lines of a template. Lines of one template
+    need not be equal: tokens with a digit and all beyond the first ``depth`` are not compared, so
+    what only the other documents' lines say there is lost. Lines end with a line feed; blank ones always stay. All rows and columns are kept, but ``text``
     holds the lines that are left and ``n_chars``, if there is one, its length where lines are gone.
     Null texts stay null. Rows with equal ``doc_id`` count as one document, and lines at the same
     place go from all of them; rows with a null id are left as they are.
