@@ -1,11 +1,12 @@
 """Operators with exact results against plain versions."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
 import pytest
-from corpus import SCHEMA, corpus, frame
+from corpus import SCHEMA, corpus, frame, words
 
 from txnlens.llm import induced, kernels, ngram_join
 from txnlens.llm.components import components
@@ -115,6 +116,16 @@ def test_one_of_each_group_stays(spark):
     assert ordered(r[:2] for r in found.collect()) == ordered((i, t) for i, t in rows if i is None or low[i] == i)
 
 
+def test_texts_of_one_id_join_their_copies(spark):
+    rng = random.Random(5)
+    a, b, c = (" ".join(words(rng, 30, 1000)) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (9, b), (12, ""), (13, ""), (13, a), (20, c), (21, c), (21, " "), (30, "")]
+    found = join_similar(frame(spark, rows), 3, 90).collect()
+    low = joined(rows, 3, 90)
+    assert low[9] == 3
+    assert ordered((r["doc_id"], r["component_id"]) for r in found) == ordered((i, low[i]) for i, _ in rows)
+
+
 def test_rarest_are_shared_by_linked_sets():
     rng = np.random.default_rng(3)
     for percent in (50, 60, 80, 90, 100):

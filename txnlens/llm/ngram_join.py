@@ -225,6 +225,13 @@ def _tiles(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     return cut.unionByName(packed).join(sets.select("doc_id", "n", "data"), ["doc_id", "n"])
 
 
+def _several(rows: DataFrame) -> DataFrame:
+    """Edges from ids that have several texts to the originals of those."""
+    named = rows.select("doc_id", "node").filter("doc_id is not null").distinct()
+    several = named.groupBy("doc_id").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last").select("doc_id")
+    return named.join(several, "doc_id").filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+
+
 def join_similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: documents joined where ``intersection / union >= percent / 100``.
 
@@ -246,10 +253,12 @@ def join_similar(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame
     blocks = components(near)
     sets = found.filter(F.col("kind") == SETS).select("doc_id", "n", "data")
     links = _tiles(sets, blocks, percent).groupBy("tile").applyInArrow(_multiply(percent), EDGES)
-    component = components(links).select(F.col("node").alias("original"), "component")
-    rows = found.filter(F.col("kind") == DOCUMENTS).select("doc_id", "original", F.col("n").alias("n_shingles"))
-    joined = rows.join(component, "original", "left")
-    own = F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("original")).otherwise(F.col("doc_id")))
+    # A text without shingles is nobody's copy.
+    node = F.when(F.col("n_shingles") > 0, F.col("original")).otherwise(F.col("doc_id")).alias("node")
+    rows = found.filter(F.col("kind") == DOCUMENTS).withColumnRenamed("n", "n_shingles").select("doc_id", "n_shingles", node)
+    component = components(links.unionByName(_several(rows)))
+    joined = rows.join(component, "node", "left")
+    own = F.coalesce("component", "node")
     return joined.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
