@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from txnlens.llm.automaton import decode, encode
 from txnlens.llm.decontaminate import find_items
 from txnlens.llm.graph_dedup import dedup_vectors
 from txnlens.llm.lines import drop_template_lines
@@ -74,6 +76,17 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
 
 
+def op11_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    out = decode(encode(_table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_mix_sources": op2_mix_sources,
@@ -85,4 +98,5 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_decontaminate": op9_decontaminate,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_bpe_automaton": op11_bpe_automaton,
 }
