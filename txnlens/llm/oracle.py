@@ -90,4 +90,31 @@ reach AS (SELECT a, a AS b FROM n UNION SELECT reach.a, link.b FROM reach JOIN l
 low AS (SELECT a, MIN(b) AS b FROM reach GROUP BY a)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(low.b, vec_id) AS component_id, coalesce(low.b, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id""",
+    "op13_collocations": r"""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+s AS (SELECT lang, words[i:i + 4] AS words FROM (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w) t),
+f AS (
+    SELECT lang, words[1:m] AS words, CAST(COUNT(*) AS BIGINT) AS f FROM (SELECT lang, words, unnest(range(1, len(words) + 1)) AS m FROM s) t GROUP BY 1, 2
+),
+n AS (SELECT lang, CAST(SUM(f) AS BIGINT) AS n FROM f WHERE len(words) = 1 GROUP BY 1),
+c AS (SELECT lang, words, f AS a FROM f WHERE len(words) >= 2 AND f >= 100),
+cut AS (SELECT lang, words, a, k, words[1:k] AS head, words[k + 1:] AS rest FROM (SELECT *, unnest(range(1, len(words))) AS k FROM c) t),
+scored AS (
+    SELECT cut.lang, cut.words, a, x.f AS l, y.f AS r, n.n, (1000::HUGEINT * a * n.n // (x.f::HUGEINT * y.f))::BIGINT AS score, k
+    FROM cut JOIN f x ON x.lang = cut.lang AND x.words = cut.head JOIN f y ON y.lang = cut.lang AND y.words = cut.rest JOIN n ON n.lang = cut.lang
+),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+part AS (
+    SELECT DISTINCT lang, words[i:i + m - 1] AS words, a FROM (
+        SELECT lang, words, a, i, unnest(range(1, len(words) - i + 2)) AS m FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM c) t) u
+    WHERE m < len(words)
+),
+inside AS (SELECT DISTINCT c.lang, c.words FROM c JOIN part USING (lang, words) WHERE 100 * part.a >= 100 * c.a),
+kept AS (SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, n, score FROM weakest ANTI JOIN inside USING (lang, words))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000""",
 }

@@ -12,6 +12,7 @@ from txnlens.llm.graph_dedup import dedup_vectors
 from txnlens.llm.lines import drop_template_lines
 from txnlens.llm.mixing import mix
 from txnlens.llm.ngram_join import join_similar
+from txnlens.llm.phrases import collocations
 from txnlens.llm.substring import remove_repeated_runs
 from txnlens.llm.suffix import remove_repeated_bytes
 from txnlens.llm.tokens import count_tokens
@@ -87,6 +88,10 @@ def op11_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_mix_sources": op2_mix_sources,
@@ -99,4 +104,5 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_bpe_automaton": op11_bpe_automaton,
+    "op13_collocations": op13_collocations,
 }
