@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnlens.functions.text import strip
+from txnlens.plans.statements import check_statement
 from txnlens.schemas import RELATIONS
 
 # Statement words refused anywhere in a text, trailing blank included.
 DENIED = ("insert ", "update ", "delete ", "drop ", "create ", "alter ", "truncate ")
-# Functions that run code outside the query.
-_REFUSED_FUNCTIONS = ("java_method", "reflect", "try_reflect")
 
 
 def cleaned_sql(sql: Column) -> Column:
@@ -40,38 +38,17 @@ def checked_sql(sql: str) -> str:
     return text
 
 
-def _check_plan(spark: SparkSession, text: str, relations: Collection[str]) -> None:
-    """Raise unless the parsed statement is a query over ``relations`` and its own common tables alone."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    shown = plan.toString()
-    # Commands and inserts are nodes of their own kind, wherever they stand.
-    nodes = re.findall(r"^[\s:|+-]*'?(\w+)", shown, re.MULTILINE)
-    if any(re.search("Command|Insert|Create|Drop|Delete|Update|Merge|Alter|Truncate|Replace|Set|Show|Describe|Cache|Use|Explain|Refresh|Load|Analyze", n) and n not in _SET_NODES for n in nodes):
-        raise ValueError("only queries are allowed")
-    own = set(re.findall(r"CTE \[([^\]]*)\]", shown))
-    known = {r.lower() for r in relations} | {c.strip().lower() for names in own for c in names.split(",")}
-    for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", shown):
-        if name.lower() not in known:
-            raise ValueError(f"relation is not allowed: {name}")
-    if re.search(r"TableValuedFunction|" + "|".join(_REFUSED_FUNCTIONS), shown, re.IGNORECASE):
-        raise ValueError("function is not allowed")
-
-
-# Parts of queries whose names look like commands.
-_SET_NODES = ("GroupingSets", "BaseGroupingSets", "UserSpecifiedAlias")
-
-
 def run_select(
     spark: SparkSession, sql: str, limit: int | None = None, strict: bool = False, relations: Collection[str] | None = None
 ) -> DataFrame:
     """Run a given statement (Spark SQL dialect) and return its result, whole unless ``limit`` is set.
 
-    ``strict`` judges the parsed statement instead of its words alone: it must be a query, over the
-    views of ``relations`` (those of the star and its aggregates if not given) and its own common
-    tables; files, table functions and calls into Java are refused.
+    ``strict`` judges the parsed statement instead of its words alone, see ``check_statement``: it
+    must be a query over the views of ``relations`` (those of the star and its aggregates if not
+    given) and its own common tables; files, table functions and calls into Java are refused.
     """
     text = checked_sql(sql)
     if strict:
-        _check_plan(spark, text, RELATIONS if relations is None else relations)
+        check_statement(spark, text, RELATIONS if relations is None else relations)
     result = spark.sql(text)
     return result if limit is None else result.limit(limit)
