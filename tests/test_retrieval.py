@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -73,6 +74,35 @@ def test_search_shuffles_only_candidates(spark):
     assert plan.index("Exchange hashpartitioning") < plan.index("MapInArrow") and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_many_queries_meet_the_points_in_a_grid(spark, monkeypatch):
+    """Beyond the broadcast limit each task takes one tile, whatever the number of queries or points."""
+    from types import SimpleNamespace
+
+    data, df = points(spark, n=600)
+    queries = [(q, data[q][1]) for q in range(60) if q != 7]
+    qdf = spark.createDataFrame(queries, "query_id long, vector array<float>")
+    sizes, tiles = [], search._tiles
+
+    def seen(packed, blocks, n_rows, n_columns):
+        cells = tiles(packed, blocks, n_rows, n_columns)
+        count = cells.applyInArrow(
+            lambda a, b: pa.table([pa.array([sum(map(len, a["asked"].to_pylist()))]), pa.array([sum(map(len, b["points"].to_pylist()))])], ["q", "p"]), "q long, p long"
+        )
+        sizes.append(SimpleNamespace(rows=n_rows, columns=n_columns, cells=[tuple(r) for r in count.collect()]))
+        return cells
+
+    monkeypatch.setattr(search, "_tiles", seen)
+    got = search.search(qdf, df.repartition(7), 6, block_bytes=256, broadcast_bytes=1024, tile_bytes=8192)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+    assert {(r["query_id"], r["id"], r["dense_rank"]) for r in got.collect()} == brute_force(queries, data, 6)
+    grid = sizes[0]
+    assert grid.rows == 4 and grid.columns == 5 and len(grid.cells) == grid.rows * grid.columns
+    # 59 queries and 600 points of 64 bytes: no tile has them all, and all tiles together have each point once a row.
+    assert max(q for q, _ in grid.cells) < 59 * 64 and max(p for _, p in grid.cells) <= 2 * 8192
+    assert sum(p for _, p in grid.cells) <= grid.rows * 600 * 64
+
+
 def test_vector_functions(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0], [4.0, 3.0]), (2, [0.0, 0.0], [1.0, 0.0]), (3, None, [1.0, 0.0])], "k int, a array<float>, b array<float>")
     got = {r["k"]: (r["u"], r["c"]) for r in df.select("k", V.l2_normalize(F.col("a")).alias("u"), V.cosine(F.col("a"), F.col("b")).alias("c")).collect()}

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from txnlens.functions.text import terms
 from txnlens.operators.embedding import embed
-from txnlens.session import materialize
+from txnlens.session import materialize, shuffle_partitions
 
 # The workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -24,8 +24,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SCORE_DECIMALS = 7
 # Bytes of vectors in a block of queries or points.
 BLOCK_BYTES = 4 << 20
-# Query blocks of up to this many bytes are broadcast; more are joined with the points by a shuffle.
+# Queries of up to this many bytes are broadcast; more meet the points in the tiles of a grid.
 BROADCAST_BYTES = 64 << 20
+# Bytes of points in a tile, about; its queries have up to BROADCAST_BYTES.
+TILE_BYTES = 128 << 20
 # Scores a task holds at a time, and candidates it keeps before it passes them on.
 SCORE_CELLS = 4 << 20
 KEPT = 1 << 20
@@ -41,13 +43,17 @@ def search(
     id: str = "id",
     block_bytes: int = BLOCK_BYTES,
     broadcast_bytes: int = BROADCAST_BYTES,
+    tile_bytes: int = TILE_BYTES,
+    stored: bool = False,
 ) -> DataFrame:
     """``(query_id, id, score, dense_rank)``: the ``k`` nearest points of each query.
 
     Both frames have a ``vector``. Queries and points are packed into blocks where they are, every
     block of points meets every block of queries in a task, and a task scores two blocks as one
-    matrix product and passes on at most ``k`` candidates per query. No vector goes through the
-    driver and the plan does not depend on their number. Every point is scored: the result is
+    matrix product and passes on at most ``k`` candidates per query. Queries beyond
+    ``broadcast_bytes`` are dealt into rows and points into columns of a grid; each of its tiles is
+    a task of its own, so no task takes in more than one tile however many there are. The queries
+    are stored once, unless they are ``stored`` already. Every point is scored: the result is
     exact. Null and zero vectors have no cosine and drop out.
     """
     if k < 1:
@@ -60,26 +66,43 @@ def search(
         ]
     )
     asked = queries.filter(F.col("vector").isNotNull()).select(F.col(query_id).alias("name"), "vector")
+    asked = asked if stored else materialize(asked, "asked")
     n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    n_blocks = max(1, -(-n * 8 * (width or 1) // block_bytes))
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(n_blocks)).cast("int"))
-    packed = dealt.groupBy("block").applyInArrow(_pack_queries, _packed(schema[query_id], "asked", block=True))
-    packed = materialize(packed, "queries")
-    held = packed.agg(F.sum(F.length("asked"))).first()[0] or 0
-
+    held = n * 8 * (width or 1)
+    n_blocks = max(1, -(-held // block_bytes))
+    packed_schema = _packed(schema[query_id], "asked", block=True)
     names = to_arrow_schema(T.StructType([schema[id]]))[0].type
     points = collection.filter(F.col("vector").isNotNull()).select(id, "vector")
     blocks = points.mapInArrow(_pack_points(names, block_bytes), _packed(schema[id], "points"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    met = blocks.select("points_names", "points", every.alias("block")).join(
-        F.broadcast(packed) if held <= broadcast_bytes else packed, "block"
-    )
-    met = met.select("block", "asked_names", "asked", "points_names", "points")
-    found = met.mapInArrow(_scorer(k, to_arrow_schema(schema)), schema)
+    arrow = to_arrow_schema(schema)
+    if held <= broadcast_bytes:
+        every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+        # They fit a task, since each task gets all of them.
+        packed = asked.coalesce(1).mapInArrow(_pack_all(max(1, -(-n // n_blocks))), packed_schema)
+        met = blocks.select("points_names", "points", every.alias("block")).join(F.broadcast(packed), "block")
+        met = met.select("block", "asked_names", "asked", "points_names", "points")
+        found = met.mapInArrow(_scorer(k, arrow), schema)
+    else:
+        dealt = asked.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(n_blocks)).cast("int"))
+        packed = dealt.groupBy("block").applyInArrow(_pack_queries, packed_schema)
+        n_rows = min(n_blocks, -(-held // max(1, broadcast_bytes)))
+        wanted = -(-points.count() * 8 * width // tile_bytes)
+        n_columns = max(1, wanted, -(-shuffle_partitions(queries.sparkSession) // n_rows))
+        found = _tiles(materialize(packed, "queries"), blocks, n_rows, n_columns).applyInArrow(_tile_scorer(k, arrow), schema)
     order = Window.partitionBy(query_id).orderBy(F.round("score", SCORE_DECIMALS).desc(), F.col(id))
     return found.withColumn("dense_rank", F.row_number().over(order)).filter(F.col("dense_rank") <= k)
 
 
+def _tiles(packed: DataFrame, blocks: DataFrame, n_rows: int, n_columns: int):
+    """Blocks of queries and of points by the tiles they meet in: a block of queries goes to each tile
+    of its row, a block of points to each of its column."""
+    row, column = F.pmod(F.col("block"), F.lit(n_rows)), F.pmod(F.xxhash64("points_names"), F.lit(n_columns)).cast("int")
+    across = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_columns - 1)), lambda c: row * n_columns + c))
+    down = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_rows - 1)), lambda r: r * n_columns + column))
+    left = packed.select("block", "asked_names", "asked", across.alias("tile")).groupBy("tile")
+    return left.cogroup(blocks.select("points_names", "points", down.alias("tile")).groupBy("tile"))
+
+
 def _packed(name: T.StructField, kind: str, block: bool = False) -> T.StructType:
     fields = [T.StructField(f"{kind}_names", T.ArrayType(name.dataType)), T.StructField(kind, T.BinaryType())]
     return T.StructType([T.StructField("block", T.IntegerType())] * block + fields)
@@ -104,6 +127,20 @@ def _pack_queries(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block").slice(0, 1), "asked_names": listed, "asked": pa.array([rows.tobytes()])})
 
 
+def _pack_all(rows_per_block: int):
+    """All queries in blocks of so many rows, numbered from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        table = pa.Table.from_batches(held).combine_chunks() if held else None
+        for block, at in enumerate(range(0, table.num_rows if held else 0, rows_per_block)):
+            part = table.slice(at, rows_per_block)
+            numbered = part.append_column("block", pa.array([block] * part.num_rows, pa.int32()))
+            yield from _pack_queries(numbered).to_batches()
+
+    return run
+
+
 def _pack_points(names: pa.DataType, block_bytes: int):
     schema = pa.schema([("points_names", pa.list_(names)), ("points", pa.binary())])
 
@@ -131,8 +168,9 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return scores[order], ids[order]
 
 
-def _scorer(k: int, schema: pa.Schema):
-    """Partition function: best ``k`` points per query among the blocks of points of the partition."""
+def _score(pairs: Iterator[tuple], k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Best ``k`` points per query among pairs of blocks: number, names and values of the queries,
+    names and values of the points."""
 
     def take_in(points: np.ndarray, ids: np.ndarray, matrix: np.ndarray, top: list, floor: np.ndarray) -> None:
         """Merge some points into the best so far; only scores not below the floor can change those."""
@@ -146,7 +184,7 @@ def _scorer(k: int, schema: pa.Schema):
             if len(top[q][0]) == k:
                 floor[q] = np.round(top[q][0][-1], SCORE_DECIMALS)
 
-    def passed_on(best: dict) -> Iterator[pa.RecordBatch]:
+    def passed_on() -> Iterator[pa.RecordBatch]:
         for names, top, _ in best.values():
             found = [(names[q], i, s) for q, (scores, ids) in enumerate(top) for i, s in zip(ids, scores)]
             if found:
@@ -155,27 +193,50 @@ def _scorer(k: int, schema: pa.Schema):
                 )
         best.clear()
 
+    best: dict = {}  # block of queries: names, candidates, rounded score of the k-th best
+    for block, names, asked, ids, values in pairs:
+        if not names:
+            continue
+        matrix = np.frombuffer(asked, np.float64).reshape(len(names), -1)
+        points = np.frombuffer(values, np.float64).reshape(len(ids), -1)
+        if points.shape[1] != matrix.shape[1]:
+            raise ValueError(f"points have {points.shape[1]} values and queries {matrix.shape[1]}")
+        if block not in best:
+            if sum(len(b[0]) for b in best.values()) * k > KEPT:
+                yield from passed_on()
+            best[block] = names, [(np.empty(0), np.empty(0))] * len(names), np.full(len(names), -np.inf)
+        _, top, floor = best[block]
+        step = max(1, SCORE_CELLS // len(names))
+        for at in range(0, len(ids), step):
+            take_in(points[at : at + step], ids[at : at + step], matrix, top, floor)
+    yield from passed_on()
+
+
+def _scorer(k: int, schema: pa.Schema):
+    """Partition function over rows that hold a block of queries and one of points."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict = {}  # block of queries: names, candidates, rounded score of the k-th best
-        for batch in batches:
-            for row in range(batch.num_rows):
-                block, names = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                if not names:
-                    continue
-                matrix = np.frombuffer(batch.column(2)[row].as_buffer(), np.float64).reshape(len(names), -1)
-                ids = batch.column(3)[row].values.to_numpy(zero_copy_only=False)
-                points = np.frombuffer(batch.column(4)[row].as_buffer(), np.float64).reshape(len(ids), -1)
-                if points.shape[1] != matrix.shape[1]:
-                    raise ValueError(f"points have {points.shape[1]} values and queries {matrix.shape[1]}")
-                if block not in best:
-                    if sum(len(b[0]) for b in best.values()) * k > KEPT:
-                        yield from passed_on(best)
-                    best[block] = names, [(np.empty(0), np.empty(0))] * len(names), np.full(len(names), -np.inf)
-                _, top, floor = best[block]
-                step = max(1, SCORE_CELLS // len(names))
-                for at in range(0, len(ids), step):
-                    take_in(points[at : at + step], ids[at : at + step], matrix, top, floor)
-        yield from passed_on(best)
+        pairs = (
+            (
+                batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), batch.column(2)[row].as_buffer(),
+                batch.column(3)[row].values.to_numpy(zero_copy_only=False), batch.column(4)[row].as_buffer(),
+            )
+            for batch in batches
+            for row in range(batch.num_rows)
+        )
+        yield from _score(pairs, k, schema)
+
+    return run
+
+
+def _tile_scorer(k: int, schema: pa.Schema):
+    """Function of one tile: its blocks of queries and its blocks of points."""
+
+    def run(asked: pa.Table, points: pa.Table) -> pa.Table:
+        rows = [(points["points_names"][j].values.to_numpy(zero_copy_only=False), points["points"][j].as_buffer()) for j in range(points.num_rows)]
+        queries = [(asked["block"][i].as_py(), asked["asked_names"][i].as_py(), asked["asked"][i].as_buffer()) for i in range(asked.num_rows)]
+        # All points before the next block of queries: few candidates are held at a time.
+        return pa.Table.from_batches(_score(((*q, *p) for q in queries for p in rows), k, schema), schema=schema)
 
     return run
 
@@ -229,7 +290,8 @@ def retrieve(
     where they are stored apart from the vectors.
     """
     fetch_k = fetch_k or k
-    hits = search(queries, collection, fetch_k, query_id)
+    queries = materialize(queries.select(query_id, query_col, "vector"), "asked")
+    hits = search(queries, collection, fetch_k, query_id, stored=True)
     hits = with_payload(hits, collection if payloads is None else payloads, queries.count() * fetch_k)
     hits = hits.join(queries.select(query_id, query_col), query_id)
     if use_reranker:

@@ -418,8 +418,8 @@ def vec_topk(spark, sf):
 
 @query
 def vec_rerank(spark, sf):
-    queries = B.label_queries(spark, sf)
-    hits = search.search(queries, B.vectors(spark, sf), k=20)
+    queries = materialize(B.label_queries(spark, sf), "asked")
+    hits = search.search(queries, B.vectors(spark, sf), k=20, stored=True)
     hits = search.with_payload(hits, B.payloads(spark, sf), queries.count() * 20)
     hits = hits.join(queries.select("query_id", "query"), "query_id").withColumn("text", F.col("payload.text"))
     ranked = search.rerank(hits)
