@@ -5,9 +5,9 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from txnlens.operators import aggregates, checks, joins, keys, profile, star
+from txnlens.operators import aggregates, checks, joins, keys, lattice, profile, star
 from txnlens.plans import reports
-from txnlens.sources import transactions, warehouse
+from txnlens.sources import transactions, versions, warehouse
 
 HEADER = (
     ",trans_date_trans_time,cc_num,merchant,category,amt,first,last,gender,street,city,state,zip,lat,long,city_pop,job,"
@@ -202,11 +202,114 @@ def test_save_load_snapshot(spark, built, tmp_path):
     assert "PartitionFilters: [isnotnull(year" in plan
 
 
-def test_append(spark, built, tmp_path):
+def test_loads_go_on(spark, files, tmp_path):
+    """Two loads give the keys of both, unique, and no fact without its dimension rows."""
+    root = str(tmp_path / "wh")
+    txn = transactions.read_transactions(spark, files)
+    half = txn.filter("split = 'train'")
+    warehouse.save_star(star.build_star(half), root)
+    first = warehouse.load_star(spark, root)
+    before = {name: rows(first.dim(name)) for name in star.DIMENSIONS}
+    n = first.fact.count()
+    warehouse.append_transactions(txn.filter("split <> 'train'").withColumn("merchant", F.when(F.col("merchant") != "x", F.col("merchant"))), root)
+    both = warehouse.load_star(spark, root)
+    assert both.fact.count() == txn.count() and n < txn.count()
+    for name in star.DIMENSIONS:
+        dim, key = both.dim(name), f"{name}_id"
+        assert set(before[name]) <= set(rows(dim))
+        assert checks.check_pk(dim, key).count() == 0 and checks.check_unique(dim, star.STORED_KEYS[name]).count() == 0
+        assert checks.check_fk(both.fact, key, dim, key).count() == 0
+    assert checks.check_pk(both.fact, "transaction_id").count() == 0
+    assert both.fact.agg(F.max("transaction_id")).first()[0] == txn.count()
+    # The same transactions again: no new keys, numbers go on.
+    again = warehouse.append_transactions(half, root)
+    assert [again.dim(name).count() for name in star.DIMENSIONS] == [0] * 4
+    assert rows(warehouse.load_star(spark, root).fact, "transaction_id") == [(i,) for i in range(1, txn.count() + n + 1)]
+
+
+def test_null_keys_of_later_loads(spark):
+    from txnlens.operators.keys import continue_keys, surrogate_keys
+
+    def load(names, start):
+        return spark.createDataFrame([(start + i, n) for i, n in enumerate(names)], "ord long, name string")
+
+    table = surrogate_keys(load(["a", "b", "a"], 0), "name", "ord", "id")
+    for names, every, new in (
+        (["c", None, "a", "d"], [(None, 0), ("a", 1), ("c", 3), ("d", 4)], [(None, 0), ("c", 3), ("d", 4)]),
+        (["b", "b"], [("b", 2)], []),
+        ([], [], []),
+    ):
+        got = continue_keys(surrogate_keys(load(names, 10), "name", "ord", "id"), "name", "id", table.keys.select("name", "id"))
+        assert [rows(t.keys, "name", "id") for t in got] == [every, new]
+    stored = spark.createDataFrame([(None, 0), ("a", 1)], "name string, id long")
+    every, new = continue_keys(surrogate_keys(load([None, "z"], 10), "name", "ord", "id"), "name", "id", stored)
+    assert rows(every.keys, "name", "id") == [(None, 0), ("z", 2)] and rows(new.keys, "name", "id") == [("z", 2)]
+
+
+def test_a_write_that_dies_changes_nothing(spark, built, tmp_path):
+    root = str(tmp_path / "wh")
+    warehouse.save_star(built, root)
+    warehouse.refresh_aggregates(warehouse.load_star(spark, root), root)
+    before = {name: rows(df) for name, df in warehouse.relations(warehouse.load_star(spark, root), warehouse.load_aggregates(spark, root)).items()}
+    fails = F.raise_error(F.lit("lost")).cast("string")
+    bad = star.Star(built.customer.limit(1), built.merchant.withColumn("merchant_name", fails), built.category, built.date, built.fact)
+    with pytest.raises(Exception, match="lost"):
+        warehouse.save_star(bad, root)  # dies after the first dimension
+    with pytest.raises(Exception, match="lost"):
+        warehouse.refresh_aggregates(bad, root)
+    after = warehouse.relations(warehouse.load_star(spark, root), warehouse.load_aggregates(spark, root))
+    assert {name: rows(df) for name, df in after.items()} == before
+    # A reader that began before a replacement still sees its version.
+    old = warehouse.load_star(spark, root)
+    warehouse.save_star(star.Star(built.customer.limit(1), built.merchant, built.category, built.date, built.fact), root)
+    assert old.customer.count() == len(before["dim_customer"]) and warehouse.load_star(spark, root).customer.count() == 1
+    assert versions.drop_unused(spark, root, keep=1) >= 5
+    assert warehouse.load_star(spark, root).customer.count() == 1 and rows(warehouse.load_aggregates(spark, root)["daily"]) == before["agg_daily_fraud"]
+
+
+def test_writers_do_not_overwrite_each_other(spark, built, tmp_path):
     root = str(tmp_path / "wh")
     warehouse.save_star(built, root)
-    warehouse.save_star(built, root, mode="append", rebalance=False)
-    assert warehouse.load_star(spark, root).fact.count() == 10
+    base = versions.current(spark, root)
+    warehouse.write_relation(built.category.limit(1), root, "dim_category")
+    with pytest.raises(RuntimeError, match="another writer"):
+        warehouse.publish({"dim_category": built.category}, root, base=base)
+    assert warehouse.load_star(spark, root).category.count() == 1
+    with pytest.raises(ValueError, match="no relation"):
+        warehouse.load_aggregates(spark, root)
+
+
+def test_aggregates_come_from_one_scan(spark, built, tmp_path):
+    path = str(tmp_path / "fact")
+    built.fact.write.parquet(path)
+    stored = star.Star(built.customer, built.merchant, built.category, built.date, spark.read.parquet(path))
+    plan = aggregates.partial_sums(stored, {"date": "date_id", "merchant": "merchant_id", "category": "category_id"})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1 and plan.index("partial_count") > 0
+    found = aggregates.agg_all(stored)
+    for grain, df in found.items():
+        assert path not in df._jdf.queryExecution().optimizedPlan().toString() and [f for f in df.inputFiles() if path in f] == []
+        assert rows(df) == [tuple(pytest.approx(v) if isinstance(v, float) else v for v in r) for r in rows(aggregates.agg_fraud(stored, grain))]
+
+
+def test_smallest_sufficient_aggregate(spark, built, tmp_path):
+    path = str(tmp_path / "fact")
+    built.fact.write.parquet(path)
+    stored = star.Star(built.customer, built.merchant, built.category, built.date, spark.read.parquet(path))
+    found = {k: v.cache() for k, v in aggregates.agg_all(stored).items()}
+    known = lattice.catalog({**found, "ratios": found["daily"].select("year", "fraud_rate")})
+    pick = lambda groups, where=None: getattr(lattice.smallest(known, groups, where), "name", None)
+    assert pick(["year"]) == "monthly" and pick(["year"], {"is_weekend": None}) == "daily"
+    assert pick(["day_of_week"]) == "daily" and pick(["merchant_name"]) == "merchant" and pick([]) in ("category", "merchant", "monthly")
+    assert pick(["year", "merchant_name"]) is None and pick(["hour"]) is None
+    weekend = {"is_weekend": lambda c: c}
+    for groups, where in ((["year"], None), (["day_of_week"], weekend), (["merchant_name"], None), ([], weekend), (["year", "category_name"], weekend), (["hour", "job"], None)):
+        got = lattice.metrics_by(stored, groups, where, known)
+        same = [tuple(pytest.approx(v) if isinstance(v, float) else v for v in r) for r in rows(lattice.from_star(stored, groups, where))]
+        assert rows(got) == same and same
+        uses_fact = any(path in f for f in got.inputFiles())
+        assert uses_fact == (lattice.smallest(known, groups, where) is None)
+    with pytest.raises(ValueError, match="no such column"):
+        lattice.metrics_by(stored, ["nothing"])
 
 
 def test_damaged_snapshot_raises(spark, built, tmp_path):

@@ -7,8 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnlens.functions.measures import METRICS, additive_measures, ratio_columns, rolled_up
+from txnlens.functions.measures import ADDITIVE, METRICS, additive_measures, ratio_columns, rolled_up
 from txnlens.operators.star import Star
+from txnlens.session import materialize
 
 # grain -> (dimension joined, group columns)
 GRAINS = {
@@ -37,6 +38,40 @@ def agg_fraud(star: Star, grain: str, key: str | None = None) -> DataFrame:
     return with_ratios(sums.join(dim, key).groupBy(*groups).agg(*rolled_up()), groups)
 
 
+def partial_sums(star: Star, keys: Mapping[str, str]) -> DataFrame:
+    """Sums of the fact by each of several columns, from one pass: ``(_set, keys, additive measures)``.
+
+    ``keys`` maps dimensions to the columns that refer to them. Rows are reduced to one per key of
+    each column where they are read; ``_set`` tells the columns apart (see ``key_bit``).
+    """
+    columns = list(keys.values())
+    measures = additive_measures(F.col("is_fraud"), F.col("amt"))
+    return star.fact.groupingSets([[c] for c in columns], *columns).agg(F.grouping_id().alias("_set"), *measures)
+
+
+def key_bit(columns: list[str], column: str) -> int:
+    """``_set`` of a column: a bit for each column left out, the first one highest."""
+    return (1 << len(columns)) - 1 - (1 << (len(columns) - 1 - columns.index(column)))
+
+
+def agg_all(star: Star, keys: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
+    """All four aggregates from one scan of the fact, monthly from daily; see ``agg_fraud``."""
+    keys = dict(keys or {name: f"{name}_id" for name in ("date", "merchant", "category")})
+    columns = list(keys.values())
+    sums = materialize(partial_sums(star, keys), "sums")
+    out = {}
+    for grain, (name, groups) in GRAINS.items():
+        key = keys[name]
+        if grain == "monthly":
+            continue
+        dim = star.dim(name).select(key, *[c for c in groups if c != key])
+        mine = sums.filter(F.col("_set") == key_bit(columns, key)).select(key, *ADDITIVE)
+        out[grain] = with_ratios(mine.join(dim, key).groupBy(*groups).agg(*rolled_up()), groups)
+    out["daily"] = materialize(out["daily"], "daily")
+    out["monthly"] = rollup_daily_to_monthly(out["daily"])
+    return out
+
+
 def with_ratios(sums: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     return sums.withColumns(ratio_columns()).select(*groups, *METRICS)
 

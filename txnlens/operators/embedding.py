@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Callable, Iterator
 
@@ -49,26 +50,28 @@ def embed(
     """
     text = with_role(F.col(text_col), role)
     if make_encoder is None:
-        raw = _histogram(F.transform(all_terms(text), lambda w: word_bucket(w, dim)), dim)
+        raw = _histogram(all_terms(text), dim)
     else:
         raw = _encoder_udf(make_encoder, batch_size)(text)
     return df.withColumn("_raw", raw).withColumn("vector", l2_normalize(F.col("_raw"))).select(*df.columns, "vector")
 
 
-def word_bucket(word: Column, dim: int) -> Column:
+def word_bucket(word: str, dim: int) -> int:
     """Place of a word in the vector: the first 32 bits of its MD5, modulo ``dim``."""
-    return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
+    return int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()[:4], "big") % dim
 
 
-def _histogram(buckets: Column, dim: int) -> Column:
-    """How often each of the numbers below ``dim`` occurs in a row's list."""
+def _histogram(words: Column, dim: int) -> Column:
+    """How often words of each place occur in a row's list; a distinct word of a batch is hashed once."""
 
     @F.arrow_udf("array<float>")
     def run(lists: pa.Array) -> pa.Array:
         row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        coded = lists.flatten().dictionary_encode()
+        places = np.array([word_bucket(w, dim) for w in coded.dictionary.to_pylist()], np.int64)
+        values = places[coded.indices.to_numpy()]
         out = []
         step = max(1, HISTOGRAM_CELLS // dim)
-        values = lists.flatten().to_numpy()
         cuts = np.searchsorted(row, np.arange(0, len(lists) + step, step))
         for k, first in enumerate(range(0, len(lists), step)):
             n = min(step, len(lists) - first)
@@ -77,7 +80,7 @@ def _histogram(buckets: Column, dim: int) -> Column:
         flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.float32))
         return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * dim, pa.int32()), flat)
 
-    return run(buckets)
+    return run(words)
 
 
 def _encoder_udf(make_encoder: Callable[[], Encoder], batch_size: int):

@@ -156,6 +156,26 @@ def surrogate_keys(df: DataFrame, key: str, ord: str, id_name: str) -> KeyTable:
     return key_tables(df, {id_name: key}, ord)[id_name]
 
 
+def continue_keys(table: KeyTable, key: str, id_name: str, stored: DataFrame) -> tuple[KeyTable, KeyTable]:
+    """Key table of a further load: all its keys, and those that are new.
+
+    ``stored`` has the known keys ``(key, id)``. They keep their ids; new ones are numbered on from the
+    greatest by first appearance, a new null key gets 0. Both sides have a key once, so the join has
+    no heavy keys.
+    """
+    known = stored.select(F.col(key).alias("_known"), F.col(id_name).alias("_old"))
+    found = table.keys.drop(id_name).join(known, F.col(key).eqNullSafe(F.col("_known")), "left")
+    found = materialize(found.select(key, "first_ord", "n_rows", "_old"), "keys")
+    last = stored.agg(F.max(id_name)).first()[0] or 0
+    fresh = found.filter(F.col("_old").isNull()).drop("_old")
+    numbered = row_ids(fresh.filter(F.col(key).isNotNull()), "first_ord", id_name).withColumn(id_name, F.col(id_name) + last)
+    new = numbered.unionByName(fresh.filter(F.col(key).isNull()).withColumn(id_name, F.lit(0).cast("long")))
+    new = new.select(key, id_name, "first_ord", "n_rows")
+    old = found.filter(F.col("_old").isNotNull()).select(key, F.col("_old").alias(id_name), "first_ord", "n_rows")
+    sizes = (table.n_keys, table.n_rows, table.n_bytes)
+    return KeyTable(old.unionByName(new), *sizes), KeyTable(new, *sizes)
+
+
 def attach_key(df: DataFrame, table: KeyTable, key: str, id_name: str, ord: str) -> DataFrame:
     """Add the surrogate key of each row's natural key; rows with a null key get 0."""
     known = table.keys.filter(F.col(key).isNotNull()).select(key, id_name, "n_rows")

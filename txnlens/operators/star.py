@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from txnlens.functions.features import calendar_columns, with_features
 from txnlens.operators.joins import BROADCAST_BYTES, key_counts, lookup_join, table_bytes
-from txnlens.operators.keys import KeyTable, attach_key, first_per_key, key_tables, numbered_rows
+from txnlens.operators.keys import KeyTable, attach_key, continue_keys, first_per_key, key_tables, numbered_rows
 from txnlens.schemas import columns
 from txnlens.session import materialize
 
@@ -58,7 +58,9 @@ def dim_date(keys: KeyTable) -> DataFrame:
     )
 
 
+# The column that identifies a row of each dimension, as transactions and as the dimension name it.
 NATURAL_KEYS = {"customer": "cc_num", "merchant": "merchant", "category": "category", "date": "trans_date"}
+STORED_KEYS = {"customer": "cc_num", "merchant": "merchant_name", "category": "category_name", "date": "trans_date"}
 
 
 def star_keys(txn: DataFrame, ord: str = "ord") -> dict[str, KeyTable]:
@@ -86,11 +88,32 @@ def build_star(txn: DataFrame, ord: str | Sequence[str] = "ord") -> Star:
     """
     numbered = with_features(numbered_rows(txn, ord, "transaction_id"))
     keys = star_keys(numbered, "transaction_id")
+    return _star(numbered, keys, keys)
+
+
+def extend_star(stored: Star, txn: DataFrame, ord: str | Sequence[str] = "ord") -> Star:
+    """What a further load adds to a star: rows of new keys, and its transactions with old and new keys.
+
+    Transactions are numbered on from the greatest stored number, keys as ``continue_keys`` says; of
+    the stored star only the keys and the greatest number are read.
+    """
+    last = stored.fact.agg(F.max("transaction_id")).first()[0] or 0
+    rows = numbered_rows(txn, ord, "transaction_id").withColumn("transaction_id", F.col("transaction_id") + last)
+    numbered = with_features(rows)
+    every, new = {}, {}
+    for name, table in star_keys(numbered, "transaction_id").items():
+        key, id_name = NATURAL_KEYS[name], f"{name}_id"
+        known = stored.dim(name).select(F.col(STORED_KEYS[name]).alias(key), id_name)
+        every[name], new[name] = continue_keys(table, key, id_name, known)
+    return _star(numbered, every, new)
+
+
+def _star(numbered: DataFrame, keys: dict[str, KeyTable], dimension_keys: dict[str, KeyTable]) -> Star:
     return Star(
-        customer=materialize(dim_customer(numbered, keys["customer"], "transaction_id"), "dim_customer"),
-        merchant=materialize(dim_merchant(numbered, keys["merchant"], "transaction_id"), "dim_merchant"),
-        category=materialize(dim_category(keys["category"]), "dim_category"),
-        date=materialize(dim_date(keys["date"]), "dim_date"),
+        customer=materialize(dim_customer(numbered, dimension_keys["customer"], "transaction_id"), "dim_customer"),
+        merchant=materialize(dim_merchant(numbered, dimension_keys["merchant"], "transaction_id"), "dim_merchant"),
+        category=materialize(dim_category(dimension_keys["category"]), "dim_category"),
+        date=materialize(dim_date(dimension_keys["date"]), "dim_date"),
         fact=fact_transactions(numbered, keys),
     )
 

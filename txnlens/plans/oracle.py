@@ -102,6 +102,26 @@ fact AS (
 DAILY = "trans_date, year, month, day, day_of_week, is_weekend, year_month"
 
 
+def loaded_ids(key: str, name: str) -> str:
+    """Key table after a load of even and one of odd events: ids by first appearance, load after load, 0 for null."""
+    return f"""
+    SELECT {key}, CASE WHEN {key} IS NULL THEN 0 ELSE row_number() OVER (ORDER BY {key} IS NULL, load, first_ord) END AS {name}
+    FROM (SELECT {key}, MIN(ord % 2) AS load, coalesce(MIN(ord) FILTER (ord % 2 = 0), MIN(ord)) AS first_ord FROM gaps GROUP BY {key}) t"""
+
+
+LOADED = f"""
+{EVENTS},
+k_customer AS ({loaded_ids('cc_num', 'customer_id')}), k_merchant AS ({loaded_ids('merchant', 'merchant_id')}),
+k_category AS ({loaded_ids('category', 'category_id')}), k_date AS ({loaded_ids('trans_date', 'date_id')}),
+fact AS (
+    SELECT row_number() OVER (ORDER BY e.ord % 2, e.ord) AS transaction_id, e.trans_num, c.customer_id, m.merchant_id, g.category_id,
+        d.date_id, e.trans_ts, e.unix_time, e.amt, e.is_fraud, e.year, e.month, e.hour, e.is_weekend,
+        ROUND({DISTANCE}, 4) AS cust_merch_distance_km, e.split
+    FROM gaps e JOIN k_customer c USING (cc_num) JOIN k_merchant m ON e.merchant IS NOT DISTINCT FROM m.merchant
+        JOIN k_category g USING (category) JOIN k_date d USING (trans_date)
+)"""
+
+
 def grouped(groups: str) -> str:
     return f"SELECT {groups}, {METRICS} FROM fact GROUP BY {groups}"
 
@@ -476,13 +496,34 @@ ORACLE = {
         SELECT trans_ts, cc_num, merchant, category, amt, first, last, gender, street, city, state, zip, lat, long, city_pop, job,
             CAST(dob AS VARCHAR) AS dob, trans_num, unix_time, merch_lat, merch_long, is_fraud, split FROM ev""",
     "chunk_files": f"WITH {chunked('window')} SELECT * FROM chunk",
-    "warehouse_fact": f"""WITH {EVENTS} SELECT trans_num, split, amt, year, month, 2 AS n_rows FROM gaps""",
+    "metrics_by_weekday": f"WITH {LINES} SELECT year, day_of_week, is_weekend, {METRICS} FROM fact WHERE month > 3 GROUP BY 1, 2, 3",
+    "metrics_by_merchant_hour": f"WITH {LINES} SELECT merchant_name, hour, {METRICS} FROM fact WHERE year IN (1993, 1994) GROUP BY 1, 2",
+    "agg_all": f"""WITH {LINES} SELECT 'daily' AS grain, CAST(trans_date AS VARCHAR) AS name, {METRICS} FROM fact GROUP BY trans_date
+        UNION ALL SELECT 'monthly', year_month, {METRICS} FROM fact GROUP BY year_month
+        UNION ALL SELECT 'merchant', merchant_name, {METRICS} FROM fact GROUP BY merchant_id, merchant_name
+        UNION ALL SELECT 'category', category_name, {METRICS} FROM fact GROUP BY category_name""",
+    "warehouse_fact": f"WITH {LOADED} SELECT * FROM fact",
+    "warehouse_continued": f"""WITH {LOADED}, n AS (SELECT merchant_id, COUNT(*) AS n_facts FROM fact GROUP BY 1)
+        SELECT 'customer' AS dimension, customer_id AS id, cc_num AS name, NULL AS n_facts FROM k_customer
+        UNION ALL SELECT 'merchant', k.merchant_id, merchant, n_facts FROM k_merchant k LEFT JOIN n USING (merchant_id)
+        UNION ALL SELECT 'category', category_id, category, NULL FROM k_category UNION ALL SELECT 'date', date_id, CAST(trans_date AS VARCHAR), NULL FROM k_date""",
+    "snapshot_counts": f"""WITH {EVENTS}, first AS (SELECT * FROM gaps QUALIFY row_number() OVER (PARTITION BY cc_num ORDER BY ord) = 1),
+        m AS ({ids('gaps', 'merchant', 'id')}), g AS ({ids('gaps', 'category', 'id')}), t AS (SELECT COUNT(*) AS n, SUM(CAST(is_fraud AS BIGINT)) AS fraud, SUM(unix_time) AS times FROM gaps)
+        SELECT 'dim_customer' AS relation, COUNT(*) AS n_rows, CAST(SUM(city_pop) AS BIGINT) AS total FROM first
+        UNION ALL SELECT 'dim_merchant', COUNT(*), CAST(SUM(id) AS BIGINT) FROM m UNION ALL SELECT 'dim_category', COUNT(*), CAST(SUM(id) AS BIGINT) FROM g
+        UNION ALL SELECT 'dim_date', COUNT(*), CAST(SUM(day) AS BIGINT) FROM (SELECT DISTINCT trans_date, day FROM gaps) d
+        UNION ALL SELECT 'fact_transactions', n, CAST(times AS BIGINT) FROM t
+        UNION ALL SELECT 'agg_daily_fraud', (SELECT COUNT(DISTINCT trans_date) FROM gaps), n FROM t
+        UNION ALL SELECT 'agg_monthly_fraud', (SELECT COUNT(DISTINCT year_month) FROM gaps), CAST(fraud AS BIGINT) FROM t
+        UNION ALL SELECT 'agg_merchant_fraud', (SELECT COUNT(*) FROM m), n FROM t
+        UNION ALL SELECT 'agg_category_fraud', (SELECT COUNT(*) FROM g), CAST(fraud AS BIGINT) FROM t""",
     "warehouse_daily": f"""WITH {EVENTS}, t AS (SELECT * FROM gaps) SELECT {DAILY}, {METRICS} FROM t GROUP BY {DAILY}""",
     "snapshot_merchants": f"""WITH {EVENTS}, k AS ({ids('gaps', 'merchant', 'merchant_id')}),
         t AS (SELECT gaps.*, merchant_id, gaps.merchant AS merchant_name FROM gaps JOIN k ON gaps.merchant IS NOT DISTINCT FROM k.merchant)
         SELECT merchant_id, merchant_name, {METRICS} FROM t GROUP BY merchant_id, merchant_name""",
-    "collection_files": "SELECT CAST(vec_id AS VARCHAR) AS id, label, CAST(len(embedding) AS INTEGER) AS dim, ROUND(embedding[1]::DOUBLE, 6) AS x0 FROM embeddings",
-    "vector_files": "SELECT vec_id AS chunk_id, ROUND(embedding[64]::DOUBLE, 6) AS last FROM embeddings",
+    "collection_files": """SELECT CAST(vec_id AS VARCHAR) AS id, label, CAST(len(embedding) AS INTEGER) AS dim, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos,
+        ROUND(unnest(embedding)::DOUBLE, 6) AS x FROM embeddings""",
+    "vector_files": "SELECT vec_id AS chunk_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS pos, ROUND(unnest(embedding)::DOUBLE, 6) AS x FROM embeddings",
     "select_capped": "SELECT c_custkey AS customer_id, c_mktsegment AS job FROM customer ORDER BY c_custkey DESC LIMIT 25",
     "chk_smallint": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT BETWEEN -32768 AND 32767",
     "qa_route": f"WITH {QUESTIONS} SELECT question_id, {routed('label')} AS route, {routed(None)} AS route_by_words FROM qs",

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnlens.functions import text as TX
+from txnlens.functions.measures import METRICS
 from txnlens.functions import vector as V
-from txnlens.operators import aggregates, answers, blocks, checks, chunks, embedding, keys, profile, search, star
+from txnlens.operators import aggregates, answers, blocks, checks, chunks, embedding, keys, lattice, profile, search, star
 from txnlens.plans import bindings as B
 from txnlens.plans import governed, reports
 from txnlens.sources import collections as points
@@ -166,6 +167,38 @@ def metrics_from_daily(spark, sf):
     return rounded(aggregates.metrics(tables, "monthly", stored), **METRIC_DIGITS)
 
 
+@query
+def metrics_by_weekday(spark, sf):
+    """From the stored daily aggregate, the smallest that knows days of the week."""
+    tables = B.line_star(spark, sf)
+    stored = {grain: materialize(aggregates.agg_fraud(tables, grain), grain) for grain in ("daily", "monthly", "merchant")}
+    where = {"month": lambda c: c > 3}
+    out = lattice.metrics_by(tables, ["year", "day_of_week", "is_weekend"], where, lattice.catalog(stored))
+    return rounded(out, **METRIC_DIGITS)
+
+
+@query
+def metrics_by_merchant_hour(spark, sf):
+    """No aggregate knows hours, so the star is asked."""
+    tables = B.line_star(spark, sf)
+    stored = {"merchant": materialize(aggregates.agg_fraud(tables, "merchant"), "merchant")}
+    where = {"year": lambda c: c.isin(1993, 1994)}
+    return rounded(lattice.metrics_by(tables, ["merchant_name", "hour"], where, lattice.catalog(stored)), **METRIC_DIGITS)
+
+
+@query
+def agg_all(spark, sf):
+    """All four aggregates from one scan of the fact, one below the other."""
+    tables = B.line_star(spark, sf, category=True)
+    found = aggregates.agg_all(tables, {"date": "date_id", "merchant": "merchant_id", "category": "part_id"})
+    name = {"daily": F.col("trans_date").cast("string"), "monthly": F.col("year_month"), "merchant": F.col("merchant_name"), "category": F.col("category_name")}
+    out = None
+    for grain, df in found.items():
+        part = df.select(F.lit(grain).alias("grain"), name[grain].alias("name"), *METRICS)
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, **METRIC_DIGITS)
+
+
 @query
 def fq_monthly_trend(spark, sf):
     return rounded(reports.monthly_trend(aggregates.agg_fraud(B.line_star(spark, sf), "monthly")), fraud_rate=6)
@@ -514,15 +547,33 @@ def _stored(spark, sf):
     return root, loaded
 
 
+def _two_loads(spark, sf):
+    """Even events saved as a star, odd ones added to it."""
+    root = _folder(spark, "warehouse")
+    txn = B.events_with_gaps(spark, sf)
+    warehouse.save_star(star.build_star(txn.filter("ord % 2 = 0")), root)
+    warehouse.append_transactions(txn.filter("ord % 2 = 1"), root, rebalance=False)
+    return warehouse.load_star(spark, root)
+
+
 @query
 def warehouse_fact(spark, sf):
-    """The fact saved twice, the second time appended, and loaded."""
-    root = _folder(spark, "warehouse")
-    tables = _small_star(spark, sf)
-    warehouse.save_star(tables, root)
-    warehouse.save_star(tables, root, mode="append", rebalance=False)
-    loaded = warehouse.load_star(spark, root)
-    return loaded.fact.groupBy("trans_num", "split", "amt", "year", "month").agg(F.count(F.lit(1)).alias("n_rows"))
+    """The fact after two loads, all its columns."""
+    return rounded(_two_loads(spark, sf).fact, cust_merch_distance_km=4)
+
+
+@query
+def warehouse_continued(spark, sf):
+    """The dimensions after two loads: keys of the first stay, those of the second go on."""
+    loaded = _two_loads(spark, sf)
+    key = {"customer": "cc_num", "merchant": "merchant_name", "category": "category_name", "date": "trans_date"}
+    out = None
+    for name, c in key.items():
+        part = loaded.dim(name).select(F.lit(name).alias("dimension"), F.col(f"{name}_id").alias("id"), F.col(c).cast("string").alias("name"))
+        out = part if out is None else out.unionByName(part)
+    used = loaded.fact.groupBy("merchant_id").agg(F.count(F.lit(1)).alias("n_facts"))
+    used = used.select(F.lit("merchant").alias("dimension"), F.col("merchant_id").alias("id"), "n_facts")
+    return out.join(used, ["dimension", "id"], "left")
 
 
 @query
@@ -532,14 +583,31 @@ def warehouse_daily(spark, sf):
     return rounded(warehouse.load_aggregates(spark, root)["daily"], **METRIC_DIGITS)
 
 
+def _restored(spark, sf):
+    root, loaded = _stored(spark, sf)
+    path, restored = _folder(spark, "snapshot"), _folder(spark, "restored")
+    warehouse.export_snapshot(warehouse.relations(loaded, warehouse.load_aggregates(spark, root)), path)
+    return warehouse.restore_snapshot(spark, path, restored)
+
+
 @query
 def snapshot_merchants(spark, sf):
     """All relations exported, restored elsewhere, and read there."""
-    root, loaded = _stored(spark, sf)
-    path = _folder(spark, "snapshot")
-    warehouse.export_snapshot(warehouse.relations(loaded, warehouse.load_aggregates(spark, root)), path)
-    restored = warehouse.restore_snapshot(spark, path, _folder(spark, "restored"))
-    return rounded(restored["agg_merchant_fraud"], **METRIC_DIGITS)
+    return rounded(_restored(spark, sf)["agg_merchant_fraud"], **METRIC_DIGITS)
+
+
+@query
+def snapshot_counts(spark, sf):
+    """Rows of each of the nine relations after a restore, and the sum of a column of each."""
+    measured = {
+        "dim_customer": "city_pop", "dim_merchant": "merchant_id", "dim_category": "category_id", "dim_date": "day", "fact_transactions": "unix_time",
+        "agg_daily_fraud": "total_tx", "agg_monthly_fraud": "fraud_tx", "agg_merchant_fraud": "total_tx", "agg_category_fraud": "fraud_tx",
+    }
+    tables, out = _restored(spark, sf), None
+    for name, column in measured.items():
+        part = tables[name].agg(F.lit(name).alias("relation"), F.count(F.lit(1)).alias("n_rows"), F.sum(F.col(column).cast("bigint")).alias("total"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query
@@ -555,7 +623,8 @@ def collection_files(spark, sf):
     path = _folder(spark, "collection")
     points.save_collection(points.upsert(empty, new, "seq"), path)
     out = points.read_collection(spark, path)
-    return rounded(out.select("id", F.col("payload.chunk_index").alias("label"), F.size("vector").alias("dim"), F.col("vector")[0].cast("double").alias("x0")), x0=6)
+    flat = out.select("id", F.col("payload.chunk_index").alias("label"), F.size("vector").alias("dim"), F.posexplode("vector").alias("pos", "x"))
+    return rounded(flat.withColumn("x", F.col("x").cast("double")), x=6)
 
 
 @query
@@ -563,7 +632,8 @@ def vector_files(spark, sf):
     """Vectors stored apart from the texts."""
     path = _folder(spark, "vectors")
     points.save_vectors(B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), path)
-    return rounded(spark.read.parquet(path).select("chunk_id", F.col("vector")[63].cast("double").alias("last")), last=6)
+    flat = spark.read.parquet(path).select("chunk_id", F.posexplode("vector").alias("pos", "x"))
+    return rounded(flat.withColumn("x", F.col("x").cast("double")), x=6)
 
 
 @query
