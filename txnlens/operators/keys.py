@@ -55,7 +55,7 @@ def row_ids(df: DataFrame, ord: str | Sequence[str], id_name: str = "transaction
 FILE_ORDER = "struct<split_no:int,place:struct<file:string,block:bigint,row:bigint>>"
 
 
-def _sums_before(df: DataFrame, order: Sequence[str], value: str) -> DataFrame:
+def sums_before(df: DataFrame, order: Sequence[str], value: str) -> DataFrame:
     """Add ``_before``: the sum of ``value`` over the rows before, in ``order``.
 
     Ranges of rows are added up one by one, the sums inside a range by a window over it.
@@ -95,7 +95,7 @@ def file_row_ids(df: DataFrame, ord: str, id_name: str = "transaction_id") -> Da
     )
     if sizes.filter(F.col("_last") - F.col("_first") + 1 != F.col("_size")).take(1):
         return row_ids(stored, ord, id_name)
-    offsets = _sums_before(sizes, block, "_size").select(*block, "_first", "_before")
+    offsets = sums_before(sizes, block, "_size").select(*block, "_first", "_before")
     offsets = F.broadcast(offsets) if table_bytes(offsets) <= BROADCAST_BYTES else offsets
     number = F.col("_before") + F.col("_row") - F.col("_first") + 1
     return placed.join(offsets, block).withColumn(id_name, number).select(id_name, *df.columns)
