@@ -7,9 +7,10 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from txnlens.functions import vector as V
-from txnlens.operators import answers, checks, embedding, search
+from txnlens.operators import answers, checks, embedding, lsh, search
 from txnlens.plans import governed
-from txnlens.sources import collections
+from txnlens.session import materialize
+from txnlens.sources import collections, versions
 
 
 def points(spark, n=500, dim=8, seed=1, ids="long"):
@@ -103,6 +104,87 @@ def test_many_queries_meet_the_points_in_a_grid(spark, monkeypatch):
     assert sum(p for _, p in grid.cells) <= grid.rows * 600 * 64
 
 
+def clustered(spark, n=6000, width=32, seed=4):
+    """Points around 60 centres, with an exact copy of one of them many times."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((60, width))
+    data = centres[rng.integers(0, 60, n)] + 0.4 * rng.standard_normal((n, width))
+    data[-500:] = data[0]
+    return spark.createDataFrame([(i, v) for i, v in enumerate(data.astype(float).tolist())], "id long, vector array<float>").repartition(4)
+
+
+def test_lsh_search_finds_nearly_all(spark, monkeypatch):
+    monkeypatch.setattr(lsh, "HOT_POINTS", 100)  # many buckets are dealt into parts
+    df = materialize(clustered(spark), "points")
+    index = lsh.build_index(df)
+    assert index.bits == 7 and index.hot.count() > 5
+    parts = index.entries.groupBy("table", "bucket", "part").count().agg(F.max("count")).first()[0]
+    assert parts <= 200 and index.entries.count() == 12 * 6000
+    queries = df.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+    measured = lsh.recall(index, queries, 10).agg(F.avg("recall"), F.count("recall")).first()
+    assert measured[0] >= 0.95 and measured[1] == 60
+    hits = lsh.search(index, queries, 10)
+    exact = {(r["query_id"], r["id"]): r["score"] for r in search.search(queries, df, 700).collect()}
+    for r in hits.collect():
+        assert r["score"] == pytest.approx(exact[r["query_id"], r["id"]]) if (r["query_id"], r["id"]) in exact else r["score"] < 1
+    # It looks at a part of the points only.
+    assert lsh.candidates(index, queries).count() < 0.45 * 60 * 6000
+    few = lsh.candidates(index, queries, probes=1)
+    assert few.count() < lsh.candidates(index, queries, probes=8).count() and few.groupBy("query_id", "id").count().filter("count > 1").count() == 0
+
+
+def test_lsh_edges(spark):
+    none = spark.createDataFrame([], "id string, vector array<float>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0]), ("z", [0.0, 0.0]), ("n", None)], "query_id string, vector array<float>")
+    assert lsh.search(lsh.build_index(none), asked.filter("query_id = 'n'"), 3).count() == 0
+    few = spark.createDataFrame([("a", [2.0, 0.1]), ("b", [0.0, 0.0]), ("c", None), ("d", [0.9, 0.1])], "id string, vector array<float>")
+    assert [(r["query_id"], r["id"], r["dense_rank"]) for r in lsh.search(lsh.build_index(few, bits=3), asked, 3, probes=8).orderBy("dense_rank").collect()] == [("q", "a", 1), ("q", "d", 2)]
+    with pytest.raises(ValueError):
+        lsh.search(lsh.build_index(few), asked, 0)
+    with pytest.raises(Exception, match="values instead of"):
+        lsh.search(lsh.build_index(few), spark.createDataFrame([("q", [1.0])], "query_id string, vector array<float>"), 1).collect()
+
+
+def test_probes_come_in_order_of_distance():
+    side = np.array([0.5, -0.1, 2.0, -0.7])
+    found = list(lsh._probed(side, 16))
+    cost = lambda b: sum(side[i] ** 2 for i in range(4) if (b >> i & 1) != (side[i] > 0))
+    assert sorted(found) == list(range(16)) and found[0] == 0b0101
+    assert [cost(b) for b in found] == sorted(cost(b) for b in found)
+    assert list(lsh._probed(side, 5)) == found[:5] and len(list(lsh._probed(side[:1], 9))) == 2
+
+
+def test_upsert_replaces_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "c")
+    schema = "id long, vector array<float>, payload string"
+    collections.create_buckets(spark, path, 2, 8, "id bigint, vector array<float>, payload string")
+    assert collections.read_buckets(spark, path).count() == 0 and collections.dimension(collections.read_buckets(spark, path)) == 2
+    load = lambda rows_: spark.createDataFrame(rows_, schema).withColumn("seq", F.lit(1))
+    touched = collections.upsert_buckets(load([(i, [float(i), 1.0], "old") for i in range(100)]), path, "seq")
+    assert touched == list(range(8))
+
+    def files(bucket):
+        return sorted(collections.read_buckets(spark, path, [bucket]).inputFiles())
+
+    before = {b: files(b) for b in range(8)}
+    names = load([(3, [9.0, 9.0], "new"), (3, [9.0, 9.0], "new"), (1000, [1.0, 2.0], "new")])
+    touched = collections.upsert_buckets(names, path, "seq")
+    assert 1 <= len(touched) <= 2
+    for b in range(8):
+        assert (files(b) == before[b]) == (b not in touched)
+    got = {r["id"]: (r["vector"], r["payload"]) for r in collections.read_buckets(spark, path).collect()}
+    assert len(got) == 101 and got[3] == ([9.0, 9.0], "new") and got[1000][1] == "new" and got[4] == ([4.0, 1.0], "old")
+    assert collections.upsert_buckets(load([]), path, "seq") == []
+    version = versions.current(spark, path).number
+    for bad, message in (([(1, [1.0], "x")], "has not 2 values"), ([(None, [1.0, 1.0], "x")], "has no id")):
+        with pytest.raises(Exception, match=message):
+            collections.upsert_buckets(load(bad), path, "seq")
+    assert versions.current(spark, path).number == version and collections.read_buckets(spark, path).count() == 101
+    assert versions.drop_unused(spark, path, keep=1) >= 1 and collections.read_buckets(spark, path).count() == 101
+    with pytest.raises(ValueError, match="no collection"):
+        collections.read_buckets(spark, str(tmp_path / "nothing"))
+
+
 def test_vector_functions(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0], [4.0, 3.0]), (2, [0.0, 0.0], [1.0, 0.0]), (3, None, [1.0, 0.0])], "k int, a array<float>, b array<float>")
     got = {r["k"]: (r["u"], r["c"]) for r in df.select("k", V.l2_normalize(F.col("a")).alias("u"), V.cosine(F.col("a"), F.col("b")).alias("c")).collect()}

@@ -467,6 +467,12 @@ ORACLE = {
     "vectors_aligned": """SELECT coalesce(doc_id, vec_id * 3) AS chunk_id, doc_id IS NOT NULL AS has_chunk, vec_id IS NOT NULL AS has_vector,
             CAST(len(embedding) AS INTEGER) AS dim
         FROM documents FULL JOIN embeddings ON doc_id = vec_id * 3""",
+    "vec_upsert_buckets": """
+        WITH merged AS (
+            SELECT vec_id AS id, CAST(label AS BIGINT) AS label, embedding AS v FROM embeddings WHERE vec_id NOT IN (SELECT vec_id * 2 FROM embeddings)
+            UNION ALL SELECT vec_id * 2, CAST(label + 100 AS BIGINT), list_reverse(embedding) FROM embeddings
+        )
+        SELECT id, label, CAST(unnest(range(len(v))) AS INTEGER) AS pos, ROUND(unnest(v)::DOUBLE, 6) AS x FROM merged""",
     "vec_upsert": """
         WITH merged AS (
             SELECT vec_id AS id, label, embedding AS v FROM embeddings WHERE vec_id NOT IN (SELECT vec_id * 2 FROM embeddings)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from txnlens.functions import text as TX
 from txnlens.functions.measures import METRICS
 from txnlens.functions import vector as V
-from txnlens.operators import aggregates, answers, blocks, checks, chunks, embedding, keys, lattice, profile, search, star
+from txnlens.operators import aggregates, answers, blocks, checks, chunks, embedding, keys, lattice, lsh, profile, search, star
 from txnlens.plans import bindings as B
 from txnlens.plans import governed, reports
 from txnlens.sources import collections as points
@@ -496,6 +496,28 @@ def vec_upsert(spark, sf):
     return rounded(out.select("id", "label", V.dot(F.col("vector"), F.col("vector")).alias("norm2"), F.col("vector")[0].cast("double").alias("x0")), norm2=5, x0=6)
 
 
+@query
+def vec_upsert_buckets(spark, sf):
+    """The same points as two loads into a collection in buckets."""
+    e = B.table(spark, sf, "embeddings")
+    old = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("bigint").alias("label"), F.col("vec_id").alias("seq"))
+    first = old.withColumn("id", F.col("id") * 2)
+    again = first.select("id", F.reverse("vector").alias("vector"), (F.col("label") + 100).alias("label"), (F.col("seq") + 1).alias("seq"))
+    path = _folder(spark, "collection")
+    points.create_buckets(spark, path, 64, 16, "id bigint, vector array<float>, label bigint")
+    points.upsert_buckets(old, path, "seq")
+    points.upsert_buckets(first.unionByName(again), path, "seq")
+    out = points.read_buckets(spark, path)
+    return rounded(out.select("id", "label", F.posexplode("vector").alias("pos", "x")).withColumn("x", F.col("x").cast("double")), x=6)
+
+
+@query
+def vec_topk_lsh(spark, sf):
+    """Found through random projections, so not always all of ``vec_topk``."""
+    index = lsh.build_index(B.vectors(spark, sf), seed=1)
+    return rounded(lsh.search(index, B.label_queries(spark, sf), k=20), score=6)
+
+
 @query
 def collection_info(spark, sf):
     return points.collection_info(B.table(spark, sf, "embeddings"), "embedding")

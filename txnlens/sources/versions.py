@@ -89,13 +89,21 @@ def drop_unused(spark: SparkSession, root: str, keep: int = 2) -> int:
     Not while a writer is at work: its folders are not named yet. Returns how many were deleted.
     """
     files, numbers = _files(spark, root), _numbers(spark, root)
-    kept = [_read(spark, root, n) for n in numbers[-keep:]]
-    named = {part for version in kept for parts in version.parts.values() for part in parts}
-    deleted = 0
-    for name in {part.split("/")[0] for n in numbers for parts in _read(spark, root, n).parts.values() for part in parts}:
-        for status in files.listStatus(_path(spark, root, name)):
-            if f"{name}/{status.getPath().getName()}" not in named:
+    known = {n: _read(spark, root, n) for n in numbers}
+    named = {part for n in numbers[-keep:] for parts in known[n].parts.values() for part in parts}
+    above = {part.rsplit("/", i)[0] for part in named for i in range(1, part.count("/") + 1)}
+
+    def clean(folder: str) -> int:
+        deleted = 0
+        for status in files.listStatus(_path(spark, root, folder)):
+            name = f"{folder}/{status.getPath().getName()}"
+            if name in above:
+                deleted += clean(name)
+            elif name not in named and status.isDirectory():
                 deleted += bool(files.delete(status.getPath(), True))
+        return deleted
+
+    deleted = sum(clean(top) for top in sorted({part.split("/")[0] for v in known.values() for parts in v.parts.values() for part in parts}))
     for n in numbers[:-keep]:
         files.delete(_path(spark, root, _VERSIONS, f"{n:012d}.json"), False)
     return deleted
