@@ -30,8 +30,9 @@ HELD_WORDS = 1 << 19
 # Letter groups: common letters alone or with rare ones, so that each tells words apart; letters with
 # marks go by their number.
 GROUPS = ("aj", "ex", "iq", "oz", "uy", "tk", "nv", "rb", "sp", "hm", "lw", "dcfg")
-# Words that a part of the trie should hold, and places searched at once.
+# Words that a part of the trie should hold at most, and need not fall below; places searched at once.
 PART_WORDS = 1 << 15
+LEAST_PART = 1 << 9
 FRONTIER = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -295,14 +296,16 @@ def near_words(words: DataFrame) -> DataFrame:
     # As many groups lead to a part of the trie as it takes to make the parts small.
     depth = 0
     rows = most = words.count()
-    stored = materialize(vectors, "groups") if rows > PART_WORDS else None
-    while most > PART_WORDS and depth < len(GROUPS):
+    partitions = shuffle_partitions(words.sparkSession)
+    limit = min(PART_WORDS, max(LEAST_PART, rows // partitions))
+    stored = materialize(vectors, "groups") if rows > limit else None
+    while most > limit and depth < len(GROUPS):
         depth += 1
         most = stored.groupBy(F.slice("counts", 1, depth)).count().agg(F.max("count")).first()[0]
     depth = max(depth, 1)
     placed = words.mapInArrow(_place(depth), _PLACED)
     searches = 1 + depth + depth * (depth - 1) // 2
-    buckets = max(shuffle_partitions(words.sparkSession), rows * searches // (8 * PART_WORDS))
+    buckets = max(partitions, rows * searches // (8 * PART_WORDS))
     bucket = F.pmod(F.xxhash64("part"), F.lit(buckets)).alias("bucket")
     near = placed.select(bucket, "part", "word", "n", "spent").groupBy("bucket").applyInArrow(_near, _NEAR)
     alone = words.select("word", "n", F.lit(0).cast("long").alias("n_near"), F.lit(None).cast("long").alias("best_n"), F.lit(None).cast("string").alias("best"))
