@@ -70,6 +70,8 @@ def test_collocations(spark, monkeypatch, least, top, hot):
         monkeypatch.setattr(phrases, "SORTED_WORDS", 300)
         monkeypatch.setattr(phrases, "ROW_WORDS", 50)
         monkeypatch.setattr(phrases, "UNITED_STATES", 100)
+        monkeypatch.setattr(phrases, "FILTER_BITS", (1 << 12, 1 << 12))
+        monkeypatch.setattr(phrases, "BROADCAST_WORDS", 0 if hot == 40 else 1 << 20)
     rows = texts(least)
     found = phrases.collocations(as_frame(spark, rows), least, top)
     assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]

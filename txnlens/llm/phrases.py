@@ -2,9 +2,12 @@
 
 Counts of runs of up to five words are kept as weighted acyclic automata. A shard of texts sorts its
 runs and builds one from them: a run adds states where it leaves the run before it, and a state's
-weight is the number of runs through it. The parts of all shards behind one prefix are then united
-length by length, weights of equal paths added, and paths too rare for a phrase cut off. The counts
-of a phrase's parts are looked up among the paths that are left.
+weight is the number of runs through it. The parts of all shards in one range of prefixes are then
+united length by length, weights of equal paths added, and paths too rare for a phrase cut off. The
+counts of a phrase's parts are looked up among the paths that are left.
+
+That is done twice, for runs of two words and then for longer ones, which need no states behind a
+pair of words that is too rare.
 """
 
 from __future__ import annotations
@@ -18,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnlens.llm.kernels import texts
-from txnlens.operators.joins import lookup_join, table_bytes
-from txnlens.operators.keys import row_ids
+from txnlens.llm.kernels import mix, texts
+from txnlens.operators.joins import BROADCAST_BYTES, lookup_join, table_bytes
+from txnlens.operators.keys import sums_before, row_ids
 from txnlens.session import materialize, shuffle_partitions
 
 LONGEST = 5
@@ -30,24 +33,35 @@ SORTED_WORDS = 1 << 20
 # Words of a row of a numbered text, about.
 ROW_WORDS = 1 << 16
 # States that are united at once, unless one place has more.
-UNITED_STATES = 1 << 20
-# A prefix with more runs is followed to its next word instead of being united in one place. There
-# are at most MOST_PREFIXES of a length, so this number grows with corpora of over 2**38 words.
+UNITED_STATES = 1 << 19
+# Runs that are united in one place: a range of first words, or of next words behind a prefix with more
+# runs than that. There are at most MOST_PLACES prefixes of a length and ranges of first words, so
+# this number grows with corpora of over 2**38 words.
 PLACE_RUNS = 1 << 18
-MOST_PREFIXES = 1 << 20
+MOST_PLACES = 1 << 20
+# Bits of the filter of frequent pairs: 16 a pair, up to 64 MB; fuller, it only prunes less.
+FILTER_BITS = (1 << 16, 1 << 29)
+FILTER_PARTS = 256
+# Words of up to so many bytes are sent to all tasks; more are joined.
+BROADCAST_WORDS = BROADCAST_BYTES
 # Parts in which a language is ranked before the best of each meet.
 RANKED_APART = 64
 
 # Bytes that end a piece become full stops, tabs blanks, A-Z lower case.
 _FOLD = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SHARD = "lang string, words array<string>, n array<long>, codes binary"
-_LEVELS = range(2, LONGEST + 1)
-# A part: the words that lead to its place, the weight there, and by length the states behind it in
-# order, each with its word, its weight and how many states of the next length follow it.
-_PART = "lang string, place array<int>, weight long" + "".join(f", word{k} array<int>, fan{k} array<int>, weight{k} array<int>" for k in _LEVELS)
 _RUN = "lang string, ids array<int>, a long"
 
 
+def _part(longest: int) -> str:
+    """A part of an automaton: its place, and by length the states there in order, each with its word,
+    its weight and how many states of the next length follow it.
+
+    The place is a prefix of words and, below zero, the range of the next word.
+    """
+    return "lang string, place array<int>" + "".join(f", word{k} array<int>, fan{k} array<int>, weight{k} array<int>" for k in range(1, longest + 1))
+
+
 def _names(schema: str) -> list[str]:
     return [field.split(" ")[0] for field in schema.split(", ")]
 
@@ -92,6 +106,33 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from (_coded(k, v) for k, v in held.items())
 
 
+def _rows(lang: str, ids: np.ndarray) -> list[tuple[str, np.ndarray]]:
+    """A numbered text in rows that end between pieces, without what has no runs."""
+    rows = []
+    ends = np.flatnonzero(ids < 0)
+    at = 0
+    while at < len(ids):
+        later = ends[np.searchsorted(ends, at + ROW_WORDS) :]
+        stop = int(later[0]) + 1 if len(later) else len(ids)
+        part = ids[at:stop]
+        word = part >= 0
+        # Words without neighbours have no runs, and one end between words is enough.
+        beside = np.zeros(len(part), bool)
+        beside[1:] |= word[1:] & word[:-1]
+        beside[:-1] |= word[:-1] & word[1:]
+        keep = beside.copy()
+        keep[1:] |= ~beside[1:] & beside[:-1]
+        rows.append((lang, np.where(beside, part, -1)[keep]))
+        at = stop
+    return rows
+
+
+def _table(rows: list[tuple[str, np.ndarray]]) -> pa.RecordBatch:
+    bounds = np.cumsum([0, *(len(ids) for _, ids in rows)])
+    flat = np.concatenate([ids for _, ids in rows]) if rows else np.zeros(0, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in rows], pa.string()), _lists(flat, bounds)], ["lang", "ids"])
+
+
 def _number(shard: pa.Table, known: pa.Table) -> pa.Table:
     """The texts of a shard with the corpus' numbers of words; -1 stands for all others and between pieces."""
     rows = []
@@ -99,33 +140,89 @@ def _number(shard: pa.Table, known: pa.Table) -> pa.Table:
         codes = np.frombuffer(codes, np.int32)
         numbers = np.full(int(codes.max(initial=-1)) + 2, -1, np.int32)  # the last one is that of -1
         numbers[known.column("place").to_numpy()] = known.column("id").to_numpy()
-        ids = numbers[codes]
-        ends = np.flatnonzero(ids < 0)
-        at = 0
-        while at < len(ids):
-            later = ends[np.searchsorted(ends, at + ROW_WORDS) :]
-            stop = int(later[0]) + 1 if len(later) else len(ids)
-            part = ids[at:stop]
-            rest = part >= 0
-            # One end between words is enough, and words without neighbours have no runs.
-            beside = np.zeros(len(part), bool)
-            beside[1:] |= rest[1:] & rest[:-1]
-            beside[:-1] |= rest[:-1] & rest[1:]
-            keep = beside.copy()
-            keep[1:] |= ~beside[1:] & beside[:-1]
-            rows.append((lang, np.where(beside, part, -1)[keep]))
-            at = stop
-    bounds = np.cumsum([0, *(len(ids) for _, ids in rows)])
-    flat = np.concatenate([ids for _, ids in rows]) if rows else np.zeros(0, np.int32)
-    return pa.table([pa.array([lang for lang, _ in rows], pa.string()), _lists(flat, bounds)], ["lang", "ids"])
+        rows += _rows(lang, numbers[codes])
+    return pa.Table.from_batches([_table(rows)])
 
 
-def _runs(ids: np.ndarray) -> np.ndarray:
-    """The run of words that begins at each word, a row each; -1 from the end of its piece on."""
-    padded = np.concatenate([ids, np.full(LONGEST, -1, ids.dtype)])
-    columns = [padded[k : k + len(ids)] for k in range(LONGEST)]
-    for k in range(1, LONGEST):
-        columns[k] = np.where(columns[k - 1] < 0, -1, columns[k])
+def _numbered(coded: DataFrame, listed: DataFrame, words: DataFrame) -> DataFrame:
+    """``(lang, ids)``: the texts as numbers of frequent words, -1 between pieces and for other words.
+
+    A table of words of bounded size goes to the shards; of a larger one each shard gets the words
+    that it has.
+    """
+    if table_bytes(words.select("lang", "word", "id")) <= BROADCAST_WORDS:
+        # At most BROADCAST_WORDS bytes.
+        found: dict[str, dict[str, int]] = {}
+        for row in words.select("lang", "word", "id").toLocalIterator():
+            found.setdefault(row["lang"], {})[row["word"]] = row["id"]
+        shared = coded.sparkSession.sparkContext.broadcast(found)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lang, own, codes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                    known = shared.value.get(lang, {})
+                    numbers = np.array([*(known.get(w, -1) for w in own.values.to_pylist()), -1], np.int32)
+                    yield _table(_rows(lang, numbers[np.frombuffer(codes.as_buffer(), np.int32)]))
+
+        return coded.select("lang", "words", "codes").mapInArrow(run, "lang string, ids array<int>")
+    key = F.concat(F.hex("lang"), F.lit("\t"), F.col("word"))
+    held = lookup_join(listed.select("shard", "place", key.alias("_key")), words.select(key.alias("_key"), "id"), "_key", spread="shard")
+    shards = coded.select("shard", "lang", "codes").groupBy("shard")
+    return shards.cogroup(held.select(F.col("shard").alias("of"), "place", "id").groupBy("of")).applyInArrow(_number, "lang string, ids array<int>")
+
+
+def _bits(pairs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Part of the filter that a pair of words belongs to, and its three bits there."""
+    first = mix(pairs.astype(np.uint64))
+    second = mix(first + np.uint64(1))
+    part = (first & np.uint64(FILTER_PARTS - 1)).astype(np.int64)
+    places = np.stack([first >> np.uint64(40), second >> np.uint64(40), second & np.uint64((1 << 24) - 1)], axis=1)
+    return part, (places & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _pair_filter(pairs: DataFrame, n: int) -> np.ndarray:
+    """A bit filter that lets all frequent pairs ``(ids)`` pass, one row of bytes for each of its parts."""
+    bits = max(FILTER_BITS[0], min(FILTER_BITS[1], 1 << (16 * n).bit_length())) // FILTER_PARTS
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).flatten().to_numpy().astype(np.int64)
+            part, places = _bits(ids[::2] << 32 | ids[1::2], bits)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, 3)), pa.array(places.reshape(-1))], ["part", "bit"])
+
+    def filled(table: pa.Table) -> pa.Table:
+        set_bits = np.zeros(bits, np.uint8)
+        set_bits[table["bit"].to_numpy()] = 1
+        return pa.table({"part": table["part"].slice(0, 1), "bytes": pa.array([np.packbits(set_bits).tobytes()])})
+
+    parts = pairs.select("ids").mapInArrow(placed, "part long, bit long").groupBy("part").applyInArrow(filled, "part long, bytes binary")
+    out = np.zeros((FILTER_PARTS, bits // 8), np.uint8)
+    for row in parts.collect():  # FILTER_PARTS rows, 64 MB at most
+        out[row["part"]] = np.frombuffer(row["bytes"], np.uint8)
+    return out
+
+
+def _without_rare_pairs(ids: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Whether a run may go on from each word to the next."""
+    if len(ids) < 2:
+        return np.zeros(len(ids), bool)
+    both = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+    part, places = _bits(ids[both].astype(np.int64) << 32 | ids[both + 1], pairs.shape[1] * 8)
+    hit = np.ones(len(both), bool)
+    for k in range(3):
+        hit &= (pairs[part, places[:, k] >> 3] >> (7 - (places[:, k] & 7))) & 1 == 1
+    out = np.zeros(len(ids), bool)
+    out[both[hit]] = True
+    return out
+
+
+def _runs(ids: np.ndarray, longest: int = LONGEST, goes_on: np.ndarray | None = None) -> np.ndarray:
+    """The run of words that begins at each word, a row each; -1 from where it ends on."""
+    padded = np.concatenate([ids, np.full(longest, -1, ids.dtype)])
+    goes_on = np.concatenate([np.ones(len(ids), bool) if goes_on is None else goes_on, np.zeros(longest, bool)])
+    columns = [padded[: len(ids)]]
+    for k in range(1, longest):
+        columns.append(np.where((columns[-1] >= 0) & goes_on[k - 1 : k - 1 + len(ids)], padded[k : k + len(ids)], -1))
     return np.stack(columns, axis=1)[ids >= 0]
 
 
@@ -146,72 +243,81 @@ def _leaves(runs: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _build(lang: str, ids: np.ndarray, hot: list[dict]) -> pa.RecordBatch | None:
-    """The automaton of one shard, cut into the parts that are united in one place each.
+def _build(lang: str, runs: np.ndarray, hot: list[dict], ranges: np.ndarray) -> pa.RecordBatch | None:
+    """The automaton of one shard's runs, cut into the parts that are united in one place each.
 
-    ``hot`` has, by length, the paths of words that have more runs than one place unites; runs
-    through them go to a place one word further, and those that end there are counted with them.
+    ``hot`` has, by length, the paths with more runs than one place unites, and how many places the
+    runs behind them are dealt to, by ranges of the next word; those that end there are counted with
+    them. ``ranges`` has the first word of each range.
     """
-    runs = _sorted(_runs(ids))
-    depth = np.ones(len(runs), np.int64)
+    longest = runs.shape[1]
+    runs = _sorted(runs)
+    depth = np.zeros(len(runs), np.int64)
+    dealt = np.full(len(runs), len(ranges), np.int64)
     leaves = _leaves(runs)
     through = np.ones(len(runs), bool)
-    for k, paths in enumerate(hot):
+    for k, paths in enumerate(hot[: longest - 1]):
         first = np.flatnonzero(leaves[k])
-        is_hot = np.array([through[i] and (lang, *runs[i, : k + 1].tolist()) in paths for i in first], bool)
-        through &= is_hot[np.cumsum(leaves[k]) - 1] if len(first) else through
-        depth[through] = k + 2
-    whole = runs[np.arange(len(runs)), depth - 1] >= 0
-    runs, depth = runs[whole], depth[whole]
+        places = np.array([paths.get((lang, *runs[i, : k + 1].tolist()), 0) if through[i] else 0 for i in first], np.int64)
+        if not places.any():
+            break
+        places = places[np.cumsum(leaves[k]) - 1]
+        through &= places > 0
+        depth[through] = k + 1
+        dealt[through] = places[through]
+    following = runs[np.arange(len(runs)), depth]
+    whole = following >= 0
+    runs, depth, dealt, following = runs[whole], depth[whole], dealt[whole], following[whole]
     if not len(runs):
         return None
+    within = (np.searchsorted(ranges, following, side="right") - 1) * dealt // len(ranges)
     leaves = np.stack(_leaves(runs))
-    start = np.flatnonzero(leaves[depth - 1, np.arange(len(runs))])
-    size = depth[start]
-    bounds = np.concatenate([[0], np.cumsum(size)])
-    cells = runs[np.repeat(start, size), np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)]
-    weight = np.diff(np.append(start, len(runs)))
-    columns = [pa.array([lang] * len(start)), _lists(cells, bounds), pa.array(weight.astype(np.int64))]
+    # A place goes on while the prefix and the range of the next word do.
+    begins = np.ones(len(runs), bool)
+    begins[1:] = (depth[1:] != depth[:-1]) | (within[1:] != within[:-1]) | ((depth[1:] > 0) & leaves[np.maximum(depth[1:] - 1, 0), np.arange(1, len(runs))])
+    start = np.flatnonzero(begins)
+    bounds = np.concatenate([[0], np.cumsum(depth[start] + 1)])
+    prefix = np.arange(bounds[-1]) - np.repeat(bounds[:-1], depth[start] + 1)
+    cells = runs[np.repeat(start, depth[start] + 1), np.minimum(prefix, longest - 1)]
+    cells[bounds[1:] - 1] = -1 - within[start]
+    columns = [pa.array([lang] * len(start)), _lists(cells, bounds)]
     rows, weights = [], []
-    for k in range(LONGEST):
+    for k in range(longest):
         first = np.flatnonzero(leaves[k])
         state = (runs[first, k] >= 0) & (depth[first] <= k)
         rows.append(first[state])
         weights.append(np.diff(np.append(first, len(runs)))[state])
-    for k in range(1, LONGEST):
+    for k in range(longest):
         cut = np.searchsorted(rows[k], np.append(start, len(runs)))
         fan = np.zeros(len(rows[k]), np.int64)
-        if k + 1 < LONGEST and len(rows[k]):
-            # States whose path was a place's own word have no state before them here.
+        if k + 1 < longest and len(rows[k]):
+            # States whose path is one word longer than their place's prefix have no state before them.
             inner = rows[k + 1][depth[rows[k + 1]] <= k]
             fan = np.bincount(np.searchsorted(rows[k], inner, side="right") - 1, minlength=len(rows[k]))
         columns += [_lists(runs[rows[k], k], cut), _lists(fan, cut), _lists(weights[k], cut)]
-    return pa.RecordBatch.from_arrays(columns, _names(_PART))
+    return pa.RecordBatch.from_arrays(columns, _names(_part(longest)))
 
 
-def _united(parts: pa.Table, least: int) -> pa.RecordBatch:
-    """Paths of two words and more with at least ``least`` runs, in parts that hold whole places."""
+def _united(parts: pa.Table, least: int, shortest: int) -> pa.RecordBatch:
+    """Paths of at least ``shortest`` words and ``least`` runs, in parts that hold whole places."""
     parts = parts.combine_chunks()
     column = {name: parts.column(name).chunk(0) for name in parts.column_names}
+    longest = (len(column) - 2) // 3
     numbers: dict[tuple, int] = {}
-    names = zip(column["lang"].to_pylist(), column["place"].to_pylist())
-    place = np.array([numbers.setdefault((lang, *ids), len(numbers)) for lang, ids in names], np.int64)
-    total = np.zeros(len(numbers), np.int64)
-    np.add.at(total, place, column["weight"].to_numpy())
-    often = total >= least
-    places = [path for path, yes in zip(numbers, often) if yes]
-    out = [(path, int(a)) for path, a in zip(places, total[often]) if len(path) > 2]
-    left = np.where(often, np.cumsum(often) - 1, -1)[place]  # number of each part's place among those left
-    depth = np.array([len(path) - 1 for path in numbers], np.int64)[place]
+    named = zip(column["lang"].to_pylist(), column["place"].to_pylist())
+    place = np.array([numbers.setdefault((lang, *ids), len(numbers)) for lang, ids in named], np.int64)
+    places = [path[:-1] for path in numbers]
+    depth = np.array([len(path) - 1 for path in places], np.int64)[place]
+    out: list[tuple[tuple, int]] = []
     before: list[tuple] = []  # paths left of one word less, behind their places
     behind = np.zeros(0, np.int64)  # for each state of this length that has one before it: which of those
-    for k in _LEVELS:
+    for k in range(1, longest + 1):
         word, bounds = _flat(column[f"word{k}"])
         weight, fan = _flat(column[f"weight{k}"])[0], _flat(column[f"fan{k}"])[0]
         part = np.repeat(np.arange(len(place)), np.diff(bounds))
         direct = depth[part] == k - 1
         parent = np.empty(len(word), np.int64)
-        parent[direct] = left[part[direct]]
+        parent[direct] = place[part[direct]]
         parent[~direct] = np.where(behind < 0, -1, behind + len(places))
         alive = np.flatnonzero(parent >= 0)
         order = alive[np.lexsort((word[alive], parent[alive]))]
@@ -222,7 +328,8 @@ def _united(parts: pa.Table, least: int) -> pa.RecordBatch:
         keep = summed >= least
         above = [*places, *before]
         before = [(*above[p], w) for p, w in zip(parent[order[first[keep]]].tolist(), word[order[first[keep]]].tolist())]
-        out += zip(before, summed[keep].tolist())
+        if k >= shortest:
+            out += zip(before, summed[keep].tolist())
         state = np.full(len(word), -1, np.int64)
         state[order] = np.where(keep, np.cumsum(keep) - 1, -1)[np.cumsum(opens) - 1]
         behind = np.repeat(state, fan)
@@ -234,37 +341,71 @@ def _united(parts: pa.Table, least: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, _names(_RUN))
 
 
-def _whole_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Parts sorted by place, in tables of some size that end where a place does."""
+def _whole_places(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.Table]:
+    """Parts sorted by place, in tables of about UNITED_STATES that end where a place does."""
     held: list[pa.RecordBatch] = []
-    states = 0
+    size, before = 0, None
     for batch in batches:
-        held.append(batch)
-        states += batch.num_rows + sum(len(_flat(batch.column(f"word{k}"))[0]) for k in _LEVELS)
-        if states < UNITED_STATES:
-            continue
-        table = pa.Table.from_batches(held)
-        last = table.num_rows - 1
-        name = (table["lang"][last].as_py(), table["place"][last].as_py())
-        while last > 0 and (table["lang"][last - 1].as_py(), table["place"][last - 1].as_py()) == name:
-            last -= 1
-        if last > 0:
-            yield table.slice(0, last)
-            rest = table.slice(last).combine_chunks()
-            held = rest.to_batches()
-            states = rest.num_rows + sum(len(_flat(b.column(f"word{k}"))[0]) for b in held for k in _LEVELS)
+        places = list(zip(batch.column(0).to_pylist(), map(tuple, batch.column(1).to_pylist())))
+        states = sum(np.diff(batch.column(f"word{k}").offsets.to_numpy()) for k in range(1, longest + 1))
+        at = 0
+        for i, place in enumerate(places):
+            if size >= UNITED_STATES and place != before:
+                yield pa.Table.from_batches([*held, batch.slice(at, i - at)])
+                held, size, at = [], 0, i
+            size, before = size + int(states[i]), place
+        held.append(batch.slice(at))
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _hot_paths(numbered: DataFrame, words: DataFrame, limit: int) -> list[dict]:
-    """By length, the paths with more than ``limit`` runs and how many: ``{(lang, *ids): runs}``.
+def _count(numbered: DataFrame, least: int, longest: int, shortest: int, hot: list[dict], ranges: np.ndarray, pairs: np.ndarray | None = None) -> DataFrame:
+    """``(lang, ids, a)``: runs of ``shortest`` to ``longest`` words with ``a >= least``, by uniting the shards' automata.
+
+    ``pairs`` is a filter that lets all frequent pairs pass; runs end at others.
+    """
+    spark = numbered.sparkSession
+    shared = spark.sparkContext.broadcast((hot, ranges, pairs))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, ranges, pairs = shared.value
+        waiting: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def built() -> Iterator[pa.RecordBatch]:
+            for lang, runs in waiting.items():
+                made = _build(lang, np.concatenate(runs), hot, ranges)
+                if made is not None:
+                    yield made
+
+        for batch in batches:
+            for lang, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = ids.values.to_numpy(zero_copy_only=False)
+                runs = _runs(ids, longest, None if pairs is None else _without_rare_pairs(ids, pairs))
+                runs = runs[runs[:, shortest - 1] >= 0]
+                if len(runs):
+                    waiting.setdefault(lang, []).append(runs)
+                size += len(runs)
+                if size >= SORTED_WORDS:
+                    yield from built()
+                    waiting, size = {}, 0
+        yield from built()
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_places(batches, longest):
+            yield _united(table, least, shortest)
+
+    parts = numbered.mapInArrow(build, _part(longest)).repartition(shuffle_partitions(spark), "lang", "place")
+    return parts.sortWithinPartitions("lang", "place").mapInArrow(unite, _RUN)
+
+
+def _hot_paths(numbered: DataFrame, found: list[dict], limit: int) -> list[dict]:
+    """Go on with ``found``, which has the paths of one and of two words with more than ``limit`` runs
+    and how many: longer ones are counted length by length, only behind those found.
 
-    Counted length by length, only behind those found; there are at most as many of a length as
-    ``limit`` goes into the words of the corpus.
+    There are at most as many of a length as ``limit`` goes into the words of the corpus.
     """
     spark = numbered.sparkSession
-    found = [{(r[0], r[1]): r[2] for r in words.filter(F.col("f") > limit).select("lang", "id", "f").collect()}]
     while found[-1] and len(found) < LONGEST - 1:
         length = len(found) + 1
         shared = spark.sparkContext.broadcast(found[-1])
@@ -275,8 +416,8 @@ def _hot_paths(numbered: DataFrame, words: DataFrame, limit: int) -> list[dict]:
                 for lang, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                     if lang not in heads:
                         heads[lang] = np.unique([path[1] for path in shared.value if path[0] == lang])
-                    runs = _runs(ids.values.to_numpy(zero_copy_only=False))
-                    runs = _sorted(runs[np.isin(runs[:, 0], heads[lang]) & (runs[:, length - 1] >= 0)][:, :length])
+                    runs = _runs(ids.values.to_numpy(zero_copy_only=False), length)
+                    runs = _sorted(runs[np.isin(runs[:, 0], heads[lang]) & (runs[:, length - 1] >= 0)])
                     first = np.flatnonzero(_leaves(runs)[-1])
                     n = np.diff(np.append(first, len(runs)))
                     keep = [(lang, *path[:-1]) in shared.value for path in runs[first].tolist()]
@@ -286,7 +427,7 @@ def _hot_paths(numbered: DataFrame, words: DataFrame, limit: int) -> list[dict]:
 
         counted = numbered.mapInArrow(run, _RUN).groupBy("lang", "ids").agg(F.sum("a").alias("a"))
         found.append({(r[0], *r[1]): r[2] for r in counted.filter(F.col("a") > limit).collect()})
-    return [paths for paths in found if paths]
+    return found
 
 
 def count_runs(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -303,43 +444,27 @@ def count_runs(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame,
     listed = listed.select("shard", "lang", "place", F.col("_w.words").alias("word"), F.col("_w.n").alias("n")).filter("n > 0")
     counted = materialize(listed.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
     sizes = counted.groupBy("lang").agg(F.sum("f").alias("n"))
-    # A phrase has no word that is rarer than itself.
-    often = row_ids(counted.filter(F.col("f") >= least), ["lang", "word"], "id")
-    words = materialize(often.withColumn("id", F.col("id").cast("int")), "numbers")
-
-    key = F.concat(F.hex("lang"), F.lit("\t"), F.col("word"))
-    known = words.select(key.alias("_key"), "id")
-    held = lookup_join(listed.select("shard", "place", key.alias("_key")), known, "_key", spread="shard", dim_bytes=table_bytes(known))
-    shards = coded.select("shard", "lang", "codes").groupBy("shard")
-    numbered = shards.cogroup(held.select(F.col("shard").alias("of"), "place", "id").groupBy("of")).applyInArrow(_number, "lang string, ids array<int>")
-    numbered = materialize(numbered, "numbered")
-
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    hot = _hot_paths(numbered, words, max(PLACE_RUNS, total // MOST_PREFIXES))
-    shared = spark.sparkContext.broadcast([set(paths) for paths in hot])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str, list[np.ndarray]] = {}
-        size = 0
-        for batch in batches:
-            for lang, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                row = ids.values.to_numpy(zero_copy_only=False)
-                waiting.setdefault(lang, []).extend((row, np.full(1, -1, np.int32)))
-                size += len(row)
-                if size >= SORTED_WORDS:
-                    yield from filter(None, (_build(k, np.concatenate(v), shared.value) for k, v in waiting.items()))
-                    waiting, size = {}, 0
-        yield from filter(None, (_build(k, np.concatenate(v), shared.value) for k, v in waiting.items()))
-
-    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_places(batches):
-            yield _united(table, least)
-
-    parts = numbered.mapInArrow(build, _PART).repartition(shuffle_partitions(spark), "lang", "place")
-    united = parts.sortWithinPartitions("lang", "place").mapInArrow(unite, _RUN)
-    followed = [(path[0], list(path[1:]), n) for paths in hot[1:] for path, n in paths.items()]
-    united = united.unionByName(spark.createDataFrame(followed, _RUN))
-    return words, materialize(united, "runs"), sizes
+    limit = max(PLACE_RUNS, total // MOST_PLACES)
+    # A phrase has no word that is rarer than itself.
+    words = row_ids(counted.filter(F.col("f") >= least), ["lang", "word"], "id").withColumn("id", F.col("id").cast("int"))
+    words = sums_before(words, ["id"], "f").select("lang", "id", "word", "f", F.floor(F.col("_before") / limit).alias("range"))
+    ranges = np.sort(np.array([r[0] for r in words.groupBy("range").agg(F.min("id")).collect()], np.int64))
+    if not len(ranges):
+        return words, spark.createDataFrame([], _RUN), sizes
+    ranges[0] = 0
+
+    numbered = materialize(_numbered(coded, listed, words), "numbered")
+    hot = [{(r[0], r[1]): r[2] for r in words.filter(F.col("f") > limit).select("lang", "id", "f").collect()}]
+    places = lambda found: [{path: -(-n // limit) for path, n in paths.items()} for paths in found]
+    pairs = materialize(_count(numbered, least, 2, 2, places(hot), ranges), "pairs")
+    frequent = pairs.count()
+    hot.append({(r[0], *r[1]): r[2] for r in pairs.filter(F.col("a") > limit).collect()})
+    hot = _hot_paths(numbered, hot, limit)
+    longer = _count(numbered, least, LONGEST, 3, places(hot), ranges, _pair_filter(pairs, frequent))
+    followed = [(path[0], list(path[1:]), n) for paths in hot[2:] for path, n in paths.items()]
+    runs = pairs.unionByName(longer).unionByName(spark.createDataFrame(followed, _RUN))
+    return words, materialize(runs, "runs"), sizes
 
 
 def _path_key(ids: Column) -> Column:
