@@ -74,16 +74,17 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | float, total: float | No
     """Columns of ``docs`` and ``copy`` (1, 2, ...): the documents repeated to the target weights, globally shuffled.
 
     ``weights`` maps sources to weights, or is the exponent of ``tempered``. Every row of a document
-    that is repeated in ``docs`` has the same number of copies; a null id is hashed like an empty
-    text, a null or empty source is one source of its own. ``copy`` replaces a column of that name.
-    An empty table gives an empty mix. The order of the rows inside and across the partitions
-    written is that of a hash of id, copy and seed.
+    that is repeated in ``docs`` has the same number of copies; rows without id are told apart by
+    their texts. A null or empty source is one source of its own. ``copy`` replaces a column of that
+    name. An empty table gives an empty mix. The order of the rows inside and across the partitions
+    written is that of a hash of row, copy and seed.
     """
     table = rates(docs, weights, total).filter("rate > 0")
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_MEAN).cast("int"))
     table = table.select("source", parts.alias("parts"), (F.col("rate") / parts).alias("mean"))
     table = table.select("source", "parts", cumulative(F.col("mean")).alias("sums"))
-    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    no_id = F.concat(F.lit("text:"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    id_text = F.coalesce(F.col("doc_id").cast("string"), no_id)
     row = docs.select(F.struct("*").alias("row"), id_text.alias("id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
     if table.count() <= BROADCAST_SOURCES:
         placed = row.join(F.broadcast(table), "source")
@@ -93,6 +94,6 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | float, total: float | No
     draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda k: invert(F.col("sums"), uniform(F.lit(str(seed)), F.col("id"), k.cast("string"))))
     counted = placed.select("row", "id", F.aggregate(draws, F.lit(0), lambda a, x: a + x).alias("n")).filter("n > 0")
     copies = counted.select("row", "id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id"), F.lit("place"), F.col("copy")))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.xxhash64("row").cast("string"), F.lit("place"), F.col("copy")))
     placed = copies.withColumn("key", key).repartition("key").sortWithinPartitions("key")
     return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "copy"], "copy")
