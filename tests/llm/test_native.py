@@ -28,12 +28,13 @@ def test_no_python_in_tasks(spark, name):
 # -- mixing
 
 
-def drawn(i, rate, seed):
+def drawn(i, rate, seed, text=None):
     """Plain version: copies of a document."""
+    i = "text:" + hashlib.md5((text or "").encode()).hexdigest() if i is None else i
     parts = math.ceil(rate / mixing.PART_MEAN)
     total = 0
     for k in range(1, parts + 1):
-        u = int(hashlib.md5(f"{seed}:{'' if i is None else i}:{k}".encode()).hexdigest()[:13], 16) / 2**52
+        u = int(hashlib.md5(f"{seed}:{i}:{k}".encode()).hexdigest()[:13], 16) / 2**52
         p = c = math.exp(-rate / parts)
         n = 0
         while u >= c and n < mixing.TERMS:
@@ -58,7 +59,7 @@ def test_mix(spark, monkeypatch, broadcast):
     used = sum(w for s, w in weights.items() if s in sizes)
     want = {}
     for i, t in rows:
-        n = drawn(i, 1000 * weights.get(source(i), 0) / used / sizes[source(i)], 3) if source(i) in weights else 0
+        n = drawn(i, 1000 * weights.get(source(i), 0) / used / sizes[source(i)], 3, t) if source(i) in weights else 0
         for c in range(1, n + 1):
             want[i, t, c] = want.get((i, t, c), 0) + 1
     out = mix(docs, weights, total=1000, seed=3)
@@ -71,6 +72,25 @@ def test_mix(spark, monkeypatch, broadcast):
     assert abs(rare - 1000 * 3 / used) < 4 * math.sqrt(1000 * 3 / used)
 
 
+def test_rows_without_ids_meet_their_weights(spark):
+    """Every id is null: texts are drawn one by one, and their copies go to all partitions."""
+    docs = spark.range(6000, numPartitions=4).selectExpr("cast(null as long) as doc_id", "concat('t', id) as text", "concat('s', id % 3) as source")
+    weights = {"s0": 1.0, "s1": 2.5, "s2": 5.0}
+    out = mix(docs, weights, total=17000, seed=1)
+    got = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
+    for name, weight in weights.items():
+        wanted = 17000 * weight / 8.5
+        assert abs(got[name] - wanted) < 5 * math.sqrt(wanted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [len(p) for p in mix(docs, weights, total=17000, seed=1).rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) >= 2 and min(sizes) > 0.5 * sum(sizes) / len(sizes)
+    again = mix(docs.repartition(7), weights, total=17000, seed=1)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, out.collect()))
+
+
 def test_mix_without_rows_or_weight(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert mix(none, 0.5).count() == 0
@@ -89,28 +109,39 @@ def test_mix_is_shuffled(spark):
 # -- lines
 
 
-def templates(text, depth):
-    out = []
-    for line in text.split("\n"):
-        tokens = [t for t in re.split(r"[\x20\x09-\x0D]+", line) if t]
-        lead = tuple("<*>" if re.search("[0-9]", t) else t for t in tokens[:depth])
-        out.append((len(tokens), lead) if tokens else None)
-    return out
+def tokens_of(text):
+    return [[t for t in re.split(r"[\x20\x09-\x0D]+", line) if t] for line in text.split("\n")]
+
+
+def general(token):
+    return "<*>" if re.search("[0-9]", token) else token
 
 
 def without_templates(rows, min_docs, depth):
     """Plain version."""
+    lines = [(i, k, tuple(tokens)) for i, t in rows if i is not None and t is not None for k, tokens in enumerate(tokens_of(t)) if tokens]
+    leaf = lambda tokens: (len(tokens), tuple(map(general, tokens[:depth])))
+    docs = {}
+    for i, _, tokens in lines:
+        docs.setdefault(leaf(tokens), set()).add(i)
+    lines = [x for x in lines if len(docs[leaf(x[2])]) >= min_docs]
+    counts = {}
+    for _, _, tokens in lines:
+        for p in range(depth, len(tokens)):
+            at = counts.setdefault((leaf(tokens), p), {})
+            at[tokens[p]] = at.get(tokens[p], 0) + 1
+
+    def template(tokens):
+        out = [general(t) if p < depth or 2 * max(counts[leaf(tokens), p].values()) >= sum(counts[leaf(tokens), p].values()) else "<*>" for p, t in enumerate(tokens)]
+        return ("plain", tokens) if 2 * sum(t != "<*>" for t in out) < len(out) else ("general", tuple(out))
+
     seen = {}
-    for i, t in rows:
-        if i is not None and t is not None:
-            for leaf in templates(t, depth):
-                seen.setdefault(leaf, set()).add(i)
+    for i, _, tokens in lines:
+        seen.setdefault(template(tokens), set()).add(i)
     gone = {}
-    for i, t in rows:
-        if i is not None and t is not None:
-            for k, leaf in enumerate(templates(t, depth)):
-                if leaf and len(seen[leaf]) >= min_docs and i > min(seen[leaf]):
-                    gone.setdefault(i, set()).add(k)
+    for i, k, tokens in lines:
+        if len(seen[template(tokens)]) >= min_docs and i > min(seen[template(tokens)]):
+            gone.setdefault(i, set()).add(k)
     out = []
     for i, t in rows:
         if t is not None and i in gone:
@@ -119,6 +150,28 @@ def without_templates(rows, min_docs, depth):
     return out
 
 
+def test_lines_that_say_something_else_stay(spark):
+    """Common openings and rows of numbers are no templates; what goes agrees with a line that stays."""
+    opening = "we would like to thank all"
+    rows = [(i, f"{opening} people {w} who came to see us") for i, w in enumerate(["kind", "good", "old", "kind", "dear", "new"])]
+    rows += [(10 + i, f"{opening} {' '.join(w + str(i) for w in 'pqrstu')}\n{i} {i + 1} {i * 7}\n1 2 3") for i in range(5)]
+    rows += [(20 + i, f"user {i} logged in from host {h} today\nalpha beta gamma delta epsilon zeta {a} {b} {c}") for i, (h, a, b, c) in enumerate([("a", "x", "y", "z"), ("b", "x", "q", "z"), ("c", "x", "r", "w"), ("d", "k", "s", "z")])]
+    found = dict(map(tuple, drop_template_lines(frame(spark, rows)).select("doc_id", "text").collect()))
+    assert found == dict(without_templates(rows, 3, 6))
+    # One field after the leading tokens varies and the rest agrees: a template.
+    assert found[0] == rows[0][1] and all(found[i] == "" for i in range(1, 6))
+    # Beyond a common opening nothing agrees, and rows of numbers say nothing else: those go only if equal.
+    assert found[10].split("\n")[1:] == ["0 1 0", "1 2 3"]
+    assert all(found[10 + i].split("\n")[-1] == f"{i} {i + 1} {i * 7}" for i in range(2, 5))
+    # Users and hosts are fields; three places of nine that vary leave enough in common.
+    assert found[20] == rows[11][1] and all("logged" not in found[20 + i] for i in (1, 2, 3))
+    # Whatever goes has a line that stays and agrees in at least half of the tokens.
+    stays = [line.split() for t in found.values() for line in t.split("\n") if line]
+    for i, t in rows:
+        for line in set(t.split("\n")) - set(found[i].split("\n")):
+            assert any(len(s) == len(line.split()) and 2 * sum(a == b for a, b in zip(s, line.split())) >= len(s) for s in stays)
+
+
 @pytest.mark.parametrize("depth", [2, 6])
 def test_lines(spark, depth):
     rows = corpus(6)

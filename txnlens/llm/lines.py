@@ -1,8 +1,9 @@
 """Lines whose template recurs across documents, dropped by a log-template tree of fixed depth.
 
 A line goes down the tree by its number of tokens and then by its leading tokens, those that hold a
-digit generalised to a wildcard. Where the tree ends, the rest of the line is variable: the leaf is
-the template. A line with no more tokens than the tree is deep is a template in full.
+digit generalised to a wildcard. In the leaf, tokens further on are compared place by place: a place
+where most lines have the same token is constant, others hold variable fields and are generalised as
+well. What is then left of a line is its template, unless wildcards outweigh it: then the line itself.
 """
 
 from __future__ import annotations
@@ -10,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txnlens.session import materialize, shuffle_partitions
+
 WILDCARD = "<*>"
-# Tasks that the lines of one template are spread over.
-SALTS = 16
 # Tokens are runs of characters other than these.
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -21,43 +22,83 @@ def _tokens(line: Column) -> Column:
     return F.filter(F.split(line, _SPACE), lambda t: t != "")
 
 
+def _general(token: Column) -> Column:
+    return F.when(token.rlike("[0-9]"), F.lit(WILDCARD)).otherwise(token)
+
+
+def _name(*parts: Column) -> Column:
+    """128 bits that tell values apart."""
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(*reversed(parts)).alias("b"))
+
+
 def _leaf(tokens: Column, depth: int) -> Column:
-    """Path to the leaf: token count and leading tokens, variable fields generalised. 128 bits."""
-    lead = F.transform(F.slice(tokens, 1, depth), lambda t: F.when(t.rlike("[0-9]"), F.lit(WILDCARD)).otherwise(t))
-    return F.struct(F.xxhash64(F.size(tokens), lead).alias("a"), F.xxhash64(lead, F.size(tokens)).alias("b"))
+    """Path to the leaf: token count and leading tokens, variable fields generalised."""
+    return _name(F.size(tokens), F.transform(F.slice(tokens, 1, depth), _general))
+
+
+def _template(tokens: Column, constant: Column, depth: int) -> Column:
+    """What is constant in a line, or the line itself if that is less than half of its tokens."""
+    general = F.transform(
+        tokens, lambda t, i: F.when((i < depth) | F.array_contains(constant, i), _general(t)).otherwise(F.lit(WILDCARD))
+    )
+    told = F.size(F.filter(general, lambda t: t != WILDCARD))
+    plain = 2 * told < F.size(tokens)
+    return _name(plain, F.when(plain, tokens).otherwise(general))
+
+
+def _recurring(lines: DataFrame, name: str, min_docs: int) -> DataFrame:
+    """Names that the lines of enough documents have, with the first of them; reduced to a row per name and
+    document before they meet."""
+    found = lines.select(name, "doc_id").distinct().groupBy(name).agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
+    return found.filter(F.col("docs") >= min_docs).select(name, "first")
+
+
+def _meet(lines: DataFrame, found: DataFrame, name: str, how: str = "inner") -> DataFrame:
+    """Join lines with what is known of their names, few beside the lines: lines of one name meet in several tasks."""
+    salts = shuffle_partitions(lines.sparkSession)
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    every = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(every, [name, "salt"], how).drop("salt")
 
 
-def _recurring(slim: DataFrame, min_docs: int) -> DataFrame:
-    """Templates that enough documents have, with the first of them; reduced to a row per template and document
-    before they meet."""
-    per_doc = slim.select("leaf", "doc_id").distinct()
-    found = per_doc.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
-    return found.filter(F.col("docs") >= min_docs).select("leaf", "first")
+def _constant(lines: DataFrame, depth: int) -> DataFrame:
+    """``(leaf, constant)``: places beyond ``depth`` where one token has at least half of a leaf's lines."""
+    tail = lines.filter(F.size("tokens") > depth).select("leaf", F.posexplode(F.slice("tokens", depth + 1, F.size("tokens"))).alias("i", "token"))
+    counted = tail.groupBy("leaf", "i", "token").agg(F.count(F.lit(1)).alias("k"))
+    shares = counted.groupBy("leaf", "i").agg(F.max("k").alias("most"), F.sum("k").alias("n")).filter(2 * F.col("most") >= F.col("n"))
+    return shares.groupBy("leaf").agg(F.collect_list(F.col("i") + depth).alias("constant"))
 
 
 def drop_template_lines(docs: DataFrame, min_docs: int = 3, depth: int = 6) -> DataFrame:
     """``docs`` with the lines gone whose template at least ``min_docs`` documents have.
 
-    The document with the smallest ``doc_id`` keeps its lines of a template. Lines of one template
-    need not be equal: tokens with a digit and all beyond the first ``depth`` are not compared, so
-    what only the other documents' lines say there is lost. Lines end with a line feed; blank ones always stay. All rows and columns are kept, but ``text``
+    The document with the smallest ``doc_id`` keeps its lines of a template. A line that goes agrees
+    with one that stays in its number of tokens and in at least half of them, or in all; what differs,
+    and is lost, are tokens with a digit and those beyond the first ``depth`` at places where no token
+    has half of the lines that share the number of tokens and the leading ones. Lines end with a line
+    feed; blank ones always stay. All rows and columns are kept, but ``text``
     holds the lines that are left and ``n_chars``, if there is one, its length where lines are gone.
     Null texts stay null. Rows with equal ``doc_id`` count as one document, and lines at the same
     place go from all of them; rows with a null id are left as they are.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     lines = slim.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", _tokens(F.col("line")).alias("tokens"))
-    placed = lines.filter(F.size("tokens") > 0).select("doc_id", "pos", _leaf(F.col("tokens"), depth).alias("leaf"))
-    # Lines of one template meet in several tasks: the templates, few beside the lines, are sent to each.
-    salted = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    often = _recurring(placed, min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dropped = salted.join(often, ["leaf", "salt"]).filter("doc_id > first")
+    placed = lines.filter(F.size("tokens") > 0).select("doc_id", "pos", "tokens", _leaf(F.col("tokens"), depth).alias("leaf"))
+    # Only leaves of enough documents can have templates of as many.
+    shared = materialize(_meet(placed, _recurring(placed, "leaf", min_docs).drop("first"), "leaf"), "lines")
+    known = _meet(shared, _constant(shared, depth), "leaf", "left")
+    constant = F.coalesce("constant", F.array().cast("array<int>"))
+    named = known.select("doc_id", "pos", _template(F.col("tokens"), constant, depth).alias("template"))
+    dropped = _meet(named, _recurring(named, "template", min_docs), "template").filter("doc_id > first")
     gone = dropped.groupBy("doc_id").agg(F.collect_set("pos").alias("gone")).select(F.col("doc_id").alias("gone_id"), "gone")
 
     joined = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id")).join(gone, F.col("id") == F.col("gone_id"), "left")
     old = F.col("row.text").cast("string")
-    kept = F.filter(F.split(old, "\n"), lambda line, i: ~F.array_contains(F.col("gone"), i))
     whole = F.col("gone").isNull()
+    # Places are taken away as a set, so that a text of very many lines takes time in proportion.
+    cut = F.split(old, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("gone"))
+    kept = F.element_at(F.transform(F.array(cut), lambda all_lines: F.transform(left, lambda i: F.get(all_lines, i))), 1)
     rebuilt = joined.select("row", whole.alias("whole"), F.when(whole, old).otherwise(F.array_join(kept, "\n")).alias("left_over"))
     new = {"text": F.col("left_over")}
     if "n_chars" in docs.columns:

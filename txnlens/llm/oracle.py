@@ -28,11 +28,11 @@ term AS (
     UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), sum + p * mean / (k + 1) FROM term WHERE k < 96
 ),
 draw AS (
-    SELECT doc_id, source, CAST('0x' || md5('1:' || coalesce(doc_id::VARCHAR, '') || ':' || j)[1:13] AS BIGINT) / 4503599627370496.0 AS u
-    FROM (SELECT doc_id, source, unnest(range(1, parts + 1)) AS j FROM (SELECT doc_id, coalesce(source, '') AS source FROM documents) a JOIN part USING (source)) d
+    SELECT row, source, CAST('0x' || md5('1:' || coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) || ':' || j)[1:13] AS BIGINT) / 4503599627370496.0 AS u
+    FROM (SELECT doc_id, text, source, row, unnest(range(1, parts + 1)) AS j FROM (SELECT doc_id, text, coalesce(source, '') AS source, row_number() OVER () AS row FROM documents) a JOIN part USING (source)) d
 ),
-drawn AS (SELECT doc_id, CAST(COUNT(*) AS INTEGER) AS n FROM draw JOIN term USING (source) WHERE sum <= u GROUP BY doc_id)
-SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy FROM documents JOIN drawn USING (doc_id)""",
+drawn AS (SELECT row, CAST(COUNT(*) AS INTEGER) AS n FROM draw JOIN term USING (source) WHERE sum <= u GROUP BY row)
+SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy FROM (SELECT *, row_number() OVER () AS row FROM documents) d JOIN drawn USING (row)""",
     "op3_ngram_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
 s AS (
@@ -63,9 +63,23 @@ SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0)
     "op7_line_dedup": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 t AS (SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS tokens FROM l),
-leaf AS (SELECT doc_id, pos, line, len(tokens) AS n, list_transform(tokens[1:6], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS lead FROM t),
-often AS (SELECT n, lead, MIN(doc_id) AS first FROM leaf WHERE n > 0 GROUP BY n, lead HAVING COUNT(DISTINCT doc_id) >= 3),
-m AS (SELECT leaf.*, coalesce(leaf.doc_id > often.first, FALSE) AS gone FROM leaf LEFT JOIN often USING (n, lead)),
+leaf AS (SELECT doc_id, pos, line, tokens, len(tokens) AS n, list_transform(tokens[1:6], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS lead FROM t),
+shared AS (SELECT n, lead FROM leaf WHERE n > 0 GROUP BY n, lead HAVING COUNT(DISTINCT doc_id) >= 3),
+c AS (SELECT leaf.* FROM leaf JOIN shared USING (n, lead)),
+token AS (SELECT n, lead, i, x, COUNT(*) AS k FROM (SELECT n, lead, unnest(range(7, n + 1)) AS i, unnest(tokens[7:]) AS x FROM c) u GROUP BY ALL),
+fixed AS (SELECT n, lead, list(i) AS places FROM (SELECT n, lead, i FROM token GROUP BY n, lead, i HAVING 2 * MAX(k) >= SUM(k)) u GROUP BY n, lead),
+general AS (
+    SELECT c.*, list_transform(list_zip(tokens, range(1, n + 1)), lambda x:
+        CASE WHEN regexp_matches(x[1], '[0-9]') OR x[2] > 6 AND NOT list_contains(coalesce(places, []), x[2]) THEN '<*>' ELSE x[1] END) AS template
+    FROM c LEFT JOIN fixed USING (n, lead)
+),
+line AS (
+    SELECT doc_id, pos, CASE WHEN 2 * len(list_filter(template, lambda x: x <> '<*>')) < n THEN tokens ELSE template END AS template,
+        2 * len(list_filter(template, lambda x: x <> '<*>')) < n AS plain FROM general
+),
+often AS (SELECT plain, template, MIN(doc_id) AS first FROM line GROUP BY plain, template HAVING COUNT(DISTINCT doc_id) >= 3),
+gone AS (SELECT doc_id, pos, TRUE AS gone FROM line JOIN often USING (plain, template) WHERE doc_id > first),
+m AS (SELECT DISTINCT l.doc_id, l.pos, line, coalesce(gone, FALSE) AS gone FROM l LEFT JOIN gone USING (doc_id, pos)),
 r AS (SELECT doc_id, bool_or(gone) AS changed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM m GROUP BY doc_id)
 SELECT doc_id, CASE WHEN changed THEN r.text ELSE d.text END AS text, lang, source, CASE WHEN changed THEN length(r.text) ELSE n_chars END AS n_chars
 FROM documents d LEFT JOIN r USING (doc_id)""",
