@@ -209,7 +209,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int =
             ids.add(r["doc_id"])
     spark = docs.sparkSession
     chosen = sample.filter(F.col("doc_id").isin(sorted(ids))) if len(ids) < 50 else sample.join(F.broadcast(spark.createDataFrame([(i,) for i in sorted(ids)], "doc_id long")), "doc_id")
-    found = sorted((r["doc_id"], r["toxic"], r["text"]) for r in slim.join(F.broadcast(chosen), "doc_id").limit(2 * rows).collect())
+    # Repeated rows of an id count once, and of several texts under one id the same ones are taken in every run.
+    texts = slim.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").distinct()
+    first = texts.orderBy(F.xxhash64("doc_id", "text", F.lit("text")), "doc_id", "text", "toxic").limit(2 * rows)
+    found = sorted((r["doc_id"], r["toxic"], r["text"]) for r in first.collect())
     y = np.array([t for _, t, _ in found], dtype=np.int64)
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     return train([text for _, _, text in found], y, min(max(prior, 0.01), 0.99))
