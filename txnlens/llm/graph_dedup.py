@@ -243,8 +243,9 @@ def _compare(reps: DataFrame, overlap: int | None, least: float) -> DataFrame:
     return materialize(spread.groupBy("shard", "alone", "i", "j").applyInArrow(_tile(least), _LINKS), "links")
 
 
-def _truth(reps: DataFrame, least: float) -> DataFrame:
-    """``(rep, truth)``: links by brute force of vectors drawn by a hash of the vector alone, those that have any.
+def _truth(reps: DataFrame, least: float) -> tuple[DataFrame, bool]:
+    """``(rep, truth)``: links by brute force of vectors drawn by a hash of the vector alone, those that have any;
+    and whether all vectors were drawn.
 
     More are drawn until ``AUDITED`` of them have links, or all are, or ``DRAWN`` or ``DRAWN_BYTES`` are reached.
     """
@@ -253,37 +254,38 @@ def _truth(reps: DataFrame, least: float) -> DataFrame:
     most = min(total, DRAWN, max(AUDITED, DRAWN_BYTES // (8 * (width or 1))))
     place, size = F.xxhash64("rep", F.lit("audit")), min(4 * AUDITED, most)
     while True:
-        by_part: dict = {}
+        by_part = {}
         for row in reps.select("rep", "part", "vector").orderBy(place, "rep").limit(size).collect():
             by_part.setdefault(row["part"], []).append((row["rep"], row["vector"]))
         shared = spark.sparkContext.broadcast({p: (np.array([r for r, _ in v]), _unit(pa.chunked_array([pa.array([w for _, w in v])]))) for p, v in by_part.items()})
 
         def run(batches, shared=shared):
-            total = {p: np.zeros(len(ids), np.int64) for p, (ids, _) in shared.value.items()}
+            links = {p: np.zeros(len(ids), np.int64) for p, (ids, _) in shared.value.items()}
             for batch in batches:
                 part = batch.column(1).to_numpy()
                 for p in np.unique(part):
-                    if int(p) not in total:
+                    if int(p) not in links:
                         continue
                     ids, q = shared.value[int(p)]
                     mine = np.flatnonzero(part == p)
                     for a in range(0, len(mine), 512):
                         some = batch.take(pa.array(mine[a : a + 512]))
                         hit = (q @ _unit(pa.chunked_array([some.column(2)])).T >= least) & (ids[:, None] != some.column(0).to_numpy()[None, :])
-                        total[int(p)] += hit @ some.column(3).to_numpy()
+                        links[int(p)] += hit @ some.column(3).to_numpy()
             for p, (ids, _) in shared.value.items():
-                some = np.flatnonzero(total[p])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(total[p][some])], names=["rep", "truth"])
+                some = np.flatnonzero(links[p])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[p][some])], names=["rep", "truth"])
 
         links = reps.select("rep", "part", "vector", "n").mapInArrow(run, "rep long, truth long").groupBy("rep").agg(F.sum("truth").alias("truth"))
         truth = materialize(links, "truth")
         if size >= most or truth.count() >= AUDITED:
-            return truth
+            return truth, size >= total
         size = min(4 * size, most)
 
 
-def _audit(truth: DataFrame, links: DataFrame) -> float:
-    """Share of their true links that vectors of ``truth`` have, on average over the vectors of the worst class.
+def _audit(truth: DataFrame, links: DataFrame) -> float | None:
+    """Share of their true links that vectors of ``truth`` have, on average over the vectors of the worst class;
+    ``None`` if no vector of it has links, so that nothing is measured.
 
     Classes are numbers of links between powers of two, so that many small groups count beside a large one;
     those with fewer than ``CLASS`` vectors are taken together.
@@ -295,7 +297,7 @@ def _audit(truth: DataFrame, links: DataFrame) -> float:
     shares = [found / n for _, n, found in by if n >= CLASS]
     if few:
         shares.append(sum(found for _, found in few) / sum(n for n, _ in few))
-    return min(shares, default=1.0)
+    return min(shares, default=None)
 
 
 def dedup_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
@@ -324,10 +326,12 @@ def dedup_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     firsts = keyed.dropDuplicates(["vec_id", "key"]).join(copies.withColumnRenamed("key", "rep_key"), (F.col("vec_id") == F.col("rep")) & (F.col("key") == F.col("rep_key")))
     # An id may name several vectors, so vectors are numbered by themselves.
     reps = materialize(firsts.select(F.xxhash64("key").alias("rep"), F.col("rep").alias("low"), "n", "part", "vector"), "vectors")
-    truth = _truth(reps, least)
+    truth, complete = _truth(reps, least)
     for overlap in (*OVERLAPS, None):
         links = _compare(reps, overlap, least)
-        if overlap is None or _audit(truth, links) >= RECALL:
+        recall = None if overlap is None else _audit(truth, links)
+        # Without a linked vector among those drawn nothing is known, unless all were drawn.
+        if recall is not None and recall >= RECALL or recall is None and complete:
             break
     counts = links.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("others"))
     low = reps.select("rep", "low")
