@@ -196,6 +196,38 @@ def test_long_benchmarks_are_cut_into_blocks(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in find_items(docs, bench).collect()} >= {(k, k) for k in range(30)}
 
 
+def test_short_items_are_whole_words(spark):
+    items = [(1, "Yes"), (2, "a b"), (3, "it's so"), (4, ""), (5, None), (6, "eightby8"), (7, "yes")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "oh YES\tsir"), (2, "yesterday"), (3, "x a  b"), (4, "ba b"), (5, "it's\nso"), (6, "eightby8"), (7, None), (8, ""), (9, "xeightby8")]
+    found = {tuple(r) for r in find_items(frame(spark, rows), bench).collect()}
+    assert found == {(1, 1, 0), (1, 7, 0), (3, 2, 0), (5, 3, 0), (6, 6, 0)}
+    docs = frame(spark, rows)
+    assert drop_contaminated(docs, bench).count() == len(rows)
+    assert {r[0] for r in drop_contaminated(docs, bench, least_bytes=3).collect()} == {2, 4, 7, 8, 9}
+
+
+def test_all_pairs_of_documents_and_items(spark):
+    """Against the plain distance of every document to every item: all within the share, and no others."""
+    rng = random.Random(14)
+    items = [(k, prose(rng, rng.randint(2, 14))) for k in range(14)] + [(20, "tiny"), (21, "two words")]
+    rows = []
+    for k, (i, text) in enumerate(items * 3):
+        inner = edited(rng, text, int(len(text) * rng.choice([0, 0.04, 0.08, 0.12])))
+        rows.append((k, rng.choice(["", "xx", "x "]) + inner + rng.choice(["", "yy", " y"]) + " " + prose(rng, 8)))
+    found = {(r["doc_id"], r["item_id"]): r["distance"] for r in find_items(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for d, text in rows:
+        for i, item in items:
+            a, b = normal(item), normal(text)
+            if len(a) < decontaminate.RUN:
+                if b" " + a + b" " in b" " + b + b" ":
+                    want[d, i] = 0
+            elif (distance := plain_distance(a, b)) <= int(0.08 * len(a)):
+                want[d, i] = distance
+    assert found == want and len(want) > 25
+
+
 def test_empty_benchmark(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert find_items(frame(spark, [(1, "a b c")]), bench).count() == 0
@@ -313,6 +345,19 @@ def test_groups_larger_than_the_pool(spark):
     assert [found[i][1] for i in range(len(x))] == [i // 100 * 100 for i in range(len(x))]
 
 
+def test_unmeasured_recall_is_not_enough(spark, monkeypatch):
+    """Where no drawn vector has links, shards go on to overlap; where all were drawn there are none."""
+    asked, compare = [], graph_dedup._compare
+    monkeypatch.setattr(graph_dedup, "_compare", lambda reps, overlap, least: asked.append(overlap) or compare(reps, overlap, least))
+    rows = [(i, [1.0 * (j == i) for j in range(40)], 1) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long")
+    assert dedup_vectors(vectors).filter("n_links > 0").count() == 0 and asked == [graph_dedup.OVERLAPS[0]]
+    asked.clear()
+    monkeypatch.setattr(graph_dedup, "DRAWN", 4)
+    monkeypatch.setattr(graph_dedup, "AUDITED", 4)
+    assert dedup_vectors(vectors).filter("n_links > 0").count() == 0 and asked == [*graph_dedup.OVERLAPS, None]
+
+
 def test_audit_counts_lost_pairs(spark):
     """A fiftieth of the vectors is linked in pairs, half of them are lost, and a large group is whole."""
     rng = np.random.default_rng(7)
@@ -320,12 +365,14 @@ def test_audit_counts_lost_pairs(spark):
     x[1:200:2] = x[0:200:2] + rng.normal(size=(100, 32)) * 0.05
     reps = numbered(spark, x).selectExpr("vec_id as rep", "1L as part", "embedding as vector", "1L as n")
     want = true_links(x, 0.93)
-    truth = graph_dedup._truth(reps, 0.93)
+    truth, complete = graph_dedup._truth(reps, 0.93)
+    assert complete
     assert all(want[r["rep"]] == r["truth"] for r in truth.collect())
     whole = [(i, i, int(n)) for i, n in enumerate(want) if n]
     schema = "a long, b long, n_links long"
     assert graph_dedup._audit(truth, spark.createDataFrame(whole, schema)) == 1.0
     assert graph_dedup._audit(truth, spark.createDataFrame([r for r in whole if not r[0] < 100], schema)) < 0.7
+    assert graph_dedup._audit(truth.limit(0), spark.createDataFrame(whole, schema)) is None
 
 
 def test_exact_where_overlap_is_not_enough(spark, monkeypatch):

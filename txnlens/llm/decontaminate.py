@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Length of the character runs that are counted, in bytes; shorter items are not looked for. Runs are
-# shorter for items with so many edits that none of this length need be left.
+# Length of the character runs that are counted, in bytes; shorter items are looked for as whole words. Runs
+# are shorter for items with so many edits that none of this length need be left.
 RUN = 9
 LEAST_RUN = 3
 # Items of one length range share windows; lengths in a range differ by at most this factor.
@@ -176,7 +176,7 @@ def _groups(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     slim = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     for row in slim.distinct().orderBy("item_id", "text").toLocalIterator():
         item = normal(row["text"])
-        if len(item) < RUN:
+        if not item:
             continue
         if group and size + len(item) > BROADCAST:
             yield group
@@ -192,7 +192,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = 0.08, recal
 
     Texts and items are compared with A-Z in lower case and white space as one blank, byte by byte.
     All copies are found, exact and edited, wherever they begin, so any ``recall`` asked for is met;
-    none is reported that is not within the distance. Each pair is named once, with its least distance. Null and empty texts hold nothing; items shorter than nine bytes are not looked for.
+    none is reported that is not within the distance. Each pair is named once, with its least distance. An item
+    shorter than nine bytes is found where it stands unchanged between blanks or ends of a text: inside
+    words it says nothing. Null and empty texts hold nothing, and null and empty items are nowhere.
     Rows with equal ids are looked at each; other columns are not looked at.
     """
     if not 0 <= share < 1 / LEAST_RUN:
@@ -205,11 +207,27 @@ def find_items(docs: DataFrame, benchmark: DataFrame, share: float = 0.08, recal
     return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
 
+def _whole_words(texts: list[bytes], short: dict[bytes, list]) -> list[tuple[int, object, int]]:
+    """``(text, item id, 0)`` for items of few words that stand as such in a text."""
+    sizes = {item.count(b" ") + 1 for item in short}
+    found = []
+    for row, text in enumerate(texts):
+        words = text.split(b" ")
+        for n in sizes:
+            runs = set(words) if n == 1 else {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}
+            found += [(row, i, 0) for item in runs & short.keys() for i in short[item]]
+    return found
+
+
 def _finder(shared, share: float, recall: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short: dict[bytes, list] = {}
+        for i, item in shared.value:
+            if len(item) < RUN:
+                short.setdefault(item, []).append(i)
         blocks, block, size = [], [], 0
         length = lambda item: run_length(len(item), int(share * len(item)))
-        for one in sorted(shared.value, key=lambda x: (length(x[1]), len(x[1]))):
+        for one in sorted((x for x in shared.value if len(x[1]) >= RUN), key=lambda x: (length(x[1]), len(x[1]))):
             if block and (size + len(one[1]) > BLOCK or length(one[1]) != length(block[0][1])):
                 blocks.append(Block([i for i, _ in block], [t for _, t in block], share, recall))
                 block, size = [], 0
@@ -228,6 +246,8 @@ def _finder(shared, share: float, recall: float):
                 if size >= PIECE or i == len(ids) - 1:
                     for b in blocks:
                         out += [(rows[k], item, d) for k, item, d in b.matches(piece)]
+                    if short:
+                        out += [(rows[k], item, d) for k, item, d in _whole_words(piece, short)]
                     piece, rows, size = [], [], 0
             columns = list(zip(*out)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT)], schema=_OUT)
@@ -235,8 +255,12 @@ def _finder(shared, share: float, recall: float):
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.08, recall: float = 0.98) -> DataFrame:
-    """Rows of ``docs``, all columns, that hold no item; rows with a null id stay. See ``find_items``."""
-    hit = find_items(docs, benchmark, share, recall).filter("doc_id is not null").select(F.col("doc_id").alias("hit")).distinct()
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.08, recall: float = 0.98, least_bytes: int = RUN) -> DataFrame:
+    """Rows of ``docs``, all columns, that hold no item of at least ``least_bytes``; rows with a null id stay.
+
+    See ``find_items``. Shorter items, such as a word, stand in clean documents too; ask for 1 to drop those as well.
+    """
+    size = F.octet_length(F.trim(F.regexp_replace(F.col("text").cast("string"), r"[\x20\x09-\x0D]+", " ")))
+    hit = find_items(docs, benchmark.filter(size >= least_bytes), share, recall).filter("doc_id is not null").select(F.col("doc_id").alias("hit")).distinct()
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
     return packed.join(hit, F.col("id") == F.col("hit"), "left_anti").select("row.*")
