@@ -18,7 +18,7 @@ def con():
 
 # One result row over the whole input: partial results meet in one task.
 WHOLE_TABLE = {"block_stats", "chunk_stats", "collection_info", "null_audit", "result_profile", "snapshot_counts"}
-SEARCHES = {"vec_topk", "vec_rerank", "retrieve", "retrieve_texts", "vec_topk_lsh"}
+SEARCHES = {"vec_topk", "vec_rerank", "retrieve", "retrieve_texts", "vec_topk_lsh", "vec_rerank_model"}
 
 
 def plan_of(df):

@@ -104,6 +104,24 @@ def test_many_queries_meet_the_points_in_a_grid(spark, monkeypatch):
     assert sum(p for _, p in grid.cells) <= grid.rows * 600 * 64
 
 
+def test_models_of_pairs_get_bounded_batches(spark):
+    def make():
+        def model(pairs):
+            assert 0 < len(pairs) <= 7 and all(isinstance(x, str) for p in pairs for x in p)
+            return [len(t) - len(q) / 100 for q, t in pairs]
+
+        return model
+
+    hits = spark.createDataFrame([(q, i, i, "q" * q, None if i == 3 else "t" * (i * 7 % 50)) for q in range(3) for i in range(1, 41)], "query_id long, id long, dense_rank int, query string, text string").repartition(3)
+    got = search.rerank(hits, scorer=search.pair_scorer(make, 7)).orderBy("query_id", "rank").collect()
+    want = sorted(((q, -(0 if i == 3 else i * 7 % 50) + q / 100, i) for q in range(3) for i in range(1, 41)))
+    assert [(r["query_id"], r["id"]) for r in got] == [(q, i) for q, _, i in want]
+    with pytest.raises(Exception, match="gave 1 scores"):
+        search.rerank(hits, scorer=search.pair_scorer(lambda: lambda pairs: [1.0], 7)).collect()
+    with pytest.raises(ValueError):
+        search.pair_scorer(make, 0)
+
+
 def clustered(spark, n=6000, width=32, seed=4):
     """Points around 60 centres, with an exact copy of one of them many times."""
     rng = np.random.default_rng(seed)

@@ -31,6 +31,8 @@ TILE_BYTES = 128 << 20
 # Scores a task holds at a time, and candidates it keeps before it passes them on.
 SCORE_CELLS = 4 << 20
 KEPT = 1 << 20
+# Pairs a model scores at a time.
+PAIR_BATCH = 32
 # Hits are four numbers or a short id each: at most some 10 MB.
 BROADCAST_HITS = 200_000
 
@@ -247,6 +249,35 @@ def term_overlap(query: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(wanted, terms(text))), F.size(wanted)), F.lit(0.0))
 
 
+# Built once per Python worker; maps a list of (query, text) pairs to their scores.
+PairModel = Callable[[list[tuple[str, str]]], np.ndarray]
+
+
+def pair_scorer(make_model: Callable[[], PairModel], batch_size: int = PAIR_BATCH) -> Callable[[Column, Column], Column]:
+    """A scorer for ``rerank`` that runs a model on (query, text) pairs.
+
+    A task makes the model once and gives it at most ``batch_size`` pairs at a time, whatever the size
+    of its partition. Null texts are empty ones. A model that returns another number of scores raises.
+    """
+    if batch_size < 1:
+        raise ValueError("batch_size must be positive")
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        model = make_model()
+        for queries, texts in batches:
+            scores = [np.zeros(0)]
+            for at in range(0, len(queries), batch_size):
+                pairs = [(q or "", t or "") for q, t in zip(queries[at : at + batch_size].to_pylist(), texts[at : at + batch_size].to_pylist())]
+                found = np.asarray(model(pairs), np.float64).reshape(-1)
+                if len(found) != len(pairs):
+                    raise ValueError(f"the model gave {len(found)} scores for {len(pairs)} pairs")
+                scores.append(found)
+            yield pa.array(np.concatenate(scores))
+
+    return run
+
+
 def rerank(
     hits: DataFrame,
     query_col: str = "query",
@@ -257,7 +288,7 @@ def rerank(
 ) -> DataFrame:
     """Score (query, text) pairs and rank by that score; ties keep the order of ``dense_rank``.
 
-    ``scorer`` maps two columns to a column: an expression, or a pandas UDF that runs a model.
+    ``scorer`` maps two columns to a column: an expression, or a model through ``pair_scorer``.
     """
     score = (scorer or term_overlap)(F.col(query_col), F.col(text_col))
     order = Window.partitionBy(query_id).orderBy(F.col("rerank_score").desc(), F.col("dense_rank"))

@@ -27,6 +27,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def abbreviated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` in which every "the" is "Dr." or "approx.", by the document, and "and" is "e.g."."""
+    title = F.when(F.col("doc_id") % 2 == 0, F.lit(" Dr. ")).otherwise(F.lit(" approx. "))
+    text = F.replace(F.replace("text", F.lit(" the "), title), F.lit(" and "), F.lit(" e.g. "))
+    return documents(spark, sf_dir).withColumn("text", text)
+
+
 # --- events as raw transactions ----------------------------------------------------------------
 
 

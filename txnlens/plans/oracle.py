@@ -344,6 +344,27 @@ def word_vectors(name: str, source: str, key: str, role: str, text: str) -> str:
     )"""
 
 
+def word_type(token: str) -> str:
+    """The word of a token: lower case, without marks around it and stops at its end."""
+    return f"regexp_replace(regexp_replace(lower({token}), '^[^\\pL\\pN]+|[^\\pL\\pN.]+$', '', 'g'), '\\.+$', '')"
+
+
+def likelihood(k: str, n: str, p: str) -> str:
+    return f"((CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0 END) + (CASE WHEN {n} - {k} > 0 THEN ({n} - {k}) * ln(1 - {p}) ELSE 0 END))"
+
+
+def stop_words(source: str) -> str:
+    """Words that occur with a stop, scored as abbreviations."""
+    inner = "regexp_replace(lower(token), '^[^\\pL\\pN]+|[^\\pL\\pN.]+$', '', 'g')"
+    return f"""
+    tok AS (SELECT unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '[{SPACE}]+'), lambda x: x <> '')) AS token FROM {source}),
+    c AS (SELECT {word_type('token')} AS word, COUNT(*) AS n, CAST(SUM(CASE WHEN {inner} LIKE '%.' THEN 1 ELSE 0 END) AS BIGINT) AS n_stop
+          FROM tok WHERE regexp_matches({word_type('token')}, '\\pL') GROUP BY 1),
+    m AS (SELECT *, n::DOUBLE AS dn, n_stop::DOUBLE AS dk, len(regexp_replace(word, '[^.]', '', 'g')) AS inside, greatest(least((SELECT SUM(n_stop) / SUM(n) FROM c), 1 - 1e-9), 1e-9) AS rate FROM c WHERE n_stop > 0),
+    scored AS (SELECT word, n, n_stop, 2 * ({likelihood('dk', 'dn', '0.99')} - {likelihood('dk', 'dn', 'rate')})
+        * exp(-(len(word) - inside)) * (inside + 1) * pow((len(word) - inside)::DOUBLE, -(dn - dk)) AS score FROM m)"""
+
+
 ORACLE = {
     "txn_typed": f"WITH {EVENTS} SELECT trans_num, trans_ts, cc_num, zip, dob FROM ev",
     "txn_union": f"""WITH {EVENTS} SELECT row_number() OVER (ORDER BY split = 'test', ord) AS transaction_id, trans_num, split FROM ev""",
@@ -449,6 +470,26 @@ ORACLE = {
     "block_stats": f"WITH {BLOCKS} {stats('bl')}",
     "sentences": f"""SELECT doc_id, CAST(unnest(range(len(s))) AS INTEGER) AS pos, unnest(s) AS sentence
         FROM (SELECT doc_id, {sentence_list('text')} AS s FROM documents) d""",
+    "sentence_words": f"WITH {stop_words('documents')} SELECT word, n, n_stop, score >= 0.3 AS abbreviation FROM scored",
+    "sentences_learned": rf"""WITH d AS (
+            SELECT doc_id, replace(replace(text, ' the ', CASE WHEN doc_id % 2 = 0 THEN ' Dr. ' ELSE ' approx. ' END), ' and ', ' e.g. ') AS text FROM documents
+        ),
+        {stop_words('d')},
+        abbreviation AS (SELECT word FROM scored WHERE score >= 0.3),
+        p AS (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS piece FROM (SELECT doc_id, {sentence_list('text')} AS s FROM d) l),
+        e AS (SELECT *, regexp_extract(piece, '^[^{SPACE}]+') AS first, lag(regexp_extract(piece, '[^{SPACE}]+$')) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM p),
+        b AS (SELECT *, {word_type('first')} AS type, regexp_matches(prev, '\.[^\pL\pN]*$') AND NOT regexp_matches(prev, '[!?][^\pL\pN]*$')
+                AND ({word_type('prev')} IN (SELECT word FROM abbreviation) OR regexp_matches({word_type('prev')}, '^\pL$')) AS short FROM e),
+        f AS (SELECT type AS word, COUNT(*) AS k FROM b WHERE i > 0 AND NOT short GROUP BY 1),
+        x AS (SELECT word, c.n::DOUBLE AS b, least(k, c.n)::DOUBLE AS ab, (SELECT SUM(k) FROM f)::DOUBLE AS a, (SELECT greatest(SUM(n), (SELECT SUM(k) FROM f) + 1) FROM c)::DOUBLE AS t
+              FROM f JOIN c USING (word)),
+        r AS (SELECT *, greatest(1e-9, least(1 - 1e-9, b / t)) AS p, greatest(1e-9, least(1 - 1e-9, ab / a)) AS p1, greatest(1e-9, least(1 - 1e-9, (b - ab) / (t - a))) AS p2
+              FROM x WHERE ab * t > a * b),
+        starter AS (SELECT word FROM r WHERE 2 * ({likelihood('ab', 'a', 'p1')} + {likelihood('(b - ab)', '(t - a)', 'p2')}
+                - {likelihood('ab', 'a', 'p')} - {likelihood('(b - ab)', '(t - a)', 'p')}) >= 30),
+        g AS (SELECT doc_id, i, piece, SUM(CASE WHEN i = 0 OR NOT short OR type IN (SELECT word FROM starter) AND regexp_matches(first, '^[^\pL\pN]*\p{{Lu}}') THEN 1 ELSE 0 END)
+                OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM b)
+        SELECT doc_id, CAST(pos AS INTEGER) AS pos, string_agg(piece, ' ' ORDER BY i) AS sentence FROM g GROUP BY 1, 2""",
     "chunks_greedy": f"WITH {chunked('greedy')} SELECT * FROM chunk",
     "chunks_window": f"WITH {chunked('window')} SELECT * FROM chunk",
     "chunks_greedy_plain": f"WITH {chunked('greedy', PLAIN_BLOCKS)} SELECT * FROM chunk",
@@ -462,6 +503,15 @@ ORACLE = {
             ROUND(CAST(CAST(unnest(v) / sqrt(list_inner_product(v, v)) AS FLOAT) AS DOUBLE), 5) AS x FROM v""",
     "vec_topk": f"WITH {HITS} SELECT query_id, id, ROUND(score, 6) AS score, dense_rank FROM hits WHERE dense_rank <= 20",
     "vec_rerank": f"""WITH {reranked(20)} SELECT query_id, id, dense_rank, ROUND(rerank_score, 6) AS rerank_score, rank FROM ranked""",
+    "embed_model": """WITH c AS (SELECT doc_id, 'passage: ' || coalesce(text, '') AS t FROM documents),
+        v AS (SELECT doc_id, t, unnest(range(8)) AS pos, unnest(string_split('abcdefgh', '')) AS letter FROM c),
+        n AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(len(t) - len(replace(t, letter, '')) AS DOUBLE) AS n FROM v)
+        SELECT doc_id, pos, ROUND(CAST(n / sqrt(SUM(n * n) OVER (PARTITION BY doc_id)) AS FLOAT)::DOUBLE, 5) AS x FROM n""",
+    "vec_rerank_model": f"""WITH {HITS},
+        r AS (SELECT query_id, id, dense_rank, 1.0::DOUBLE / (1 + abs(len(b.text) - len(coalesce(d.text, '')))) AS rerank_score
+              FROM hits h JOIN benchmark b ON b.item_id = h.query_id LEFT JOIN documents d ON d.doc_id = h.id WHERE dense_rank <= 20)
+        SELECT query_id, id, ROUND(rerank_score, 6) AS rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, dense_rank) AS INTEGER) AS rank
+        FROM r QUALIFY rank <= 5""",
     "retrieve": f"""WITH {reranked(10)} SELECT query_id, id, ROUND(score, 6) AS score, section, subsection,
             ROUND(rerank_score, 6) AS rerank_score, rank FROM ranked""",
     "vectors_aligned": """SELECT coalesce(doc_id, vec_id * 3) AS chunk_id, doc_id IS NOT NULL AS has_chunk, vec_id IS NOT NULL AS has_vector,

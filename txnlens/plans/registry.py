@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from txnlens.functions import text as TX
 from txnlens.functions.measures import METRICS
 from txnlens.functions import vector as V
+from txnlens.operators import sentences as learned
 from txnlens.operators import aggregates, answers, blocks, checks, chunks, embedding, keys, lattice, lsh, profile, search, star
 from txnlens.plans import bindings as B
 from txnlens.plans import governed, reports
@@ -384,6 +385,21 @@ def sentences(spark, sf):
     return docs.select("doc_id", F.posexplode(TX.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
+@query
+def sentence_words(spark, sf):
+    """How much each word with a stop looks like an abbreviation."""
+    scores = learned.abbreviation_scores(materialize(learned.word_counts(B.documents(spark, sf)), "words"))
+    return scores.select("word", "n", "n_stop", (F.col("score") >= learned.ABBREVIATION).alias("abbreviation"))
+
+
+@query
+def sentences_learned(spark, sf):
+    """Titles and measures are put into the texts, so that there are abbreviations to learn."""
+    docs = B.abbreviated(spark, sf)
+    found = learned.sentences(F.col("text"), learned.learn(docs))
+    return docs.select("doc_id", F.posexplode(found).alias("pos", "sentence"))
+
+
 @query
 def chunks_greedy(spark, sf):
     return chunks.chunks(_blocks(spark, sf), mode="greedy")
@@ -444,6 +460,32 @@ def embed_texts(spark, sf):
     return rounded(docs.filter("x <> 0").withColumn("x", F.col("x").cast("double")), x=5)
 
 
+def letter_counter():
+    """Stands in for an encoder: how often each of eight letters occurs in a text."""
+    return lambda texts: [[float(t.count(c)) for c in "abcdefgh"] for t in texts]
+
+
+@query
+def embed_model(spark, sf):
+    """Vectors of a model that is plugged in."""
+    docs = embedding.embed(B.documents(spark, sf), make_encoder=letter_counter)
+    flat = docs.select("doc_id", F.posexplode("vector").alias("pos", "x"))
+    return rounded(flat.withColumn("x", F.col("x").cast("double")), x=5)
+
+
+def length_judge():
+    """Stands in for a model of pairs: texts about as long as the query score best."""
+    return lambda pairs: [1.0 / (1.0 + abs(len(q) - len(t))) for q, t in pairs]
+
+
+@query
+def vec_rerank_model(spark, sf):
+    """Hits ranked by a model that is plugged in."""
+    queries = materialize(B.label_queries(spark, sf), "asked")
+    hits = search.retrieve(queries, B.vectors(spark, sf), k=5, fetch_k=20, scorer=search.pair_scorer(length_judge), payloads=B.payloads(spark, sf))
+    return rounded(hits.select("query_id", "id", "rerank_score", "rank"), rerank_score=6)
+
+
 @query
 def vec_topk(spark, sf):
     return rounded(search.search(B.label_queries(spark, sf), B.vectors(spark, sf), k=20), score=6)
