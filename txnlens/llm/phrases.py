@@ -449,7 +449,7 @@ def count_runs(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame,
     # A phrase has no word that is rarer than itself.
     words = row_ids(counted.filter(F.col("f") >= least), ["lang", "word"], "id").withColumn("id", F.col("id").cast("int"))
     words = sums_before(words, ["id"], "f").select("lang", "id", "word", "f", F.floor(F.col("_before") / limit).alias("range"))
-    ranges = np.sort(np.array([r[0] for r in words.groupBy("range").agg(F.min("id")).collect()], np.int64))
+    ranges = np.sort(np.array([r["first"] for r in words.groupBy("range").agg(F.min("id").alias("first")).collect()], np.int64))
     if not len(ranges):
         return words, spark.createDataFrame([], _RUN), sizes
     ranges[0] = 0
