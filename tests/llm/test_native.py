@@ -7,7 +7,7 @@ import re
 import pytest
 from corpus import SCHEMA, corpus, frame
 
-from txnlens.llm import mixing, queries
+from txnlens.llm import lines, mixing, queries
 from txnlens.llm.lines import drop_template_lines
 from txnlens.llm.mixing import mix
 from txnlens.llm.urls import Rule, judge
@@ -172,8 +172,10 @@ def test_lines_that_say_something_else_stay(spark):
             assert any(len(s) == len(line.split()) and 2 * sum(a == b for a, b in zip(s, line.split())) >= len(s) for s in stays)
 
 
-@pytest.mark.parametrize("depth", [2, 6])
-def test_lines(spark, depth):
+@pytest.mark.parametrize("depth,broadcast", [(2, True), (6, True), (6, False)])
+def test_lines(spark, monkeypatch, depth, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(lines, "BROADCAST_LEAVES", 0)
     rows = corpus(6)
     for i in range(30):
         rows.append((300 + i, f"own line {chr(97 + i)}x yes\n\nPage {i} of 30 pages\r\nUser u{i} logged in from here at {i}:00 today then {i} left\nAll rights reserved."))

@@ -11,9 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txnlens.operators.joins import BROADCAST_BYTES, table_bytes
 from txnlens.session import materialize, shuffle_partitions
 
 WILDCARD = "<*>"
+# Names of leaves, of some 64 bytes each, are broadcast up to so many.
+BROADCAST_LEAVES = BROADCAST_BYTES // 64
 # Tokens are runs of characters other than these.
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -39,7 +42,7 @@ def _leaf(tokens: Column, depth: int) -> Column:
 def _template(tokens: Column, constant: Column, depth: int) -> Column:
     """What is constant in a line, or the line itself if that is less than half of its tokens."""
     general = F.transform(
-        tokens, lambda t, i: F.when((i < depth) | F.array_contains(constant, i), _general(t)).otherwise(F.lit(WILDCARD))
+        tokens, lambda t, i: F.when((i < depth) | F.coalesce(F.get(constant, i - depth), F.lit(False)), _general(t)).otherwise(F.lit(WILDCARD))
     )
     told = F.size(F.filter(general, lambda t: t != WILDCARD))
     plain = 2 * told < F.size(tokens)
@@ -61,12 +64,37 @@ def _meet(lines: DataFrame, found: DataFrame, name: str, how: str = "inner") ->
     return salted.join(every, [name, "salt"], how).drop("salt")
 
 
+def _lines(slim: DataFrame, depth: int) -> DataFrame:
+    lines = slim.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", _tokens(F.col("line")).alias("tokens"))
+    return lines.filter(F.size("tokens") > 0).select("doc_id", "pos", "tokens", _leaf(F.col("tokens"), depth).alias("leaf"))
+
+
+def _shared_lines(slim: DataFrame, min_docs: int, depth: int) -> DataFrame:
+    """``(doc_id, pos, tokens, leaf)`` of lines whose leaf enough documents have, stored; no others can go.
+
+    Few leaves are sent to the lines. Of more, places of lines are found first, and only the lines
+    there leave their texts, so that whole lines never move to their leaves.
+    """
+    placed = _lines(slim, depth)
+    leaves = materialize(_recurring(placed, "leaf", min_docs).select("leaf"), "leaves")
+    if leaves.count() <= BROADCAST_LEAVES:
+        return materialize(placed.join(F.broadcast(leaves), "leaf"), "lines")
+    found = _meet(placed.select("doc_id", "pos", "leaf"), leaves, "leaf").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
+    cut = F.transform(F.array(F.split("text", "\n")), lambda every: F.transform("places", lambda i: F.struct(i.alias("pos"), F.get(every, i).alias("line"))))
+    there = slim.join(found, "doc_id").select("doc_id", F.explode(cut[0]).alias("l")).select("doc_id", "l.pos", F.col("l.line").alias("line"))
+    # Several texts of an id may lack some of its places.
+    named = there.filter(F.col("line").isNotNull()).select("doc_id", "pos", _tokens(F.col("line")).alias("tokens")).filter(F.size("tokens") > 0)
+    return materialize(named.withColumn("leaf", _leaf(F.col("tokens"), depth)), "lines")
+
+
 def _constant(lines: DataFrame, depth: int) -> DataFrame:
-    """``(leaf, constant)``: places beyond ``depth`` where one token has at least half of a leaf's lines."""
+    """``(leaf, constant)``: for each place beyond ``depth``, whether one token has at least half of a leaf's lines there."""
     tail = lines.filter(F.size("tokens") > depth).select("leaf", F.posexplode(F.slice("tokens", depth + 1, F.size("tokens"))).alias("i", "token"))
     counted = tail.groupBy("leaf", "i", "token").agg(F.count(F.lit(1)).alias("k"))
     shares = counted.groupBy("leaf", "i").agg(F.max("k").alias("most"), F.sum("k").alias("n")).filter(2 * F.col("most") >= F.col("n"))
-    return shares.groupBy("leaf").agg(F.collect_list(F.col("i") + depth).alias("constant"))
+    places = shares.groupBy("leaf").agg(F.collect_list("i").alias("places"))
+    known = F.transform(F.sequence(F.lit(0), F.array_max("places")), lambda i: F.array_contains("places", i))
+    return places.select("leaf", known.alias("constant"))
 
 
 def drop_template_lines(docs: DataFrame, min_docs: int = 3, depth: int = 6) -> DataFrame:
@@ -82,13 +110,13 @@ def drop_template_lines(docs: DataFrame, min_docs: int = 3, depth: int = 6) -> D
     place go from all of them; rows with a null id are left as they are.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    lines = slim.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", _tokens(F.col("line")).alias("tokens"))
-    placed = lines.filter(F.size("tokens") > 0).select("doc_id", "pos", "tokens", _leaf(F.col("tokens"), depth).alias("leaf"))
-    # Only leaves of enough documents can have templates of as many.
-    shared = materialize(_meet(placed, _recurring(placed, "leaf", min_docs).drop("first"), "leaf"), "lines")
-    known = _meet(shared, _constant(shared, depth), "leaf", "left")
-    constant = F.coalesce("constant", F.array().cast("array<int>"))
+    shared = _shared_lines(slim, min_docs, depth)
+    places = materialize(_constant(shared, depth), "places")
+    few = table_bytes(places) <= BROADCAST_LEAVES * 64
+    known = shared.join(F.broadcast(places), "leaf", "left") if few else _meet(shared, places, "leaf", "left")
+    constant = F.coalesce("constant", F.array().cast("array<boolean>"))
     named = known.select("doc_id", "pos", _template(F.col("tokens"), constant, depth).alias("template"))
+    named = materialize(named, "templates")
     dropped = _meet(named, _recurring(named, "template", min_docs), "template").filter("doc_id > first")
     gone = dropped.groupBy("doc_id").agg(F.collect_set("pos").alias("gone")).select(F.col("doc_id").alias("gone_id"), "gone")
 
