@@ -195,7 +195,9 @@ def _pair_filter(pairs: DataFrame, n: int) -> np.ndarray:
         set_bits[table["bit"].to_numpy()] = 1
         return pa.table({"part": table["part"].slice(0, 1), "bytes": pa.array([np.packbits(set_bits).tobytes()])})
 
-    parts = pairs.select("ids").mapInArrow(placed, "part long, bit long").groupBy("part").applyInArrow(filled, "part long, bytes binary")
+    # A bit counts once, so that a part of the filter never gets more rows than it has bits.
+    places = pairs.select("ids").mapInArrow(placed, "part long, bit long").distinct()
+    parts = places.groupBy("part").applyInArrow(filled, "part long, bytes binary")
     out = np.zeros((FILTER_PARTS, bits // 8), np.uint8)
     for row in parts.collect():  # FILTER_PARTS rows, 64 MB at most
         out[row["part"]] = np.frombuffer(row["bytes"], np.uint8)
