@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from corpus import SCHEMA, corpus, frame, words
 
-from txnlens.llm import induced, kernels, ngram_join
+from txnlens.llm import induced, kernels, ngram_join, repeats, suffix
 from txnlens.llm.components import components
 from txnlens.llm.ngram_join import join_similar, keep_one_of_similar
 from txnlens.llm.substring import remove_repeated_runs
@@ -71,6 +71,47 @@ def test_byte_runs(spark, length):
     assert ordered((*r[:4], bytes(r[4]), r[5]) for r in found) == ordered(want)
 
 
+def test_byte_runs_do_not_depend_on_the_order_of_rows(monkeypatch):
+    """The rows of a chunk are fetched anew for each step, from several executors in any order."""
+    import pyarrow as pa
+    import pyarrow.compute
+
+    monkeypatch.setattr(suffix, "BATCH", 1 << 11)
+    rng, length, n = random.Random(8), 50, 3
+    texts = ["".join(rng.choices("abcdefgh ", k=rng.randrange(50, 80))) for _ in range(40)]
+    rows = [(i, "".join(rng.choice(texts) + "".join(rng.choices("xyz", k=20)) for _ in range(3))) for i in range(120)]
+
+    def chunk(k, order):
+        mine = [rows[i] for i in order if i % 2 == k]
+        h = [int.from_bytes(hashlib.sha256(t.encode()).digest()[:7]) for _, t in mine]
+        return pa.table({"chunk": pa.array([k] * len(mine), pa.int32()), "doc_id": [i for i, _ in mine], "text": [t for _, t in mine], "h1": h, "h2": h})
+
+    def each(run, replies, order):
+        out = []
+        for k in (0, 1):
+            table = replies.filter(pa.compute.equal(replies["chunk"], k))
+            out.append(run(repeats.Chunk(chunk(k, order)), repeats.read_replies(table) | {"table": table}))
+        return pa.concat_tables(out)
+
+    def answers(run, parts):
+        return pa.concat_tables([run(parts.filter(pa.compute.equal(parts["bucket"], b))) for b in parts["bucket"].unique().to_pylist()])
+
+    orders = [rng.sample(range(len(rows)), len(rows)) for _ in range(3)]
+    none = repeats._pack([], repeats._REPLIES)
+    seen = answers(repeats._seen_reply(suffix.SEEN), each(suffix._seek(length, n), none, orders[0]))
+    pieces = each(suffix._send(length, n), seen, orders[1])
+    assert pieces.equals(each(suffix._send(length, n), seen, orders[2]))
+    # What is sent from one chunk is there once, also if it stands in several batches.
+    for keys, body in zip(pieces["keys"].to_pylist(), pieces["extra"].to_pylist()):
+        sizes = np.frombuffer(keys, np.uint64).reshape(2, -1)[0].astype(int)
+        cut = [body[e - s : e] for s, e in zip(sizes, np.cumsum(sizes))]
+        assert len(cut) == len(set(cut))
+    strings = answers(suffix._sort(length), pieces)
+    found = each(suffix._remove(length, n), pa.concat_tables([seen, strings]), orders[2])
+    want = [(i, hashlib.sha256(bytes(b for b, g in zip(got, gone) if not g)).hexdigest()) for i, got, gone in covered(rows, str.encode, length)]
+    assert ordered(zip(found["doc_id"].to_pylist(), found["kept_sha256"].to_pylist())) == ordered(want)
+
+
 def sets(rows, size):
     upper = bytes(range(65, 91))
     out = {}

@@ -28,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
@@ -127,7 +127,7 @@ def words(t: Texts, fold_case: bool = False) -> Words:
             place = np.arange(len(data)) - np.repeat(start, np.diff(np.append(start, len(data)))) if start[0] == 0 else None
             if place is None:
                 place = np.arange(len(data)) - np.repeat(np.append(0, start), np.diff(np.concatenate([[0], start, [len(data)]])))
-            power = _powers(_BYTE_BASE, longest)
+            power = powers(_BYTE_BASE, longest)
             value = np.where(space, np.uint64(0), power[np.minimum(place, longest - 1)] * (plain.astype(np.uint64) + np.uint64(1)))
             hashes.append(mix(np.add.reduceat(value, start) ^ (end - start).astype(np.uint64)))
             starts.append(start + at)

@@ -64,7 +64,9 @@ class Pieces:
     """Pieces of a chunk around repeated anchors: a run of strings that start one after the other.
 
     ``row``, ``first`` (byte in the text), ``count`` (strings); ``which`` numbers equal pieces alike,
-    in the order in which they are sent; ``low`` is the smallest document of each number.
+    in the order in which they are sent; ``low`` is the smallest document of each number. That order follows
+    from the contents alone: the rows of a chunk may come in another order each time they are fetched, and
+    the bits that come back are for the pieces in the order in which they were sent.
     """
 
     def __init__(self, chunk: R.Chunk, replies: dict, length: int, n: int):
@@ -114,15 +116,13 @@ def _within(sizes: np.ndarray) -> np.ndarray:
 
 
 def _spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hashes of parts of the data."""
-    out = []
+    """128-bit hashes of parts of the data, which depend on the bytes of each part alone."""
+    out, n = [], len(data)
     for base in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95):
-        power = np.full(len(data) + 1, base, np.uint64)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        sums = np.append(np.uint64(0), np.cumsum(K.mix(data.astype(np.uint64) + np.uint64(base & 0xFF)) * power[:-1]))
-        # Sums are moved to a common power, the highest of the data.
-        out.append(K.mix((sums[end] - sums[begin]) * power[len(data) - begin]))
+        power, inverse = K.powers(base, n), K.powers(pow(base, -1, 1 << 64), n + 1)
+        sums = np.append(np.uint64(0), np.cumsum(K.mix(data.astype(np.uint64) + np.uint64(base & 0xFF)) * power))
+        # Divided by the power at which the part begins: wherever it stands, it has one hash.
+        out.append(K.mix((sums[end] - sums[begin]) * inverse[begin]))
     return out[0], out[1]
 
 
