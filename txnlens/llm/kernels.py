@@ -21,14 +21,17 @@ BLOCK_BYTES = 1 << 17
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A permutation of the 64-bit numbers in which every input bit reaches every output bit."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * _MIX_1
-    x = x ^ (x >> np.uint64(27))
-    x = x * _MIX_2
-    return x ^ (x >> np.uint64(31))
+    out = x >> np.uint64(30)
+    out ^= x
+    out *= _MIX_1
+    out ^= out >> np.uint64(27)
+    out *= _MIX_2
+    out ^= out >> np.uint64(31)
+    return out
 
 
 def powers(base: int, n: int) -> np.ndarray:
+    """1, ``base``, its square and so on, ``n`` numbers."""
     out = np.full(n, base, dtype=np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
@@ -208,11 +211,14 @@ def anchors(items: np.ndarray, offsets: np.ndarray, window: int, part: int) -> t
         return np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     hashes = window_hashes(items, part)
     least = sliding_min(hashes, window - part + 1)
-    # Where the minimum stands: searched for where it changes, and carried on while it is inside.
+    # Where the minimum stands: looked for where it changes, and carried on while it is inside. A lower one has
+    # just come in at the end.
     starts = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    found = _next_equal(hashes, least, starts, window - part + 1)
+    found = starts + (window - part)
+    higher = np.flatnonzero(np.append(True, least[starts[1:]] > least[starts[:-1]]))
+    found[higher] = _next_equal(hashes, least, starts[higher], window - part + 1)
     place = np.repeat(found, np.diff(np.append(starts, n)))
     gone = np.flatnonzero(place < np.arange(n))  # ties: the next of several equal runs takes over
     place[gone] = _next_equal(hashes, least, gone, window - part + 1)
     # Least hashes crowd at the low end; mixed again they deal evenly.
-    return inside(offsets, window, n), place, mix(least)
+    return inside(offsets, window, n), place, np.repeat(mix(least[starts]), np.diff(np.append(starts, n)))

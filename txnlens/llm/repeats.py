@@ -76,12 +76,10 @@ def seen_parts(chunk: int, row: np.ndarray, keys: np.ndarray, n: int) -> list[di
     """Parts for keys held by rows of this chunk (pairs may repeat)."""
     if not len(keys):
         return []
-    order = np.lexsort((row, keys))
+    order = np.argsort(keys)
     keys, row = keys[order], row[order]
-    new = np.append(True, keys[1:] != keys[:-1])
-    starts = np.flatnonzero(new)
-    ends = np.append(starts[1:], len(keys)) - 1
-    keys, twice = keys[starts], row[starts] != row[ends]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    keys, twice = keys[starts], np.minimum.reduceat(row, starts) != np.maximum.reduceat(row, starts)
     order, groups = _split(keys, n)
     keys, twice = keys[order].astype(np.uint32), twice[order]
     return [

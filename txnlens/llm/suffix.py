@@ -69,10 +69,14 @@ class Pieces:
     the bits that come back are for the pieces in the order in which they were sent.
     """
 
-    def __init__(self, chunk: R.Chunk, replies: dict, length: int, n: int):
+    def __init__(self, chunk: R.Chunk, replies: dict, length: int, n: int, bodies: bool):
         row, first, count, keys, one, two, body = [], [], [], [], [], [], []
         for rows, data, offsets, start, place, key in _strings(chunk, _rows(chunk, replies), length):
-            alive = R.is_seen(replies, SEEN, key, n)
+            if not len(start):
+                continue
+            # Strings in a row mostly share their anchor, which is looked up once.
+            new = np.append(True, place[1:] != place[:-1])
+            alive = R.is_seen(replies, SEEN, key[new], n)[np.cumsum(new) - 1]
             start, place, key = start[alive], place[alive], key[alive]
             if not len(start):
                 continue
@@ -87,12 +91,12 @@ class Pieces:
             h1, h2 = _spans(data, begin, begin + size + length - 1)
             one.append(h1)
             two.append(h2)
-            at = np.repeat(begin, size + length - 1) + _within(size + length - 1)
-            body.append(data[at])
+            if bodies:
+                body.append(data[np.repeat(begin, size + length - 1) + _within(size + length - 1)])
         none = np.zeros(0, np.int64)
         join = lambda x, kind=np.int64: np.concatenate([none.astype(kind), *x])
         self.row, self.first, self.count = join(row), join(first), join(count)
-        self.body, size = join(body, np.uint8), self.count + length - 1
+        size = self.count + length - 1
         keys, one, two = join(keys, np.uint64), join(one, np.uint64), join(two, np.uint64)
         ids = chunk.ids[self.row]
         bucket = R.bucket_of(keys, n).astype(np.int64)
@@ -105,9 +109,10 @@ class Pieces:
         self.which[order] = np.cumsum(new) - 1
         sent = order[new]
         self.low, self.bucket, self.sent_count, self.key = ids[sent], bucket[sent], self.count[sent], keys[sent]
-        begins = np.cumsum(size) - size
-        at = np.repeat(begins[sent], size[sent]) + _within(size[sent])
-        self.sent, self.sent_size = self.body[at], size[sent]
+        self.sent_size = size[sent]
+        if bodies:
+            begins = np.cumsum(size) - size
+            self.sent = join(body, np.uint8)[np.repeat(begins[sent], size[sent]) + _within(size[sent])]
 
 
 def _within(sizes: np.ndarray) -> np.ndarray:
@@ -115,12 +120,28 @@ def _within(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
+def _weights(base: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the 256 bytes, powers of the base, and what these are divided by."""
+    byte = K.mix(np.arange(256, dtype=np.uint64) + np.uint64(base & 0xFF))
+    return byte, K.powers(base, n), K.powers(pow(base, -1, 1 << 64), n)
+
+
+# Weights of batches of the usual size, by base and size; worked out once a task.
+_KEPT: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
 def _spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128-bit hashes of parts of the data, which depend on the bytes of each part alone."""
     out, n = [], len(data)
     for base in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95):
-        power, inverse = K.powers(base, n), K.powers(pow(base, -1, 1 << 64), n + 1)
-        sums = np.append(np.uint64(0), np.cumsum(K.mix(data.astype(np.uint64) + np.uint64(base & 0xFF)) * power))
+        if n < 2 * BATCH:
+            if (base, BATCH) not in _KEPT:
+                _KEPT[base, BATCH] = _weights(base, 2 * BATCH)
+            byte, power, inverse = _KEPT[base, BATCH]
+        else:
+            byte, power, inverse = _weights(base, n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(byte[data] * power[:n], out=sums[1:])
         # Divided by the power at which the part begins: wherever it stands, it has one hash.
         out.append(K.mix((sums[end] - sums[begin]) * inverse[begin]))
     return out[0], out[1]
@@ -141,7 +162,7 @@ def _hashes(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np
 
 def _send(length: int, n: int):
     def run(chunk: R.Chunk, replies: dict) -> pa.Table:
-        p = Pieces(chunk, replies, length, n)
+        p = Pieces(chunk, replies, length, n, bodies=True)
         cuts = np.flatnonzero(np.append(True, p.bucket[1:] != p.bucket[:-1])) if len(p.bucket) else np.zeros(0, np.int64)
         ends = np.cumsum(p.sent_size)
         rows = []
@@ -157,7 +178,7 @@ def _send(length: int, n: int):
 def _later(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     """For every byte of the pieces: does a string start here that a smaller document has?"""
     starts, places, common = sort_suffixes(data, sizes, length)
-    piece = np.searchsorted(starts, places, side="right") - 1
+    piece = np.repeat(np.arange(len(sizes)), sizes + 1)[places]  # a separator follows each piece
     inside = places - starts[piece]
     whole = inside + length <= sizes[piece]
     group = np.cumsum(common < length)
@@ -224,9 +245,9 @@ def _sort(length: int):
 def _remove(length: int, n: int):
     def run(chunk: R.Chunk, replies: dict) -> pa.Table:
         copy = R.copies(chunk, replies)
-        p = Pieces(chunk, replies, length, n)
-        bits = np.zeros(len(p.sent), bool)
+        p = Pieces(chunk, replies, length, n, bodies=False)
         ends = np.cumsum(p.sent_size)
+        bits = np.zeros(int(p.sent_size.sum()), bool)
         for level, key, flags in zip(*(replies["table"].column(c).to_pylist() for c in ("level", "keys", "first"))):
             if level == STRINGS:
                 mine = np.flatnonzero(p.bucket == int(np.frombuffer(key, np.uint64)[0]))
@@ -240,8 +261,8 @@ def _remove(length: int, n: int):
         start = chunk.texts.offsets[p.row[of]] + p.first[of] + step
         start = start[gone]
         depth = np.zeros(len(chunk.texts.data) + 1, np.int32)
-        np.add.at(depth, start, 1)
-        np.add.at(depth, start + length, -1)
+        depth[start] += 1  # a string is in one piece, so no start comes twice
+        depth[start + length] -= 1
         removed = np.cumsum(depth[:-1]) > 0
         offsets = chunk.texts.offsets
         out = []
