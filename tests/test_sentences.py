@@ -1,6 +1,8 @@
 """Sentence boundaries learned from counts."""
 
 import random
+import re
+import time
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -63,3 +65,27 @@ def test_empty(spark):
     assert S.learn(none) == S.Boundaries((), ())
     assert rows(S.abbreviation_scores(S.word_counts(none))) == []
     assert S.learn(spark.createDataFrame([(1, None), (2, "...")], "doc_id long, text string")) == S.Boundaries((), ())
+
+
+def test_ends_of_pieces_are_read_once(spark):
+    """Long runs and long words are passed over once, where patterns tried at each character would take their square."""
+    n = 200_000
+    asked = ["x" * n + " end", "a " + "y" * n, "a" + "." * n + "b Dr.", "(a" + "-" * n + "b).", ".-" * n + "a", "!-" * n + "a.", "one two", "(Dr.)", "..e.g.,)", "a..", "Dr.!", "!.", "Σ.", "", "…a　b."]
+    df = spark.createDataFrame(list(enumerate(asked)), "i int, text string")
+    start = time.monotonic()
+    got = df.select(S._last(F.col("text")).alias("last"), S._type(F.col("text")).alias("type"), S._is_abbreviation(F.col("text"), ("dr", "e.g")).alias("short")).collect()
+    assert time.monotonic() - start < 60
+    for text, r in zip(asked, got):
+        assert r["last"] == re.split(r"[ 　]", text)[-1]
+    assert [r["type"] for r in got][6:] == ["one two", "dr", "e.g", "a", "dr", "", "σ", "", "a　b"]
+    assert [r["short"] for r in got][6:] == [False, True, True, True, False, False, True, False, False]
+    assert [r["short"] for r in got][:6] == [False] * 5 + [True]  # the word of the last is a letter
+    assert got[2]["type"] == "a" + "." * n + "b dr" and got[3]["type"] == "a" + "-" * n + "b)"
+
+
+def test_a_piece_is_looked_at_once(spark):
+    docs = corpus(spark)
+    plan = docs.select(S.sentences(F.col("text"), S.Boundaries(("dr",), ("he",))).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"]+)$, 1)") == 1  # the last token
+    plan = S.word_counts(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1

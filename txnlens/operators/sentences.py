@@ -8,6 +8,7 @@ over all texts, and only the two lists that are learned go to the texts that are
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,14 +34,25 @@ class Boundaries:
     starters: tuple[str, ...]
 
 
+# Patterns for the end of a string begin where a run begins or at the start of the string, and give nothing back:
+# tried anew at every character they would take time with the square of a run's length.
 def _inner(token: Column) -> Column:
     """A token in lower case without brackets, quotes and commas around it."""
-    return F.regexp_replace(F.lower(token), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$", "")
+    return F.regexp_replace(F.lower(token), r"^[^\p{L}\p{N}]+|(?<![^\p{L}\p{N}.])[^\p{L}\p{N}.]++$", "")
+
+
+def _without_stops(inner: Column) -> Column:
+    return F.regexp_replace(inner, r"(?<!\.)\.++$", "")
 
 
 def _type(token: Column) -> Column:
     """The word of a token, without stops at its end."""
-    return F.regexp_replace(_inner(token), r"\.+$", "")
+    return _without_stops(_inner(token))
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def _pieces(text: Column) -> Column:
@@ -52,7 +64,7 @@ def _first(piece: Column) -> Column:
 
 
 def _last(piece: Column) -> Column:
-    return F.regexp_extract(piece, rf"[^{SPACE}]+$", 0)
+    return F.regexp_extract(piece, rf"^(?s:.*[{SPACE}])?([^{SPACE}]+)$", 1)
 
 
 def _likelihood(k: Column, n: Column, p: Column) -> Column:
@@ -68,8 +80,9 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     letter are left out.
     """
     tokens = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), rf"[{SPACE}]+"), lambda t: t != "")
-    each = docs.select(F.explode(tokens).alias("token")).select(_type(F.col("token")).alias("word"), _inner(F.col("token")).endswith(".").alias("stop"))
-    return each.filter(F.col("word").rlike(r"\p{L}")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop").cast("long")).alias("n_stop"))
+    inner = docs.select(F.explode(F.transform(tokens, _inner)).alias("inner")).filter(F.col("inner").rlike(r"\p{L}"))
+    each = inner.select(_without_stops(F.col("inner")).alias("word"), F.col("inner").endswith(".").alias("stop"))
+    return each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop").cast("long")).alias("n_stop"))
 
 
 def abbreviation_scores(counts: DataFrame) -> DataFrame:
@@ -91,10 +104,11 @@ def abbreviation_scores(counts: DataFrame) -> DataFrame:
 def starter_scores(docs: DataFrame, counts: DataFrame, abbreviations: tuple[str, ...], text_col: str = "text") -> DataFrame:
     """``(word, n, n_first, score)``: words that follow sentence ends, other than stops of abbreviations, more often
     than words do; the score is the log-likelihood ratio."""
-    pieces = docs.select(_pieces(F.coalesce(F.col(text_col), F.lit(""))).alias("p")).filter(F.size("p") > 1)
+    pieces = docs.select(_pieces(F.coalesce(F.col(text_col), F.lit(""))).alias("p"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.struct(_last(F.get("p", i - 1)).alias("end"), _first(F.get("p", i)).alias("next")))
-    each = pieces.select(F.explode(pairs).alias("b")).filter(~_is_abbreviation(F.col("b.end"), abbreviations))
-    first = each.select(_type(F.col("b.next")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_first"))
+    each = pieces.select(F.explode(F.when(F.size("p") > 1, pairs)).alias("b")).filter(~_is_abbreviation(F.col("b.end"), abbreviations))
+    words = each.select(_type(F.col("b.next")).alias("word"))
+    first = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("n_first")), "starts")
     ends = first.agg(F.sum("n_first")).first()[0] or 0
     total = counts.agg(F.sum("n")).first()[0] or 0
     both = first.join(counts.select("word", "n"), "word").withColumn("n_first", F.least("n_first", "n"))
@@ -108,9 +122,15 @@ def starter_scores(docs: DataFrame, counts: DataFrame, abbreviations: tuple[str,
 
 def _is_abbreviation(token: Column, abbreviations: tuple[str, ...]) -> Column:
     """A token with a stop whose word is in the list, or is a single letter."""
-    word = _type(token)
-    known = word.isin(list(abbreviations)) if abbreviations else F.lit(False)
-    return token.rlike(r"\.[^\p{L}\p{N}]*$") & ~token.rlike(r"[!?][^\p{L}\p{N}]*$") & (known | word.rlike(r"^\p{L}$"))
+
+    def listed(word: Column) -> Column:
+        return (word.isin(list(abbreviations)) if abbreviations else F.lit(False)) | word.rlike(r"^\p{L}$")
+
+    def tested(t: Column) -> Column:
+        stop, other = (t.rlike(rf"(?s)^(?>.*{end})[^\p{{L}}\p{{N}}]*$") for end in (r"\.", "[!?]"))
+        return stop & ~other & _bound(_type(t), listed)
+
+    return _bound(token, tested)
 
 
 def learn(docs: DataFrame, text_col: str = "text", most: int = MOST) -> Boundaries:
