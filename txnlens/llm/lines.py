@@ -15,8 +15,15 @@ from txnlens.operators.joins import BROADCAST_BYTES, table_bytes
 from txnlens.session import materialize, shuffle_partitions
 
 WILDCARD = "<*>"
-# Names of leaves, of some 64 bytes each, are broadcast up to so many.
-BROADCAST_LEAVES = BROADCAST_BYTES // 64
+# The filter of leaves: four bits for each leaf in one of the blocks, of which a leaf pays for sixteen.
+FILTER_BYTES = 8 << 20
+_LEAF_BITS = 16
+_BLOCK_BITS = 1 << 15
+_BLOCK_WORDS = _BLOCK_BITS // 64
+# So many leaves are sent to the lines as a filter.
+BROADCAST_LEAVES = FILTER_BYTES * 8 // _LEAF_BITS
+# Constant places of leaves are broadcast up to so many bytes; the driver holds them several times.
+PLACES_BYTES = BROADCAST_BYTES // 2
 # Tokens are runs of characters other than these.
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -50,41 +57,74 @@ def _template(tokens: Column, constant: Column, depth: int) -> Column:
 
 
 def _recurring(lines: DataFrame, name: str, min_docs: int) -> DataFrame:
-    """Names that the lines of enough documents have, with the first of them; reduced to a row per name and
-    document before they meet."""
-    found = lines.select(name, "doc_id").distinct().groupBy(name).agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
-    return found.filter(F.col("docs") >= min_docs).select(name, "first")
+    """Names that the lines of enough documents have, with the first of them and the number of lines; reduced to a
+    row per name and document before they meet."""
+    each = lines.groupBy(name, "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    found = each.groupBy(name).agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), F.sum("n").alias("n"))
+    return found.filter(F.col("docs") >= min_docs).select(name, "first", "n")
 
 
-def _meet(lines: DataFrame, found: DataFrame, name: str, how: str = "inner") -> DataFrame:
-    """Join lines with what is known of their names, few beside the lines: lines of one name meet in several tasks."""
-    salts = shuffle_partitions(lines.sparkSession)
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    every = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def _shares(counts: DataFrame, name: str) -> DataFrame:
+    """``(name, salts)`` of names with more than an even share of the lines, at most as many as shuffle partitions."""
+    share = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // shuffle_partitions(counts.sparkSession))
+    return counts.filter(F.col("n") > share).select(name, F.ceil(F.col("n") / share).cast("int").alias("salts"))
+
+
+def _meet(lines: DataFrame, found: DataFrame, name: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """Join lines with what is known of their names; ``counts`` is stored and has the number ``n`` of lines of a name.
+
+    Lines of a name with more than an even share of them meet in as many parts as it has shares, all others once.
+    """
+    hot = F.broadcast(_shares(counts, name))
+    salts = F.coalesce("salts", F.lit(1))
+    salted = lines.join(hot, name, "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), salts).cast("int")).drop("salts")
+    every = found.join(hot, name, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     return salted.join(every, [name, "salt"], how).drop("salt")
 
 
+def _filter(leaves: DataFrame, blocks: int) -> DataFrame:
+    """``(block, words)``: the bits of all leaves in ``blocks`` blocks."""
+    place = F.explode(F.array(*[F.shiftrightunsigned("leaf.b", 15 * k).bitwiseAND(_BLOCK_BITS - 1) for k in range(4)]))
+    bits = leaves.select(F.pmod("leaf.a", F.lit(blocks)).alias("block"), place.alias("place"))
+    ones = bits.select("block", F.shiftright("place", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(63).cast("int")).alias("bits"))
+    none = leaves.sparkSession.range(blocks * _BLOCK_WORDS).select(F.shiftright("id", 9).alias("block"), F.col("id").bitwiseAND(_BLOCK_WORDS - 1).alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = ones.unionByName(none).groupBy("block", "word").agg(F.bit_or("bits").alias("bits"))
+    return words.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).getField("bits").alias("words"))
+
+
+def _passes(lines: DataFrame, leaves: DataFrame, count: int) -> DataFrame:
+    """Lines whose leaf is among ``count`` leaves, and about one in 400 others."""
+    blocks = -(-max(1, count) * _LEAF_BITS // _BLOCK_BITS)
+    word = lambda k: F.get("words", F.shiftrightunsigned("leaf.b", 15 * k + 6).bitwiseAND(_BLOCK_WORDS - 1).cast("int"))
+    bit = lambda k: F.getbit(word(k), F.shiftrightunsigned("leaf.b", 15 * k).bitwiseAND(63).cast("int")) == 1
+    there = F.broadcast(_filter(leaves, blocks))
+    return lines.join(there, (F.pmod("leaf.a", F.lit(blocks)) == F.col("block")) & bit(0) & bit(1) & bit(2) & bit(3), "left_semi")
+
+
 def _lines(slim: DataFrame, depth: int) -> DataFrame:
     lines = slim.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", _tokens(F.col("line")).alias("tokens"))
     return lines.filter(F.size("tokens") > 0).select("doc_id", "pos", "tokens", _leaf(F.col("tokens"), depth).alias("leaf"))
 
 
-def _shared_lines(slim: DataFrame, min_docs: int, depth: int) -> DataFrame:
-    """``(doc_id, pos, tokens, leaf)`` of lines whose leaf enough documents have, stored; no others can go.
+def _shared_lines(slim: DataFrame, min_docs: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, pos, tokens, leaf)`` of lines whose leaf enough documents have, stored; no others can go. And ``(leaf, n)``,
+    the number of lines of each such leaf.
 
-    Few leaves are sent to the lines. Of more, places of lines are found first, and only the lines
-    there leave their texts, so that whole lines never move to their leaves.
+    Leaves are sent to the lines as a filter. It lets few others pass, and those do no harm: lines of one
+    template are of one leaf, so theirs never recur. Of very many leaves, places of lines are found first, and only
+    the lines there leave their texts, so that whole lines never move to their leaves.
     """
     placed = _lines(slim, depth)
-    leaves = materialize(_recurring(placed, "leaf", min_docs).select("leaf"), "leaves")
-    if leaves.count() <= BROADCAST_LEAVES:
-        return materialize(placed.join(F.broadcast(leaves), "leaf"), "lines")
-    found = _meet(placed.select("doc_id", "pos", "leaf"), leaves, "leaf").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
+    leaves = materialize(_recurring(placed, "leaf", min_docs).select("leaf", "n"), "leaves")
+    count = leaves.count()
+    if count <= BROADCAST_LEAVES:
+        return materialize(_passes(placed, leaves, count), "lines"), leaves
+    found = _meet(placed.select("doc_id", "pos", "leaf"), leaves.select("leaf"), "leaf", leaves).groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
     cut = F.transform(F.array(F.split("text", "\n")), lambda every: F.transform("places", lambda i: F.struct(i.alias("pos"), F.get(every, i).alias("line"))))
     there = slim.join(found, "doc_id").select("doc_id", F.explode(cut[0]).alias("l")).select("doc_id", "l.pos", F.col("l.line").alias("line"))
     # Several texts of an id may lack some of its places.
     named = there.filter(F.col("line").isNotNull()).select("doc_id", "pos", _tokens(F.col("line")).alias("tokens")).filter(F.size("tokens") > 0)
-    return materialize(named.withColumn("leaf", _leaf(F.col("tokens"), depth)), "lines")
+    return materialize(named.withColumn("leaf", _leaf(F.col("tokens"), depth)), "lines"), leaves
 
 
 def _constant(lines: DataFrame, depth: int) -> DataFrame:
@@ -110,14 +150,15 @@ def drop_template_lines(docs: DataFrame, min_docs: int = 3, depth: int = 6) -> D
     place go from all of them; rows with a null id are left as they are.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    shared = _shared_lines(slim, min_docs, depth)
+    shared, leaves = _shared_lines(slim, min_docs, depth)
     places = materialize(_constant(shared, depth), "places")
-    few = table_bytes(places) <= BROADCAST_LEAVES * 64
-    known = shared.join(F.broadcast(places), "leaf", "left") if few else _meet(shared, places, "leaf", "left")
+    few = table_bytes(places) <= min(PLACES_BYTES, BROADCAST_LEAVES * 64)
+    known = shared.join(F.broadcast(places), "leaf", "left") if few else _meet(shared, places, "leaf", leaves, "left")
     constant = F.coalesce("constant", F.array().cast("array<boolean>"))
     named = known.select("doc_id", "pos", _template(F.col("tokens"), constant, depth).alias("template"))
     named = materialize(named, "templates")
-    dropped = _meet(named, _recurring(named, "template", min_docs), "template").filter("doc_id > first")
+    found = materialize(_recurring(named, "template", min_docs), "found")
+    dropped = _meet(named, found.select("template", "first"), "template", found).filter("doc_id > first")
     gone = dropped.groupBy("doc_id").agg(F.collect_set("pos").alias("gone")).select(F.col("doc_id").alias("gone_id"), "gone")
 
     joined = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id")).join(gone, F.col("id") == F.col("gone_id"), "left")
