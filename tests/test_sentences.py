@@ -1,9 +1,11 @@
 """Sentence boundaries learned from counts."""
 
+import functools
 import random
 import re
 import time
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -49,6 +51,36 @@ def test_boundaries_are_learned(spark):
     assert df.select(S.sentences(F.col("text"), none).alias("s")).first()["s"][0] == "Mr."
 
 
+def test_long_lists_are_whole(spark):
+    """Words that are not sent to the tasks count all the same, in learning and in cutting."""
+    docs = corpus(spark)
+    odd = [(None, "Mr. He paid e.g. by card. He left approx. Three. J. Doe (etc.) It ended."), (5, None), (5, ""), (5, "Dr. Who? Mr. Lee."), (5, "Dr. Who? Mr. Lee.")]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    all_words = S.learn(docs)
+    want = rows(docs.select("doc_id", "text", S.sentences(F.col("text"), all_words).alias("sentences")))
+    assert len(all_words.abbreviations) > 2 and len(all_words.starters) > 2 and len(want) == 305
+    for most in (0, 2):
+        found = S.learn(docs, most=most)
+        assert len(found.abbreviations) == len(found.starters) == most
+        more = [{r["word"] for r in t.collect()} for t in (found.more_abbreviations, found.more_starters)]
+        assert more[0] | set(found.abbreviations) == set(all_words.abbreviations) and len(more[0]) + most == len(all_words.abbreviations)
+        assert more[1] | set(found.starters) == set(all_words.starters) and len(more[1]) + most == len(all_words.starters)
+        assert rows(S.cut(docs, found)) == want
+        with pytest.raises(ValueError):
+            S.sentences(F.col("text"), found)
+    # One of the lists is short, and the other is joined with a shuffle.
+    short = S.Boundaries(all_words.abbreviations, (), None, found.more_starters)
+    assert rows(S.cut(docs, short)) == rows(S.cut(docs, S.Boundaries(all_words.abbreviations, tuple(more[1]))))
+
+
+def test_long_lists_are_joined(spark, monkeypatch):
+    """Nor does a list that cannot be broadcast lose words."""
+    docs = corpus(spark)
+    want = rows(S.cut(docs, S.learn(docs)))
+    monkeypatch.setattr(S, "lookup_join", functools.partial(S.lookup_join, broadcast_bytes=0))
+    assert rows(S.cut(docs, S.learn(docs, most=1))) == want
+
+
 def test_counts_are_reduced_where_texts_are_read(spark):
     docs = corpus(spark)
     counts = S.word_counts(docs)

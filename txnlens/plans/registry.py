@@ -396,8 +396,8 @@ def sentence_words(spark, sf):
 def sentences_learned(spark, sf):
     """Titles and measures are put into the texts, so that there are abbreviations to learn."""
     docs = B.abbreviated(spark, sf)
-    found = learned.sentences(F.col("text"), learned.learn(docs))
-    return docs.select("doc_id", F.posexplode(found).alias("pos", "sentence"))
+    found = learned.cut(docs, learned.learn(docs))
+    return found.select("doc_id", F.posexplode("sentences").alias("pos", "sentence"))
 
 
 @query
