@@ -189,6 +189,11 @@ def test_lines(spark, monkeypatch, depth, broadcast):
     assert drop_template_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def many_leaves():
+    """Documents of ten lines; three have the same, so that there are 7,000 leaves."""
+    return [(i, "\n".join(f"{chr(97 + i % 700 // 26)}{chr(97 + i % 700 % 26)} line of {'ab' * k}" for k in range(10))) for i in range(2100)]
+
+
 def test_leaves_are_sent_as_a_filter(spark, monkeypatch):
     """The driver never holds a table of leaves: every leaf passes the filter, few others, at sixteen bits a leaf."""
     n = 60_000
@@ -201,8 +206,7 @@ def test_leaves_are_sent_as_a_filter(spark, monkeypatch):
 
     sent, broadcast = [], F.broadcast
     monkeypatch.setattr(F, "broadcast", lambda df: sent.append(table_bytes(df)) or broadcast(df))
-    rows = [(i, "\n".join(f"{chr(97 + i % 700 // 26)}{chr(97 + i % 700 % 26)} line of {'ab' * k}" for k in range(10))) for i in range(2100)]
-    found = drop_template_lines(frame(spark, rows))
+    found = drop_template_lines(frame(spark, many_leaves()))
     assert found.filter("text <> ''").count() == 700 and max(sent) < 100_000
 
 

@@ -2,11 +2,13 @@
 
 import corpus_pipeline
 import pytest
-from corpus import SCHEMA
+from corpus import SCHEMA, frame
+from pyspark.sql import functions as F
 from test_exact import joined
-from test_native import without_templates
+from test_native import many_leaves, without_templates
 
 from txnlens.llm.decontaminate import normal
+from txnlens.operators.joins import table_bytes
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,6 +49,16 @@ def test_lines_go(stages):
     assert sorted(texts(after)) == sorted(without_templates(texts(before), 3, 6))
 
 
+def test_lines_send_few_bytes(spark, monkeypatch):
+    """All that the stage sends from the driver is a few bytes a leaf."""
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(table_bytes(df)) or broadcast(df))
+    rows = many_leaves()
+    after = texts(corpus_pipeline.line_dedup(spark, frame(spark, rows), SF))
+    assert sent and sum(sent) < 100_000
+    assert sorted(after) == sorted(without_templates(rows, 3, 6))
+
+
 def test_one_of_each_group_stays(stages):
     _, before, after = stages[2]
     rows = texts(before)
